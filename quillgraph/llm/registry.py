@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import entropy_mix, line_dedup
+from . import decontaminate, entropy_mix, line_dedup, simhash, token_counts
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_entropy_mix": entropy_mix.op4_entropy_mix,
+    "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
-ORACLES = {"op8_line_dedup": line_dedup.OP8_SQL}
+ORACLES = {"op2_decontaminate": decontaminate.OP2_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
