@@ -28,8 +28,11 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 #: between single letters or keep it as the end of a word.
 SIGN_COST, KEEP_COST, DROP_COST, JOIN_COST, SPLIT_COST = 0.7, 1.2, 0.3, 0.1, 2.0
 
-_SIGNED = re.compile(r"(?<!\S)(?=\S{0,40}[^\W\d_])[^\s\w@$|+€£]{0,3}((?:[^\W_]|[@$!|+€£(*]){3,24}?)[^\s\w@$|+€£]*(?!\S)")
-_REPEATED = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+#: A word in which a sign stands before a letter or another such sign; its core, without marks around it.
+_SIGNED = re.compile(r"(?<!\S)\S*[0-9@$!|+€£(*][^\W\d_]\S*")
+_CORE = re.compile(r"(?:[^\W_]|[@$!|+€£(*])*[^\W_]|$")
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_REPEATED = re.compile(r"(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
 _SPACED = re.compile(r"(?<!\w)(?:[\w@$!][ .\-_*]{1,2}){3,}[\w@$!](?!\w)")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -82,12 +85,12 @@ class CharModel:
         text = text.lower()
         text = _SPACED.sub(lambda m: self.decode(m[0], True) if sum(map(str.isalpha, m[0])) > 1 else m[0], text)
         text = _SIGNED.sub(self._signed, text)
-        return _REPEATED.sub(lambda m: self.decode(m[0]), text)
+        return _REPEATED.sub(lambda m: self.decode(m[0]), text) if _TRIPLE.search(text) else text
 
     def _signed(self, m: re.Match) -> str:
-        core = m[1]
+        core = max(_CORE.findall(m[0]), key=len)
         alphabetic = sum(map(str.isalpha, core))
-        if alphabetic == len(core) or alphabetic < 2 or 3 * alphabetic < len(core):
+        if not 3 <= len(core) <= 24 or alphabetic == len(core) or alphabetic < 2 or 3 * alphabetic < len(core):
             return m[0]
         return m[0].replace(core, self.decode(core), 1)
 
