@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, entropy_mix, line_dedup, simhash, token_counts
+from . import decontaminate, entropy_mix, imatch, line_dedup, simhash, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_imatch": imatch.op3_imatch,
     "op4_entropy_mix": entropy_mix.op4_entropy_mix,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_url_filter": url_filter.op9_url_filter,
+    "op10_toxicity_deobfuscation": toxicity.op10_toxicity_deobfuscation,
 }
-ORACLES = {"op2_decontaminate": decontaminate.OP2_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
+ORACLES = {"op2_decontaminate": decontaminate.OP2_SQL, "op8_line_dedup": line_dedup.OP8_SQL, "op9_url_filter": url_filter.OP9_SQL}
