@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, entropy_mix, imatch, line_dedup, simhash, token_counts, toxicity, url_filter
+from . import decontaminate, entropy_mix, imatch, line_dedup, simhash, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_entropy_mix": entropy_mix.op4_entropy_mix,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_toxicity_deobfuscation": toxicity.op10_toxicity_deobfuscation,
