@@ -124,7 +124,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def links(codes: DataFrame, limit: int = 2, block: int = 8_192, max_blocks: int = 8_192, group: int = 64) -> DataFrame:
+def links(codes: DataFrame, limit: int = 2, block: int = 8_192, max_blocks: int = 8_192, least_blocks: int = 256, group: int = 64) -> DataFrame:
     """Edges ``(a, b)`` between different codes such that codes within ``limit`` bits, and no others, end in one
     component.  ``codes(fp)`` are distinct.
 
@@ -136,7 +136,7 @@ def links(codes: DataFrame, limit: int = 2, block: int = 8_192, max_blocks: int
     """
     spark = codes.sparkSession
     n = codes.count()
-    parts = max(1, min(max_blocks, math.ceil(n / block)))
+    parts = max(least_blocks, min(max_blocks, math.ceil(n / block)))
     # Gray rank: the parity of each bit with all above it; the top bit is flipped so that signed order is unsigned order
     ranked = codes.withColumn("rank", F.col("fp"))
     for k in (1, 2, 4, 8, 16, 32):
