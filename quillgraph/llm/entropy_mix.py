@@ -67,7 +67,7 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     of documents differ from its summed rates by under one.  Of 64 starting offsets the one whose words are nearest
     the target is taken.  No random numbers: reruns agree.
 
-    Returns ``doc_id, size, source_size, target, rate, copies, taken`` and ``rest`` (all other columns but the text).
+    Returns ``doc_id, source, size, source_size, target, rate, copies, taken`` and ``rest`` (all other columns but the text).
 
     Rows are documents; repeated rows count each.  Null text: size 0, and so taken 0.  Null source: a source of its
     own, last in order.  Null doc_id: as any other id.  Empty table: no rows.  The driver holds a few numbers for
@@ -123,7 +123,7 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     at = lambda k: F.floor(F.col("before") + k * F.col("rate") + F.col("start"))
     copies = F.greatest(F.lit(0), F.least(F.lit(most), at(F.col("nth")) - at(F.col("nth") - 1))).cast("long")
     out = placed.withColumn("copies", copies)
-    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "rest")
+    return out.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "rest")
 
 
 def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, entropy_mix, imatch, line_dedup, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from . import decontaminate, entropy_mix, imatch, line_dedup, pii, simhash, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op1_pii_surrogates": pii.op1_pii_surrogates,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_imatch": imatch.op3_imatch,
     "op4_entropy_mix": entropy_mix.op4_entropy_mix,
