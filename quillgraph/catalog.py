@@ -4,6 +4,241 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .operators import chunking, coreference, entities, graph, relations, resolution, windows
+from .plans import pipeline, questions, reads
+from .sources import files, models, narrative, store
+
 FLAGSHIP = "graph_metrics"
-QUERIES: dict[str, Callable] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name; ``sql`` is what it must equal, where SQL can say it."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+
+
+def normal_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("document_id", X.normalize(F.col("text")).alias("text"))
+
+
+def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents of one paragraph a turn."""
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return turns.select(F.col("conv_id").alias("document_id"), F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def counted(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("bigint") for n in names})
+
+
+# Text
+
+SQL_STRIP = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
+SQL_NORMAL = SQL_STRIP.format(
+    r"replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g'), '\n{2,}', chr(1), 'g'), '\n', ' ', 'g'), chr(1), chr(10) || chr(10), 'g'), chr(2), '')"
+)
+SQL_WORDS = r"len(list_filter(string_split_regex({}, '\s+'), lambda w: w <> ''))"
+SQL_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '')"
+
+
+@query(f"SELECT doc_id AS document_id, {SQL_NORMAL} AS text FROM documents")
+def text_normalize(spark, sf_dir):
+    """SCL-01."""
+    return normal_docs(spark, sf_dir)
+
+
+@query(f"SELECT doc_id AS document_id, CAST({SQL_WORDS.format('text')} AS BIGINT) AS words, CAST(round_even({SQL_WORDS.format('text')} * 1.3::DOUBLE, 0) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    """SCL-02, SCL-03."""
+    return counted(docs(spark, sf_dir).select("document_id", X.word_count(F.col("text")).alias("words"), X.token_estimate(F.col("text")).alias("tokens")), "words", "tokens")
+
+
+def _numbered(parts: str, source: str) -> str:
+    return f"""p AS (SELECT document_id, {parts} AS ps FROM {source}),
+e AS (SELECT document_id, unnest(ps) AS text, unnest(range(len(ps))) AS chunk_id FROM p),
+c AS (SELECT document_id, chunk_id, text, coalesce(sum(length(text)) OVER (PARTITION BY document_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_index FROM e)"""
+
+
+SQL_CHUNKS = f"WITH d AS (SELECT doc_id AS document_id, {SQL_NORMAL} AS text FROM documents), {_numbered(SQL_SENTENCES.format('text'), 'd')}"
+
+
+@query(f"{SQL_CHUNKS} SELECT document_id, CAST(chunk_id AS BIGINT) AS chunk_id, text, CAST(start_index AS BIGINT) AS start_index, CAST(start_index + length(text) AS BIGINT) AS end_index FROM c")
+def sentence_chunks(spark, sf_dir):
+    """TXT-02, SCL-05, WIN-03, WIN-04."""
+    return counted(chunking.sentence_chunks(normal_docs(spark, sf_dir)), "chunk_id", "start_index", "end_index")
+
+
+SQL_TALKS = "t AS (SELECT conv_id AS document_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
+SQL_PARAGRAPHS = "list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '')"
+
+
+@query(f"WITH {SQL_TALKS}, {_numbered(SQL_PARAGRAPHS, 't')} SELECT document_id, CAST(chunk_id AS BIGINT) AS chunk_id, text, CAST(start_index AS BIGINT) AS start_index, CAST(start_index + length(text) AS BIGINT) AS end_index FROM c")
+def paragraph_chunks(spark, sf_dir):
+    """TXT-03, SCL-04."""
+    return counted(chunking.paragraph_chunks(talks(spark, sf_dir)), "chunk_id", "start_index", "end_index")
+
+
+@query(r"""
+WITH w AS (SELECT doc_id AS document_id, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS ws FROM documents),
+s AS (SELECT document_id, ws, unnest(range(0, len(ws), 180)) AS start_index FROM w)
+SELECT document_id, CAST(start_index // 180 AS BIGINT) AS chunk_id, array_to_string(ws[start_index + 1 : start_index + 200], ' ') AS text, CAST(start_index AS BIGINT) AS start_index, CAST(least(len(ws), start_index + 200) AS BIGINT) AS end_index FROM s
+""")
+def word_chunks(spark, sf_dir):
+    """TXT-01, WIN-05."""
+    return counted(chunking.word_chunks(docs(spark, sf_dir)), "chunk_id", "start_index", "end_index")
+
+
+@query()
+def recursive_chunks(spark, sf_dir):
+    """TXT-04."""
+    return counted(chunking.recursive_chunks(normal_docs(spark, sf_dir)), "chunk_id", "start_index", "end_index")
+
+
+@query(f"""{SQL_CHUNKS}, n AS (SELECT document_id, {SQL_WORDS.format('text')} AS n FROM c)
+SELECT d.document_id, count(n) AS chunk_count, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_words, coalesce(round(avg(n), 2), 0.0) AS avg_words, CAST(coalesce(min(n), 0) AS BIGINT) AS min_words, CAST(coalesce(max(n), 0) AS BIGINT) AS max_words
+FROM d LEFT JOIN n ON n.document_id = d.document_id GROUP BY d.document_id""")
+def chunk_metrics(spark, sf_dir):
+    """TXT-06, AGG-01."""
+    d = normal_docs(spark, sf_dir)
+    return counted(chunking.chunk_metrics(d, chunking.sentence_chunks(d)), "chunk_count", "total_words", "min_words", "max_words")
+
+
+@query(f"""{SQL_CHUNKS}, a AS (SELECT *, start_index + length(text) AS end_index, lead(text) OVER w AS nt, lead(chunk_id) OVER w AS ni, lead(start_index + length(text)) OVER w AS ne FROM c WINDOW w AS (PARTITION BY document_id ORDER BY chunk_id))
+SELECT document_id, CAST(chunk_id AS BIGINT) AS chunk_id, CASE WHEN ni IS NULL THEN text ELSE text || ' ' || nt END AS text, CAST(start_index AS BIGINT) AS start_index, CAST(coalesce(ne, end_index) AS BIGINT) AS end_index, CASE WHEN ni IS NULL THEN '' ELSE chunk_id || ',' || ni END AS source_chunk_ids FROM a""")
+def adjacent_windows(spark, sf_dir):
+    """TXT-11, WIN-01."""
+    w = windows.adjacent_windows(chunking.sentence_chunks(normal_docs(spark, sf_dir))).drop("analysis_text")
+    return counted(w.withColumn("source_chunk_ids", F.array_join(F.col("source_chunk_ids").cast("array<string>"), ",")), "chunk_id", "start_index", "end_index")
+
+
+# Entities
+
+_MASK = r"regexp_replace(text, '[A-Za-z]*(?:[\p{N}_]|[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])[\p{L}\p{N}_]*', '·', 'g')"
+_quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+SQL_CANDIDATES = rf"""
+f AS (SELECT document_id, chunk_id, regexp_extract_all({_MASK}, '\b(?:[A-Z][a-zA-Z]+|[A-Z]{{2,}})(?:\s+(?:[A-Z][a-zA-Z]+|[A-Z]{{2,}}))*\b') AS ps FROM c),
+u AS (SELECT document_id, chunk_id, unnest(ps) AS raw, unnest(range(len(ps))) AS pos FROM f),
+v AS (SELECT document_id, chunk_id, pos, regexp_replace(raw, '\s+', ' ', 'g') AS name, string_split(regexp_replace(raw, '\s+', ' ', 'g'), ' ') AS w FROM u),
+cand AS (SELECT document_id, chunk_id, pos, name, CASE WHEN len(w) >= 2 AND w[-1] IN ({_quoted(X.ORG_SUFFIXES)}) THEN 'Organization' WHEN list_has_any(w, [{_quoted(X.LOCATION_HINTS)}]) THEN 'Location'
+  WHEN len(w) = 1 AND regexp_full_match(name, '[A-Z]{{2,}}') THEN 'Organization' WHEN len(w) >= 2 THEN 'Person' ELSE 'Concept' END AS label
+  FROM v WHERE length(name) >= 2 AND name NOT IN ({_quoted(X.STOPWORDS)})),
+ent AS (SELECT document_id, chunk_id, pos, name, label FROM (SELECT *, row_number() OVER (PARTITION BY document_id, lower(label), lower(name) ORDER BY chunk_id, pos) AS r FROM cand) WHERE r = 1)"""
+
+
+@query(f"{SQL_CHUNKS}, {SQL_CANDIDATES} SELECT document_id, CAST(chunk_id AS BIGINT) AS chunk_id, name, label FROM ent")
+def heuristic_entities(spark, sf_dir):
+    """TXT-12, SCL-06, SCL-07, PRJ-01, PRJ-02, WIN-02."""
+    found = entities.heuristic_entities(chunking.sentence_chunks(normal_docs(spark, sf_dir)))
+    return counted(found.select("document_id", "chunk_id", "name", "label"), "chunk_id")
+
+
+@query(f"""{SQL_CHUNKS}, {SQL_CANDIDATES}
+SELECT lang, label, name, n FROM (SELECT lang, label, name, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, name, label) AS r FROM ent JOIN documents ON doc_id = document_id GROUP BY lang, label, name) WHERE r <= 10""")
+def top_entities(spark, sf_dir):
+    """The ten most widespread entities of each language."""
+    from pyspark.sql.window import Window
+
+    found = entities.heuristic_entities(chunking.sentence_chunks(normal_docs(spark, sf_dir)))
+    langs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "lang")
+    n = found.join(langs, "document_id").groupBy("lang", "label", "name").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "name", "label"))
+    return n.withColumn("r", place).where("r <= 10").drop("r")
+
+
+@query(f"""{SQL_CHUNKS}, {SQL_CANDIDATES} SELECT document_id, count(*) FILTER (WHERE label = 'Organization') AS organizations, count(*) FILTER (WHERE label = 'Location') AS locations, count(*) FILTER (WHERE label = 'Person') AS persons, count(*) FILTER (WHERE label = 'Concept') AS concepts FROM ent GROUP BY document_id""")
+def entity_label_counts(spark, sf_dir):
+    """AGG-08, RES-01."""
+    found = entities.heuristic_entities(chunking.sentence_chunks(normal_docs(spark, sf_dir)))
+    n = lambda label: F.count(F.when(F.col("label") == label, 1))
+    return found.groupBy("document_id").agg(n("Organization").alias("organizations"), n("Location").alias("locations"), n("Person").alias("persons"), n("Concept").alias("concepts"))
+
+
+SQL_SURFACE = r"regexp_replace(trim(regexp_replace(regexp_replace(lower(trim({0})), '[^a-z0-9\-'' ]', ' ', 'g'), ' +', ' ', 'g')), '^(?:the|a|an) +', '')"
+SQL_SINGULAR_WORD = r"CASE WHEN regexp_matches({0}, '[^aeiou]ies$') AND length({0}) > 4 THEN left({0}, length({0}) - 3) || 'y' WHEN regexp_matches({0}, '(?:s|x|z|ch|sh)es$') AND length({0}) > 4 THEN left({0}, length({0}) - 2) WHEN regexp_matches({0}, '[^sui]s$') AND length({0}) > 2 THEN left({0}, length({0}) - 1) ELSE {0} END"
+SQL_CAPITALS = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')"
+
+
+def _sql_canonical(name: str, source: str) -> str:
+    return f"""sf AS (SELECT *, {SQL_SURFACE.format(name)} AS norm FROM {source}),
+sg AS (SELECT *, regexp_extract(norm, '^(.* )?[^ ]*$', 1) AS head, regexp_extract(norm, '([^ ]*)$', 1) AS last FROM sf),
+sn AS (SELECT *, head || {SQL_SINGULAR_WORD.format('last')} AS singular FROM sg),
+cn AS (SELECT *, CASE WHEN singular = '' THEN {name} WHEN upper({name}) = {name} AND lower({name}) <> {name} THEN upper(singular) WHEN regexp_matches(left({name}, 1), '^\\p{{Lu}}') THEN {SQL_CAPITALS.format('singular')} ELSE singular END AS canonical FROM sn)"""
+
+
+SQL_NAMES = "nm AS (SELECT p_name AS name FROM part UNION ALL SELECT initcap_.n FROM (SELECT upper(left(r_name, 1)) || lower(substr(r_name, 2)) || ' Cities' AS n FROM region) initcap_ UNION ALL SELECT 'The ' || n_name || ' Boxes' FROM nation UNION ALL SELECT c_name FROM customer)"
+
+
+def _names(spark, sf_dir):
+    part, region, nation, customer = (read(spark, sf_dir, t) for t in ("part", "region", "nation", "customer"))
+    cities = F.concat(F.upper(F.left("r_name", F.lit(1))), F.lower(F.substring("r_name", 2, 100)), F.lit(" Cities"))
+    boxes = F.concat(F.lit("The "), "n_name", F.lit(" Boxes"))
+    return part.select(F.col("p_name").alias("name")).union(region.select(cities)).union(nation.select(boxes)).union(customer.select("c_name"))
+
+
+@query(f"WITH {SQL_NAMES}, {_sql_canonical('name', 'nm')} SELECT name, norm, singular, canonical FROM cn")
+def canonical_names(spark, sf_dir):
+    """SCL-08, SCL-09, SCL-10, AGG-10."""
+    n = F.col("name")
+    return _names(spark, sf_dir).select("name", X.surface(n).alias("norm"), X.singular(X.surface(n)).alias("singular"), resolution.canonical_surface(n).alias("canonical"))
+
+
+def doc_clusters(spark, sf_dir):
+    found = entities.heuristic_entities(chunking.sentence_chunks(normal_docs(spark, sf_dir)))
+    return resolution.entity_clusters(found)
+
+
+@query()
+def entity_clusters(spark, sf_dir):
+    """RES-02 to RES-05, JOIN-06, JOIN-07, SCL-11 to SCL-13."""
+    return counted(doc_clusters(spark, sf_dir).select("document_id", "cluster", "member", "label", "name"), "cluster", "member")
+
+
+@query()
+def resolved_forms(spark, sf_dir):
+    """RES-06, AGG-08 to AGG-11 over the clusters of all documents."""
+    forms = resolution.canonical_forms(doc_clusters(spark, sf_dir))
+    return forms.select("document_id", F.col("cluster").cast("bigint").alias("cluster"), "canonical_name", "canonical_label", F.array_join("aliases", "|").alias("aliases"), F.col("label_counts")["Person"].cast("bigint").alias("persons"))
+
+
+SQL_MEMBERS = """m AS (SELECT CAST(o_custkey % 50 AS BIGINT) AS document_id, CAST(o_custkey % 7 AS BIGINT) AS cluster, CASE o_orderkey % 4 WHEN 0 THEN 'Person' WHEN 1 THEN 'Organization' WHEN 2 THEN 'Location' ELSE 'Concept' END AS label,
+ 'Cust ' || translate(CAST(o_custkey % 400 AS VARCHAR), '0123456789', 'abcdefghij') AS name, o_orderkey AS member FROM orders)"""
+
+
+def _members(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % 4
+    label = F.when(k == 0, "Person").when(k == 1, "Organization").when(k == 2, "Location").otherwise("Concept")
+    name = F.concat(F.lit("Cust "), F.translate((F.col("o_custkey") % 400).cast("string"), "0123456789", "abcdefghij"))
+    return o.select((F.col("o_custkey") % 50).cast("bigint").alias("document_id"), (F.col("o_custkey") % 7).cast("bigint").alias("cluster"), label.alias("label"), name.alias("name"), F.col("o_orderkey").alias("member"))
+
+
+@query(f"""WITH {SQL_MEMBERS}, l AS (SELECT document_id, cluster, label, count(*) AS n, CASE label WHEN 'Organization' THEN 4 WHEN 'Location' THEN 3 WHEN 'Person' THEN 2 ELSE 1 END AS p FROM m GROUP BY document_id, cluster, label),
+b AS (SELECT document_id, cluster, label FROM (SELECT *, row_number() OVER (PARTITION BY document_id, cluster ORDER BY n DESC, p DESC) AS r FROM l) WHERE r = 1),
+o AS (SELECT m.document_id, m.cluster, b.label, m.name, row_number() OVER (PARTITION BY m.document_id, m.cluster ORDER BY CASE WHEN b.label = 'Person' THEN -length(name) ELSE length(name) END, lower(name), member) AS r FROM m JOIN b ON b.document_id = m.document_id AND b.cluster = m.cluster),
+t AS (SELECT document_id, cluster, label, name FROM o WHERE r = 1), {_sql_canonical('name', 't')},
+a AS (SELECT document_id, cluster, string_agg(DISTINCT name, '|' ORDER BY name) AS aliases, count(*) FILTER (WHERE label = 'Person') AS persons FROM m GROUP BY document_id, cluster)
+SELECT cn.document_id, cn.cluster, CASE WHEN cn.label = 'Person' THEN cn.name ELSE canonical END AS canonical_name, cn.label AS canonical_label, aliases, persons FROM cn JOIN a ON a.document_id = cn.document_id AND a.cluster = cn.cluster""")
+def canonical_forms(spark, sf_dir):
+    """AGG-08 to AGG-11, RES-06 on given clusters."""
+    forms = resolution.canonical_forms(_members(spark, sf_dir))
+    return forms.select("document_id", "cluster", "canonical_name", "canonical_label", F.array_join("aliases", "|").alias("aliases"), F.col("label_counts")["Person"].cast("bigint").alias("persons"))
