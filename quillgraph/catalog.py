@@ -242,3 +242,465 @@ def canonical_forms(spark, sf_dir):
     """AGG-08 to AGG-11, RES-06 on given clusters."""
     forms = resolution.canonical_forms(_members(spark, sf_dir))
     return forms.select("document_id", "cluster", "canonical_name", "canonical_label", F.array_join("aliases", "|").alias("aliases"), F.col("label_counts")["Person"].cast("bigint").alias("persons"))
+
+
+# Relations and graphs over the narrative corpus
+
+SQL_NARRATIVE = f"WITH c AS ({narrative.CHUNKS}), {SQL_CANDIDATES.strip()}"
+_phrases = ", ".join(f"({i}, '{p}', '{t}')" for i, (p, t) in enumerate(relations.PHRASES))
+SQL_RELATIONS = f"""
+win AS (SELECT document_id, chunk_id, CASE WHEN nt IS NULL THEN text ELSE text || ' ' || nt END AS text, ni FROM (SELECT *, lead(text) OVER w AS nt, lead(chunk_id) OVER w AS ni FROM c WINDOW w AS (PARTITION BY document_id ORDER BY chunk_id))),
+ph AS (SELECT * FROM (VALUES {_phrases}) t(nth, phrase, type)),
+wp AS (SELECT document_id, chunk_id, ni, nth, type FROM win JOIN ph ON contains(lower(win.text), phrase)),
+eo AS (SELECT *, chunk_id * 4294967296 + pos AS ord FROM ent),
+we AS (SELECT DISTINCT wp.document_id, wp.chunk_id AS win, eo.ord, eo.name, eo.label FROM (SELECT DISTINCT document_id, chunk_id, ni FROM wp) wp JOIN eo ON eo.document_id = wp.document_id AND (eo.chunk_id = wp.chunk_id OR eo.chunk_id = wp.ni)),
+rr AS (SELECT a.document_id, a.win, wp.nth, a.ord AS i, b.ord AS j, a.name AS source, a.label AS source_label, b.name AS target, b.label AS target_label, wp.type
+ FROM we a JOIN we b ON a.document_id = b.document_id AND a.win = b.win AND a.ord <> b.ord AND a.name <> b.name JOIN wp ON wp.document_id = a.document_id AND wp.chunk_id = a.win),
+rel AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY document_id, lower(source), lower(target), upper(type) ORDER BY win, nth, i, j) AS r FROM rr) WHERE r = 1)"""
+
+
+def _story(spark, sf_dir):
+    chunks = narrative.chunks(spark, sf_dir)
+    found = entities.heuristic_entities(chunks)
+    w = windows.adjacent_windows(chunks)
+    return chunks, w, found, relations.heuristic_relations(w, found)
+
+
+@query(f"{SQL_NARRATIVE}, {SQL_RELATIONS} SELECT document_id, source, source_label, target, target_label, type, CAST(win AS BIGINT) AS chunk_id FROM rel")
+def narrative_relations(spark, sf_dir):
+    """TXT-14, JOIN-01 to JOIN-03, PRJ-10."""
+    told = _story(spark, sf_dir)[3]
+    return counted(told.select("document_id", "source", "source_label", "target", "target_label", "type", "chunk_id"), "chunk_id")
+
+
+SQL_RENAMED = "k AS (SELECT document_id, label, name, 'Known ' || name AS canonical_name, CASE WHEN label = 'Concept' THEN 'Person' ELSE label END AS canonical_label FROM ent WHERE length(name) % 2 = 0)"
+
+
+@query(f"""{SQL_NARRATIVE}, {SQL_RELATIONS}, {SQL_RENAMED}
+SELECT r.document_id, coalesce(a.canonical_name, source) AS source, coalesce(a.canonical_label, source_label) AS source_label, coalesce(b.canonical_name, target) AS target, coalesce(b.canonical_label, target_label) AS target_label, type
+FROM rel r LEFT JOIN k a ON a.document_id = r.document_id AND a.label = source_label AND a.name = source LEFT JOIN k b ON b.document_id = r.document_id AND b.label = target_label AND b.name = target""")
+def relation_rewrite(spark, sf_dir):
+    """RES-07, JOIN-04."""
+    _, _, found, told = _story(spark, sf_dir)
+    known = found.where(F.char_length("name") % 2 == 0).select("document_id", "label", "name", F.concat(F.lit("Known "), "name").alias("canonical_name"), F.when(F.col("label") == "Concept", "Person").otherwise(F.col("label")).alias("canonical_label"), F.lit(0).alias("member"))
+    return resolution.rewritten_relations(told, known).select("document_id", "source", "source_label", "target", "target_label", "type")
+
+
+SQL_BUILT = f"""{SQL_NARRATIVE}, {SQL_RELATIONS},
+el AS (SELECT document_id, name AS canonical_name, label AS canonical_label, name, chunk_id, pos FROM ent),
+bn AS (SELECT document_id, document_id || ':' || canonical_label || ':' || canonical_name AS id, canonical_name AS name, canonical_label AS label, chunk_id FROM el),
+be AS (SELECT r.document_id, s.id AS source, t.id AS target, upper(trim(type)) AS type, win FROM rel r JOIN bn s ON s.document_id = r.document_id AND lower(s.name) = lower(r.source) AND s.label = r.source_label JOIN bn t ON t.document_id = r.document_id AND lower(t.name) = lower(r.target) AND t.label = r.target_label WHERE s.id <> t.id)"""
+
+
+def _built(spark, sf_dir):
+    chunks, w, found, told = _story(spark, sf_dir)
+    same = found.select("document_id", F.col("name").alias("canonical_name"), F.col("label").alias("canonical_label"), "name", F.array("name").alias("aliases"), F.create_map(F.col("label"), F.lit(1)).alias("label_counts"), "chunk_id", "start_index", "end_index", F.col("ord").alias("member"))
+    nodes = graph.build_nodes(same, chunks)
+    return nodes, graph.build_edges(told, nodes, w)
+
+
+@query(f"{SQL_BUILT} SELECT bn.document_id, id, name, label, CAST(bn.chunk_id AS BIGINT) AS chunk_id, c.text AS source_text FROM bn JOIN c ON c.document_id = bn.document_id AND c.chunk_id = bn.chunk_id")
+def graph_nodes(spark, sf_dir):
+    """GRF-01."""
+    return counted(_built(spark, sf_dir)[0].select("document_id", "id", "name", "label", "chunk_id", F.col("provenance.source_text").alias("source_text")), "chunk_id")
+
+
+@query(f"{SQL_BUILT} SELECT be.document_id, source || '-' || type || '-' || target AS id, source, target, type, CAST(win AS BIGINT) AS chunk_id, w.text AS source_text FROM be JOIN win w ON w.document_id = be.document_id AND w.chunk_id = be.win")
+def graph_edges(spark, sf_dir):
+    """GRF-02, JOIN-05, SCL-26."""
+    return counted(_built(spark, sf_dir)[1].select("document_id", "id", "source", "target", "type", "chunk_id", F.col("provenance.source_text").alias("source_text")), "chunk_id")
+
+
+@query()
+def pipeline_graph(spark, sf_dir):
+    """TXT-16: the whole pipeline from texts to graphs, with clustering."""
+    g = pipeline.process(docs(spark, sf_dir))
+    return graph.graph_counts(g.nodes, g.edges).join(g.documents.select("document_id", F.col("estimated_tokens").cast("bigint").alias("estimated_tokens")), "document_id", "right").na.fill(0)
+
+
+# The property graph
+
+SQL_GRAPH = f"""WITH RECURSIVE n AS (SELECT document_id || ':' || label || ':' || name AS id, * FROM ({narrative.NODES})),
+e AS (SELECT source || '-' || type || '-' || target AS id, * FROM (SELECT document_id || ':' || source_label || ':' || source_name AS source, document_id || ':' || target_label || ':' || target_name AS target, * FROM ({narrative.EDGES}))),
+b AS (SELECT document_id, source AS node, target AS neighbor, id, type FROM e UNION ALL SELECT document_id, target, source, id, type FROM e)"""
+
+
+def _graph(spark, sf_dir):
+    return narrative.nodes(spark, sf_dir), narrative.edges(spark, sf_dir)
+
+
+@query(f"{SQL_GRAPH} SELECT n.document_id, n.c AS nodes, coalesce(e.c, 0) AS edges, coalesce(e.t, 0) AS relation_types FROM (SELECT document_id, count(*) AS c FROM n GROUP BY document_id) n LEFT JOIN (SELECT document_id, count(*) AS c, count(DISTINCT type) AS t FROM e GROUP BY document_id) e ON e.document_id = n.document_id")
+def graph_counts(spark, sf_dir):
+    """AGG-02."""
+    return graph.graph_counts(*_graph(spark, sf_dir))
+
+
+# a nation that is part of no region is a component with its customers and suppliers; the rest of a region is one
+SQL_COMPONENTS = """top AS (SELECT n_regionkey AS document_id, n_nationkey, 'Nation' || translate(CAST(n_nationkey AS VARCHAR), '0123456789', 'abcdefghij') AS name, n_nationkey % 7 = 3 AS apart FROM nation),
+lab AS (SELECT n.document_id, n.id, CASE WHEN t.apart THEN t.name ELSE 'rest' END AS grp FROM n LEFT JOIN (SELECT source AS id, target_name FROM e WHERE type <> 'PART_OF') m ON m.id = n.id LEFT JOIN top t ON t.document_id = n.document_id AND t.name = coalesce(m.target_name, n.name)),
+cmp AS (SELECT document_id, id, min(id) OVER (PARTITION BY document_id, grp) AS component FROM lab)"""
+
+
+@query(f"{SQL_GRAPH}, {SQL_COMPONENTS} SELECT * FROM cmp")
+def components(spark, sf_dir):
+    """GRF-04, AGG-06."""
+    return graph.components(*_graph(spark, sf_dir))
+
+
+@query(f"{SQL_GRAPH}, {SQL_COMPONENTS} SELECT document_id, component, count(*) AS size FROM cmp GROUP BY document_id, component")
+def component_sizes(spark, sf_dir):
+    """AGG-06, AGG-07."""
+    return graph.components(*_graph(spark, sf_dir)).groupBy("document_id", "component").agg(F.count("*").alias("size"))
+
+
+@query(f"""{SQL_GRAPH}, {SQL_COMPONENTS}, dg AS (SELECT n.document_id, n.id, count(DISTINCT neighbor) AS d FROM n LEFT JOIN b ON b.node = n.id GROUP BY n.document_id, n.id),
+x AS (SELECT document_id, count(*) AS nodes, count(*) FILTER (WHERE d = 0) AS isolated_nodes, round(avg(d), 2) AS average_degree FROM dg GROUP BY document_id),
+y AS (SELECT document_id, count(*) AS components, max(s) AS largest_component FROM (SELECT document_id, component, count(*) AS s FROM cmp GROUP BY document_id, component) GROUP BY document_id),
+z AS (SELECT document_id, count(*) AS edges FROM e GROUP BY document_id)
+SELECT x.document_id, nodes, coalesce(edges, 0) AS edges, isolated_nodes, average_degree, CASE WHEN nodes > 1 THEN round(2 * coalesce(edges, 0) / (nodes::DOUBLE * (nodes - 1)), 4) ELSE 0.0 END AS density, components, largest_component
+FROM x JOIN y ON y.document_id = x.document_id LEFT JOIN z ON z.document_id = x.document_id""")
+def graph_metrics(spark, sf_dir):
+    """GRF-03, AGG-03 to AGG-07."""
+    return graph.graph_metrics(*_graph(spark, sf_dir))
+
+
+@query(f"{SQL_GRAPH} SELECT document_id, name AS entity_name, label FROM n WHERE lower(name) = 'nationb'")
+def lookup_basic(spark, sf_dir):
+    """GRF-05, PRJ-06, PRJ-07, SRT-03."""
+    return graph.lookup(narrative.nodes(spark, sf_dir), "NATIONB").drop("id")
+
+
+@query(f"{SQL_GRAPH} SELECT DISTINCT n.document_id, n.name AS entity_name, n.label, m.name AS related_entity, m.label AS related_label, b.type AS relation FROM n LEFT JOIN b ON b.node = n.id LEFT JOIN n m ON m.id = b.neighbor WHERE lower(n.name) = 'nationc'")
+def lookup_summary(spark, sf_dir):
+    """GRF-06, JOIN-09, AGG-14."""
+    return graph.neighborhood(*_graph(spark, sf_dir), "Nationc")
+
+
+SQL_PATH = """s AS (SELECT DISTINCT document_id, node, neighbor, min(type) OVER (PARTITION BY node, neighbor) AS type FROM b),
+w AS (SELECT n.document_id, n.id AS node, [n.id] AS ids, []::VARCHAR[] AS types FROM n WHERE lower(n.name) = lower('{a}')
+ UNION ALL SELECT w.document_id, s.neighbor, list_append(w.ids, s.neighbor), list_append(w.types, s.type) FROM w JOIN s ON s.node = w.node WHERE len(w.types) < 3 AND NOT list_contains(w.ids, s.neighbor)),
+r AS (SELECT w.document_id, w.ids, w.types, row_number() OVER (PARTITION BY w.document_id ORDER BY len(types), ids, types) AS k FROM w JOIN n ON n.id = w.node AND lower(n.name) = lower('{b}') WHERE len(types) > 0)
+SELECT document_id, array_to_string(ids, '|') AS path_node_ids, array_to_string(types, '|') AS path_relations, CAST(len(types) AS BIGINT) AS path_length FROM r WHERE k = 1"""
+
+
+def _path(spark, sf_dir, a, b):
+    p = graph.shortest_path(*_graph(spark, sf_dir), a, b)
+    return p.select("document_id", F.array_join("path_node_ids", "|").alias("path_node_ids"), F.array_join("path_relations", "|").alias("path_relations"), F.col("path_length").cast("bigint").alias("path_length"))
+
+
+@query(f"{SQL_GRAPH}, {SQL_PATH.format(a='Nationa', b='Nationf')}")
+def shortest_path(spark, sf_dir):
+    """GRF-07, JOIN-10."""
+    return _path(spark, sf_dir, "Nationa", "Nationf")
+
+
+def _sql_rank(score: str, count: str) -> str:
+    return f"""{SQL_GRAPH}, k AS (SELECT n.document_id, n.name AS entity_name, n.label, {count} AS {score} FROM n LEFT JOIN b ON b.node = n.id GROUP BY n.document_id, n.id, n.name, n.label)
+SELECT * FROM (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY {score} DESC, entity_name, label) AS place, entity_name, label, {score} FROM k) WHERE place <= 10"""
+
+
+@query(_sql_rank("degree", "count(DISTINCT b.id)"))
+def rank_degree(spark, sf_dir):
+    """GRF-08, AGG-12, SRT-01."""
+    return counted(graph.ranking(*_graph(spark, sf_dir)), "place")
+
+
+@query(_sql_rank("influence_score", "count(b.id)"))
+def rank_influence(spark, sf_dir):
+    """GRF-09, AGG-13, SRT-02."""
+    return counted(graph.ranking(*_graph(spark, sf_dir), "influence_score"), "place")
+
+
+@query(f"{SQL_GRAPH} SELECT DISTINCT document_id, type FROM e")
+def relation_types(spark, sf_dir):
+    """GRF-10, SET-03, SET-06."""
+    return graph.relation_types(narrative.edges(spark, sf_dir))
+
+
+@query(f"{SQL_GRAPH} SELECT DISTINCT document_id, name AS entity_name FROM n WHERE label = 'Location'")
+def entities_by_label(spark, sf_dir):
+    """GRF-10, SET-06."""
+    return graph.entities_by_label(narrative.nodes(spark, sf_dir), "Location")
+
+
+@query(f"{SQL_GRAPH} SELECT document_id, string_agg(DISTINCT label, ',' ORDER BY label) AS entity_labels, array_to_string(list_sort(list_distinct(list(name)))[1:25], ',') AS sample_entity_names, max((SELECT string_agg(DISTINCT type, ',' ORDER BY type) FROM e WHERE e.document_id = n.document_id)) AS relationship_types FROM n GROUP BY document_id")
+def schema_summary(spark, sf_dir):
+    """QA-10, AGG-15, SRT-08."""
+    s = questions.schema_summary(*_graph(spark, sf_dir))
+    return s.select("document_id", *[F.array_join(c, ",").alias(c) for c in ("entity_labels", "sample_entity_names", "relationship_types")])
+
+
+@query(f"{SQL_GRAPH} SELECT document_id, 'nodes' AS kind, id FROM n UNION ALL SELECT document_id, 'edges', id FROM e")
+def element_export(spark, sf_dir):
+    """GRF-12."""
+    return graph.elements(*_graph(spark, sf_dir)).drop("data")
+
+
+SQL_CHOSEN = "ch AS (SELECT document_id, id FROM n WHERE name IN ('Nationa', 'Nationb', 'Nationc', 'Regiona', 'Regionb'))"
+
+
+def _chosen(nodes):
+    return nodes.where(F.col("name").isin("Nationa", "Nationb", "Nationc", "Regiona", "Regionb"))
+
+
+@query(f"{SQL_GRAPH}, {SQL_CHOSEN} SELECT document_id, id FROM ch UNION SELECT b.document_id, b.neighbor FROM b JOIN ch ON ch.id = b.node")
+def highlighted_neighbors(spark, sf_dir):
+    """GRF-11."""
+    nodes, edges = _graph(spark, sf_dir)
+    return graph.highlighted(edges, _chosen(nodes).select("document_id", "id"))
+
+
+@query(f"""{SQL_GRAPH}, {SQL_CHOSEN} SELECT document_id, 'node' AS kind, id FROM ch
+UNION SELECT e.document_id, 'edge', e.id FROM e JOIN ch a ON a.id = e.source JOIN ch b2 ON b2.id = e.target UNION SELECT document_id, 'edge', id FROM e WHERE type = 'LOCATED_IN' AND document_id IN (SELECT document_id FROM ch)""")
+def highlight(spark, sf_dir):
+    """QA-08, JOIN-12, JOIN-13, SET-01."""
+    nodes, edges = _graph(spark, sf_dir)
+    chosen = _chosen(nodes)
+    n, e = questions.highlight(nodes, edges, chosen.select("document_id", F.upper("name").alias("name")), chosen.select("document_id").distinct().withColumn("type", F.lit("located_in")))
+    return n.select("document_id", F.lit("node").alias("kind"), "id").union(e.select("document_id", F.lit("edge").alias("kind"), "id"))
+
+
+def _sql_snippet(text: str, terms: list[str]) -> str:
+    at = "CASE " + " ".join(f"WHEN instr(lower({text}), lower({t})) > 0 THEN instr(lower({text}), lower({t})) - 1" for t in terms) + " ELSE -1 END"
+    n = "CASE " + " ".join(f"WHEN instr(lower({text}), lower({t})) > 0 THEN length({t})" for t in terms) + " ELSE 0 END"
+    start, end = f"greatest(0, {at} - 70)", f"least(length({text}), {at} + {n} + 70)"
+    return f"CASE WHEN {at} < 0 THEN CASE WHEN length({text}) <= 140 THEN {text} ELSE rtrim(left({text}, 140), ' ' || chr(10)) || '...' END ELSE CASE WHEN {start} > 0 THEN '...' ELSE '' END || trim(substr({text}, {start} + 1, {end} - {start}), ' ' || chr(10)) || CASE WHEN {end} < length({text}) THEN '...' ELSE '' END END"
+
+
+@query(f"""{SQL_BUILT}, bx AS (SELECT be.*, source || '-' || type || '-' || target AS id, w.text AS st FROM be JOIN win w ON w.document_id = be.document_id AND w.chunk_id = be.win),
+ev AS (SELECT bn.document_id, 0 AS rank, bn.id, 'node' AS kind, bn.name || ' (' || bn.label || ')' AS title, c.text AS source_text, {_sql_snippet('c.text', ['bn.name'])} AS snippet FROM bn JOIN c ON c.document_id = bn.document_id AND c.chunk_id = bn.chunk_id WHERE bn.name LIKE 'Nation%'
+ UNION ALL SELECT bx.document_id, 1, bx.id, 'edge', s.name || ' -[' || type || ']-> ' || t.name, st, {_sql_snippet('st', ['s.name', 't.name', 'type'])} FROM bx JOIN bn s ON s.id = bx.source JOIN bn t ON t.id = bx.target WHERE type = 'LOCATED_IN')
+SELECT document_id, CAST(place AS BIGINT) AS place, kind, title, source_text, snippet FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY rank, id) AS place FROM ev) WHERE place <= 6""")
+def provenance(spark, sf_dir):
+    """QA-09, JOIN-11, SRT-04, SET-04, SCL-21."""
+    nodes, edges = _built(spark, sf_dir)
+    found = questions.provenance(nodes, edges, nodes.where("name LIKE 'Nation%'").select("document_id", "id"), edges.where("type = 'LOCATED_IN'").select("document_id", "id"))
+    return counted(found.select("document_id", "place", "kind", "title", "source_text", "snippet"), "place")
+
+
+@query("SELECT doc_id AS document_id, " + _sql_snippet("t", ["'zzqx'", "lang", "'the'"]) + " AS snippet FROM (SELECT doc_id, lang, " + SQL_STRIP.format("text") + " AS t FROM documents WHERE NOT regexp_matches(text, '^\\s|\\s$'))")
+def snippet(spark, sf_dir):
+    """SCL-21."""
+    d = read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"^\s|\s$"))
+    return d.select(F.col("doc_id").alias("document_id"), X.snippet(F.col("text"), [F.lit("zzqx"), F.col("lang"), F.lit("the")]).alias("snippet"))
+
+
+# The store
+
+SQL_TYPES = "ty AS (SELECT o_orderkey AS k, o_custkey AS c, CASE o_orderkey % 6 WHEN 0 THEN 'co-founded' WHEN 1 THEN '  ' WHEN 2 THEN '--' WHEN 3 THEN '9th of' WHEN 4 THEN 'works at' ELSE o_orderpriority END AS type FROM orders)"
+
+
+def _types(spark, sf_dir):
+    k = F.col("o_orderkey") % 6
+    t = F.when(k == 0, "co-founded").when(k == 1, "  ").when(k == 2, "--").when(k == 3, "9th of").when(k == 4, "works at").otherwise(F.col("o_orderpriority"))
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), t.alias("type"))
+
+
+SQL_SANITIZE = "CASE WHEN s = '' THEN 'RELATED_TO' WHEN regexp_matches(s, '^[0-9]') THEN 'REL_' || s ELSE s END"
+
+
+@query(f"WITH {SQL_TYPES}, z AS (SELECT k, type, regexp_replace(regexp_replace(upper(trim(type)), '[^A-Za-z0-9_]', '_', 'g'), '_+', '_', 'g') AS s FROM ty) SELECT k, type, {SQL_SANITIZE} AS stored, replace(upper(type), ' ', '_') AS spoken FROM z")
+def type_sanitize(spark, sf_dir):
+    """SCL-16, SCL-17."""
+    t = F.col("type")
+    return _types(spark, sf_dir).select("k", "type", X.relation_type(t).alias("stored"), X.spoken_type(t).alias("spoken"))
+
+
+@query(f"""WITH {SQL_TYPES}, nd AS (SELECT DISTINCT c % 20 AS document_id, 'N' || c % 30 AS name, 'Person' AS label FROM ty WHERE c % 3 <> 0),
+z AS (SELECT k, c % 20 AS document_id, 'N' || c % 30 AS source_name, 'N' || k % 30 AS target_name, regexp_replace(regexp_replace(upper(trim(type)), '[^A-Za-z0-9_]', '_', 'g'), '_+', '_', 'g') AS s FROM ty),
+y AS (SELECT z.*, {SQL_SANITIZE} AS stored_type FROM z JOIN nd a ON a.document_id = z.document_id AND a.name = source_name JOIN nd b ON b.document_id = z.document_id AND b.name = target_name)
+SELECT document_id, source_name, stored_type, target_name, max(k) AS ord FROM y GROUP BY document_id, source_name, stored_type, target_name""")
+def store_upsert(spark, sf_dir):
+    """SNK-05, SNK-06."""
+    t = _types(spark, sf_dir)
+    n = lambda c: F.concat(F.lit("N"), (F.col(c) % 30).cast("string"))
+    nodes = store.stored_nodes(t.where("c % 3 <> 0").select((F.col("c") % 20).alias("document_id"), n("c").alias("name"), F.lit("Person").alias("label"), F.col("k").alias("ord")))
+    edges = t.select((F.col("c") % 20).alias("document_id"), n("c").alias("source_name"), F.lit("Person").alias("source_label"), n("k").alias("target_name"), F.lit("Person").alias("target_label"), "type", F.col("k").alias("ord"))
+    return store.stored_edges(edges, nodes).select("document_id", "source_name", "stored_type", "target_name", "ord")
+
+
+@query(f"{SQL_GRAPH} SELECT document_id, id FROM n WHERE document_id % 2 = 0")
+def store_delete(spark, sf_dir):
+    """SNK-03."""
+    nodes = narrative.nodes(spark, sf_dir)
+    return store.without_documents(nodes, nodes.where("document_id % 2 = 1").select("document_id").distinct()).select("document_id", "id")
+
+
+@query(f"{SQL_GRAPH}, old AS (SELECT document_id, id FROM n), new AS (SELECT document_id, id || '!' AS id FROM n WHERE document_id = 1) SELECT * FROM old WHERE document_id NOT IN (1, 2) UNION ALL SELECT * FROM new")
+def store_replace(spark, sf_dir):
+    """SNK-02 as a plan: documents 1 and 2 are replaced, and 2 has nothing any more."""
+    nodes = narrative.nodes(spark, sf_dir).select("document_id", "id")
+    gone = spark.createDataFrame([(1,), (2,)], "document_id long")
+    return store.without_documents(nodes, gone).union(nodes.where("document_id = 1").select("document_id", F.concat("id", F.lit("!"))))
+
+
+@query()
+def graph_json(spark, sf_dir):
+    """SNK-01."""
+    return store.graph_json(*_graph(spark, sf_dir)).select("document_id", F.length("graph_data").cast("bigint").alias("size"))
+
+
+# Questions
+
+QUESTIONS = ("How are A and B related?", "how is a tied", "Who is most influential?", "What is central here", "most central of all", "Tell me about A", "What can you tell me about A", "Who is A?", "What is A", "List all", " who is influential")
+SQL_QUESTIONS = "qs AS (SELECT q, lower(trim(q)) AS l, m FROM (VALUES " + ", ".join(f"('{q}')" for q in QUESTIONS) + ") t(q), range(3) r(m))"
+
+
+@query(f"""WITH {SQL_QUESTIONS} SELECT q AS question, m AS matched, CASE WHEN (l LIKE 'how are %' OR l LIKE 'how is %') AND l LIKE '% related%' AND m >= 2 THEN 'relationship_path' WHEN l LIKE '%most influential%' OR l LIKE '%who is influential%' THEN 'ranking_influence'
+WHEN l LIKE '%who is central%' OR l LIKE '%what is central%' OR l LIKE '%most central%' THEN 'ranking_centrality' WHEN (l LIKE 'tell me about %' OR l LIKE 'what can you tell me about %') AND m > 0 THEN 'lookup_summary' WHEN (l LIKE 'who is %' OR l LIKE 'what is %') AND m > 0 THEN 'lookup_basic' ELSE 'generic_fallback' END AS intent FROM qs""")
+def intent_classify(spark, sf_dir):
+    """QA-01, SCL-24."""
+    rows = spark.createDataFrame([(q, m) for q in QUESTIONS for m in range(3)], "question string, matched long")
+    return rows.select("question", "matched", questions.intent(F.col("question"), F.col("matched")).alias("intent"))
+
+
+GUARDED = ("MATCH (n) WHERE n.document_id = 1 RETURN n", "match (n) return n", "MATCH (n) SET n.x = 1 RETURN n.document_id", "CREATE (n)", "RETURN 1 // document_id", "CALL x() YIELD document_id", "DROP INDEX", "SUNSET ")
+SQL_FORBIDDEN = "CASE " + " ".join(f"WHEN contains(u, '{w}') THEN 'contains {w.strip()}'" for w in questions.FORBIDDEN)
+
+
+@query("WITH g AS (SELECT q, upper(q) AS u FROM (VALUES " + ", ".join(f"('{q}')" for q in GUARDED) + f") t(q)) SELECT q AS query, coalesce({SQL_FORBIDDEN} WHEN NOT ({' OR '.join(f'starts_with(u, $${s}$$)' for s in questions.READ_ONLY_STARTS)}) THEN 'not read-only' WHEN NOT contains(u, 'DOCUMENT_ID') THEN 'not scoped to a document' END, 'allowed') AS verdict FROM g")
+def guard_legacy(spark, sf_dir):
+    """QA-05."""
+    rows = spark.createDataFrame([(q,) for q in GUARDED], "query string")
+    return rows.select("query", F.coalesce(questions.textual_guard(F.col("query")), F.lit("allowed")).alias("verdict"))
+
+
+@query("SELECT n_regionkey AS document_id, string_agg(n_name, ', ' ORDER BY n_nationkey) AS answer FROM nation GROUP BY n_regionkey")
+def answer_shortcut(spark, sf_dir):
+    """QA-07, AGG-19."""
+    n = read(spark, sf_dir, "nation")
+    return questions.shortcut(n.withColumnRenamed("n_regionkey", "document_id"), "n_name", "n_nationkey")
+
+
+@query()
+def question_spans(spark, sf_dir):
+    """SCL-23, QA-02 over a few questions."""
+    names = sorted(r.name for r in questions.entity_names(narrative.nodes(spark, sf_dir)).where("name LIKE 'Nation%'").select("name").distinct().collect())
+    rows = [(q, "|".join(questions.match_spans(q, names))) for q in ("Who is Nationa?", "How is nationb related to Nationba?", "Nationbax", "none")]
+    return spark.createDataFrame(rows, "question string, matched string")
+
+
+@query()
+def coref_replace(spark, sf_dir):
+    """TXT-09, SCL-14, SCL-15."""
+    rows = [(1, "Elarin came. He saw his house.", [[(0, 6), (13, 15), (20, 23)]]), (2, "James left. His dog ran.", [[(0, 5), (12, 15)]]), (3, "It is it.", [[(0, 2), (6, 8)]])]
+    d = spark.createDataFrame(rows, "document_id long, text string, clusters array<array<struct<start:int,end:int>>>")
+    return d.select("document_id", coreference.replace_mentions(F.col("text"), F.col("clusters")).alias("text"))
+
+
+def _model(label: str):
+    import re
+
+    def said(prompt: str) -> str:
+        import json
+
+        names = re.findall(r"[A-Z][a-z]+", prompt.split("\n\n", 1)[1])
+        if label == "entities":
+            return "```json\n" + json.dumps({"entities": [{"name": n, "label": "Thing" if i % 2 else "Person"} for i, n in enumerate(names)]}) + "\n```"
+        return "Here: " + json.dumps({"relations": [{"source": a, "target": b + "s", "type": "knows of"} for a, b in zip(names, names[1:])]})
+
+    return lambda: models.StubModel(said)
+
+
+@query()
+def llm_entities_stub(spark, sf_dir):
+    """TXT-13, SCL-18 to SCL-20, PRJ-03."""
+    said = models.answers(models.entity_prompts(narrative.chunks(spark, sf_dir)), _model("entities")).where("answer IS NOT NULL")
+    return entities.answered_entities(said).select("document_id", "label", "name", "ord")
+
+
+@query()
+def llm_relations_stub(spark, sf_dir):
+    """TXT-15, PRJ-04, JOIN-08, RES-08."""
+    chunks, w, found, _ = _story(spark, sf_dir)
+    within = relations.window_entities(w, found)
+    said = models.answers(models.relation_prompts(w, within), _model("relations")).where("answer IS NOT NULL")
+    return relations.answered_relations(said, w, found).select("document_id", "source", "target", "type")
+
+
+@query()
+def endpoint_repair(spark, sf_dir):
+    """JOIN-08, RES-08."""
+    _, w, found, _ = _story(spark, sf_dir)
+    within = relations.window_entities(w, found)
+    said = within.select("document_id", "window_id", F.concat(F.lit("the "), "name", F.lit("s")).alias("said")).distinct()
+    return relations.repaired_endpoints(said, within).select("document_id", F.col("window_id").cast("bigint").alias("window_id"), "said", "name")
+
+
+# Reads
+
+SQL_LINE = "'[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [' || event_type || '] ' || coalesce(props, '')"
+
+
+@query(f"SELECT user_id AS document_id, string_agg({SQL_LINE}, chr(10) ORDER BY ts, {SQL_LINE}) AS export FROM events GROUP BY user_id")
+def log_export(spark, sf_dir):
+    """SNK-10, SRC-08, SCL-28."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.col("event_type").alias("stage"), F.coalesce("props", F.lit("")).alias("message"), F.col("ts").alias("created_at"))
+    return reads.log_export(e)
+
+
+@query("""SELECT conv_id AS session_id, count(*) AS turns, coalesce(left(min_by(text, turn) FILTER (WHERE role = 'user'), 80), '') AS title, max_by(role, turn) AS last_role FROM conversations GROUP BY conv_id""")
+def session_list(spark, sf_dir):
+    """QA-11, SRT-09, JOIN-15."""
+    return reads.sessions(read(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "session_id"))
+
+
+@query("SELECT c_nationkey AS document_id, c_custkey % 3 AS user_id, 'Conversation ' || (count(*) + 1) AS title FROM customer GROUP BY c_nationkey, c_custkey % 3")
+def session_titles(spark, sf_dir):
+    """AGG-17."""
+    s = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("document_id"), (F.col("c_custkey") % 3).alias("user_id"))
+    return reads.next_session_title(s)
+
+
+@query("SELECT event_id, greatest(0, least(100, CAST(trunc(value) AS INTEGER))) AS progress FROM events")
+def progress_clamp(spark, sf_dir):
+    """SNK-08."""
+    return read(spark, sf_dir, "events").select("event_id", X.progress(F.col("value")).alias("progress"))
+
+
+@query("SELECT doc_id AS document_id, lang || '_' || source || '.txt' AS name, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id DESC) AS place FROM documents WHERE doc_id % 10 = 3")
+def document_dashboard(spark, sf_dir):
+    """SRC-07, PRJ-05, SRT-06, SCL-30."""
+    from pyspark.sql.window import Window
+
+    d = read(spark, sf_dir, "documents").withColumn("user_id", F.col("doc_id") % 10)
+    mine = reads.of_user(d, 3)
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n_chars"), F.desc("doc_id")))
+    return mine.select(F.col("doc_id").alias("document_id"), X.safe_filename(F.concat("lang", F.lit(" "), "source", F.lit(".txt"))).alias("name"), "n_chars", place.cast("bigint").alias("place"))
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'markdown' WHEN 2 THEN 'pdf' WHEN 3 THEN 'text' END AS format FROM documents")
+def format_dispatch(spark, sf_dir):
+    """SRC-04."""
+    d = read(spark, sf_dir, "documents").select("doc_id")
+    ends = F.get(F.array(*[F.lit(x) for x in (".txt", ".md", ".pdf", ".TXT", ".docx")]), (F.col("doc_id") % 5).cast("int"))
+    return d.select("doc_id", files.format_of(F.concat(F.lit("/in/doc_"), F.col("doc_id").cast("string"), ends), strict=False).alias("format"))
+
+
+@query("SELECT event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2020-01-01')) / 1e6 AS seconds, CAST(event_id % 2 = 0 AS BOOLEAN) AS may_start, CASE WHEN event_id % 3 = 0 THEN 'error' ELSE 'complete' END AS status FROM events")
+def task_status(spark, sf_dir):
+    """SCL-27, PRJ-09."""
+    e = read(spark, sf_dir, "events")
+    start = F.lit("2020-01-01 00:00:00").cast("timestamp")
+    status = F.when(F.col("event_id") % 2 == 0, "pending").otherwise("processing")
+    return e.select("event_id", X.seconds_between(start, F.col("ts").cast("timestamp")).alias("seconds"), reads.may_start(status).alias("may_start"), reads.final_status(F.when(F.col("event_id") % 3 == 0, "failed")).alias("status"))
+
+
+@query("SELECT n_nationkey AS k, list_has_any([n_name || ':latest', 'x'], [n_name]) OR len(list_filter([n_name || ':latest', 'x'], lambda m: starts_with(m, n_name || ':'))) > 0 AS found FROM nation")
+def model_available(spark, sf_dir):
+    """CON-03."""
+    n = read(spark, sf_dir, "nation")
+    return n.select(F.col("n_nationkey").alias("k"), models.has_model(F.array(F.concat("n_name", F.lit(":latest")), F.lit("x")), F.col("n_name")).alias("found"))
+
+
+@query("SELECT p_partkey, list_has_any(string_split(p_name, ' '), ['x']) AS shares, CAST(len(list_intersect(list_distinct(string_split(p_name, ' ')), list_distinct(string_split(p_type, ' ')))) AS BIGINT) AS both_, CAST(len(list_distinct(list_concat(string_split(p_name, ' '), string_split(p_type, ' ')))) AS BIGINT) AS either FROM part")
+def token_overlap(spark, sf_dir):
+    """SET-02."""
+    a, b = F.split("p_name", " "), F.split("p_type", " ")
+    return read(spark, sf_dir, "part").select("p_partkey", F.arrays_overlap(a, F.array(F.lit("x"))).alias("shares"), F.size(F.array_intersect(a, b)).cast("bigint").alias("both_"), F.size(F.array_union(a, b)).cast("bigint").alias("either"))
+
+
+@query("SELECT document_id, CAST(0 AS BIGINT) AS clusters, FALSE AS changed FROM (SELECT doc_id AS document_id FROM documents)")
+def coreference_noop(spark, sf_dir):
+    """TXT-07, TXT-10, AGG-18, JOIN-14."""
+    return counted(coreference.coreference_stats(coreference.no_coreference(docs(spark, sf_dir).na.fill("", ["text"]))), "clusters")
