@@ -35,8 +35,9 @@ from .common import others, shared_dir, tables
 KMER = 16
 _MULTIPLY = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
-#: Bytes of texts that are hashed at once.
-PIECE = 4 << 20
+#: Bytes of texts that are hashed at once (about 100 bytes of memory each), and the margin around a part of a longer
+#: text within which the bytes beside an anchor are seen.
+PIECE, MARGIN = 1 << 20, 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,8 +66,9 @@ class _Rolling:
         return out
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """The anchors of texts that stand one after another in ``data``, each ``ends`` marking a byte between texts.
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, within: tuple[int, int] | None = None) -> dict[str, np.ndarray]:
+    """The anchors of texts that stand one after another in ``data``, each ``ends`` marking a byte between texts; of
+    strings that start ``within`` a range only, if one is given.
 
     Arrays: ``key`` (hash of the anchor), ``context`` (hash of its context and its place in it), ``at`` (the anchor's
     place), ``first`` and ``last`` (the first bytes of its first and last string), and 10 bits each of the hashes of
@@ -90,8 +92,10 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.nda
         least, place = np.where(right, b, a), np.where(right, place[d:], place[:-d])
     least, place = least[:n], place[:n]
     inside = np.ones(n, bool)  # strings that lie in one text
-    for shift_from in ends:
-        inside[max(0, shift_from - length + 1) : shift_from + 1] = False
+    for end in ends:
+        inside[max(0, end - length + 1) : end + 1] = False
+    if within:
+        inside[: within[0]] = inside[within[1] :] = False
     new = np.concatenate(([True], place[1:] != place[:-1])) | np.concatenate(([True], ~inside[:-1]))
     first = np.flatnonzero(inside & new)
     stop = np.concatenate((new[1:] | ~inside[1:], [True]))
@@ -125,8 +129,16 @@ def _scan(length: int):
             ids, texts = batch.column("doc").to_numpy(zero_copy_only=False), _texts(batch)
             i = 0
             while i < len(texts):
+                if len(texts[i]) > PIECE:
+                    # parts of a long text: contexts at their borders are cut, which a comparison of bytes makes good
+                    for a in range(0, len(texts[i]) - length + 1, PIECE):
+                        start = max(0, a - MARGIN)
+                        part = texts[i][start : a + PIECE + length - 1 + MARGIN]
+                        yield from _one_piece(ids[i : i + 1], [part], length, (a - start, a - start + PIECE), start)
+                    i += 1
+                    continue
                 j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) < PIECE):
+                while j < len(texts) and size + len(texts[j]) <= PIECE:
                     size += len(texts[j]) + 1
                     j += 1
                 yield from _one_piece(ids[i:j], texts[i:j], length)
@@ -135,15 +147,15 @@ def _scan(length: int):
     return run
 
 
-def _one_piece(ids: np.ndarray, texts: list[bytes], length: int) -> Iterator[pa.RecordBatch]:
+def _one_piece(ids: np.ndarray, texts: list[bytes], length: int, within: tuple[int, int] | None = None, shift: int = 0) -> Iterator[pa.RecordBatch]:
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-    found = anchors(np.frombuffer(b"\0".join([*texts, b""]), np.uint8), ends, length)
+    found = anchors(np.frombuffer(b"\0".join([*texts, b""]), np.uint8), ends, length, within)
     which = np.searchsorted(ends, found["first"])
     base = np.concatenate(([0], ends[:-1] + 1))[which] if len(texts) else ends
     doc = ids[which]
     order = np.lexsort((doc, found["context"], found["key"]))
     key, context, doc = found["key"][order], found["context"][order], doc[order]
-    first, last, at = ((found[k] - base)[order] for k in ("first", "last", "at"))
+    first, last, at = ((found[k] - base + shift)[order] for k in ("first", "last", "at"))
     start = np.concatenate(([True], (key[1:] != key[:-1]) | (context[1:] != context[:-1]))) if len(key) else np.zeros(0, bool)
     group = np.cumsum(start) - 1
     least = doc[start][group] if len(key) else doc
