@@ -13,6 +13,8 @@ from .common import cut, others, tables
 #: Under this many sources their solved parameters (five numbers each) are broadcast; above it, Spark joins them.
 BROADCAST_SOURCES = 20_000
 OFFSETS = 64
+#: So many runs of each source, band and direction may give or take one copy to settle the rest.
+SPARE = 4
 
 
 def targets(sizes: dict, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict:
@@ -63,9 +65,11 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     0 <= rate <= ``most``.  The dual is convex; its solution tilts documents exponentially: rate = min(most,
     exp(lam_source * size / mean size)).  Newton iterations find ``lam``; each is one distributed aggregate over the
     histogram (source, size, documents), which holds all that the dual needs and has a row for each different size.
-    Rates become whole copies by systematic rounding along each source's documents in size order: the copies of a run
-    of documents differ from its summed rates by under one.  Of 64 starting offsets the one whose words are nearest
-    the target is taken.  No random numbers: reruns agree.
+    Rates become whole copies by systematic rounding along each source's documents in size order, band by band (sizes
+    of one power of two): the copies of a run of documents differ from its summed rates by under one.  Of 64 starting
+    offsets the band takes the one whose words are nearest to its due, and what it lacks or has over is due from the
+    next smaller band.  What is still owed at the end is settled by single documents that give or take one copy.  No
+    random numbers: reruns agree.
 
     Returns ``doc_id, source, size, source_size, target, rate, copies, taken`` and ``rest`` (all other columns but the text).
 
@@ -106,22 +110,47 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     parts = max(1, math.ceil(max((r.crowd for r in stats), default=0) / per_bucket))
     base = base.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
     runs = base.groupBy("source", "size", "part").agg(F.count("*").alias("n")) if parts > 1 else hist.withColumn("part", F.lit(0).cast("long"))
-    along = Window.partitionBy("source").orderBy(F.desc("size"), "part")
-    runs = rated(runs).withColumn("upto", F.sum(F.col("n") * F.col("rate")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = cut(runs.select("source", "size", "part", "n", "rate", (F.col("upto") - F.col("n") * F.col("rate")).alias("before")))
+    # systematic rounding in each band of sizes (powers of two), from large to small
+    band = F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)))).cast("int")
+    along = Window.partitionBy("source", "band").orderBy(F.desc("size"), "part")
+    runs = rated(runs.withColumn("band", band)).withColumn("upto", F.sum(F.col("n") * F.col("rate")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = cut(runs.select("source", "band", "size", "part", "n", "rate", (F.col("upto") - F.col("n") * F.col("rate")).alias("before")))
 
-    start = [(j + 0.5) / OFFSETS for j in range(OFFSETS)]
+    offsets = [(j + 0.5) / OFFSETS for j in range(OFFSETS)]
     gained = lambda u: F.sum(F.col("size") * (F.floor(F.col("before") + F.col("n") * F.col("rate") + u) - F.floor(F.col("before") + u)))
-    tried = runs.groupBy("source").agg(F.array(*[gained(u) for u in start]).alias("got")).collect()
-    best = {r.source: min(start, key=lambda u, g=r.got: (abs(g[start.index(u)] - want[r.source]), u)) for r in tried}
-
-    facts = {"source_size": {r.source: r.words for r in stats}, "target": want, "start": best}
+    tried = runs.groupBy("source", "band").agg(F.array(*[gained(u) for u in offsets]).alias("got"), F.sum(F.col("size") * F.col("n") * F.col("rate")).alias("mass")).collect()
+    starts, owed = [], {}
+    for r in sorted(tried, key=lambda r: -r.band):
+        due = r.mass + owed.get(r.source, 0.0)
+        u = min(offsets, key=lambda u, got=r.got, due=due: (abs(got[offsets.index(u)] - due), u))
+        owed[r.source] = due - r.got[offsets.index(u)]
+        starts.append((r.source, r.band, u))
+    chosen = hint(spark.createDataFrame(starts, "src string, b2 int, start double"))
+    runs = runs.join(chosen, F.col("source").eqNullSafe(F.col("src")) & (F.col("band") == F.col("b2"))).drop("src", "b2")
+
+    # what is still owed goes to single documents: the first ones of the smallest runs of each band, largest that fit
+    one = F.floor(F.col("before") + F.col("rate") + F.col("start")) - F.floor(F.col("before") + F.col("start"))
+    few = Window.partitionBy("source", "band", "spare").orderBy("size", "part")
+    spare = runs.where("size > 0").withColumn("one", one).withColumn("spare", F.explode(F.array_compact(F.array(F.when(F.col("one") > 0, -1), F.when(F.col("one") < most, 1)))))
+    spare = spare.withColumn("k", F.row_number().over(few)).where(F.col("k") <= SPARE).select("source", "size", "part", "spare").collect()
+    fixes, used = [], set()
+    for r in sorted(spare, key=lambda r: -r.size):
+        due = owed.get(r.source, 0.0)
+        if r.size <= abs(due) and (due > 0) == (r.spare > 0) and (r.source, r.size, r.part) not in used:
+            used.add((r.source, r.size, r.part))
+            owed[r.source] = due - r.spare * r.size
+            fixes.append((r.source, r.size, r.part, r.spare))
+    fixed = hint(spark.createDataFrame(fixes, "src string, z3 long, p3 long, fix int"))
+    runs = runs.join(fixed, F.col("source").eqNullSafe(F.col("src")) & (F.col("size") == F.col("z3")) & (F.col("part") == F.col("p3")), "left")
+
+    facts = {"source_size": {r.source: r.words for r in stats}, "target": want}
     ranked = base.withColumn("nth", F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("doc_id")))
-    runs = runs.select(F.col("source").alias("s2"), F.col("size").alias("z2"), F.col("part").alias("p2"), "before")
+    runs = runs.select(F.col("source").alias("s2"), F.col("size").alias("z2"), F.col("part").alias("p2"), "before", "start", F.coalesce("fix", F.lit(0)).alias("fix"))
     placed = ranked.join(runs, F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")) & (F.col("part") == F.col("p2")))
     placed = rated(placed, **facts)
     at = lambda k: F.floor(F.col("before") + k * F.col("rate") + F.col("start"))
-    copies = F.greatest(F.lit(0), F.least(F.lit(most), at(F.col("nth")) - at(F.col("nth") - 1))).cast("long")
+    copies = at(F.col("nth")) - at(F.col("nth") - 1) + F.when(F.col("nth") == 1, F.col("fix")).otherwise(0)
+    copies = F.greatest(F.lit(0), F.least(F.lit(most), copies)).cast("long")
     out = placed.withColumn("copies", copies)
     return out.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "rest")
 
