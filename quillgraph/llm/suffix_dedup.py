@@ -123,7 +123,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 _ROW = "kind int, key long, context long, doc long, packed long"
 
 
-def _scan(length: int):
+def _scan(length: int, bits: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("doc").to_numpy(zero_copy_only=False), _texts(batch)
@@ -134,20 +134,20 @@ def _scan(length: int):
                     for a in range(0, len(texts[i]) - length + 1, PIECE):
                         start = max(0, a - MARGIN)
                         part = texts[i][start : a + PIECE + length - 1 + MARGIN]
-                        yield from _one_piece(ids[i : i + 1], [part], length, (a - start, a - start + PIECE), start)
+                        yield from _one_piece(ids[i : i + 1], [part], length, bits, (a - start, a - start + PIECE), start)
                     i += 1
                     continue
                 j, size = i, 0
                 while j < len(texts) and size + len(texts[j]) <= PIECE:
                     size += len(texts[j]) + 1
                     j += 1
-                yield from _one_piece(ids[i:j], texts[i:j], length)
+                yield from _one_piece(ids[i:j], texts[i:j], length, bits)
                 i = j
 
     return run
 
 
-def _one_piece(ids: np.ndarray, texts: list[bytes], length: int, within: tuple[int, int] | None = None, shift: int = 0) -> Iterator[pa.RecordBatch]:
+def _one_piece(ids: np.ndarray, texts: list[bytes], length: int, bits: int = 0, within: tuple[int, int] | None = None, shift: int = 0) -> Iterator[pa.RecordBatch]:
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1
     found = anchors(np.frombuffer(b"\0".join([*texts, b""]), np.uint8), ends, length, within)
     which = np.searchsorted(ends, found["first"])
@@ -159,7 +159,7 @@ def _one_piece(ids: np.ndarray, texts: list[bytes], length: int, within: tuple[i
     start = np.concatenate(([True], (key[1:] != key[:-1]) | (context[1:] != context[:-1]))) if len(key) else np.zeros(0, bool)
     group = np.cumsum(start) - 1
     least = doc[start][group] if len(key) else doc
-    gone = doc != least
+    gone = doc >> bits != least >> bits
     packed = np.where(gone, _spans(first, last + length), at << 32 | (at - first) << 26 | (at - last) << 20 | found["after"][order] << 10 | found["ahead"][order])
     # what is settled here only passes through the exchange, so it is spread by document
     yield pa.RecordBatch.from_arrays([pa.array(gone.astype(np.int32)), pa.array(np.where(gone, doc, key)), pa.array(np.where(gone, 0, context)), pa.array(doc), pa.array(packed)], names=["kind", "key", "context", "doc", "packed"])
@@ -354,7 +354,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
         key = F.coalesce(F.col("doc_id"), F.lit((ids.top or 0) + 1))
         nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
         base = base.withColumn("doc", F.shiftleft(key.cast("long"), shift) + nth)
-    rows = base.select("doc", "text").where(F.octet_length("text") >= length).mapInArrow(_scan(length), _ROW)
+    rows = base.select("doc", "text").where(F.octet_length("text") >= length).mapInArrow(_scan(length, shift), _ROW)
     # anchors meet by key; settled rows have kind 1 and come along
     met = rows.repartition("key").sortWithinPartitions("kind", "key", "context", "doc")
     place = f"{shared_dir(spark).rstrip('/')}/suffix-{uuid.uuid4().hex}"
