@@ -151,7 +151,7 @@ class Scorer:
                         hits[part] += times
         odds = [self.marks[p] for p in sorted(hits)]
         total = sum(self.marks[p] * hits[p] for p in sorted(hits))
-        return [1.0, max(odds, default=0.0), math.log1p(sum(odds)), math.log1p(total), 10 * total / max(20, n), math.log1p(n), float(bool(odds))]
+        return [1.0, max(odds, default=0.0), math.log1p(sum(odds)), math.log1p(total), 10 * total / max(20, n), math.log1p(n) if odds else 0.0, float(bool(odds))]
 
     def fit(self, rows: list[list[float]], labels: list[int], ridge: float = 0.1) -> None:
         x, y = np.array(rows), np.array(labels, dtype=float)

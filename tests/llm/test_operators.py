@@ -1,0 +1,436 @@
+"""Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, extra columns and empty
+tables."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from quillgraph.llm import bwt, components, decontaminate, entropy_mix, imatch, line_dedup, pii, registry, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from tests.conftest import DATA, rows_of
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rest string, size string, rate string, fp string, spans string, bucket string"
+ODD = [(1, None), (2, ""), (3, "   \n\t "), (4, "word"), (5, "Ünïcode ﬁ 😀 \x00 end"), (6, "a b c " * 3000), (7, "same text here"), (8, "same text here"), (8, "same text here"), (None, "no id at all"), (9, "x" * 5000), (10, "same text here")]
+
+
+def odd(spark, rows=None):
+    """Documents with all that is odd, and extra columns whose names clash with the operators' own."""
+    return spark.createDataFrame([(d, t, "en", None if d == 4 else "s", 0, "r", "z", "q", "f", "p", "b") for d, t in (ODD if rows is None else rows)], SCHEMA)
+
+
+def texts(duck):
+    return {d: t or "" for d, t in duck.sql("SELECT doc_id, text FROM documents").fetchall()}
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_sql(name, spark, duck):
+    got, want = registry.QUERIES[name](spark, DATA).toPandas(), duck.sql(registry.ORACLES[name]).df()
+    assert rows_of(got) == rows_of(want)
+
+
+# 1
+
+
+def test_pii_permutes_and_keeps_forms():
+    p = pii.Permuter(b"k")
+    for n in (2, 3, 10, 97, 1000):
+        assert sorted(p.permute("t", i, n) for i in range(n)) == list(range(n))
+    made = pii.Surrogates(b"k")
+    cards = [f"{i:016d}" for i in range(500)]
+    assert len({made.card(c) for c in cards}) == 500 and all(pii.luhn(made.card(c)) == pii.luhn(c) for c in cards)
+    assert made.ip("10.1.2.3").startswith(("10.", "172.", "192.168."))
+    new = made.iban("DE89 3704 0044 0532 0130 00").replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+
+
+def test_pii_replaces_and_leaves_clean_text():
+    made = pii.Surrogates(b"k")
+    clean = "Version 2.0 of 3.14, in 2024, 100,000 items (see 9.9)."
+    assert pii.replace(clean, made) == (clean, [])
+    text = "Mail a.b@mail7.example.com, +1 (017) 555-7713, 217.94.102.185, 4149601755386017. Mrs. Anna Schmidt met Mr. John Smith; Smith left. Господин Иван Петров."
+    new, told = pii.replace(text, made)
+    assert [k for k, _, _ in told] == ["email", "phone", "ip", "card", "name", "name", "name", "name", "name", "name", "name"]
+    assert all(e not in new for _, e, _ in told)
+    by = {e: s for k, e, s in told if k == "name"}
+    assert by["Anna"] in pii.NAMES["latin", "f"] and by["John"] in pii.NAMES["latin", "m"] and by["Иван"] in pii.NAMES["cyrillic", "m"]
+    assert len(by["Smith"]) == 5 and new.count(by["Smith"]) == 2
+    assert pii.replace("+1-017-555-7713", made)[1][0][2].replace("-", "") == "".join(c for c in dict((e, s) for _, e, s in told)["+1 (017) 555-7713"] if c in "+0123456789")
+    assert pii.replace(text, pii.Surrogates(b"other"))[0] != new
+
+
+def test_pii_over_tables(spark):
+    got = pii.surrogates(odd(spark, [*ODD, (11, "a@b.example.com A@B.example.com"), (12, "b@b.example.com")]), b"k")
+    assert pii.collisions(got).count() == 0
+    rows = {r.doc_id: r for r in got.collect()}
+    assert rows[1].text is None and rows[11].kinds == "email:2" and rows[4].n_entities == 0 and rows[4].rest.rest == "r"
+    assert pii.surrogates(odd(spark, []), b"k").count() == 0
+
+
+def test_pii_query(spark, duck):
+    made, want = pii.Surrogates(b"quillgraph-surrogates-1"), texts(duck)
+    for r in registry.QUERIES["op1_pii_surrogates"](spark, DATA).collect():
+        assert r.text == pii.replace(want[r.doc_id], made)[0]
+
+
+# 2
+
+
+def test_decontaminate_blocks_agree(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, "short item"), (3, None), (None, "null item words"), (2, "other words")], "item_id long, text string")
+    docs = odd(spark, [*ODD, (20, "zero ONE two, three four five six seven eight nine ten eleven twelve"), (21, "a Short-item here null item words"), (22, "other words other words")])
+    whole = decontaminate.decontaminate(docs, bench)
+    parts = decontaminate.decontaminate(docs, bench, max_words=4)
+    one = {(r.doc_id, r.text): (r.n_words, r.n_hit, r["items"], [tuple(s) for s in r.spans]) for r in whole.collect()}
+    assert one == {(r.doc_id, r.text): (r.n_words, r.n_hit, r["items"], [tuple(s) for s in r.spans]) for r in parts.collect()}
+    by = {k[0]: (k[1], v) for k, v in one.items()}
+    assert by[20] == ("zero  twelve", (13, 11, [1], [(1, 12)]))
+    assert by[21][1] == (6, 5, [2], [(1, 3), (3, 6)]) or by[21][1][1:3] == (5, [2])
+    assert by[22][1][1:3] == (4, [2]) and by[1][1][0] == 0
+    assert whole.count() == len(ODD) + 3
+    assert decontaminate.decontaminate(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+    assert decontaminate.decontaminate(odd(spark, []), bench).count() == 0
+
+
+# 3
+
+
+def test_imatch_query(spark, duck):
+    t = texts(duck)
+    order = sorted(t, reverse=True)
+    rows = {r.doc_id: r for r in registry.QUERIES["op3_imatch"](spark, DATA).collect()}
+    assert rows.keys() == t.keys()
+    prints = {}
+    for d, after in zip(order, order[1:] + order[:1], strict=True):
+        n = len(t[d])
+        edited = t[d][: n - n // 2] + t[after][: n // 2]
+        assert rows[d].n_chars == n and rows[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert prints.setdefault(t[d], rows[d].fingerprint) == rows[d].fingerprint
+        assert 0 <= rows[d].near_edited <= 1 and 0 <= rows[d].near_next <= 1
+    assert np.mean([r.near_edited for r in rows.values()]) > 5 * np.mean([r.near_next for r in rows.values()])
+
+
+def test_imatch_fingerprint_by_hand(spark):
+    hashes = list(range(1, 2000, 7))
+    slots, mask = imatch._table(hashes)
+    held = {h for h in range(3000) if h and (slots[h & mask] == h or slots[(h >> 32) & mask] == h)}
+    assert held == set(hashes)
+
+
+def test_imatch_odd(spark):
+    rows = imatch.edit_study(odd(spark)).collect()
+    assert len(rows) == len(ODD)
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+    assert set(by[1][0].fingerprint) == {0} and by[7][0].fingerprint == by[8][0].fingerprint == by[10][0].fingerprint
+    single = imatch.edit_study(odd(spark, [(5, "abcd")])).first()
+    assert single.edited == "abab" and single.near_next == 1.0
+    assert imatch.edit_study(odd(spark, [])).count() == 0 and imatch.fingerprints(odd(spark, [])).count() == 0
+    # many buckets give what one gives
+    docs = spark.createDataFrame([(i * 3, f"text {i}") for i in range(500)], "doc_id long, text string")
+    got = imatch.with_next(docs, 500, per_bucket=7).where("NOT extra").collect()
+    assert {r.doc_id: r.next_text for r in got} == {i * 3: f"text {(i - 1) % 500}" for i in range(500)}
+
+
+# 4
+
+
+def test_targets():
+    got = entropy_mix.targets({"a": 100, "b": 1000, None: 10, "c": 1000})
+    assert abs(sum(got.values()) - 1.5 * 2110) < 1e-6 and got["a"] == 200 and got[None] == 20
+    assert abs(got["b"] / got["c"] - 2) < 1e-9
+    assert entropy_mix.targets({"a": 0}) == {"a": 0.0}
+
+
+def test_entropy_mix(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(["w"] * int(r.paretovariate(1.1) * 5 % 3000)), "en", r.choice(["a", "b", "c", "d", None]) if i % 3 else "a", 0, "r", "z", "q", "f", "p", "b") for i in range(3000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = entropy_mix.entropy_mix(docs, per_bucket=50).toPandas()
+    assert len(got) == 3000 and (got.taken <= 2 * got["size"]).all() and (got.taken == got.copies * got["size"]).all()
+    for _, g in got.groupby(got.source.fillna("-")):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 0.001 * g.target.iloc[0] + 8
+        down = g[g["rate"] < 2]
+        x = np.log(down["rate"]) / down["size"].where(down["size"] > 0)
+        assert x.max() - x.min() < 1e-6 if len(down) else True  # one exponential tilt for each source
+    again = entropy_mix.entropy_mix(docs.orderBy(F.rand(1)), per_bucket=50).toPandas()
+    assert dict(zip(got.doc_id, got.taken, strict=True)) == dict(zip(again.doc_id, again.taken, strict=True))
+    assert entropy_mix.entropy_mix(odd(spark)).count() == len(ODD) and entropy_mix.entropy_mix(odd(spark, [])).count() == 0
+
+
+# 5
+
+
+def test_gray_index_finds_all():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 1 << 63, 40, dtype=np.uint64)
+    codes = np.unique(np.concatenate([base, *(b ^ (np.uint64(1) << r.integers(0, 64, 30, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 30, dtype=np.uint64)) for b in base)]))
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    q, e = simhash.GrayIndex(codes).search(codes, 2)
+    assert set(zip(q.tolist(), e.tolist(), strict=True)) == {(i, j) for i in range(len(codes)) for j in np.flatnonzero(np.bitwise_count(codes ^ codes[i]) <= 2).tolist()}
+
+
+def by_pairs(fps):
+    root = {k: k for k in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    keys = list(fps)
+    codes = np.array([fps[k] for k in keys], dtype=np.uint64)
+    for i, k in enumerate(keys):
+        for j in np.flatnonzero(np.bitwise_count(codes ^ codes[i]) <= 2):
+            a, b = find(k), find(keys[j])
+            root[max(a, b)] = min(a, b)
+    return {k: find(k) for k in keys}
+
+
+def test_links_of_planted_clusters(spark):
+    r = np.random.default_rng(5)
+    codes = list(r.integers(0, 1 << 63, 50, dtype=np.uint64))
+    for b in codes[:6]:
+        walk = b
+        for _ in range(40):
+            walk = walk ^ (np.uint64(1) << np.uint64(r.integers(0, 64)))
+            codes.append(walk)
+    codes = np.unique(np.array(codes, dtype=np.uint64))
+    fps = {int(c.view(np.int64)): c for c in codes}
+    df = spark.createDataFrame([(k,) for k in fps], "fp long")
+    got = dict(fps and {k: k for k in fps})
+    for row in components.connected_components(simhash.links(df, block=16, least_blocks=8, group=3)).collect():
+        got[row.node] = row.root
+    assert got == by_pairs(fps)
+
+
+def test_simhash_query(spark, duck):
+    fps = {d: simhash.fingerprint(t.encode()) for d, t in texts(duck).items()}
+    want = by_pairs(fps)
+    for r in registry.QUERIES["op5_simhash_near_dedup"](spark, DATA).collect():
+        assert (r.fingerprint, r.component_id) == (f"{fps[r.doc_id]:016x}", want[r.doc_id])
+
+
+def test_fingerprint_by_hand():
+    import xxhash
+
+    t = "Ab cd\tEF  gh ab CD ef"
+    w = t.translate({c: c + 32 for c in range(65, 91)}).split()
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(len(w) - 2)]
+    assert simhash.fingerprint(t.encode()) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    assert simhash.fingerprint(b" ") == 0 and simhash.fingerprint(b"One Two") == xxhash.xxh64_intdigest("one two", 42)
+
+
+def test_simhash_odd(spark):
+    rows = simhash.near_duplicates(odd(spark)).collect()
+    by = {r.doc_id: r.component_id for r in rows}
+    assert len(rows) == len(ODD) and by[1] == by[2] == by[3] == 1 and by[10] == by[8] == by[7] == 7
+    assert simhash.near_duplicates(odd(spark, [])).count() == 0
+
+
+# 6
+
+
+def test_token_counts(spark, duck):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoder, t = sentencepiece.SentencePieceProcessor(model_file=path), texts(duck)
+    for r in registry.QUERIES["op6_token_counts"](spark, DATA).collect():
+        n = len(encoder.encode(t[r.doc_id]))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t[r.doc_id].encode()), n, n > 4096)
+    rows = token_counts.token_counts(odd(spark), path).collect()
+    assert len(rows) == len(ODD)
+    want = {d: len(encoder.encode(x or "")) for d, x in ODD}
+    assert all(r.n_tokens == want[r.doc_id] for r in rows)
+    assert token_counts.token_counts(odd(spark, []), path).count() == 0
+    lengths, rnd = token_counts.Lengths(path, {}), random.Random(1)
+    for _ in range(1500):
+        s = "".join(rnd.choice(" \n▁ab<é😀\t.th") for _ in range(rnd.randint(0, 30)))
+        assert lengths.count(s) == len(encoder.encode(s)), s
+
+
+# 7
+
+
+def brute_removed(rows, n=50):
+    first, out = {}, {}
+    for d, t in rows:
+        for i in range(len(t) - n + 1):
+            first[t[i : i + n]] = min(first.get(t[i : i + n], d), d)
+    for k, (d, t) in enumerate(rows):
+        gone = bytearray(len(t))
+        for i in range(len(t) - n + 1):
+            if first[t[i : i + n]] < d:
+                gone[i : i + n] = b"\1" * n
+        kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
+        out[k] = (len(t), sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_bwt_merge_finds_repeats():
+    r = random.Random(2)
+    for turn in range(200):
+        letters = "ab" if turn % 2 else "abcdé\x00"
+        strings = ["".join(r.choice(letters) for _ in range(r.randint(1, 30))).encode() for _ in range(r.randint(1, 14))]
+        strings += r.sample(strings, len(strings) // 2)
+        owners, n = np.array([r.randint(0, 5) for _ in strings]), r.choice([1, 2, 3, 5])
+        least = {}
+        for s, o in zip(strings, owners, strict=True):
+            for i in range(len(s) - n + 1):
+                least[s[i : i + n]] = min(least.get(s[i : i + n], 99), o)
+        want = {(k, i) for k, (s, o) in enumerate(zip(strings, owners, strict=True)) for i in range(len(s) - n + 1) if least[s[i : i + n]] < o}
+        assert set(zip(*(x.tolist() for x in bwt.repeated(strings, owners, n, shards=r.choice([1, 2, 4]))), strict=True)) == want
+
+
+def test_suffix_query(spark, duck):
+    rows = sorted((d, t.encode()) for d, t in texts(duck).items())
+    want = {rows[k][0]: v for k, v in brute_removed(rows).items()}
+    got = {r.doc_id: tuple(r)[1:] for r in registry.QUERIES["op7_suffix_dedup"](spark, DATA).collect()}
+    assert got == want
+
+
+def test_suffix_odd(spark):
+    r = random.Random(6)
+    blocks = ["".join(r.choice("abcdefgh ") for _ in range(300)) for _ in range(6)]
+    made = lambda: "".join(r.choice(blocks)[r.randint(0, 100) : r.randint(150, 300)] for _ in range(r.randint(1, 12)))
+    more = [(100 + i // 2, made()) for i in range(24)] + [(None, made()), (None, made())]
+    rows = [*ODD, *more]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    want = brute_removed([(rows[k][0] if rows[k][0] is not None else 10**6, (rows[k][1] or "").encode()) for k in order])
+    got = suffix_dedup.suffix_dedup(odd(spark, rows)).select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want.values())
+    assert suffix_dedup.suffix_dedup(odd(spark, [])).count() == 0
+
+
+def test_suffix_stages_in_small_pieces(monkeypatch):
+    """Texts longer than a piece, and batches that cut groups."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "PIECE", 4_000)
+    r = random.Random(5)
+    blocks = ["".join(r.choice("abcdefgh ") for _ in range(300)) for _ in range(8)]
+    t = {i: "".join(r.choice(blocks)[r.randint(0, 100) : r.randint(150, 300)] for _ in range(r.randint(1, 60))) for i in range(40)}
+    batches = lambda frame, n: iter(pa.Table.from_pandas(frame, preserve_index=False).to_batches(max_chunksize=n))
+    frame = lambda parts: pa.Table.from_batches(list(parts)).to_pandas()
+    found = frame(suffix_dedup._scan(50)(iter([pa.RecordBatch.from_arrays([pa.array(list(t)), pa.array(list(t.values()))], names=["doc", "text"])])))
+    settled = frame(suffix_dedup._settle(50, 0)(batches(found.sort_values(["kind", "key", "context", "doc"]), 37)))
+    asks = settled[settled.kind == 2].groupby("doc")
+    told = pa.RecordBatch.from_arrays([pa.array(list(asks.groups)), pa.array([t[d] for d in asks.groups]), pa.array([[{"key": k, "side": c, "packed": p} for k, c, p in zip(g.key, g.context, g.packed, strict=True)] for _, g in asks])], names=["doc", "text", "asks"])
+    parts = frame(suffix_dedup._fetch(50)(iter([told])))
+    compared = frame(suffix_dedup._compare(50, 0, chunk=5_000)(batches(parts.sort_values(["key", "doc"]), 61)))
+    gone = {d: bytearray(len(x)) for d, x in t.items()}
+    for d, p in pd.concat([settled[settled.kind == 1][["doc", "packed"]], compared]).itertuples(index=False):
+        gone[d][p >> 32 : p & 0xFFFFFFFF] = b"\1" * ((p & 0xFFFFFFFF) - (p >> 32))
+    want = brute_removed([(d, x.encode()) for d, x in t.items()])
+    assert {d: sum(g) for d, g in gone.items()} == {d: want[d][1] for d in t}
+
+
+# 8
+
+
+def test_line_dedup_odd(spark):
+    line = "a line of over twenty characters"
+    rows = [*ODD, *((i, f"{line}\nown {i}\n  {line.upper()} \n") for i in (20, 21, 22)), (23, "\n\n"), (24, "short\nshort")]
+    got = {}
+    for r in line_dedup.line_dedup(odd(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.n_lines, r.n_dropped, r.text))
+    assert got[20] == [(4, 2, "own 20\n")] and got[22] == [(4, 0, f"{line}\nown 22\n  {line.upper()} \n")]
+    assert got[1] == [(1, 0, "")] and got[23] == [(3, 0, "\n\n")] and len(got[8]) == 2
+    assert sum(map(len, got.values())) == len(rows) and line_dedup.line_dedup(odd(spark, [])).count() == 0
+
+
+# 9
+
+
+def test_url_filter(spark):
+    entries = spark.createDataFrame([("l", "Bad.example.com", "add", 5), ("l", "bad.example.com", "remove", 9), ("l", "bad.example.com", "add", 12), ("m", "example.com", "add", 7), ("m", "example.com", "remove", 7), ("p", "x.org/a", "add", 0), (None, "x.org", "add", 0)], "list string, entry string, action string, day int")
+    pages = [(1, "http://www.bad.example.com/x", 4), (2, "http://www.bad.example.com/x", 5), (3, "http://bad.example.com", 9), (4, "http://u:p@bad.example.com:80/", 12), (5, "https://notbad.example.com/", 6), (6, "http://x.org/a/b?q", 3), (7, "http://x.org/ab", 3), (8, None, 3), (9, "nonsense", 3), (10, "http://x.org/a", None), (2, "http://www.bad.example.com/x", 5)]
+    captures = spark.createDataFrame([(*p, "c", 1) for p in pages], "page_id long, url string, day int, host string, n_active int")
+    for salt in (4_000, 1):
+        got = sorted((r.page_id, r.lists, r.entry, r.n_active) for r in url_filter.url_filter(captures, entries, per_salt=salt).collect())
+        assert got == [(1, "", "", 0), (2, "l", "bad.example.com", 1), (2, "l", "bad.example.com", 1), (3, "m", "example.com", 1), (4, "l,m", "bad.example.com", 2), (5, "", "", 0), (6, "p", "x.org/a", 1), (7, "", "", 0), (8, "", "", 0), (9, "", "", 0), (10, "", "", 0)]
+    assert url_filter.url_filter(captures.limit(0), entries).count() == 0
+    assert url_filter.url_filter(captures, entries.limit(0)).where("blocked").count() == 0
+
+
+# 10
+
+
+def model_of(text):
+    counts = np.zeros(toxicity.K**3)
+    n = toxicity._TABLE[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 0xFFF)]
+    np.add.at(counts, (n[:-2] * toxicity.K + n[1:-1]) * toxicity.K + n[2:], 1)
+    return toxicity.CharModel(counts)
+
+
+@pytest.mark.parametrize(("written", "plain"), [("an 1d10t", "an idiot"), ("s t u p i d thing", "stupid thing"), ("l.o.s.e.r", "loser"), ("stuuupid", "stupid"), ("path3t1c", "pathetic"), ("$cum", "scum"), ("plain words, 3 of 4.", "plain words, 3 of 4."), ("THE!! and***", "the!! and***"), ("", "")])
+def test_deobfuscation(written, plain):
+    model = model_of(" idiot stupid loser pathetic scum thing plain words an the and " * 50)
+    assert model.restore(written) == plain
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    import itertools
+    import math
+
+    model = model_of(" toss silt list tilt " * 20)
+    for written in ("1i57", "t055", "5117"):
+        choices = [toxicity.SIGNS.get(c, c) for c in written]
+        cost = lambda w: sum(float(model.cost[a, b, c]) for a, b, c in zip([0, 0, *w], [0, *w], [*w, 0], strict=False)) if w else math.inf
+        best = min(itertools.product(*choices), key=lambda w: cost([toxicity._NUMBER[c] for c in w]))
+        assert model.decode(written) == "".join(best)
+
+
+def test_toxicity(spark):
+    clean = [(i, f"some plain words about topic {chr(97 + i % 26)} and more", 0) for i in range(300)]
+    bad = [(1000 + i, f"some words you {['idiot', '1d1ot', 'i d i o t'][i % 3]} and topic {chr(97 + i % 26)}", 1) for i in range(150)]
+    docs = odd(spark, [(d, t) for d, t, _ in clean + bad] + [(5000 + k, t) for k, (_, t) in enumerate(ODD)] + [(None, "null")])
+    labels = spark.createDataFrame([(d, x) for d, _, x in clean + bad] + [(1, None), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, labels).toPandas().set_index("doc_id")
+    held = got[got.held_out]
+    assert all(h == (zlib.crc32(str(int(d)).encode()) % 4 == 2) for d, h in zip(got.index, got.held_out, strict=True) if d == d)
+    assert len(held) > 50 and (held.predicted == ((held.index >= 1000) & (held.index < 2000)).astype(int)).all()
+    assert got.score.between(0, 1).all() and len(got) == 450 + len(ODD) + 1
+    assert toxicity.toxicity(docs, labels.limit(0)).agg(F.max("score")).first()[0] == 0.0
+    assert toxicity.toxicity(odd(spark, []), labels).count() == 0
+
+
+# the pipeline
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet").collect()
+    for k, (_, stage) in enumerate(P.STAGES):
+        before = {r.doc_id: r for r in docs.select("doc_id").collect()}
+        after = stage(spark, docs, DATA)
+        if k < 4:
+            assert after.columns == docs.columns
+            after = spark.createDataFrame(after.collect(), docs.schema)
+            if k in (1,):
+                assert after.count() == len(before)
+            docs = after
+    windows = decontaminate.Windows([(b.item_id, (b.text or "").encode()) for b in bench], 10)
+    number = windows.vocabulary.get
+    for r in docs.collect():
+        assert r.n_chars == len(r.text)
+        assert not list(windows.hits(np.array([number(w, 0) for w in decontaminate.words(r.text.encode())] + [0], dtype=np.int64)))
+    got = after.toPandas()
+    assert set(got.doc_id) == {r.doc_id for r in docs.collect()} and (got.taken == got.copies * got["size"]).all()
+
+
+def test_pipeline_keeps_one_of_a_group(spark):
+    import corpus_pipeline as P
+
+    t = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(3, t, "en", "s", 1, "x"), (2, t, "en", "s", 1, "y"), (2, t, "en", "s", 1, "y"), (5, "all other words here", "en", "s", 1, "z"), (None, None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long, rest string")
+    assert sorted((r.doc_id or 0, r.rest) for r in P.drop_near_duplicates(spark, docs, DATA).collect() if r.doc_id) == [(2, "y"), (5, "z")]
+    assert P.drop_common_lines(spark, docs, DATA).columns == docs.columns
