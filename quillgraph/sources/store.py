@@ -33,13 +33,15 @@ class GraphStore:
     by rewriting its bucket and not by a partition a document, of which there would be far too many."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
+        self.spark, self.path, self.buckets, self.schemas = spark, path, buckets, {}
 
     def _bucket(self):
         return F.pmod(F.xxhash64("document_id"), F.lit(self.buckets)).cast("int")
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{table}")
+        # a table without rows has no file to tell its columns
+        reader = self.spark.read.schema(self.schemas[table]) if table in self.schemas else self.spark.read
+        return reader.parquet(f"{self.path}/{table}")
 
     def _exists(self, table: str) -> bool:
         jvm = self.spark._jvm
@@ -49,6 +51,7 @@ class GraphStore:
     def replace(self, table: str, documents: DataFrame, rows: DataFrame) -> None:
         """Put ``rows`` in place of all rows of the ``documents``, also of those that have no row any more."""
         new = rows.withColumn("bucket", self._bucket())
+        self.schemas.setdefault(table, new.schema)
         if self._exists(table):
             touched = documents.select(self._bucket().alias("bucket")).distinct()
             old = self.read(table).join(touched, "bucket", "left_semi").join(documents.select("document_id"), "document_id", "left_anti")
