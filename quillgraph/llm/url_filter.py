@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from .common import others, tables
 
+#: Parts over which the captures of one key are dealt when they meet the lists.
+PARTS = 16
 HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[a-z][a-z0-9+.\-]*://[^/?#]+(/[^?#]*)"
 
@@ -57,8 +59,10 @@ def url_filter(captures: DataFrame, entries: DataFrame, per_salt: int = 4_000) -
     # distinct (url, day): captures of one address on one day are evaluated once
     asked = base.select("url", "day").where("url IS NOT NULL AND day IS NOT NULL").distinct()
     keyed = asked.select("url", "day", F.explode(keys_of(F.col("url"))).alias("key"))
-    listed = valid.select("key", "list").distinct()
-    keyed = keyed.join(listed, "key")
+    # a key that all captures share would meet in one task, so the listed keys are repeated over a few parts
+    keyed = keyed.withColumn("dealt", F.pmod(F.xxhash64("url", "day"), F.lit(PARTS)).cast("int"))
+    listed = valid.select("key", "list").distinct().withColumn("dealt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    keyed = keyed.join(listed, ["key", "dealt"]).drop("dealt")
     crowds = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > per_salt).select("key", F.ceil(F.col("n") / per_salt).cast("int").alias("salts"))
     keyed = keyed.join(crowds, "key", "left").withColumn("salt", F.pmod(F.xxhash64("url", "day"), F.coalesce("salts", F.lit(1))).cast("int"))
     spread = valid.join(crowds, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
