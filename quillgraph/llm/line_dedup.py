@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, others, tables
+from .common import BLANKS, ascii_lower, cut, others, tables
 
 
 def line_key(line: Column) -> Column:
@@ -33,6 +33,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
 
     once = base.select("doc_id", F.explode(F.array_distinct(F.filter(F.transform(lines, line_key), long))).alias("key"))
     common = once.select("doc_id", *hashes).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).where(F.col("n") >= min_docs).drop("n")
+    # written out: a join with an aggregate right below it can't have its skewed keys split
+    common = cut(common)
 
     each = base.select("doc_id", "sign", F.posexplode(F.transform(lines, line_key)).alias("pos", "key")).where(long(F.col("key"))).select("doc_id", "sign", "pos", *hashes)
     lost = each.join(common, ["h1", "h2"]).where((F.col("doc_id") < F.col("top")) | (F.col("doc_id").isNull() & F.col("top").isNotNull()))
