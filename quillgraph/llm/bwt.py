@@ -18,12 +18,18 @@ class Shard:
     def __init__(self, text: np.ndarray, ends: np.ndarray):
         """``text``: symbols, bytes as 1 to 256 and 0 at each end; ``ends``: the places of the 0s, in order."""
         n = len(text)
-        symbols = text.astype(np.int64) + len(ends)
-        symbols[ends] = np.arange(len(ends))
-        rank = _ranks(symbols)
-        width = 1
+        # seven symbols to a key; what follows a string's end counts as 0, and suffixes that end within the key are
+        # told apart by their place, which is the order of the strings
+        left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)
+        padded = np.zeros(n + FIRST, np.int64)
+        padded[:n] = text
+        key = np.zeros(n, np.int64)
+        for i in range(FIRST):
+            key <<= 9
+            key |= np.where(left >= i, padded[i : i + n], 0)
+        rank, width = _ranks(key, left < FIRST), FIRST
         while rank.max() < n - 1:
-            # three ranks of at most 21 bits to a key: 1, 3, 9, 27, 81 ... symbols
+            # three ranks of at most 21 bits to a key: 7, 21, 63, 189 symbols
             key = rank << 42
             key[:-width] |= (rank[width:] + 1) << 21
             if 2 * width < n:
@@ -38,14 +44,20 @@ class Shard:
         self.before = before[self.places]
 
 
-def _ranks(keys: np.ndarray) -> np.ndarray:
+def _ranks(keys: np.ndarray, apart: np.ndarray | None = None) -> np.ndarray:
+    """The ranks of keys; those that are ``apart`` share none."""
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
+    new = ordered[1:] != ordered[:-1]
+    if apart is not None:
+        new |= apart[order][1:]
     rank = np.empty(len(keys), np.int64)
-    rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
+    rank[order] = np.concatenate(([0], np.cumsum(new)))
     return rank
 
 
+#: Symbols of 9 bits in a first key.
+FIRST = 7
 #: Places that one shard may have: ranks take 21 bits.
 MOST = (1 << 21) - 2
 
@@ -56,36 +68,33 @@ def merge(shards: list[Shard], strings: list[int], depth: int) -> tuple[np.ndarr
     Returns (shard of each suffix, its place in the shard, number of its interval), in order.  Suffixes of one
     interval share their first ``depth`` symbols; a suffix that ends before is alone in its interval."""
     ends = sum(strings)
-    fixed = np.repeat(np.arange(len(shards), dtype=np.uint8), strings)
-    of = np.concatenate([fixed, np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.places) - m for s, m in zip(shards, strings, strict=True)])])
-    total = len(of)
-    interval = np.zeros(total, np.int64)
     starts = np.concatenate(([0], np.cumsum([len(s.places) for s in shards])))
-    before = np.concatenate([s.before for s in shards]).astype(np.uint16)
+    total = int(starts[-1])
+    before = np.concatenate([s.before for s in shards])
+    before = before.astype(np.uint8 if before.max(initial=0) < 256 else np.uint16)  # valid UTF-8 has no byte 0xFF
+    # the row of its shard's transform to which a row's symbol leads (last-to-first), as rows of all shards together
+    leads = np.empty(total, np.int32)
+    for k in range(len(shards)):
+        leads[starts[k] + np.argsort(before[starts[k] : starts[k + 1]], kind="stable")] = np.arange(starts[k], starts[k + 1])
+    # the interleave: a shard's rows always stand in their own order; the ends of strings stay in front
+    fixed = np.concatenate([np.arange(starts[k], starts[k] + m) for k, m in enumerate(strings)]).astype(np.int32)
+    row = np.concatenate([fixed, *(np.arange(starts[k] + m, starts[k + 1]) for k, m in enumerate(strings))]).astype(np.int32)
+    interval = np.zeros(total, np.int32)
     for _ in range(depth):
-        # the merged transform under the present interleave: each shard's symbols in their own order
-        turn = np.argsort(of, kind="stable")
-        symbols = np.empty(total, np.uint16)
-        symbols[turn] = before
+        symbols = before[row]
         order = np.argsort(symbols, kind="stable")
-        of, ordered, came = of[order], symbols[order], interval[order]
+        ordered, came = symbols[order], interval[order]
+        row = leads[row[order]]
+        row[:ends] = fixed
         new = np.concatenate(([True], (ordered[1:] != ordered[:-1]) | (came[1:] != came[:-1])))
-        new[:ends], of[:ends] = True, fixed
+        new[:ends] = True
         if ends < total:
             new[ends] = True
-        fresh = np.cumsum(new) - 1
-        if fresh[-1] == total - 1:  # all apart
-            interval = fresh
+        interval = np.cumsum(new, dtype=np.int32) - 1
+        if interval[-1] == total - 1:  # all apart
             break
-        interval = fresh
-    turn = np.argsort(of, kind="stable")
-    row = np.empty(total, np.int64)
-    row[turn] = np.concatenate([np.arange(starts[i], starts[i + 1]) - starts[i] for i in range(len(shards))])
-    places = np.empty(total, np.int64)
-    for i, shard in enumerate(shards):
-        mine = of == i
-        places[mine] = shard.places[row[mine]]
-    return of, places, interval
+    of = (np.searchsorted(starts, row, "right") - 1).astype(np.uint8)
+    return of, np.concatenate([s.places for s in shards])[row], interval
 
 
 def repeated(strings: list[bytes], owners: np.ndarray, length: int, shards: int = 4) -> tuple[np.ndarray, np.ndarray]:

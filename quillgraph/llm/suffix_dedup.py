@@ -103,8 +103,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, within: tuple[int,
     at = place[first].astype(np.int64)
     whole = rolling.of(length)
     context = _mix(_mix(whole[first]) + np.uint64(_MULTIPLY) * whole[last] + ((at - first) * 64 + (last - first)).astype(np.uint64))
-    side = _mix(rolling.of(KMER))  # also of the sides
-    return {"key": least[first].view(np.int64), "context": context.view(np.int64), "at": at, "first": first, "last": last, "after": _bits(side, at + KMER), "ahead": _bits(side, at - KMER)}
+    return {"key": least[first].view(np.int64), "context": context.view(np.int64), "at": at, "first": first, "last": last, "after": _bits(kmers, at + KMER), "ahead": _bits(kmers, at - KMER)}
 
 
 def _bits(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
