@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,16 +33,19 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", _one_line_end(F.col("value")).alias("text"))
 
 
-@F.pandas_udf(T.StringType())
-def _pdf_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    try:
-        from io import BytesIO
+def _extract_pdf(content: bytes) -> str:
+    from io import BytesIO
 
+    try:
         from pdfminer.high_level import extract_text
     except ImportError as e:
         raise ImportError("reading PDF files needs the package pdfminer.six") from e
-    for s in parts:
-        yield s.map(lambda b: extract_text(BytesIO(b)) if b is not None else None)
+    return extract_text(BytesIO(content))
+
+
+@F.pandas_udf(T.StringType())
+def _pdf_text(s: pd.Series) -> pd.Series:
+    return s.map(lambda b: _extract_pdf(bytes(b)) if b is not None else None)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -20,7 +20,8 @@ def docs(spark, *texts):
 @pytest.fixture(scope="module")
 def built(spark):
     g = pipeline.process(docs(spark, TWO, "", "Elarin lives in Whisperwood."))
-    return g, g.nodes.persist(), g.edges.persist()
+    # small local tables from here on: each test plans its own query, not the pipeline again
+    return g, *(spark.createDataFrame(df.collect(), df.schema).coalesce(1) for df in (g.nodes, g.edges))
 
 
 def test_pipeline(built):
