@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -259,9 +258,5 @@ def collisions(replaced: DataFrame) -> DataFrame:
     return told.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
 
 
-def script(text: str) -> str:
-    return unicodedata.name(text[0]).split(" ")[0].lower() if text else ""
-
-
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates(tables(spark, sf_dir, "documents").select("doc_id", "text"), b"quillgraph-surrogates-1").select("doc_id", "n_entities", "kinds", "text")

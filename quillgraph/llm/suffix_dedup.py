@@ -362,7 +362,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     asks = settled.where("kind = 2").groupBy("doc").agg(F.collect_list(F.struct("key", F.col("context").alias("side"), "packed")).alias("asks"))
     whole = base.select("doc", "text")
     parts = whole.join(asks, "doc").mapInArrow(_fetch(length), "key long, part binary, doc long, first long")
-    # equal parts of one key: only the smallest document is compared; the others follow it
+    # a key's parts arrive together, as many keys to a merge as fit a chunk
     compared = parts.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_compare(length, shift), "doc long, packed long")
     found = settled.where("kind = 1").select("doc", "packed").union(compared)
     spans = found.groupBy("doc").agg(F.collect_list("packed").alias("spans"))
