@@ -250,7 +250,8 @@ def _fetch(length: int):
 
 
 def _compare(length: int, shift: int, chunk: int = 1 << 20):
-    """Merge the transforms of the parts that meet, whole keys at a time, about ``chunk`` bytes together."""
+    """Merge the transforms of the parts that meet, whole keys at a time, about ``chunk`` bytes together.  A key that
+    goes on over batches and fills more than a chunk is merged piece by piece against what :class:`_Firsts` carries."""
 
     def merged(rows: list) -> Iterator[pa.RecordBatch]:
         key = np.concatenate([r[0] for r in rows])
@@ -268,19 +269,29 @@ def _compare(length: int, shift: int, chunk: int = 1 << 20):
         start = first[which] + offset
         yield pa.RecordBatch.from_arrays([pa.array(doc[which]), pa.array(_spans(start, start + length))], names=["doc", "packed"])
 
+    def told(found: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(found[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(_spans(found[1], found[1] + length))], names=["doc", "packed"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        hot, going = None, None  # the key that fills more than a chunk and may go on, and what is carried of it
         for batch in batches:
             key, doc, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc", "first"))
             part = batch.column("part").to_pylist()
             i = 0
+            if going is not None and len(key):
+                i = int(np.searchsorted(key != hot, True)) if key[-1] != hot else len(key)
+                yield from told(going.add(part[:i], doc[:i], first[:i]))
+                if i < len(key):
+                    going = None
             while i < len(key):
                 # as many whole keys as fit; a key that fills more than a chunk is compared whole all the same
                 j = i
                 while j < len(key) and size < chunk:
                     size += len(part[j]) + 1
                     j += 1
-                while j < len(key) and size >= chunk and j and key[j] == key[j - 1]:
+                while j < len(key) and size >= chunk and key[j] == key[j - 1]:
                     size += len(part[j]) + 1
                     j += 1
                 held.append((key[i:j], part[i:j], doc[i:j], first[i:j]))
@@ -292,6 +303,10 @@ def _compare(length: int, shift: int, chunk: int = 1 << 20):
                     if held:
                         yield from merged(held)
                     held, size = [tail], sum(map(len, tail[1])) + len(tail[1])
+                    if size >= chunk:
+                        hot, going = tail[0][0], _Firsts(length, shift, chunk)
+                        yield from told(going.add(*tail[1:]))
+                        held, size = [], 0
                 i = j
         if held and sum(len(r[0]) for r in held):
             yield from merged(held)
@@ -299,6 +314,67 @@ def _compare(length: int, shift: int, chunk: int = 1 << 20):
     return run
 
 
+class _Firsts:
+    """The strings of one key that have come so far, each once with its smallest owner, as pieces of parts in blocks
+    of about two chunks.  A merge takes a chunk of new parts and one block, so its memory doesn't grow with the key;
+    what is carried are the bytes of the key's different strings."""
+
+    def __init__(self, length: int, shift: int, chunk: int):
+        self.length, self.shift, self.chunk = length, shift, chunk
+        self.blocks: list[tuple[list[bytes], np.ndarray]] = [([], np.zeros(0, np.int64))]
+
+    def add(self, part: list[bytes], doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, first byte) of each new string that a smaller owner has.  Parts come in order of their
+        documents, so no carried string is ever met by a smaller owner."""
+        docs, firsts, i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        while i < len(part):
+            j, size = i, 0
+            while j < len(part) and size < self.chunk:
+                size += len(part[j]) + 1
+                j += 1
+            for found in self._piece(part[i:j], doc[i:j], first[i:j]):
+                docs.append(found[0])
+                firsts.append(found[1])
+            i = j
+        return np.concatenate(docs), np.concatenate(firsts)
+
+    def _piece(self, part: list[bytes], doc: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for strings, owners in self.blocks:
+            if not part:
+                return
+            n = len(strings)
+            which, offset = repeated([*strings, *part], np.concatenate((owners, doc >> self.shift)), self.length)
+            new = which >= n
+            which, offset = which[new] - n, offset[new]
+            yield doc[which], first[which] + offset
+            part, doc, first = self._rest(part, doc, first, which, offset)
+        # of equal strings of one owner one is enough: by their order they are told apart
+        strings, owners = self.blocks[-1]
+        if part:
+            n = len(strings)
+            which, offset = repeated([*strings, *part], np.arange(n + len(part)), self.length)
+            new = which >= n
+            part, doc, first = self._rest(part, doc, first, which[new] - n, offset[new])
+        if sum(map(len, strings)) + len(strings) >= 2 * self.chunk:
+            self.blocks.append(([], np.zeros(0, np.int64)))
+            strings, owners = self.blocks[-1]
+        self.blocks[-1] = [*strings, *part], np.concatenate((owners, doc >> self.shift))
+
+    def _rest(self, part: list[bytes], doc: np.ndarray, first: np.ndarray, which: np.ndarray, offset: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The pieces of parts over all strings but the given ones."""
+        n = np.maximum(np.array([len(p) for p in part]) - self.length + 1, 0)
+        base = np.cumsum(n) - n
+        keep = np.ones(int(n.sum()), bool)
+        keep[base[which] + offset] = False
+        of = np.repeat(np.arange(len(part)), n)
+        apart = of[1:] != of[:-1]
+        a = np.flatnonzero(keep & np.concatenate(([True], ~keep[:-1] | apart))[: len(keep)])
+        b = np.flatnonzero(keep & np.concatenate((~keep[1:] | apart, [True]))[: len(keep)])
+        of = of[a]
+        a, b = a - base[of], b - base[of] + self.length
+        return [part[k][x:y] for k, x, y in zip(of, a, b, strict=True)], doc[of], first[of] + a
+
+
 def _before_last_key(rows: list) -> tuple[list, tuple]:
     key = np.concatenate([r[0] for r in rows])
     cut = int(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[-1])

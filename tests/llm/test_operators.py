@@ -331,6 +331,26 @@ def test_suffix_stages_in_small_pieces(monkeypatch):
     assert {d: sum(g) for d, g in gone.items()} == {d: want[d][1] for d in t}
 
 
+@pytest.mark.parametrize("shift", [0, 2])
+def test_suffix_compares_a_hot_key_over_batches(shift):
+    """One key over many batches and chunks, between other keys; strings recur far apart, and within a document."""
+    import pyarrow as pa
+
+    r = random.Random(11)
+    word = lambda n: bytes(r.choice(b"abcdefgh") for _ in range(n))
+    middles, sides = {k: word(40) for k in (-5, 1, 2, 9)}, [word(20) for _ in range(150)]
+    rows = [(k, r.choice(sides)[: r.randint(5, 20)] + middles[k] + r.choice(sides)[: r.randint(5, 20)], d // 2, 7 * d) for k, n in ((-5, 30), (1, 1_200), (2, 30), (9, 700)) for d in range(n)]
+    table = pa.table({"key": [x[0] for x in rows], "part": pa.array([x[1] for x in rows], pa.binary()), "doc": [x[2] for x in rows], "first": [x[3] for x in rows]})
+    least, want = {}, set()
+    for k, part, doc, first in rows:
+        for i in range(len(part) - 49):
+            if least.setdefault((k, part[i : i + 50]), doc >> shift) < doc >> shift:
+                want.add((doc, first + i))
+    for rows_a_batch, chunk in ((100, 5_000), (90, 9_000), (400, 1 << 20)):
+        got = [(d, p >> 32) for b in suffix_dedup._compare(50, shift, chunk=chunk)(iter(table.to_batches(rows_a_batch))) for d, p in zip(b["doc"].to_pylist(), b["packed"].to_pylist(), strict=True)]
+        assert set(got) == want and len(want) > 1_000
+
+
 # 8
 
 
