@@ -27,10 +27,12 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 #: Costs (negative logs) of the channel: write a sign for a letter, keep or drop a repeated letter, drop a separator
 #: between single letters or keep it as the end of a word.
 SIGN_COST, KEEP_COST, DROP_COST, JOIN_COST, SPLIT_COST = 0.7, 1.2, 0.3, 0.1, 2.0
+#: Costs of a sign around a word that stands for itself: punctuation is free, others rarely touch a word.
+_MARK_COST = {c: 0.0 if c in "!|+(*" else SPLIT_COST for c in SIGNS}
 
-#: A word in which a sign stands before a letter or another such sign; its core, without marks around it.
-_SIGNED = re.compile(r"(?<!\S)\S*[0-9@$!|+€£(*][^\W\d_]\S*")
-_CORE = re.compile(r"(?:[^\W_]|[@$!|+€£(*])*[^\W_]|$")
+#: A word with a sign anywhere; its cores, without other marks.
+_SIGNED = re.compile(r"(?<!\S)[^\s0-9@$!|+€£(*]*[0-9@$!|+€£(*]\S*")
+_CORE = re.compile(r"(?:[^\W_]|[@$!|+€£(*])+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _REPEATED = re.compile(r"(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
 _SPACED = re.compile(r"(?<!\w)(?:[\w@$!][ .\-_*]{1,2}){3,}[\w@$!](?!\w)")
@@ -47,14 +49,18 @@ class CharModel:
         p2 = (bi + 20 * p1) / (bi.sum(axis=1, keepdims=True) + 20)
         p3 = (tri + 20 * p2[None]) / (tri.sum(axis=2, keepdims=True) + 20)
         self.cost = -np.log(p3).astype(np.float32)
-        self.seen: dict[tuple[str, bool], str] = {}
+        self.seen: dict[tuple[str, bool, bool], str] = {}
 
-    def decode(self, written: str, spaced: bool = False) -> str:
+    def decode(self, written: str, spaced: bool = False, marked: bool = False) -> str:
         """The likeliest word (or words) behind what is written: Viterbi over the lattice of its characters, with the
-        last two letters as the state."""
-        if (known := self.seen.get((written, spaced))) is not None:
+        last two letters as the state.  If it may be ``marked``, signs around it are letters or stay as they are."""
+        if (known := self.seen.get((written, spaced, marked))) is not None:
             return known
-        states = {(0, 0): (0.0, "")}
+        first = last = 0
+        if marked:
+            first, last = (next((i for i, c in enumerate(x) if c not in SIGNS), len(x)) for x in (written, written[::-1]))
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+        ended: tuple[float, tuple] = (math.inf, ())  # the word is over and marks follow
         for i, c in enumerate(written):
             letters = [(x, SIGN_COST) for x in SIGNS[c]] if c in SIGNS else [(c, 0.0)]
             drop = keep = None
@@ -62,21 +68,32 @@ class CharModel:
                 letters, drop = [(" ", SPLIT_COST)], JOIN_COST
             elif i and c.isalpha() and written[i - 1] == c and (written[i - 2 : i + 1] == c * 3 or written[i - 1 : i + 2] == c * 3):
                 drop, keep = DROP_COST, KEEP_COST
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
+            if i < first and (0, 0) in states:  # no letter came yet
+                cost, out = states[0, 0]
+                new[0, 0] = cost + _MARK_COST[c], (out, c)
+            if i >= len(written) - last:
+                ended = min(ended, *((cost + float(self.cost[a, b, 0]), out) for (a, b), (cost, out) in states.items()), key=lambda x: x[0])
+                ended = ended[0] + _MARK_COST[c], (ended[1], c)
             for (a, b), (cost, out) in states.items():
                 for x, more in letters:
                     n = _NUMBER.get(x, K - 1 if x.isalpha() else 0)
                     total = cost + more + (keep or 0.0) + float(self.cost[a, b, n])
                     if total < new.get((b, n), (math.inf,))[0]:
-                        new[b, n] = total, out + x
+                        new[b, n] = total, (out, x)
                 if drop is not None and cost + drop < new.get((a, b), (math.inf,))[0]:
                     new[a, b] = cost + drop, out
             states = new
-        best = min((cost + float(self.cost[a, b, 0]), out) for (a, b), (cost, out) in states.items())[1]
+        out = min(ended, *((cost + float(self.cost[a, b, 0]), out) for (a, b), (cost, out) in states.items()), key=lambda x: x[0])[1]
+        letters = []
+        while out:
+            out, x = out
+            letters.append(x)
+        best = "".join(reversed(letters))
         if len(self.seen) > 100_000:
             self.seen.clear()
         if len(written) <= 64:
-            self.seen[written, spaced] = best
+            self.seen[written, spaced, marked] = best
         return best
 
     def restore(self, text: str) -> str:
@@ -88,11 +105,12 @@ class CharModel:
         return _REPEATED.sub(lambda m: self.decode(m[0]), text) if _TRIPLE.search(text) else text
 
     def _signed(self, m: re.Match) -> str:
-        core = max(_CORE.findall(m[0]), key=len)
+        return _CORE.sub(self._core, m[0])
+
+    def _core(self, m: re.Match) -> str:
+        core = m[0]
         alphabetic = sum(map(str.isalpha, core))
-        if not 3 <= len(core) <= 24 or alphabetic == len(core) or alphabetic < 2 or 3 * alphabetic < len(core):
-            return m[0]
-        return m[0].replace(core, self.decode(core), 1)
+        return core if alphabetic < 2 or alphabetic == len(core) else self.decode(core, marked=True)
 
 
 def char_counts(docs: DataFrame) -> np.ndarray:

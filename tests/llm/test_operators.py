@@ -395,6 +395,12 @@ def test_deobfuscation(written, plain):
     assert model.restore(written) == plain
 
 
+@pytest.mark.parametrize(("written", "plain"), [("an idio7", "an idiot"), ("whor3 stupi0d", "whore stupiod"), ("dumba$$!", "dumbass!"), ("(1d10t/l0ser)", "(idiot/loser)"), ("l0$3r5, h4te$.", "losers, hates."), ("thing! (words) an* the+", "thing! (words) an* the+"), ("thing2024", "thing2024"), ("$cum$", "scums"), ("idiot" * 20 + "1", None)])
+def test_deobfuscation_of_signs_at_the_ends(written, plain):
+    model = model_of(" idiot stupid stupiod loser losers scums hates whore dumbass thing words an the " * 50)
+    assert model.restore(written) == (plain or written) or plain is None
+
+
 def test_viterbi_is_the_best_of_all_paths():
     import itertools
     import math
