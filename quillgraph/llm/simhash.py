@@ -242,8 +242,8 @@ def _planted(held: list[np.ndarray]) -> tuple[GrayIndex, Union, np.ndarray]:
 def near_duplicates(docs: DataFrame, limit: int = 2) -> DataFrame:
     """The class of near-duplicates of each document: fingerprints within ``limit`` bits are linked.
 
-    Returns ``doc_id, fp, component_id`` (the smallest doc_id that links reach, the document's own included) and
-    ``rest`` (all other columns but the text).
+    Returns ``doc_id, fp, component_id`` (the smallest doc_id that links reach, the document's own included),
+    ``rest`` (all other columns but the text) and ``root`` (a fingerprint that names the class, ids or not).
 
     Rows are documents; equal texts have equal fingerprints and are one class, so repeated rows too.  A null, empty or
     blank text has fingerprint 0 and is linked like any other.  Null doc_ids take part and are never the smallest,
@@ -258,8 +258,8 @@ def near_duplicates(docs: DataFrame, limit: int = 2) -> DataFrame:
     # only classes of several codes need their least document from elsewhere
     tied = placed.where("root <> fp").groupBy("root").agg(F.min("least").alias("other"))
     tied = tied.join(codes.select(F.col("fp").alias("root"), F.col("least").alias("mine")), "root").select("root", F.least("other", "mine").alias("first"))
-    classes = cut(placed.join(tied, "root", "left").select(F.col("fp").alias("code"), F.coalesce("first", "least").alias("component_id")))
-    return marked.join(classes, marked.fp == classes.code).select("doc_id", "fp", "component_id", "rest")
+    classes = cut(placed.join(tied, "root", "left").select(F.col("fp").alias("code"), F.coalesce("first", "least").alias("component_id"), "root"))
+    return marked.join(classes, marked.fp == classes.code).select("doc_id", "fp", "component_id", "rest", "root")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

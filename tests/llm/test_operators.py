@@ -460,3 +460,14 @@ def test_pipeline_keeps_one_of_a_group(spark):
     docs = spark.createDataFrame([(3, t, "en", "s", 1, "x"), (2, t, "en", "s", 1, "y"), (2, t, "en", "s", 1, "y"), (5, "all other words here", "en", "s", 1, "z"), (None, None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long, rest string")
     assert sorted((r.doc_id or 0, r.rest) for r in P.drop_near_duplicates(spark, docs, DATA).collect() if r.doc_id) == [(2, "y"), (5, "z")]
     assert P.drop_common_lines(spark, docs, DATA).columns == docs.columns
+
+
+def test_pipeline_keeps_documents_without_an_id_of_their_own(spark):
+    import corpus_pipeline as P
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(r.randint(0, 99)) for _ in range(60)) for _ in range(7)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (8, texts[4]), (9, texts[2]), (7, texts[5]), (6, texts[5]), (None, None)]
+    got = P.drop_near_duplicates(spark, odd(spark, rows), DATA).select("doc_id", "text").collect()
+    want = [(None, texts[0]), (None, texts[1]), (9, texts[2]), (7, texts[3]), (7, texts[4]), (6, texts[5]), (None, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
