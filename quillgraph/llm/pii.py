@@ -12,8 +12,11 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +39,22 @@ TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Herr": "m"
 #: Alphabets within which a letter is replaced; vowels stay vowels.
 ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûü", "çñßðþýÿ", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ", "0123456789")
 _PLACE = {c: (a, i) for a, alphabet in enumerate(ALPHABETS) for i, c in enumerate(alphabet)}
+
+
+@cache
+def _scripts() -> tuple[dict[str, list[str]], dict[str, tuple[str, int]]]:
+    """The letters of all other alphabets by script (the first word of their names), those with case apart, and the
+    place of each."""
+    letters: dict[str, list[str]] = {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if c.isalpha() and c == c.lower() and c not in _PLACE:
+            up = c.upper()
+            cased = up != c and len(up) == 1 and up.lower() == c
+            script = unicodedata.name(c, f"BLOCK{ord(c) >> 8}").split()[0].split("-")[0]
+            letters.setdefault(f"{script}{'+' if cased else ''}", []).append(c)
+    return letters, {c: (k, i) for k, found in letters.items() for i, c in enumerate(found)}
+
+
 _GIVEN = {n.lower(): kind for kind, names in NAMES.items() for n in names}
 _HEX = "0123456789abcdef"
 
@@ -60,7 +79,7 @@ _NAMED = re.compile(rf"(?<!\w)(?P<given>{_alternatives(n for v in NAMES.values()
 
 
 class Permuter:
-    """Keyed permutations of {0 .. n-1}, one for each tag."""
+    """Keyed permutations of {0 .. n-1} without fixed points, one for each tag."""
 
     def __init__(self, key: bytes):
         self.key = key
@@ -69,25 +88,39 @@ class Permuter:
         if n < 2:
             return value
         half = max(1, (n - 1).bit_length() + 1 >> 1)
-        mask = (1 << half) - 1
         salt = f"{tag}:{n}:".encode()
+        # one step along a cycle of all values, in the keyed order
+        return self._walk(salt, half, (self._walk(salt, half, value, n) + 1) % n, n, back=True)
+
+    def _walk(self, salt: bytes, half: int, value: int, n: int, back: bool = False) -> int:
+        mask = (1 << half) - 1
         while True:
             left, right = value >> half, value & mask
-            for turn in range(6):
-                digest = hmac.new(self.key, salt + turn.to_bytes(1, "big") + right.to_bytes((half + 7) // 8, "big"), hashlib.sha256).digest()
+            for turn in reversed(range(6)) if back else range(6):
+                by = left if back else right
+                digest = hmac.new(self.key, salt + turn.to_bytes(1, "big") + by.to_bytes((half + 7) // 8, "big"), hashlib.sha256).digest()
                 grown = digest if half <= 256 else b"".join(hashlib.sha256(digest + i.to_bytes(4, "big")).digest() for i in range((half + 255) // 256))
-                left, right = right, left ^ (int.from_bytes(grown, "big") & mask)
+                mixed = int.from_bytes(grown, "big") & mask
+                left, right = (right ^ mixed, left) if back else (right, left ^ mixed)
             value = left << half | right
             if value < n:
                 return value
 
+    @staticmethod
+    def _letters(alphabet: int | str):
+        return ALPHABETS[alphabet] if isinstance(alphabet, int) else _scripts()[0][alphabet]
+
     def word(self, tag: str, text: str, alphabets=None) -> str:
         """Another string of the same shape: letters in their own alphabet and case, digits digits, the rest kept."""
         spots, value, n = [], 0, 1
         for i, c in enumerate(text):
             place = alphabets.get(c.lower()) if alphabets else _PLACE.get(c.lower())
+            if not place and not alphabets and c.isalpha():
+                place = _scripts()[1].get(c.lower())
+                if c != c.lower() and (not place or c.lower().upper() != c):
+                    place = None
             if place and len(c.lower()) == 1:
-                size = len(_HEX) if alphabets else len(ALPHABETS[place[0]])
+                size = len(_HEX) if alphabets else len(self._letters(place[0]))
                 spots.append((i, place[0], size, c != c.lower()))
                 value, n = value * size + place[1], n * size
         shape = "".join(f"{a},{size};" for _, a, size, _ in spots)
@@ -95,7 +128,7 @@ class Permuter:
         out = list(text)
         for i, a, size, upper in reversed(spots):
             value, k = divmod(value, size)
-            c = _HEX[k] if alphabets else ALPHABETS[a][k]
+            c = _HEX[k] if alphabets else self._letters(a)[k]
             out[i] = c.upper() if upper else c
         return "".join(out)
 

@@ -62,6 +62,20 @@ def test_pii_replaces_and_leaves_clean_text():
     assert pii.replace(text, pii.Surrogates(b"other"))[0] != new
 
 
+def test_pii_replaces_every_script_and_has_no_fixed_points():
+    for key in (b"k", b"l"):
+        p, made = pii.Permuter(key), pii.Surrogates(key)
+        for n in (2, 3, 6, 10, 20, 97):
+            assert all(p.permute("t", i, n) != i for i in range(n)) and len({p.permute("t", i, n) for i in range(n)}) == n
+        assert all(made.given(n) != n for names in pii.NAMES.values() for n in names)
+        for mail in ("李雷@例子.中国", "محمد@example.com", "דוד@example.com", "łőčş@ł.pl"):
+            (kind, _, new), *more = pii.replace(mail, made)[1]
+            assert kind == "email" and not more and len(new) == len(mail)
+            assert all(a != b for a, b in zip(mail.split("@")[0:1], new.split("@")[0:1], strict=True)) and mail.split("@")[1].split(".")[0] != new.split("@")[1].split(".")[0]
+    words = [a + b for a in "łőčşŁ" for b in "אבגד李雷"]
+    assert len({made.family(w) for w in words}) == len(words) and all(made.family(w)[0].isupper() == w[0].isupper() for w in words)
+
+
 def test_pii_over_tables(spark):
     got = pii.surrogates(odd(spark, [*ODD, (11, "a@b.example.com A@B.example.com"), (12, "b@b.example.com")]), b"k")
     assert pii.collisions(got).count() == 0
