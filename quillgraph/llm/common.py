@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of whole rows with about ``limit`` bytes of text each, without copies: a worker holds one
+    batch as Arrow and the Python strings of one run."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            base = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them from there, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import others, tables
+from .common import others, slices, tables
 
 #: One pass: A-Z to lower case, every other ASCII byte that is no digit or letter to a space.  Bytes over 0x7F are
 #: parts of words, as all code points over U+007F are.
@@ -26,31 +26,47 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The n-grams of some items: word numbers, and for each window length its polynomial hashes, sorted, with the
-    windows themselves to verify hits and the items that hold them."""
+    """The n-grams of some items as a compact hash set: word numbers, and for each window length the sorted polynomial
+    hashes of the different windows, where each stands in the items (to verify hits) and which items hold it.  Built
+    once on the driver; a window takes about 30 bytes."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], n: int):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set] = {}
+        flat, first, sizes, owner = [], [], [], []
         for item, text in items:
             got = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for i in range(max(1, len(got) - n + 1)) if got else ():
-                owners.setdefault(tuple(got[i : i + n]), set()).add(item)
+            if got:
+                windows = max(1, len(got) - n + 1)
+                first += range(len(flat), len(flat) + windows)
+                sizes += [min(n, len(got))] * windows
+                owner += [item] * windows
+                flat += got
+        self.flat = np.array(flat, dtype=np.int32)
         self.values = np.random.default_rng(1).integers(1, 1 << 63, len(self.vocabulary) + 1, dtype=np.uint64)
         self.values[0] = 0
+        self.items = sorted({o for o in owner if o is not None})
+        number = {o: k for k, o in enumerate(self.items)}
+        at, width = np.array(first, dtype=np.int64), np.array(sizes, dtype=np.int64)
+        who = np.array([number.get(o, -1) for o in owner], dtype=np.int32)
         self.lengths = {}
-        for size in sorted({len(w) for w in owners}):
-            grams = [w for w in owners if len(w) == size]
-            ids = np.array(grams, dtype=np.int64).reshape(len(grams), size)
-            sums = (self.values[ids] * powers(_ODD, size)).sum(axis=1, dtype=np.uint64)
-            order = np.argsort(sums, kind="stable")
-            self.lengths[size] = sums[order], ids[order], [sorted(o for o in owners[grams[k]] if o is not None) for k in order]
+        for size in map(int, np.unique(width)):
+            mine = np.flatnonzero(width == size)
+            ids = self.flat[at[mine][:, None] + np.arange(size)]
+            sums = np.zeros(len(mine), np.uint64)
+            for k in range(size):
+                sums += self.values[ids[:, k]] * powers(_ODD, size)[k]
+            order = np.lexsort((who[mine], *ids.T, sums))
+            sums, ids, held, place = sums[order], ids[order], who[mine][order], at[mine][order]
+            new = np.concatenate(([True], (sums[1:] != sums[:-1]) | (ids[1:] != ids[:-1]).any(axis=1)))
+            once = (held >= 0) & np.concatenate(([True], (held[1:] != held[:-1]) | new[1:]))
+            ends = np.cumsum(np.bincount(np.cumsum(new) - 1, weights=once)).astype(np.int64)
+            self.lengths[size] = sums[new], place[new], np.concatenate(([0], ends)), held[once]
 
     def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
-        """Verified (first word, window length, items) in the order of the words.  ``ids``: 0 is no word of any item."""
+        """Verified (first word, window length, items).  ``ids``: 0 is no word of any item."""
         none = np.concatenate(([0], np.cumsum(ids == 0)))
         raised = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.values[ids] * powers(_ODD, len(ids)), dtype=np.uint64)))
-        for size, (sums, grams, owners) in self.lengths.items():
+        for size, (sums, place, ends, held) in self.lengths.items():
             if size > len(ids):
                 continue
             at = np.flatnonzero(none[size:] == none[:-size])
@@ -61,8 +77,8 @@ class Windows:
             hit = sums[k] == found
             for p, j, h in zip(at[hit], k[hit], found[hit], strict=True):
                 while j < len(sums) and sums[j] == h:  # equal hashes are verified one by one
-                    if np.array_equal(ids[p : p + size], grams[j]):
-                        yield int(p), size, owners[j]
+                    if np.array_equal(ids[p : p + size], self.flat[place[j] : place[j] + size]):
+                        yield int(p), size, [self.items[i] for i in held[ends[j] : ends[j + 1]]]
                         break
                     j += 1
 
@@ -95,15 +111,20 @@ def blocks(bench: DataFrame, n: int, max_words: int) -> Iterator[list[tuple[int
     yield block
 
 
+_SPANS = "array<struct<start:bigint,stop:bigint>>"
+
+
 def _scan(docs: DataFrame, items: list, n: int, keep_text: bool) -> DataFrame:
-    table = docs.sparkSession.sparkContext.broadcast(items)
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))), T.StructField("items", T.ArrayType(T.LongType())), T.StructField("clean", T.StringType())]
-    schema = T.StructType([*docs.drop("text").schema.fields, *fields])
+    """``docs`` with ``n_words, spans, items``; the text stays in its place, without the spans, or is left out."""
+    table = docs.sparkSession.sparkContext.broadcast(Windows(items, n))
+    kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]
+    names = [f.name for f in kept]
+    schema = T.StructType([*kept, *T._parse_datatype_string(f"n_words bigint, spans {_SPANS}, items array<bigint>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(table.value, n)
+        windows = table.value
         number = windows.vocabulary.get
-        for batch in batches:
+        for batch in slices(batches, limit=1 << 20):
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             flat, ends = [], []
             for text in texts:
@@ -120,14 +141,36 @@ def _scan(docs: DataFrame, items: list, n: int, keep_text: bool) -> DataFrame:
                 else:
                     own.append({"start": p - first, "stop": p - first + size})
             counts = [e - (ends[d - 1] + 1 if d else 0) for d, e in enumerate(ends)]
-            clean = [without(t, s).decode() if s else None for t, s in zip(texts, spans, strict=True)] if keep_text else [None] * len(texts)
-            kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
-            made = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([sorted(s) for s in items_of], pa.list_(pa.int64())), pa.array(clean, pa.string())]
-            yield pa.RecordBatch.from_arrays([*kept, *made], names=[f.name for f in schema.fields])
+            made = [pa.array(counts, pa.int64()), pa.array(spans, _arrow_spans()), pa.array([sorted(s) for s in items_of], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(_cut_out(batch, texts, spans) if name == "text" else batch.column(name) for name in names), *made], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _arrow_spans() -> pa.DataType:
+    return pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+
+def _cut_out(batch: pa.RecordBatch, texts: list, spans: list) -> pa.Array:
+    """The texts without the spans; the column itself where there are none."""
+    if not any(spans):
+        return batch.column("text")
+    return pa.array([t if t is None else (without(t, s) if s else t).decode() for t, s in zip(texts, spans, strict=True)], batch.schema.field("text").type)
+
+
+def _without_spans(docs: DataFrame) -> DataFrame:
+    """``docs`` with the words of ``spans`` taken out of ``text``."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            spans = [s or [] for s in batch.column("spans").to_pylist()]
+            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([_cut_out(batch, texts, spans) if name == "text" else batch.column(name) for name in names], names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def without(text: bytes, spans: list[dict]) -> bytes:
     """The text without the words of the spans and what stands between them."""
     at = [m.span() for m in _WORD.finditer(text.lower())]
@@ -145,7 +188,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, max_words: int
     without the spans (null if ``keep_text`` is off) and ``rest`` (all other columns).  Removing spans or whole
     documents is then a projection or a filter on ``n_hit``.
 
-    The items' n-grams are broadcast as a hash set if they have at most ``max_words`` words; more of them come in
+    The items' n-grams are broadcast as a hash set (arrays, built once) if they have at most ``max_words`` words; more of them come in
     blocks of that size, each one more pass over the documents, merged by document.  Documents are never shuffled for
     one block.  Hits by hash are verified word by word.
 
@@ -158,8 +201,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, max_words: int
     first = next(loads)
     more = next(loads, None)
     if more is None:
-        source = base if not keep_text else base.withColumn("source_text", F.col("text"))
-        found = _scan(source, first, n, keep_text)
+        found = _scan(base, first, n, keep_text)
     else:
         # a text's blocks meet by (doc_id, hash of the text); rows that repeat both have the same hits
         base = base.withColumn("sign", F.xxhash64("text"))
@@ -170,12 +212,10 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, max_words: int
             more = next(loads, None)
         merged = parts.groupBy(F.col("doc_id").alias("id"), F.col("sign").alias("sg")).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("raw"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         merged = merged.withColumn("spans", _merged("raw")).drop("raw")
-        found = base.join(merged, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sign") == F.col("sg"))).withColumn("source_text", F.col("text"))
-        if keep_text:
-            cut_out = F.udf(lambda t, s: without((t or "").encode(), [x.asDict() for x in s]).decode() if s else None, "string", useArrow=False)
-            found = found.withColumn("clean", cut_out("text", "spans"))
+        found = base.join(merged, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sign") == F.col("sg"))).drop("id", "sg", "sign")
+        found = _without_spans(found) if keep_text else found
     hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["stop"] - s["start"]), F.lit(0).cast("long"))
-    text = F.coalesce("clean", "source_text") if keep_text else F.lit(None).cast("string")
+    text = F.col("text") if keep_text else F.lit(None).cast("string")
     return found.select("doc_id", "n_words", hit.alias("n_hit"), "items", "spans", text.alias("text"), "rest")
 
 

@@ -13,8 +13,8 @@ from .common import cut, others, tables
 #: Under this many sources their solved parameters (five numbers each) are broadcast; above it, Spark joins them.
 BROADCAST_SOURCES = 20_000
 OFFSETS = 64
-#: So many runs of each source, band and direction may give or take one copy to settle the rest.
-SPARE = 4
+#: So many runs of each source, band and direction are offered to give or take one copy to settle the rest.
+SPARE = 8
 
 
 def targets(sizes: dict, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict:
@@ -32,6 +32,29 @@ def targets(sizes: dict, weights: tuple[float, ...] = (5, 2, 1), share: float =
         full |= {s: most * sizes[s] for s in over}
 
 
+def settle(due: float, offers: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Which of the ``offers`` (size, part, +1 or -1 copy) to take so that ``due`` words are nearly met: the largest that
+    fit, then the pair (or one) that leaves least."""
+    taken: list[tuple[int, int, int]] = []
+    used: set[tuple[int, int]] = set()
+    for size, part, way in sorted(offers, key=lambda o: (-o[0], o[1:])):
+        if size <= abs(due) and (due > 0) == (way > 0) and (size, part) not in used:
+            used.add((size, part))
+            due -= way * size
+            taken.append((size, part, way))
+    left = sorted((way * size, size, part, way) for size, part, way in offers if (size, part) not in used)
+    best, pick, i, j = abs(due), [], 0, len(left) - 1
+    for x in left:
+        if abs(due - x[0]) < best:
+            best, pick = abs(due - x[0]), [x]
+    while i < j:
+        both = left[i][0] + left[j][0]
+        if left[i][1:3] != left[j][1:3] and abs(due - both) < best:
+            best, pick = abs(due - both), [left[i], left[j]]
+        i, j = (i + 1, j) if both < due else (i, j - 1)
+    return taken + [x[1:] for x in pick]
+
+
 class _Dual:
     """One source's dual variable.  Newton on log(words), kept inside a bracket: the words rise with ``lam``."""
 
@@ -58,7 +81,7 @@ class _Dual:
         self.done, self.lam = new == self.lam, new
 
 
-def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, close: float = 1e-9, max_rounds: int = 80, per_bucket: int = 50_000) -> DataFrame:
+def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, close: float = 1e-9, max_rounds: int = 200, per_bucket: int = 50_000) -> DataFrame:
     """Copies of each document such that every source yields its target of words.
 
     The rates minimise the relative entropy to "each document once" under one token constraint a source and the box
@@ -79,7 +102,7 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     ``per_bucket`` rows, so neither a hot source nor a hot size meets in one task.
     """
     spark = docs.sparkSession
-    base = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), others(docs, "doc_id", "text").alias("rest"))
+    base = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), F.xxhash64("text").alias("sign"), others(docs, "doc_id", "text").alias("rest"))
     # the sizes cost a scan of all text, so they are kept; a row has a few dozen bytes
     base = cut(base)
     hist = cut(base.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -99,9 +122,11 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
         joined = df.join(solved(**more), F.col("source").eqNullSafe(F.col("src")))
         return joined.withColumn("rate", F.coalesce("fixed", F.least(F.lit(float(most)), F.exp(F.col("lam") * F.col("size") / F.col("mean")))))
 
-    for _ in range(max_rounds):
+    for turn in range(max_rounds + 1):
         if all(d.done for d in duals.values()):
             break
+        if turn == max_rounds:
+            raise RuntimeError(f"the dual has not converged after {max_rounds} Newton rounds")
         mass = F.col("size") * F.col("n") * F.col("rate")
         sums = rated(hist).groupBy("source").agg(F.sum(mass).alias("words"), F.sum(F.when(F.col("rate") < most, mass * F.col("size") / F.col("mean"))).alias("slope"))
         for r in sums.collect():
@@ -133,18 +158,15 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     few = Window.partitionBy("source", "band", "spare").orderBy("size", "part")
     spare = runs.where("size > 0").withColumn("one", one).withColumn("spare", F.explode(F.array_compact(F.array(F.when(F.col("one") > 0, -1), F.when(F.col("one") < most, 1)))))
     spare = spare.withColumn("k", F.row_number().over(few)).where(F.col("k") <= SPARE).select("source", "size", "part", "spare").collect()
-    fixes, used = [], set()
-    for r in sorted(spare, key=lambda r: -r.size):
-        due = owed.get(r.source, 0.0)
-        if r.size <= abs(due) and (due > 0) == (r.spare > 0) and (r.source, r.size, r.part) not in used:
-            used.add((r.source, r.size, r.part))
-            owed[r.source] = due - r.spare * r.size
-            fixes.append((r.source, r.size, r.part, r.spare))
+    offers: dict = {}
+    for r in spare:
+        offers.setdefault(r.source, []).append((r.size, r.part, r.spare))
+    fixes = [(s, *fix) for s, own in offers.items() for fix in settle(owed.get(s, 0.0), own)]
     fixed = hint(spark.createDataFrame(fixes, "src string, z3 long, p3 long, fix int"))
     runs = runs.join(fixed, F.col("source").eqNullSafe(F.col("src")) & (F.col("size") == F.col("z3")) & (F.col("part") == F.col("p3")), "left")
 
     facts = {"source_size": {r.source: r.words for r in stats}, "target": want}
-    ranked = base.withColumn("nth", F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("doc_id")))
+    ranked = base.withColumn("nth", F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("doc_id", "sign")))
     runs = runs.select(F.col("source").alias("s2"), F.col("size").alias("z2"), F.col("part").alias("p2"), "before", "start", F.coalesce("fix", F.lit(0)).alias("fix"))
     placed = ranked.join(runs, F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")) & (F.col("part") == F.col("p2")))
     placed = rated(placed, **facts)

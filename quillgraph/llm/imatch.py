@@ -58,13 +58,14 @@ def _held(hashes: list[int]):
     """A test of membership of the lexicon, as a column function without a join."""
     slots, mask = _table([h for h in hashes if h])
     table = F.split(F.lit(",".join(map(str, slots))), ",").cast("array<bigint>")  # folded into one literal
-    return lambda h: (F.get(table, h.bitwiseAND(F.lit(mask)).cast("int")) == h) | (F.get(table, F.shiftright(h, 32).bitwiseAND(F.lit(mask)).cast("int")) == h)
+    # 0 marks a free slot: the term whose hash is 0 is in no lexicon
+    return lambda h: (h != 0) & ((F.get(table, h.bitwiseAND(F.lit(mask)).cast("int")) == h) | (F.get(table, F.shiftright(h, 32).bitwiseAND(F.lit(mask)).cast("int")) == h))
 
 
-def imatch(text: Column, in_band, min_terms: int = 8) -> Column:
+def imatch(text: Column, in_band) -> Column:
     """An array of one 32-bit hash for each random lexicon: the sorted distinct terms of the text that are in the band
-    and in that lexicon, hashed in order.  A text with under ``min_terms`` terms of the band uses all its terms."""
-    every = terms(text)
+    and in that lexicon, hashed in order; 0 where there are none."""
+    every = terms(text)  # used once
     # nested in one-element transforms, so that each step is computed once and used many times
     once = lambda value, body: F.get(F.transform(F.array(value), body), 0)
 
@@ -78,7 +79,7 @@ def imatch(text: Column, in_band, min_terms: int = 8) -> Column:
         words = [F.transform(sorted_terms, salted(w)) for w in range(math.ceil(len(LEXICONS) / 8))]
         return once(F.array(*words), lambda ws: F.array(*[F.xxhash64(F.filter(F.get(ws, i // 8), drawn(i, most))) for i, most in enumerate(LEXICONS)]))
 
-    chosen = once(every, lambda a: once(F.filter(a, in_band), lambda b: F.array_sort(F.when(F.size(b) >= min_terms, b).otherwise(a))))
+    chosen = F.array_sort(F.filter(every, in_band))
     return F.transform(once(chosen, hashed), lambda h: F.when(h == EMPTY, F.lit(0).cast("long")).otherwise(h.bitwiseAND(F.lit(0xFFFFFFFF))))
 
 

@@ -17,12 +17,12 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
 
     Returns ``doc_id, n_lines, n_dropped, text`` (what stays) and ``rest``, a struct of all other input columns.
 
-    Each row is a document of its own: rows that repeat a doc_id count once each.  A null text is an empty line.
-    A null doc_id is smaller than any other.  Lines under ``min_chars`` code points are never dropped.  An empty
+    Rows of one doc_id are parts of one document, which counts once for a line, and all rows without a doc_id are one
+    document too, smaller than any other; each row keeps its own result.  A null text is an empty line.  Lines under ``min_chars`` code points are never dropped.  An empty
     table gives no rows.  Input columns of any name are carried in ``rest``.
 
-    Plan: one aggregate over 128-bit line hashes (partial sums first, so a line that all documents share is one row
-    for each map task), one join of lines with the common hashes (Spark may split its skewed keys), and one join of
+    Plan: one distinct count over 128-bit line hashes (first by hash and document, which spreads a line that all
+    documents share, then partial sums by hash), one join of lines with the common hashes (Spark may split its skewed keys), and one join of
     the documents with the positions to drop.  No line text is shuffled but for the documents themselves.
     """
     base = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), others(docs, "doc_id", "text").alias("rest"))
@@ -32,7 +32,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     long = lambda key: F.char_length(key) >= min_chars
 
     once = base.select("doc_id", F.explode(F.array_distinct(F.filter(F.transform(lines, line_key), long))).alias("key"))
-    common = once.select("doc_id", *hashes).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).where(F.col("n") >= min_docs).drop("n")
+    common = once.select("doc_id", *hashes).groupBy("h1", "h2").agg(F.count_distinct(F.struct("doc_id")).alias("n"), F.max("doc_id").alias("top")).where(F.col("n") >= min_docs).drop("n")
     # written out: a join with an aggregate right below it can't have its skewed keys split
     common = cut(common)
 

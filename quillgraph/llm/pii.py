@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import others, tables
+from .common import others, slices, tables
 
 #: Given names by script and gender.
 NAMES = {
@@ -270,7 +270,7 @@ def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Surrogates(key)
         told_type = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string()), ("surrogate", pa.string())]))
-        for batch in batches:
+        for batch in slices(batches):
             texts, told = [], []
             for text in batch.column("text").to_pylist():
                 new, found = replace(text, made) if text else (text, [])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, others, tables
+from .common import cut, others, slices, tables
 from .components import connected_components
 
 SHINGLE, SEED = 3, 42
@@ -28,17 +28,12 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
         return 0
     n = max(1, len(found) - size + 1)
     digest = xxhash.xxh64_intdigest
-    if n == 1:
-        shingles = [b" ".join(found)]
-    elif size == 3:
-        shingles = [b"%b %b %b" % x for x in zip(found, found[1:], found[2:])]
-    else:
-        shingles = [b" ".join(found[i : i + size]) for i in range(n)]
-    counts, total = np.zeros(64, np.int64), n
-    for i in range(0, n, 1 << 16):  # long texts in pieces, so that the bit matrix stays small
-        h = np.array([digest(s, SEED) for s in shingles[i : i + (1 << 16)]], dtype=">u8")
+    counts = np.zeros(64, np.int64)
+    for i in range(0, n, 1 << 16):  # long texts in pieces: neither all shingles nor a large bit matrix at once
+        part = found[i : i + (1 << 16) + size - 1]
+        h = np.array([digest(b" ".join(x), SEED) for x in zip(*(part[k:] for k in range(min(size, len(found)))))], dtype=">u8")
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -111,32 +106,33 @@ class Union:
                 label[:] = up
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``docs(doc_id, text, ...)`` with the text replaced by ``fp`` (a long with the bits of the fingerprint)."""
     schema = T.StructType([*docs.drop("text").schema.fields, T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = np.array([fingerprint(t or b"") for t in batch.column("text").cast(pa.large_binary()).to_pylist()], dtype=np.uint64)
+        for batch in slices(batches):
+            got = np.array([fingerprint(t or b"", size) for t in batch.column("text").cast(pa.large_binary()).to_pylist()], dtype=np.uint64)
             kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(got.view(np.int64))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def links(codes: DataFrame, limit: int = 2, block: int = 8_192, max_blocks: int = 8_192, least_blocks: int = 256, group: int = 64) -> DataFrame:
+def links(codes: DataFrame, limit: int = 2, block: int = 8_192, many: int = 8_192, least_blocks: int = 64, group: int = 64) -> DataFrame:
     """Edges ``(a, b)`` between different codes such that codes within ``limit`` bits, and no others, end in one
     component.  ``codes(fp)`` are distinct.
 
     The codes are dealt in Gray order to blocks of equal size whatever their distribution.  The upper tree, over the
-    blocks' shared bit patterns, is broadcast (24 bytes a block, at most ``max_blocks``).  It sends each code to the
-    blocks before its own that it can reach; there a tree over the block's codes finds its partners.  A block's
-    queries come in groups of ``group`` source blocks, so that no task gets more than ``group * block`` of them, and
-    stream through it.  A block answers with one edge for each linked code, never with all pairs.
+    blocks' shared bit patterns, is broadcast: 24 bytes for each ``block`` codes, and past ``many`` blocks for each 8
+    times as many, so a trillion codes take under 400 MB.  It sends each code to the blocks before its own that it can
+    reach; there a tree over the block's codes finds its partners.  A block's queries come in groups of ``group`` source
+    blocks, so that no task gets more than ``group`` blocks' codes, and stream through it; a group that asks nothing
+    gets no copy of the block.  A block answers with one edge for each linked code, never with all pairs.
     """
     spark = codes.sparkSession
     n = codes.count()
-    parts = max(least_blocks, min(max_blocks, math.ceil(n / block)))
+    parts = max(least_blocks, min(many, math.ceil(n / block)), math.ceil(n / (8 * block)))
     # Gray rank: the parity of each bit with all above it; the top bit is flipped so that signed order is unsigned order
     ranked = codes.withColumn("rank", F.col("fp"))
     for k in (1, 2, 4, 8, 16, 32):
@@ -161,10 +157,11 @@ def links(codes: DataFrame, limit: int = 2, block: int = 8_192, max_blocks: int
                 yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array((at[q] // group).astype(np.int32)), pa.array(mine[q]), pa.array(np.ones(len(q), bool))], names=["blk", "part", "fp", "asks"])
 
     kind = "blk int, part int, fp long, asks boolean"
-    groups = (max(r.blk for r in upper) // group + 1) if upper else 1
-    # a block's codes go to every group that may ask it; its own group also ties them to each other
-    members = dealt.withColumn("part", F.explode(F.sequence(F.floor(F.col("blk") / group).cast("int"), F.lit(groups - 1)))).select("blk", "part", "fp", F.lit(False).alias("asks"))
-    rows = members.unionByName(dealt.mapInArrow(route, kind))
+    asking = cut(dealt.mapInArrow(route, kind))
+    # a block's codes go to the groups that ask it; its own group also ties them to each other
+    home = dealt.select("blk", F.floor(F.col("blk") / group).cast("int").alias("part"))
+    wanted = asking.select("blk", "part").union(home).distinct()
+    rows = dealt.join(wanted, "blk").select("blk", "part", "fp", F.lit(False).alias("asks")).unionByName(asking)
     rows = rows.repartition("blk", "part").sortWithinPartitions("blk", "part", "asks")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,8 +236,9 @@ def _planted(held: list[np.ndarray]) -> tuple[GrayIndex, Union, np.ndarray]:
     return GrayIndex(codes), Union(len(codes)), codes
 
 
-def near_duplicates(docs: DataFrame, limit: int = 2) -> DataFrame:
-    """The class of near-duplicates of each document: fingerprints within ``limit`` bits are linked.
+def near_duplicates(docs: DataFrame, limit: int = 2, size: int = SHINGLE) -> DataFrame:
+    """The class of near-duplicates of each document: fingerprints of ``size``-word shingles within ``limit`` bits are
+    linked.
 
     Returns ``doc_id, fp, component_id`` (the smallest doc_id that links reach, the document's own included),
     ``rest`` (all other columns but the text) and ``root`` (a fingerprint that names the class, ids or not).
@@ -249,9 +247,10 @@ def near_duplicates(docs: DataFrame, limit: int = 2) -> DataFrame:
     blank text has fingerprint 0 and is linked like any other.  Null doc_ids take part and are never the smallest,
     unless a class has no other.  An empty table gives no rows.
 
-    Documents are first reduced to distinct fingerprints (partial sums: a group of copies is one row a task).
+    Documents are first reduced to distinct fingerprints (partial sums: a group of copies is one row a task).  Of a very
+    long text a worker holds the words (about 60 bytes each) and 65,536 shingles at a time.
     """
-    marked = cut(fingerprints(docs.select("doc_id", "text", others(docs, "doc_id", "text").alias("rest"))))
+    marked = cut(fingerprints(docs.select("doc_id", "text", others(docs, "doc_id", "text").alias("rest")), size))
     codes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(codes.select("fp"), limit))
     placed = codes.join(roots, codes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

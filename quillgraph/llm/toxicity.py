@@ -13,14 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import others, tables
+from .common import cut, others, slices, tables
 
 #: Letters that the language model tells apart: a-z and U+00DF to U+00FF.  0 is a boundary (all that is no letter),
 #: the last number is any other letter.
 _LETTERS = [chr(c) for c in [*range(97, 123), *range(0xDF, 0x100)] if chr(c).isalpha()]
 K = len(_LETTERS) + 2
 _NUMBER = {c: i + 1 for i, c in enumerate(_LETTERS)}
-_TABLE = np.array([_NUMBER.get(chr(c), K - 1 if chr(c).isalpha() else 0) for c in range(0x1000)], dtype=np.int64)
+#: Up to the last letter that Unicode has assigned; what lies beyond is no letter.
+_TABLE = np.array([_NUMBER.get(chr(c), K - 1 if chr(c).isalpha() else 0) for c in range(0x323B0)], dtype=np.int32)
 
 #: What a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "*": "aeiou"}
@@ -39,6 +40,10 @@ _SPACED = re.compile(r"(?<!\w)(?:[\w@$!][ .\-_*]{1,2}){3,}[\w@$!](?!\w)")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Decoded words that a worker keeps; at so many it starts anew.
+SEEN = 32_768
+
+
 class CharModel:
     """Interpolated character trigrams: ``cost[a, b, c]`` is -log P(c | a, b)."""
 
@@ -90,7 +95,7 @@ class CharModel:
             out, x = out
             letters.append(x)
         best = "".join(reversed(letters))
-        if len(self.seen) > 100_000:
+        if len(self.seen) >= SEEN:
             self.seen.clear()
         if len(written) <= 64:
             self.seen[written, spaced, marked] = best
@@ -118,18 +123,12 @@ def char_counts(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(K**3, np.int64)
-        for batch in batches:
-            texts, size = [], 0
-            for text in [*batch.column(0).to_pylist(), None]:
-                if text:
-                    texts.append(text)
-                    size += len(text)
-                if texts and (size > 1 << 21 or text is None):
-                    points = np.frombuffer("\n".join(texts).lower().encode("utf-32-le"), np.uint32)
-                    for i in range(0, len(points), 1 << 21):
-                        n = _TABLE[np.minimum(points[max(0, i - 2) : i + (1 << 21)], len(_TABLE) - 1)]
-                        total += np.bincount((n[:-2] * K + n[1:-1]) * K + n[2:], minlength=K**3)
-                    texts, size = [], 0
+        for batch in slices(batches, limit=1 << 20):
+            joined = "\n".join(t for t in batch.column(0).to_pylist() if t).lower()
+            for i in range(0, len(joined), 1 << 20):  # a text of many MB in parts that overlap by two letters
+                points = np.frombuffer(joined[max(0, i - 2) : i + (1 << 20)].encode("utf-32-le"), np.uint32)
+                n = _TABLE[np.minimum(points, len(_TABLE) - 1)]
+                total += np.bincount((n[:-2] * K + n[1:-1]) * K + n[2:], minlength=K**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "n"])
 
@@ -155,7 +154,6 @@ class Scorer:
 
     def __init__(self, marks: dict[str, float], weights: list[float] | None = None, mean=None, scale=None):
         self.marks, self.weights, self.mean, self.scale = marks, weights, mean, scale
-        self.known: dict[str, tuple[str, ...]] = {}
         self.starts = {m[:3] for m in marks}
         self.short = {m for m in marks if len(m) < 3}
 
@@ -195,31 +193,45 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _mark_counts(labelled: DataFrame, model) -> DataFrame:
-    """How many toxic and other texts hold each word and stem, counted in each task first."""
+def _restored(labelled: DataFrame, model) -> DataFrame:
+    """``labelled(text, toxic)`` with the texts restored, each row with its words and stems."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([model.value.restore(t or "") for t in batch.column("text").to_pylist()], pa.string()), batch.column("toxic").cast(pa.int32())], names=["text", "toxic"])
+
+    return labelled.mapInArrow(run, "text string, toxic int")
+
+
+def _mark_counts(labelled: DataFrame) -> DataFrame:
+    """How many toxic and other (restored) texts hold each word and stem, counted in each batch first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, limit=1 << 24):
             ones, zeros = Counter(), Counter()
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                held = {p for w in features(model.value.restore(text or ""))[0] for p in _parts(w)}
-                (ones if toxic else zeros).update(held)
+            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                (ones if toxic else zeros).update({p for w in features(text.as_py())[0] for p in _parts(w)})
             names = list(ones | zeros)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([ones[x] for x in names], pa.int64()), pa.array([zeros[x] for x in names], pa.int64())], names=["mark", "ones", "zeros"])
 
     return labelled.mapInArrow(run, "mark string, ones long, zeros long").groupBy("mark").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_marks: int = 4_096, least: float = 20.0) -> tuple:
-    """The language model, from all texts, and the scorer, from at most ``max_rows`` labelled rows that aren't held
-    out (those whose ids hash lowest).  Marks are the words and stems whose presence differs between the classes with
-    a G2 statistic over ``least``.  Rows without a usable label are left out; with one class only, all scores are 0."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, least: float = 20.0) -> tuple:
+    """The language model, from all texts, and the scorer, from the documents of at most ``max_rows`` labelled ids that
+    aren't held out (those that hash lowest).  Marks are the words and stems whose presence differs between the classes
+    with a G2 statistic over ``least``; each needs several labelled texts that hold it, so the sample bounds them.
+    Rows without a usable label are left out; with one class only, all scores are 0.
+
+    The corpus is read twice here: for the trigrams, and for the labelled texts, which are restored once and written
+    to the shared folder."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(CharModel(char_counts(docs)))
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select(F.col("doc_id").alias("id"), "toxic")
     labelled = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("text", "toxic")
+    labelled = cut(_restored(labelled, model))
     totals = labelled.groupBy("toxic").count().collect()
     n1, n0 = (sum(r["count"] for r in totals if r.toxic == k) for k in (1, 0))
     scorer = Scorer({})
@@ -230,16 +242,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_marks:
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     held = a + b
     g2 = 2 * (part(a, held * (n1 / n)) + part(b, held * (n0 / n)) + part(n1 - a, (n - held) * (n1 / n)) + part(n0 - b, (n - held) * (n0 / n)))
-    marks = _mark_counts(labelled, model).withColumn("g2", g2).where((F.col("g2") > least) & (a / n1 > b / n0)).orderBy(F.desc("g2"), "mark").limit(max_marks).collect()
-    scorer = Scorer({r.mark: math.log((r.ones + 0.5) / (n1 + 1) * (n0 + 1) / (r.zeros + 0.5)) for r in marks})
+    marks = _mark_counts(labelled).withColumn("g2", g2).where((F.col("g2") > least) & (a / n1 > b / n0)).collect()
+    scorer = Scorer({r.mark: math.log((r.ones + 0.5) / (n1 + 1) * (n0 + 1) / (r.zeros + 0.5)) for r in sorted(marks, key=lambda r: r.mark)})
     shared = spark.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [shared.value.figures(model.value.restore(t or "")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("toxic").cast(pa.int32())], names=["x", "y"])
+        for batch in slices(batches):
+            rows = [shared.value.figures(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("toxic")], names=["x", "y"])
 
-    rows = labelled.mapInArrow(run, "x array<double>, y int").orderBy("y", "x").collect()
+    rows = labelled.mapInArrow(run, "x array<double>, y int").collect()
+    rows.sort(key=lambda r: (r.y, r.x))  # at most max_rows rows; their order must not tell in sums of floats
     scorer.fit([r.x for r in rows], [r.y for r in rows])
     return model, scorer
 
@@ -247,31 +260,34 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_marks:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, restored: bool = False, keep_text: bool = True, **training) -> DataFrame:
     """Score each whole text after undoing leetspeak, spacing and repetition.
 
-    Returns ``doc_id, held_out, score, predicted``, ``restored`` (the decoded text, lower-cased, if asked for) and all
-    other input columns in ``rest``, the text among them if ``keep_text``.  The only input of a score is the text.
+    Returns ``doc_id, held_out, score, predicted``, ``restored`` (the decoded text, lower-cased, if asked for), ``text``
+    (as it came; null unless ``keep_text``) and ``rest``, all other input columns.  The only input of a score is the text.
 
     Rows are documents; repeated rows get equal scores.  A null text is empty; empty texts get a score too.  A null
     doc_id is not held out.  An empty table gives no rows; no labels, or labels of one class, give score 0.
 
-    The language model (a fixed-size array) and the marks (at most 4,096) are broadcast; documents aren't shuffled.
+    The language model (a fixed-size array) and the marks are broadcast; documents aren't shuffled, and texts pass
+    through each worker once, in slices of about 2 MB.  Of a longer text a worker holds that one text and what it makes
+    of it (about 100 bytes a word).
     """
     spark = docs.sparkSession
     model, scorer = train(docs, labels, **training)
     shared = spark.sparkContext.broadcast(scorer)
-    base = docs.select("doc_id", "text", others(docs, "doc_id", *([] if keep_text else ["text"])).alias("rest"))
-    schema = T.StructType([base.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("restored", T.StringType()), base.schema["rest"]])
+    base = docs.select("doc_id", "text", others(docs, "doc_id", "text").alias("rest"))
+    schema = T.StructType([base.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("restored", T.StringType()), base.schema["text"], base.schema["rest"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores, texts = [], []
             for text in batch.column("text").to_pylist():
                 plain = model.value.restore(text or "")
                 scores.append(shared.value.score(plain))
                 texts.append(plain if restored else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(texts, pa.string()), batch.column("rest")], names=schema.names)
+            kept = batch.column("text") if keep_text else pa.nulls(batch.num_rows, batch.schema.field("text").type)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(texts, pa.string()), kept, batch.column("rest")], names=schema.names)
 
     out = base.mapInArrow(run, schema)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "restored", "rest")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "restored", "text", "rest")
 
 
 def op10_toxicity_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:

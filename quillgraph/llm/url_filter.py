@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import others, tables
+from .common import cut, others, tables
 
 #: Parts over which the captures of one key are dealt when they meet the lists.
 PARTS = 16
@@ -73,7 +73,8 @@ def url_filter(captures: DataFrame, entries: DataFrame, per_salt: int = 4_000) -
     found = held.groupBy("url", F.col("at").alias("day")).agg(
         F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.min(F.struct((-F.char_length("key")).alias("length"), "key"))["key"].alias("entry")
     )
-    found = found.select(F.col("url").alias("u"), F.col("day").alias("d"), "n_active", "lists", "entry")
+    # written out: a join with an aggregate right below it can't have its skewed keys split
+    found = cut(found.select(F.col("url").alias("u"), F.col("day").alias("d"), "n_active", "lists", "entry"))
     both = base.join(found, (F.col("url") == F.col("u")) & (F.col("day") == F.col("d")), "left")
     return both.select("page_id", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), "day", F.coalesce("n_active", F.lit(0)).alias("n_active"), F.coalesce("lists", F.lit("")).alias("lists"), F.coalesce("entry", F.lit("")).alias("entry"), F.col("n_active").isNotNull().alias("blocked"), "rest")
 
