@@ -34,12 +34,37 @@ _MARK_COST = {c: 0.0 if c in "!|+(*" else SPLIT_COST for c in SIGNS}
 #: A word with a sign anywhere; its cores, without other marks.
 _SIGNED = re.compile(r"(?<!\S)[^\s0-9@$!|+€£(*]*[0-9@$!|+€£(*]\S*")
 _CORE = re.compile(r"(?:[^\W_]|[@$!|+€£(*])+")
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _REPEATED = re.compile(r"(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
 _SPACED = re.compile(r"(?<!\w)(?:[\w@$!][ .\-_*]{1,2}){3,}[\w@$!](?!\w)")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _class(c: str) -> int:
+    """Bits: 1 may be a letter of a spaced word, 2 may stand between such letters, 4 is a letter, 8 is a word character."""
+    word = c.isalnum() or c == "_"
+    return (word or c in "@$!") | (c in " .-_*") << 1 | (c.isalnum() and not c.isdecimal()) << 2 | word << 3
+
+
+_CLASS = np.array([_class(chr(c)) for c in range(len(_TABLE))], dtype=np.uint8)
+
+
+def suspects(texts: list[str]) -> tuple[set[int], set[int]]:
+    """Which of the texts may hold spaced words, and which letters repeated three times: all that the patterns find,
+    told for many texts at once."""
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), np.uint32)
+    kind = np.concatenate((np.zeros(1, np.uint8), _CLASS[np.minimum(points, len(_CLASS) - 1)], np.zeros(8, np.uint8)))
+    n = len(points)
+    tripled = (points[:-2] == points[1:-1]) & (points[1:-1] == points[2:]) & (kind[1 : n - 1] & 4 > 0) if n > 2 else np.zeros(0, bool)
+    some, between = kind & 1 > 0, kind & 2 > 0
+    single = some[1:-1] & between[2:] & between[:-2]  # place i is character i
+    first = some[1:-1] & between[2:] & (kind[:-2] & 8 == 0)
+    pair = single[:-3] & (single[2:-1] | single[3:])
+    spaced = first[:-6] & (pair[2:-1] | pair[3:])
+    of = lambda at: set(np.searchsorted(ends, np.flatnonzero(at), "right").tolist())
+    return of(spaced), of(tripled)
+
+
 #: Decoded words that a worker keeps; at so many it starts anew.
 SEEN = 32_768
 
@@ -55,6 +80,7 @@ class CharModel:
         p3 = (tri + 20 * p2[None]) / (tri.sum(axis=2, keepdims=True) + 20)
         self.cost = -np.log(p3).astype(np.float32)
         self.seen: dict[tuple[str, bool, bool], str] = {}
+        self.tokens: dict[str, str] = {}
 
     def decode(self, written: str, spaced: bool = False, marked: bool = False) -> str:
         """The likeliest word (or words) behind what is written: Viterbi over the lattice of its characters, with the
@@ -102,15 +128,29 @@ class CharModel:
         return best
 
     def restore(self, text: str) -> str:
-        """The text in lower case with obfuscated words decoded.  A word is decoded if it mixes letters with signs,
+        return self.restore_all([text])[0]
+
+    def restore_all(self, texts: list[str | None]) -> list[str]:
+        """The texts in lower case with obfuscated words decoded.  A word is decoded if it mixes letters with signs,
         repeats a letter three times or more, or is a run of four or more single characters."""
-        text = text.lower()
-        text = _SPACED.sub(lambda m: self.decode(m[0], True) if sum(map(str.isalpha, m[0])) > 1 else m[0], text)
-        text = _SIGNED.sub(self._signed, text)
-        return _REPEATED.sub(lambda m: self.decode(m[0]), text) if _TRIPLE.search(text) else text
+        lower = [(t or "").lower() for t in texts]
+        spaced, _ = suspects(lower)
+        for k in spaced:
+            lower[k] = _SPACED.sub(lambda m: self.decode(m[0], True) if sum(map(str.isalpha, m[0])) > 1 else m[0], lower[k])
+        lower = [_SIGNED.sub(self._signed, t) for t in lower]
+        for k in suspects(lower)[1]:
+            lower[k] = _REPEATED.sub(lambda m: self.decode(m[0]), lower[k])
+        return lower
 
     def _signed(self, m: re.Match) -> str:
-        return _CORE.sub(self._core, m[0])
+        token = m[0]
+        if (known := self.tokens.get(token)) is None:
+            known = _CORE.sub(self._core, token)
+            if len(self.tokens) >= SEEN:
+                self.tokens.clear()
+            if len(token) <= 64:
+                self.tokens[token] = known
+        return known
 
     def _core(self, m: re.Match) -> str:
         core = m[0]
@@ -198,7 +238,7 @@ def _restored(labelled: DataFrame, model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([model.value.restore(t or "") for t in batch.column("text").to_pylist()], pa.string()), batch.column("toxic").cast(pa.int32())], names=["text", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(model.value.restore_all(batch.column("text").to_pylist()), pa.string()), batch.column("toxic").cast(pa.int32())], names=["text", "toxic"])
 
     return labelled.mapInArrow(run, "text string, toxic int")
 
@@ -278,11 +318,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, restore
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            scores, texts = [], []
-            for text in batch.column("text").to_pylist():
-                plain = model.value.restore(text or "")
-                scores.append(shared.value.score(plain))
-                texts.append(plain if restored else None)
+            plain = model.value.restore_all(batch.column("text").to_pylist())
+            scores = list(map(shared.value.score, plain))
+            texts = plain if restored else [None] * len(plain)
             kept = batch.column("text") if keep_text else pa.nulls(batch.num_rows, batch.schema.field("text").type)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(texts, pa.string()), kept, batch.column("rest")], names=schema.names)
 
