@@ -119,15 +119,14 @@ SELECT d.document_id, count(n) AS chunk_count, CAST(coalesce(sum(n), 0) AS BIGIN
 FROM d LEFT JOIN n ON n.document_id = d.document_id GROUP BY d.document_id""")
 def chunk_metrics(spark, sf_dir):
     """TXT-06, AGG-01."""
-    d = normal_docs(spark, sf_dir)
-    return counted(chunking.chunk_metrics(d, chunking.sentence_chunks(d)), "chunk_count", "total_words", "min_words", "max_words")
+    return counted(chunking.chunk_metrics(docs(spark, sf_dir), chunking.sentence_chunks(normal_docs(spark, sf_dir))), "chunk_count", "total_words", "min_words", "max_words")
 
 
 @query(f"""{SQL_CHUNKS}, a AS (SELECT *, start_index + length(text) AS end_index, lead(text) OVER w AS nt, lead(chunk_id) OVER w AS ni, lead(start_index + length(text)) OVER w AS ne FROM c WINDOW w AS (PARTITION BY document_id ORDER BY chunk_id))
 SELECT document_id, CAST(chunk_id AS BIGINT) AS chunk_id, CASE WHEN ni IS NULL THEN text ELSE text || ' ' || nt END AS text, CAST(start_index AS BIGINT) AS start_index, CAST(coalesce(ne, end_index) AS BIGINT) AS end_index, CASE WHEN ni IS NULL THEN '' ELSE chunk_id || ',' || ni END AS source_chunk_ids FROM a""")
 def adjacent_windows(spark, sf_dir):
     """TXT-11, WIN-01."""
-    w = windows.adjacent_windows(chunking.sentence_chunks(normal_docs(spark, sf_dir))).drop("analysis_text")
+    w = windows.adjacent_windows(chunking.sentence_chunks(normal_docs(spark, sf_dir), ahead=True)).drop("analysis_text")
     return counted(w.withColumn("source_chunk_ids", F.array_join(F.col("source_chunk_ids").cast("array<string>"), ",")), "chunk_id", "start_index", "end_index")
 
 
@@ -260,9 +259,9 @@ rel AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY doc
 
 
 def _story(spark, sf_dir):
-    chunks = narrative.chunks(spark, sf_dir)
-    found = entities.heuristic_entities(chunks)
-    w = windows.adjacent_windows(chunks)
+    chunks = graph.cut(narrative.chunks(spark, sf_dir))
+    found = graph.cut(entities.heuristic_entities(chunks))
+    w = graph.cut(windows.adjacent_windows(chunks))
     return chunks, w, found, relations.heuristic_relations(w, found)
 
 
@@ -295,7 +294,7 @@ be AS (SELECT r.document_id, s.id AS source, t.id AS target, upper(trim(type)) A
 def _built(spark, sf_dir):
     chunks, w, found, told = _story(spark, sf_dir)
     same = found.select("document_id", F.col("name").alias("canonical_name"), F.col("label").alias("canonical_label"), "name", F.array("name").alias("aliases"), F.create_map(F.col("label"), F.lit(1)).alias("label_counts"), "chunk_id", "start_index", "end_index", F.col("ord").alias("member"))
-    nodes = graph.build_nodes(same, chunks)
+    nodes = graph.cut(graph.build_nodes(same, chunks))
     return nodes, graph.build_edges(told, nodes, w)
 
 
@@ -478,10 +477,10 @@ def provenance(spark, sf_dir):
     return counted(found.select("document_id", "place", "kind", "title", "source_text", "snippet"), "place")
 
 
-@query("SELECT doc_id AS document_id, " + _sql_snippet("t", ["'zzqx'", "lang", "'the'"]) + " AS snippet FROM (SELECT doc_id, lang, " + SQL_STRIP.format("text") + " AS t FROM documents WHERE NOT regexp_matches(text, '^\\s|\\s$'))")
+@query("SELECT doc_id AS document_id, " + _sql_snippet("t", ["'zzqx'", "lang", "'the'"]) + " AS snippet FROM (SELECT doc_id, lang, " + SQL_STRIP.format("coalesce(text, '')") + " AS t FROM documents)")
 def snippet(spark, sf_dir):
     """SCL-21."""
-    d = read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"^\s|\s$"))
+    d = read(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("document_id"), X.snippet(F.col("text"), [F.lit("zzqx"), F.col("lang"), F.lit("the")]).alias("snippet"))
 
 
@@ -658,15 +657,12 @@ def progress_clamp(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", X.progress(F.col("value")).alias("progress"))
 
 
-@query("SELECT doc_id AS document_id, lang || '_' || source || '.txt' AS name, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id DESC) AS place FROM documents WHERE doc_id % 10 = 3")
+@query("SELECT doc_id % 10 AS user_id, doc_id AS document_id, lang || '_' || source || '.txt' AS name, n_chars AS created_at, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY n_chars DESC, doc_id DESC) AS place FROM documents")
 def document_dashboard(spark, sf_dir):
-    """SRC-07, PRJ-05, SRT-06, SCL-30."""
-    from pyspark.sql.window import Window
-
-    d = read(spark, sf_dir, "documents").withColumn("user_id", F.col("doc_id") % 10)
-    mine = reads.of_user(d, 3)
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n_chars"), F.desc("doc_id")))
-    return mine.select(F.col("doc_id").alias("document_id"), X.safe_filename(F.concat("lang", F.lit(" "), "source", F.lit(".txt"))).alias("name"), "n_chars", place.cast("bigint").alias("place"))
+    """SRC-07, PRJ-05, SRT-06, SCL-30: the dashboards of all users."""
+    name = X.safe_filename(F.concat("lang", F.lit(" "), "source", F.lit(".txt")))
+    d = read(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("user_id"), F.col("doc_id").alias("document_id"), name.alias("name"), F.col("n_chars").alias("created_at"))
+    return counted(reads.dashboards(d), "place")
 
 
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'markdown' WHEN 2 THEN 'pdf' WHEN 3 THEN 'text' END AS format FROM documents")

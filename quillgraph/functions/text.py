@@ -1,4 +1,4 @@
-"""Scalar text functions as Columns.  Only NFKC needs Python, and only rows that aren't ASCII go there."""
+"""Scalar text functions as Columns.  Only NFKC needs Python, and only texts with characters that it may change go there."""
 
 from __future__ import annotations
 
@@ -11,6 +11,11 @@ from pyspark.sql import types as T
 
 #: White space as Unicode has it; Java's \s alone is ASCII.
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: The same as characters, for trims: they look at both ends only, where a pattern looks at every blank of the text.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: What NFKC may change: all but ASCII, letters and marks of Latin, Greek and Cyrillic that have no other form, common
+#: punctuation, kana, ideographs and Hangul syllables.
+UNSTABLE = r"[^\x00-\x9F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0180-\u01C3\u01CD-\u01F0\u01F4-\u02AF\u0388-\u03CE\u0400-\u0482\u048A-\u052F\u2010\u2012-\u2016\u2018-\u2023\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3]"
 #: Words that are no entity by themselves.
 STOPWORDS = "The A An This That These Those He She It They We I You In On At By For From To With Of And Or But If Then So As Is Are Was Were Be Been Being Chapter Section Figure Table".split()
 #: Last words of organisations, and words of places.
@@ -20,11 +25,12 @@ LOCATION_HINTS = "City Town Village State Country Street Road River Mountain Lak
 PRONOUNS = "he him his she her hers they them their theirs it its you your yours we us our ours i me my mine".split()
 POSSESSIVES = "his her hers their theirs its your yours our ours my mine".split()
 
+#: Fixed value: what a capitalised phrase is.
 CAPITALISED = r"(?U)\b(?:[A-Z][a-zA-Z]+|[A-Z]{2,})(?:\s+(?:[A-Z][a-zA-Z]+|[A-Z]{2,}))*\b"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def words(c: Column) -> Column:
@@ -32,7 +38,7 @@ def words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(words(F.coalesce(c, F.lit(""))))
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(rf"[^\s\x1c-\x1f\x85\p{{Z}}]+"))
 
 
 def token_estimate(c: Column) -> Column:
@@ -50,12 +56,13 @@ def normalize(c: Column, nfkc: bool = True) -> Column:
     Blanks go first, so a blank beside a line break leaves two, and a line of blanks is no empty line."""
     text = F.coalesce(c, F.lit(""))
     if nfkc:
-        ascii_only = F.octet_length(text) == F.char_length(text)
-        text = F.coalesce(_nfkc(F.when(~ascii_only, text)), text)
+        text = F.coalesce(_nfkc(F.when(text.rlike(UNSTABLE), text)), text)
     text = F.replace(text, F.lit("\r\n"), F.lit("\n"))
-    text = F.regexp_replace(text, "[ \t]+", " ")
-    text = F.regexp_replace(text, r"(?<!\n)\n(?!\n)", " ")
-    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    # texts without what a pattern looks for don't meet it
+    has = lambda part: F.contains(text, F.lit(part))
+    text = F.when(has("  ") | has("\t"), F.regexp_replace(text, "[ \t]+", " ")).otherwise(text)
+    broken = F.regexp_replace(F.regexp_replace(text, r"(?<!\n)\n(?!\n)", " "), r"\n{3,}", "\n\n")
+    return strip(F.when(F.contains(text, F.lit("\n")), broken).otherwise(text))
 
 
 def sentences(c: Column) -> Column:
@@ -174,7 +181,7 @@ def snippet(source: Column, terms: list[Column], window: int = 140) -> Column:
     start, end = F.greatest(F.lit(0), at - half), F.least(n, at + length + half)
     inner = strip(F.substring(text, start + 1, end - start))
     around = F.concat(F.when(start > 0, "...").otherwise(""), inner, F.when(end < n, "...").otherwise(""))
-    head = F.when(n <= window, text).otherwise(F.concat(F.regexp_replace(F.left(text, F.lit(window)), f"{WS}+$", ""), F.lit("...")))
+    head = F.when(n <= window, text).otherwise(F.concat(F.rtrim(F.left(text, F.lit(window)), F.lit(BLANKS)), F.lit("...")))
     return F.when(text == "", "").when(at < 0, head).otherwise(around)
 
 

@@ -35,15 +35,15 @@ def build_nodes(resolved: DataFrame, chunks: DataFrame | None = None) -> DataFra
 def build_edges(relations: DataFrame, nodes: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     """Relations between two nodes, found by name without case and label (any label where the relation has none); no
     loops; the first of each (source, target, type) by name among those that have both nodes."""
-    ends = nodes.select("document_id", F.lower(X.strip(F.col("name"))).alias("k"), F.col("label").alias("l"), "id", "ord")
+    # a node is found under its own label and, as the first of its name, under the empty one: one join a side
+    ends = nodes.select(F.col("document_id").alias("d"), F.lower(X.strip(F.col("name"))).alias("k"), F.explode(F.array(F.col("label"), F.lit(""))).alias("l"), F.struct("ord", "id").alias("n"))
+    own = F.struct("l", "n")
+    ends = ends.groupBy("d", "k").agg(F.collect_set(F.when(F.col("l") != "", own)).alias("labelled"), F.min(F.when(F.col("l") == "", F.col("n"))).alias("any"))
+    ends = ends.select("d", "k", F.explode(F.array_append("labelled", F.struct(F.lit("").alias("l"), F.col("any").alias("n")))).alias("e")).select("d", "k", "e.l", "e.n")
     out = relations
     for side in ("source", "target"):
-        e = ends.select(F.col("document_id").alias("d"), F.col("k").alias("k"), F.col("l").alias("l"), F.struct("ord", "id").alias(f"{side}_node"))
-        name = F.lower(X.strip(F.col(side)))
-        with_label = out.where(f"{side}_label IS NOT NULL AND {side}_label <> ''").join(e, (F.col("document_id") == F.col("d")) & (name == F.col("k")) & (F.col(f"{side}_label") == F.col("l"))).drop("d", "k", "l")
-        any_label = e.groupBy("d", "k").agg(F.min(f"{side}_node").alias(f"{side}_node"))
-        without = out.where(f"{side}_label IS NULL OR {side}_label = ''").join(any_label, (F.col("document_id") == F.col("d")) & (name == F.col("k"))).drop("d", "k")
-        out = with_label.unionByName(without)
+        e = ends.select("d", "k", "l", F.col("n").alias(f"{side}_node"))
+        out = out.join(e, (F.col("document_id") == F.col("d")) & (F.lower(X.strip(F.col(side))) == F.col("k")) & (F.coalesce(F.col(f"{side}_label"), F.lit("")) == F.col("l"))).drop("d", "k", "l")
     out = out.where("source_node.id <> target_node.id").withColumn("type", F.upper(X.strip(F.col("type"))))
     kept = [c for c in out.columns if c != "document_id"]
     first = out.groupBy("document_id", F.lower(X.strip(F.col("source"))).alias("s"), F.lower(X.strip(F.col("target"))).alias("t"), F.col("type").alias("y")).agg(F.min_by(F.struct(*kept), "place").alias("r"))
@@ -69,7 +69,9 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("document_id", "id", "type", F.explode(ends).alias("e")).select("document_id", "e.node", "e.neighbor", "id", "type")
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """Write rows to the shared checkpoint folder and go on from there: what is used several times is computed once,
+    and a lost executor costs no recomputation.  Without a folder (tests) a temporary one is set."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
@@ -81,14 +83,14 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
 
     Labels travel along edges and then jump to their label's label, so rounds grow with the logarithm of the longest
     path.  Each round goes to the checkpoint folder; the loop stops when no label changes."""
-    links = _cut(both_ways(edges).select("document_id", "node", "neighbor").distinct())
-    labels = _cut(nodes.select("document_id", F.col("id").alias("node"), F.col("id").alias("component")))
+    links = cut(both_ways(edges).select("document_id", "node", "neighbor").distinct())
+    labels = cut(nodes.select("document_id", F.col("id").alias("node"), F.col("id").alias("component")))
     for _ in range(max_rounds):
         near = links.join(labels.select("document_id", F.col("node").alias("neighbor"), "component"), ["document_id", "neighbor"])
         least = near.groupBy("document_id", "node").agg(F.min("component").alias("near"))
         spread = labels.join(least, ["document_id", "node"], "left").withColumn("new", F.least("component", F.coalesce("near", "component")))
         up = spread.select("document_id", F.col("node").alias("new"), F.col("new").alias("up"))
-        after = _cut(spread.join(up, ["document_id", "new"], "left").select("document_id", "node", F.least("new", F.coalesce("up", "new")).alias("component"), F.col("component").alias("old")))
+        after = cut(spread.join(up, ["document_id", "new"], "left").select("document_id", "node", F.least("new", F.coalesce("up", "new")).alias("component"), F.col("component").alias("old")))
         changed = after.where("component <> old").limit(1).count()
         labels = after.drop("old")
         if not changed:

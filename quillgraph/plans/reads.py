@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 
@@ -12,8 +13,14 @@ def of_user(table: DataFrame, user_id: int) -> DataFrame:
     return table.where(F.col("user_id") == user_id)
 
 
+def dashboards(documents: DataFrame) -> DataFrame:
+    """Every user's documents with their ``place``, newest first."""
+    newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("document_id"))
+    return documents.withColumn("place", F.row_number().over(newest))
+
+
 def dashboard(documents: DataFrame, user_id: int) -> DataFrame:
-    return of_user(documents, user_id).orderBy(F.desc("created_at"), F.desc("document_id"))
+    return dashboards(of_user(documents, user_id)).orderBy("place").drop("place")
 
 
 def document_logs(logs: DataFrame, document_id: int) -> DataFrame:
@@ -54,6 +61,11 @@ def may_start(status: Column) -> Column:
     return status != "processing"
 
 
+def may_delete(status: Column) -> Column:
+    """A document that is being processed can't be deleted."""
+    return status != "processing"
+
+
 def final_status(error: Column) -> Column:
     return F.when(error.isNull(), "complete").otherwise("error")
 

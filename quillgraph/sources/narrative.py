@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Digits would end a name, so keys are spelled with letters.
@@ -30,22 +32,20 @@ UNION ALL SELECT CAST(n_regionkey AS BIGINT), {NAME['nation']}, 'Location', conc
 """
 
 
-def _views(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    for n in names:
-        spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
+def _of(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The SQL over one folder's tables, given as frames: no view of the session is made or used."""
+    tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("customer", "supplier", "nation", "region")}
+    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(tables)})\b", r"\1 {\2}", sql), **tables)
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _views(spark, sf_dir, "customer", "supplier", "nation", "region")
-    return spark.sql(f"SELECT *, 0 AS start_index, length(text) AS end_index FROM ({CHUNKS}) c")
+    return _of(spark, sf_dir, f"SELECT *, 0 AS start_index, length(text) AS end_index FROM ({CHUNKS}) c")
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _views(spark, sf_dir, "customer", "supplier", "nation", "region")
-    return spark.sql(f"SELECT concat(CAST(document_id AS STRING), ':', label, ':', name) AS id, * FROM ({NODES}) n")
+    return _of(spark, sf_dir, f"SELECT concat(CAST(document_id AS STRING), ':', label, ':', name) AS id, * FROM ({NODES}) n")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _views(spark, sf_dir, "customer", "supplier", "nation", "region")
     ends = "concat(CAST(document_id AS STRING), ':', source_label, ':', source_name) AS source, concat(CAST(document_id AS STRING), ':', target_label, ':', target_name) AS target"
-    return spark.sql(f"SELECT concat(source, '-', type, '-', target) AS id, * FROM (SELECT {ends}, * FROM ({EDGES}) e) x")
+    return _of(spark, sf_dir, f"SELECT concat(source, '-', type, '-', target) AS id, * FROM (SELECT {ends}, * FROM ({EDGES}) e) x")
