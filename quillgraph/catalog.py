@@ -429,10 +429,14 @@ def schema_summary(spark, sf_dir):
     return s.select("document_id", *[F.array_join(c, ",").alias(c) for c in ("entity_labels", "sample_entity_names", "relationship_types")])
 
 
-@query(f"{SQL_GRAPH} SELECT document_id, 'nodes' AS kind, id FROM n UNION ALL SELECT document_id, 'edges', id FROM e")
+_json = lambda **kv: "'{" + ",".join(f'"{k}":"\' || {v} || \'"' for k, v in kv.items()) + "}'"
+_colour = "CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.COLOURS.items()) + " ELSE '#8b5cf6' END"
+
+
+@query(f"{SQL_GRAPH} SELECT document_id, 'nodes' AS kind, id, {_json(id='id', label='name', type='label', color=_colour)} AS data FROM n UNION ALL SELECT document_id, 'edges', id, {_json(id='id', source='source', target='target', label='type')} FROM e")
 def element_export(spark, sf_dir):
-    """GRF-12."""
-    return graph.elements(*_graph(spark, sf_dir)).drop("data")
+    """GRF-12, SCL-31."""
+    return graph.elements(*_graph(spark, sf_dir))
 
 
 SQL_CHOSEN = "ch AS (SELECT document_id, id FROM n WHERE name IN ('Nationa', 'Nationb', 'Nationc', 'Regiona', 'Regionb'))"

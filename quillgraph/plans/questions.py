@@ -6,9 +6,10 @@ import json
 import re
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
@@ -121,24 +122,52 @@ def textual_guard(query: Column) -> Column:
     return F.when(found.isNotNull(), F.concat(F.lit("contains "), found)).otherwise(out)
 
 
+#: What a generated query may be made of, by the names of Spark's plan and expression classes.
+PLAN_PARTS = frozenset(
+    "Aggregate CTERelationDef CTERelationRef Deduplicate Distinct Except Filter Generate GlobalLimit Intersect Join LocalLimit LocalRelation LogicalRDD OneRowRelation Project Sort SubqueryAlias Union View Window WithCTE WithWindowDefinition "
+    "Alias AttributeReference Literal OuterReference ScalarSubquery ListQuery InSubquery Exists SortOrder Cast TypeCast And Or Not EqualTo EqualNullSafe GreaterThan GreaterThanOrEqual LessThan LessThanOrEqual In InSet Between IsNull IsNotNull CaseWhen If Coalesce NullIf Nvl "
+    "Add Subtract Multiply Divide IntegralDivide Remainder UnaryMinus UnaryPositive Abs Round BRound Ceil Floor Greatest Least Pow Sqrt "
+    "Upper Lower Length OctetLength Concat ConcatWs Substring SubstringIndex Left Right StringTrim StringTrimLeft StringTrimRight StringTrimBoth StringReplace StringInstr StringLocate StringSplit Like LikeAny LikeAll RLike RegExpReplace RegExpExtract StartsWith EndsWith Contains ContainsExpressionBuilder InitCap Reverse StringLPad StringRPad "
+    "AggregateExpression Count CountIf Sum Average Min Max MinBy MaxBy First Last CollectList CollectSet BoolAnd BoolOr "
+    "WindowExpression WindowSpecDefinition SpecifiedWindowFrame UnboundedPreceding$ UnboundedFollowing$ CurrentRow$ RowNumber Rank DenseRank NTile Lag Lead "
+    "CreateArray CreateNamedStruct GetStructField GetArrayItem GetArrayStructFields GetMapValue ElementAt Size ArrayContains ArrayJoin ArraySort SortArray ArrayDistinct Explode PosExplode MapKeys MapValues".split()
+)
+
+
 def guarded(spark: SparkSession, query: str, views: set[str]) -> DataFrame:
-    """The rows of a SQL query that only reads the given views; anything else is a ValueError.
-
-    The parsed plan decides: one statement, no command, no relation but the views, no file or table function."""
-    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
-    text = parsed.toString()
-    if re.match(r"^'?(?:Create|Drop|Insert|Delete|Update|Merge|Set|Alter|Truncate|Cache|Refresh|Analyze|Load|Append|Overwrite|Use|Show|Describe|Explain|Add|Clear|Reset)", text):
-        raise ValueError("the query is not read-only")
-    named = set(re.findall(r"'UnresolvedRelation \[([^\]]*)\]", text))
-    common = set(re.findall(r"CTE \[([^\]]*)\]", text))
-    common = {c.strip() for part in common for c in part.split(",")}
-    if not named <= views | common:
-        raise ValueError(f"the query reads {sorted(named - views - common)}")
-    if "UnresolvedTableValuedFunction" in text:
-        raise ValueError("the query calls a table function")
+    """The rows of a SQL query that only reads the given views of the session; anything else is a ValueError.
+
+    The query is first analysed, as a subquery (so it can be no command), in a session that has nothing but empty
+    frames under the views' names: a table, another view, a file or a name that a CTE doesn't hide is then unknown.
+    Every part of the analysed plan must be on the list above."""
+    apart = spark.newSession()
+    apart.conf.set("spark.sql.runSQLOnFiles", "false")
+    for v in views:
+        apart.createDataFrame([], spark.table(v).schema).createOrReplaceTempView(v)
+    try:
+        apart.sql(f"SELECT * FROM (\n{query}\n) AS q")
+        analysed = apart.sql(query)
+    except ParseException as e:
+        raise ValueError(f"no query that reads: {e.getCondition()}") from e
+    except AnalysisException as e:
+        if e.getCondition() in ("UNRESOLVED_COLUMN.WITH_SUGGESTION", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION"):
+            raise  # the model may mend a wrong column
+        raise ValueError(f"the query doesn't fit the views: {e.getCondition()}") from e
+    parts = _parts(json.loads(analysed._jdf.queryExecution().analyzed().toJSON()))
+    if odd := parts - PLAN_PARTS:
+        raise ValueError(f"the query may not use {sorted(odd)}")
     return spark.sql(query)
 
 
+def _parts(plan) -> set[str]:
+    """The names of all classes in a plan, its expressions and their subqueries."""
+    if isinstance(plan, list):
+        return set().union(*map(_parts, plan))
+    if not isinstance(plan, dict):
+        return set()
+    return set().union({plan["class"].rpartition(".")[2]} if "class" in plan else set(), *map(_parts, plan.values()))
+
+
 def answer_shortcut(rows: list[dict]) -> str | None:
     """Rows of one column answer by themselves."""
     if rows and all(len(r) == 1 for r in rows):
@@ -226,22 +255,27 @@ class Engine:
         return query, rows
 
     def ask(self, document_id: int, question: str) -> dict:
+        """Names, relation types, highlight and evidence come from all rows of the answer, on the executors.  ``rows`` has
+        at most ``self.rows`` of them, as a client and a model can take; ``truncated`` says whether there are more."""
         nodes, edges = G.scoped(self.nodes, document_id), G.scoped(self.edges, document_id)
         a = analyze(question, nodes)
         rows, query = plan(a, nodes, edges), a.intent
         if rows is None:
             query, rows = self._generated(nodes, edges, question)
-        got = [r.asDict(True) for r in rows.limit(self.rows).collect()]
+        got = [r.asDict(True) for r in rows.limit(self.rows + 1).collect()]
+        truncated, got = len(got) > self.rows, got[: self.rows]
         answer = answer_shortcut(got)
         if answer is None:
             answer = self.model.complete(ANSWER_PROMPT.format(question=question, rows=json.dumps(got, default=str)))
-        names, types = collect_values(got)
-        one = lambda values, name: self.spark.createDataFrame([(document_id, v) for v in sorted(values)], f"document_id long, {name} string")
-        paths = rows.withColumn("document_id", F.lit(document_id).cast("long")) if a.intent == PATH else None
-        node_ids, edge_ids = highlight(nodes, edges, one(names, "name"), one(set() if a.intent == PATH else types, "type"), paths)
+        if truncated:
+            answer += f" (from the first {self.rows} rows)"
+        scope = F.lit(document_id).cast("long").alias("document_id")
+        names, types = (rows.select(F.explode(values_of(rows.schema, fields)).alias(k)).distinct().select(scope, k) for k, fields in (("name", NAME_FIELDS), ("type", TYPE_FIELDS)))
+        paths = rows.withColumn("document_id", scope) if a.intent == PATH else None
+        node_ids, edge_ids = highlight(nodes, edges, names, None if a.intent == PATH else types, paths)
         evidence = provenance(nodes, edges, node_ids, edge_ids).orderBy("place").drop("document_id", "place").collect() if "provenance" in nodes.columns and "provenance" in edges.columns else []
         return {
-            "question": question, "query": query, "rows": got, "answer": answer, "question_analysis": a.__dict__,
+            "question": question, "query": query, "rows": got, "truncated": truncated, "answer": answer, "question_analysis": a.__dict__,
             "highlight": {"node_ids": sorted(r.id for r in node_ids.collect()), "edge_ids": sorted(r.id for r in edge_ids.collect()), "focus": True},
             "provenance": [r.asDict(True) for r in evidence],
         }
@@ -258,17 +292,17 @@ NAME_FIELDS = ("name", "entity_name", "entity", "related_entity", "source", "tar
 TYPE_FIELDS = ("relation", "relation_type", "type")
 
 
-def collect_values(value) -> tuple[set[str], set[str]]:
-    """All names and relation types in rows, however nested."""
-    names, types = set(), set()
-    if isinstance(value, dict):
-        for k, v in value.items():
-            if isinstance(v, str) and v.strip():
-                if k in NAME_FIELDS:
-                    names.add(v.strip())
-                if k in TYPE_FIELDS:
-                    types.add(v.strip().upper())
-    for v in value.values() if isinstance(value, dict) else value if isinstance(value, (list, tuple)) else ():
-        n, t = collect_values(v)
-        names, types = names | n, types | t
-    return names, types
+def values_of(schema: T.StructType, fields: tuple[str, ...]) -> Column:
+    """An array of the values, without blanks around them, of all string fields of these names, however nested."""
+    none = F.array().cast("array<string>")
+
+    def within(kind: T.DataType, value: Column) -> Column:
+        if isinstance(kind, T.StructType):
+            parts = [F.array(value.getField(f.name)) if isinstance(f.dataType, T.StringType) and f.name in fields else within(f.dataType, value.getField(f.name)) for f in kind]
+            return F.concat(none, *[F.coalesce(p, none) for p in parts])
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+            return F.coalesce(F.flatten(F.transform(value, lambda x: within(kind.elementType, x))), none)
+        return none
+
+    found = within(schema, F.struct(*[F.col(f"`{c}`") for c in schema.names]))
+    return F.filter(F.transform(F.array_distinct(F.array_compact(found)), X.strip), lambda v: v != "")

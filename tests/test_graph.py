@@ -174,6 +174,28 @@ def test_guard(spark, built, query):
         questions.guarded(spark, query, {"kg_nodes"})
 
 
+@pytest.mark.parametrize("query", [
+    "SELECT java_method('java.lang.Math', 'max', 1, 2) FROM kg_nodes",
+    "SELECT reflect('java.lang.Math', 'max', 1, 2) FROM kg_nodes",
+    "SELECT name FROM kg_nodes WHERE id IN (SELECT `java_method`('java.lang.System', 'getProperty', 'user.dir'))",
+    "WITH a AS (SELECT * FROM secret), secret AS (SELECT 1) SELECT * FROM a",
+    "SELECT (SELECT max(x) FROM secret) AS m FROM kg_nodes",
+    "SELECT input_file_name() FROM kg_nodes",
+    "SELECT 1) AS a; DROP TABLE kg_nodes --",
+])
+def test_guard_has_no_way_round(spark, built, query):
+    built[1].createOrReplaceTempView("kg_nodes")
+    spark.range(3).toDF("x").createOrReplaceTempView("secret")
+    with pytest.raises(ValueError):
+        questions.guarded(spark, query, {"kg_nodes"})
+
+
+@pytest.mark.parametrize("query", ["SELECT label, count(*) AS n FROM kg_nodes GROUP BY label ORDER BY n DESC LIMIT 3", "SELECT a.name FROM kg_nodes a JOIN kg_nodes b ON a.id = b.id WHERE lower(a.name) LIKE '%e%' AND b.id IN (SELECT id FROM kg_nodes)", "SELECT name, row_number() OVER (ORDER BY id) AS k FROM kg_nodes LATERAL VIEW explode(aliases) t AS x", "SELECT DISTINCT upper(trim(name)) AS n FROM kg_nodes UNION SELECT 'x'"])
+def test_guard_lets_common_reads_pass(spark, built, query):
+    built[1].createOrReplaceTempView("kg_nodes")
+    assert questions.guarded(spark, query, {"kg_nodes"}).count() > 0
+
+
 def test_guard_lets_reads_pass(spark, built):
     built[1].createOrReplaceTempView("kg_nodes")
     assert questions.guarded(spark, "WITH c AS (SELECT name FROM kg_nodes) SELECT count(*) AS n FROM c", {"kg_nodes"}).first().n > 0
@@ -195,7 +217,49 @@ def test_store_replaces_documents(spark, tmp_path):
     assert {(r.document_id, r.name) for r in s.read("nodes").collect()} == {(1, "a"), (2, "a"), (2, "b")}
     s.delete(spark.createDataFrame([(2,)], "document_id long"))
     assert {(r.document_id, r.name) for r in s.read("nodes").collect()} == {(1, "a")}
-    s.clear()
+    # another object reads what this one wrote, tables without rows too, and earlier folders may go
+    t = store.GraphStore(spark, str(tmp_path), buckets=3)
+    t.vacuum()
+    assert t.read("nodes").count() == 1 and t.read("edges").count() == 0 and t.read("edges").columns == edges.columns
+    t.clear()
+    assert s.read("nodes").count() == 0
+    with pytest.raises(ValueError):
+        store.GraphStore(spark, str(tmp_path / "none")).read("nodes")
+
+
+def test_store_keeps_what_it_had_if_a_write_fails(spark, tmp_path):
+    s = store.GraphStore(spark, str(tmp_path), buckets=2)
+    nodes, edges = property_graph(spark, [("a", "b", "R")])
+    one = spark.createDataFrame([(1,)], "document_id long")
+    s.save(one, nodes, edges)
+    with pytest.raises(Exception, match="broken"):
+        s.save(one, nodes.limit(0), edges.withColumn("type", F.raise_error(F.lit("broken")).cast("string")))
+    assert s.read("nodes").count() == 2 and s.read("edges").count() == 1
+
+
+def test_sessions_store_messages(spark, built, tmp_path):
+    from quillgraph.plans.sessions import Sessions
+
+    engine = questions.Engine(spark, built[1], built[2], models.StubModel(lambda p: "an answer"))
+    s = Sessions(spark, str(tmp_path))
+    first = s.create(1, 7)
+    got = s.ask(first, "Who is Elarin?", engine)
+    s.ask(first, "Who is Moonkeep?", engine)
+    rows = s.messages(first).collect()
+    assert [(r.turn, r.role) for r in rows] == [(0, "user"), (1, "assistant"), (2, "user"), (3, "assistant")] and rows[1].text == got["answer"] and "highlight" in rows[1].payload
+    s.create(1, 7)
+    s.create(2, 7)
+    assert [(r.title, r.n_messages) for r in s.listed(1, 7).collect()] == [("Conversation 2", 0), ("Conversation 1", 4)]
+    with pytest.raises(ValueError):
+        s.ask("none", "x", engine)
+
+
+def test_engine_takes_highlights_from_all_rows(spark, built):
+    _, nodes, edges = built
+    e = questions.Engine(spark, nodes, edges, models.StubModel(lambda p: "SELECT name, label FROM kg_nodes" if "Spark SQL" in p else "said"), rows=1)
+    got = e.ask(1, "List all names with labels.")
+    assert got["truncated"] and len(got["rows"]) == 1 and len(got["highlight"]["node_ids"]) == 3 and got["answer"] == "said (from the first 1 rows)"
+    assert not e.ask(1, "Who is Elarin?")["truncated"]
 
 
 def test_files(spark, tmp_path):
