@@ -68,13 +68,20 @@ PATTERNS = {
     "email": r"(?<![\w.+\-])[\w+\-](?:[\w.+\-]*[\w+\-])?@(?:[^\W_](?:[\w\-]*[^\W_])?\.)+[^\W\d_]{2,24}(?!\w)",
     "secret": r"(?<![0-9A-Za-z])(?=[0-9a-f]{0,63}[a-f])(?=[a-f]{0,63}[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?=[0-9A-F]{0,63}[A-F])(?=[A-F]{0,63}[0-9])[0-9A-F]{32,64}(?![0-9A-Za-z])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "token": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|sk-[0-9A-Za-z]{20,64}|xox[abprs]-[0-9A-Za-z]{8,64})(?![0-9A-Za-z])",
+    "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
     "card": r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?![\w]|\.\d)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}(?![\w]|[.\-]\d)|(?<![\w.])\+\d{8,15}(?!\w)",
 }
+#: A short number is a phone number only after a word that says so.
+_SHORT_PHONE = re.compile(r"(?<!\w)(?:[Tt]el|[Pp]hone|[Cc]all|[Ff]ax|[Mm]obile|[Tt]éléphone|[Tt]elefon|[Tt]eléfono|[Тт]ел)\.?:? (?P<phone>\d{3}[\-. ]\d{4})(?![\w\-]|\.\d)")
 _NUMERIC = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 _TITLED = re.compile(rf"(?<!\w)(?P<title>{_alternatives(TITLES)})(?:\. ?| )(?P<name>{_NAME}(?: {_NAME}){{0,2}})")
+#: Words that a person's full name follows.
+CUES = ("my name is", "My name is", "Name:", "name:", "Contact:", "Author:", "Dear", "Regards,", "Sincerely,", "ich heiße", "Ich heiße", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo", "mi nombre es", "Mi nombre es", "меня зовут", "Меня зовут", "με λένε", "Με λένε")
+_CUED = re.compile(rf"(?<!\w)(?P<cue>{_alternatives(CUES)})\s(?P<name>{_NAME}(?: {_NAME}){{1,2}})")
 _NAMED = re.compile(rf"(?<!\w)(?P<given>{_alternatives(n for v in NAMES.values() for n in v)}) (?P<family>{_NAME})")
 
 
@@ -110,10 +117,11 @@ class Permuter:
     def _letters(alphabet: int | str):
         return ALPHABETS[alphabet] if isinstance(alphabet, int) else _scripts()[0][alphabet]
 
-    def word(self, tag: str, text: str, alphabets=None) -> str:
-        """Another string of the same shape: letters in their own alphabet and case, digits digits, the rest kept."""
+    def word(self, tag: str, text: str, alphabets=None, keep: int = 0) -> str:
+        """Another string of the same shape: letters in their own alphabet and case, digits digits, the rest and the
+        last ``keep`` characters kept."""
         spots, value, n = [], 0, 1
-        for i, c in enumerate(text):
+        for i, c in enumerate(text[: len(text) - keep]):
             place = alphabets.get(c.lower()) if alphabets else _PLACE.get(c.lower())
             if not place and not alphabets and c.isalpha():
                 place = _scripts()[1].get(c.lower())
@@ -123,7 +131,7 @@ class Permuter:
                 size = len(_HEX) if alphabets else len(self._letters(place[0]))
                 spots.append((i, place[0], size, c != c.lower()))
                 value, n = value * size + place[1], n * size
-        shape = "".join(f"{a},{size};" for _, a, size, _ in spots)
+        shape = "".join(f"{a},{size};" for _, a, size, _ in spots) + (text[-keep:].lower() if keep else "")
         value = self.permute(f"{tag}:{shape}", value, n)
         out = list(text)
         for i, a, size, upper in reversed(spots):
@@ -141,6 +149,34 @@ def luhn(digits: str) -> bool:
 class Surrogates:
     def __init__(self, key: bytes):
         self.keyed = Permuter(key)
+        self.known: dict[tuple[str, str], str] = {}
+        self.meant: dict[tuple[str, str], str] = {}
+
+    def of(self, kind: str, entity: str) -> str:
+        """The surrogate of an entity, checked against those that this task made: none may stand for two entities of a
+        type or for itself.  The task remembers 50,000 of them; over a whole table :func:`collisions` checks."""
+        new = self.known.get((kind, entity))
+        if new is None:
+            new = getattr(self, kind)(entity)
+            if len(self.known) >= 50_000:
+                self.known.clear()
+                self.meant.clear()
+            plain, old = (re.sub(r"\D", "", x) if kind in ("card", "phone", "ssn") else x.lower() for x in (new, entity))
+            if self.meant.setdefault((kind, plain), old) != old:
+                raise ValueError(f"two entities of type {kind} have one surrogate")
+            self.known[kind, entity] = new
+        return new
+
+    def token(self, text: str) -> str:
+        """The prefix that tells the service stays."""
+        head = re.match(r"AKIA|gh[pousr]_|sk-|xox[abprs]-", text)[0]
+        return head + self.keyed.word(f"token:{head}", text[len(head) :])
+
+    def ipv6(self, text: str) -> str:
+        """Groups change within their length; the first stays, as it tells the kind of address."""
+        head, _, rest = text.partition(":")
+        new = self.keyed.word("ipv6", rest, {c: (0, i) for i, c in enumerate(_HEX)})
+        return f"{head}:{new}"
 
     def _digits(self, tag: str, text: str, keep: int = 0, walk=None) -> str:
         """Replace the digits of a text after the first ``keep``, whatever stands between them."""
@@ -187,12 +223,12 @@ class Surrogates:
         return self._digits("ssn", text)
 
     def phone(self, text: str) -> str:
-        """The country code stays."""
-        code = re.match(r"\+(\d{1,3})(?=[ .\-(])", text)
-        return self._digits("phone", text, keep=len(code[1]) if code else 0)
+        """The first digit stays (of an international number it is the zone), however the number is written."""
+        return self._digits("phone", text, keep=1)
 
     def given(self, name: str, gender: str = "") -> str:
-        """A listed name becomes another of its script and gender; any other, a word of its shape that isn't listed."""
+        """A listed name becomes another of its script and gender; any other, a word of its shape and with its ending,
+        which is what tells the gender of most names, that isn't listed."""
         kind = _GIVEN.get(name.lower())
         if kind is None:
             return self.family(name)
@@ -202,45 +238,55 @@ class Surrogates:
         return new.upper() if name.isupper() else new
 
     def family(self, name: str) -> str:
+        """A word of the same shape and ending that is no listed name: one permutation for all names, so that a given
+        and a family name don't meet.  The ending tells the gender of Slavic and Greek family names too."""
         new = name
         while True:
-            new = self.keyed.word("family", new)
+            new = self.keyed.word("name", new, keep=int(len(name) > 2))
             if new.lower() not in _GIVEN:
                 return new
 
 
 def _names(text: str, made: Surrogates) -> list[tuple[int, int, str, str]]:
-    """Spans of person names with surrogates: after a title or starting with a listed given name, and then every later
-    or earlier mention of one of their parts in the same document."""
-    if not any(t in text for t in TITLES) and not _NAMED.search(text):
-        return []
+    """Spans of person names with surrogates: after a title or a cue, or starting with a listed given name, and then every
+    later or earlier mention of one of their parts in the same document, in capitals and (from four letters) in any case."""
+    found = [*_TITLED.finditer(text)] if any(t in text for t in TITLES) else []
+    found += [m for m in _CUED.finditer(text) if m["name"].split(" ")[1][0].isupper()] if any(c in text for c in CUES) else []
+    found += _NAMED.finditer(text)
     parts: dict[str, str] = {}
-    found = []
-    for m in [*_TITLED.finditer(text), *_NAMED.finditer(text)]:
-        words = (m["name"] if "title" in m.groupdict() else f"{m['given']} {m['family']}").split(" ")
-        start = m.start("name" if "title" in m.groupdict() else "given")
+    for m in found:
+        groups = m.groupdict()
+        titled = "title" in groups
         named = []
-        for w in words:
+        for w in (groups.get("name") or f"{m['given']} {m['family']}").split(" "):
             if not w[0].isupper():
                 break
             named.append(w)
+        if not named or not titled and len(named) < 2:
+            continue
         for i, w in enumerate(named):
-            gender = TITLES.get(m["title"], "") if "title" in m.groupdict() else ""
-            last = i == len(named) - 1 and (len(named) > 1 or "title" in m.groupdict())
-            listed = _GIVEN.get(w.lower())
-            parts.setdefault(w, made.given(w, gender) if not last or listed else made.family(w))
-        if named and ("title" in m.groupdict() or len(named) > 1):
-            found.append(start)
-    if not found:
+            last = i == len(named) - 1
+            if w.lower() not in parts:
+                new = made.family(w) if last and w.lower() not in _GIVEN else made.given(w)
+                parts[w.lower()] = new if not w.isupper() else new.title()
+    if not parts:
         return []
-    return [(m.start(), m.end(), "name", parts[m[0]]) for m in re.finditer(rf"(?<!\w)(?:{_alternatives(parts)})(?!\w)", text)] if parts else []
+    long, short = [w for w in parts if len(w) > 3], [w for w in parts if len(w) <= 3]
+    forms = [rf"(?i:{_alternatives(long)})"] if long else []
+    forms += [_alternatives([x for w in short for x in (w.title(), w.upper())])] if short else []
+    spans = []
+    for m in re.finditer(rf"(?<!\w)(?:{'|'.join(forms)})(?!\w)", text):
+        if (new := parts.get(m[0].lower())) is not None:
+            spans.append((m.start(), m.end(), "name", new.upper() if m[0].isupper() and len(m[0]) > 1 else new.lower() if m[0].islower() else new))
+    return spans
 
 
 def replace(text: str, made: Surrogates) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with surrogates, and the (type, entity, surrogate) of each replacement in order."""
     spans = []
-    if re.search(r"[@\d]|[0-9A-Fa-f]{32}", text):
-        spans += [(m.start(), m.end(), m.lastgroup, getattr(made, m.lastgroup)(m[0])) for m in _NUMERIC.finditer(text)]
+    if re.search(r"[@\d]|[0-9A-Fa-f]{32}|sk-|xox|gh[pousr]_|AKIA|::", text):
+        spans += [(m.start(), m.end(), m.lastgroup, made.of(m.lastgroup, m[0])) for m in _NUMERIC.finditer(text)]
+        spans += [(*m.span("phone"), "phone", made.of("phone", m["phone"])) for m in _SHORT_PHONE.finditer(text)]
     spans += _names(text, made)
     out, at, told = [], 0, []
     for a, b, kind, new in sorted(spans):
@@ -253,14 +299,16 @@ def replace(text: str, made: Surrogates) -> tuple[str, list[tuple[str, str, str]
 
 
 def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
-    """Replace e-mail addresses, phone numbers, IP addresses, card and account numbers, IBANs, social security
-    numbers, hexadecimal secrets and person names.
+    """Replace e-mail addresses, phone numbers, IP addresses (both kinds), card and account numbers, IBANs, social
+    security numbers, hexadecimal secrets, service keys and person names.  Persons are found by title, by what comes
+    before them or by a listed given name; a name without any of these is not found.
 
     Returns ``doc_id, n_entities, kinds`` (``type:count``, sorted, with commas), ``found`` (array of type, entity and
     surrogate), ``text`` (with surrogates, all else untouched) and ``rest`` (all other columns).
 
     Rows are documents; repeated rows have equal results.  A null text stays null with no entities; an empty table
-    gives no rows.  One pass without a shuffle: equal entities get equal surrogates everywhere, different ones of a
+    gives no rows.  Texts pass in slices of about 2 MB; of a longer one a worker holds that text and its entities.  One
+    pass without a shuffle: equal entities get equal surrogates everywhere, different ones of a
     type different ones (see :func:`collisions`, which verifies it over a whole table).
     """
     base = docs.select("doc_id", "text", others(docs, "doc_id", "text").alias("rest"))
@@ -291,5 +339,10 @@ def collisions(replaced: DataFrame) -> DataFrame:
     return told.groupBy("kind", "surrogate").agg(F.count("*").alias("entities")).where("entities > 1")
 
 
+#: Of the query, where the session has no ``spark.quillgraph.pii.key``: for tests and demonstrations, not for real data.
+DEMO_KEY = "quillgraph-surrogates-1"
+
+
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates(tables(spark, sf_dir, "documents").select("doc_id", "text"), b"quillgraph-surrogates-1").select("doc_id", "n_entities", "kinds", "text")
+    key = spark.conf.get("spark.quillgraph.pii.key", DEMO_KEY)
+    return surrogates(tables(spark, sf_dir, "documents").select("doc_id", "text"), key.encode()).select("doc_id", "n_entities", "kinds", "text")
