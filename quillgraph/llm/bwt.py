@@ -1,9 +1,9 @@
 """Burrows-Wheeler transforms of string collections and their merging by iterative interleave refinement.
 
 The merge follows Holt and McMillan: start from any interleave of the shards' transforms and apply, again and again,
-one stable bucket pass by the transform's symbols.  After h passes the interleave is right for the first h symbols of
+one stable bucket pass by the transform's symbols.  After h symbols the interleave is right for the first h symbols of
 all suffixes, and the passes show where neighbours part, so common prefixes come for free (Egidi and Manzini).  No
-suffix is sorted a second time.
+suffix is sorted a second time.  A pass takes two symbols at once, and only suffixes that are long enough go on.
 """
 
 from __future__ import annotations
@@ -62,68 +62,70 @@ FIRST = 7
 MOST = (1 << 21) - 2
 
 
-def merge(shards: list[Shard], strings: list[int], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave the shards in the order of the first ``depth`` symbols.  ``strings``: how many each shard has.
+def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave the shards in the order of the first ``depth`` symbols.
 
-    Returns (shard of each suffix, its place in the shard, number of its interval), in order.  Suffixes of one
-    interval share their first ``depth`` symbols; a suffix that ends before is alone in its interval."""
-    ends = sum(strings)
+    Returns (row, number of its interval), in order, of all suffixes of at least ``depth`` symbols; rows count through
+    the shards.  The suffixes of one interval share their first ``depth`` symbols."""
     starts = np.concatenate(([0], np.cumsum([len(s.places) for s in shards])))
     total = int(starts[-1])
-    before = np.concatenate([s.before for s in shards])
-    before = before.astype(np.uint8 if before.max(initial=0) < 256 else np.uint16)  # valid UTF-8 has no byte 0xFF
-    # the row of its shard's transform to which a row's symbol leads (last-to-first), as rows of all shards together
-    leads = np.empty(total, np.int32)
-    for k in range(len(shards)):
-        leads[starts[k] + np.argsort(before[starts[k] : starts[k + 1]], kind="stable")] = np.arange(starts[k], starts[k + 1])
-    # the interleave: a shard's rows always stand in their own order; the ends of strings stay in front
-    fixed = np.concatenate([np.arange(starts[k], starts[k] + m) for k, m in enumerate(strings)]).astype(np.int32)
-    row = np.concatenate([fixed, *(np.arange(starts[k] + m, starts[k + 1]) for k, m in enumerate(strings))]).astype(np.int32)
-    interval = np.zeros(total, np.int32)
-    for _ in range(depth):
-        symbols = before[row]
-        order = np.argsort(symbols, kind="stable")
-        ordered, came = symbols[order], interval[order]
-        row = leads[row[order]]
-        row[:ends] = fixed
-        new = np.concatenate(([True], (ordered[1:] != ordered[:-1]) | (came[1:] != came[:-1])))
-        new[:ends] = True
-        if ends < total:
-            new[ends] = True
-        interval = np.cumsum(new, dtype=np.int32) - 1
-        if interval[-1] == total - 1:  # all apart
-            break
-    of = (np.searchsorted(starts, row, "right") - 1).astype(np.uint8)
-    return of, np.concatenate([s.places for s in shards])[row], interval
+    one = np.concatenate([s.before for s in shards]).astype(np.uint16)
+    # last to first: the row of its shard to which a row's symbol leads; a string's first row leads nowhere
+    leads = np.zeros(total, np.int64)
+    for k, s in enumerate(shards):
+        row_of = np.empty(len(s.places), np.int64)
+        row_of[s.places] = np.arange(starts[k], starts[k + 1])
+        leads[starts[k] : starts[k + 1]] = row_of[s.places - 1]
+    # two symbols and two steps at once, with numbers for the symbols that occur, so that pairs take 16 bits
+    symbols = np.unique(one[one > 0])
+    number = np.zeros(258, np.uint16)
+    number[symbols] = np.arange(1, len(symbols) + 1)
+    wide = len(symbols) + 1
+    short = number[one]
+    second = short[leads]
+    pairs = np.where((short > 0) & (second > 0), second * np.uint16(wide) + short, np.uint16(0)) if wide <= 255 else None
+    twice = leads[leads]
+    row, interval, h = np.arange(total), np.zeros(total, np.int32), 0
+    while h < depth and len(row):
+        double = pairs is not None and depth - h >= 2
+        keys = (pairs if double else short)[row]
+        order = np.argsort(keys, kind="stable")
+        order = order[np.count_nonzero(keys == 0) :]  # what has no symbol before it ends here
+        keys, interval = keys[order], interval[order]
+        row = (twice if double else leads)[row[order]]
+        interval = np.cumsum(np.concatenate(([False], (keys[1:] != keys[:-1]) | (interval[1:] != interval[:-1]))), dtype=np.int32) if len(row) else interval
+        h += 2 if double else 1
+    return row, interval
 
 
 def repeated(strings: list[bytes], owners: np.ndarray, length: int, shards: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(string, offset) of every ``length`` bytes that also lie in a string of a smaller owner."""
     size = max(1, -(-sum(map(len, strings)) // shards))
-    parts, bases, counts, i = [], [], [], 0
+    parts, starts, base, i = [], [], 0, 0
+    places = []
     while i < len(strings):
         first, bytes_in = i, 0
         while i < len(strings) and (i == first or bytes_in + len(strings[i]) + 1 <= min(size, MOST)):
             bytes_in += len(strings[i]) + 1
             i += 1
+        if bytes_in > MOST:
+            raise ValueError(f"a string of over {MOST} bytes: cut it into pieces that overlap")
         lengths = np.array([len(s) for s in strings[first:i]])
         ends = np.cumsum(lengths + 1) - 1
         text = np.frombuffer(b"\0".join([*strings[first:i], b""]), np.uint8).astype(np.int16) + 1
         text[ends] = 0
         parts.append(Shard(text, ends))
-        bases.append((first, np.concatenate(([0], ends[:-1] + 1)), lengths))
-        counts.append(i - first)
-    of, places, interval = merge(parts, counts, length)
-    which = np.empty(len(of), np.int64)
-    offset = np.empty(len(of), np.int64)
-    whole = np.empty(len(of), bool)
-    for k, (first, starts, lengths) in enumerate(bases):
-        mine = of == k
-        s = np.searchsorted(starts, places[mine], "right") - 1
-        which[mine], offset[mine] = first + s, places[mine] - starts[s]
-        whole[mine] = offset[mine] + length <= lengths[s]
+        places.append(parts[-1].places + base)
+        starts.append(np.concatenate(([0], ends[:-1] + 1)) + base)
+        base += len(text)
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    row, interval = merge(parts, length)
+    if not len(row):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place, starts = np.concatenate(places)[row], np.concatenate(starts)
+    which = np.searchsorted(starts, place, "right") - 1
     own = owners[which]
-    least = np.full(interval[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, interval[whole], own[whole])
-    hit = whole & (own > least[interval])
-    return which[hit], offset[hit]
+    least = np.minimum.reduceat(own, np.flatnonzero(np.concatenate(([True], interval[1:] != interval[:-1]))))
+    hit = own > least[interval]
+    return which[hit], (place - starts[which])[hit]

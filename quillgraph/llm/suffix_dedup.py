@@ -1,17 +1,17 @@
 """Suffix-array dedup: bytes under a long string that also starts in an earlier document, by merging shard
 Burrows-Wheeler transforms.
 
-Sorting every suffix of the corpus isn't needed.  Every string of ``length`` bytes holds an anchor, the least hashed
-k-mer in it, which depends on these bytes only.  Equal strings have equal anchors, so only anchors that occur in
-several documents need any comparison, and each may be settled apart from the others:
+Suffixes that share ``length`` bytes have to meet; all suffixes of the corpus need not.  Every string of ``length`` bytes
+holds an anchor, the least hashed k-mer in it, which depends on these bytes only, so equal strings have equal anchors:
 
 1. one pass over the texts finds the anchors (one in about 18 bytes) with the strings that each stands for: their
-   union is the anchor's context.  Equal contexts of one batch are reduced to the smallest document at once, so a
-   passage that all documents share sends one row a batch, not one a document;
-2. anchors meet by hash.  Equal contexts are settled there; anchors with different contexts that agree in a further
-   16 bytes or so on one side ask for these bytes;
-3. the bytes asked for meet by anchor and side.  Each task splits them into shards, builds the shards' transforms and
-   merges them by iterative interleave refinement; intervals whose suffixes share ``length`` bytes are the repeats;
+   union is the anchor's context;
+2. anchors meet by hash.  An occurrence whose context seems to be an earlier document's asks for its bytes and that
+   document's (neighbouring contexts as one region); contexts that differ but agree in a further 16 bytes or so on one
+   side ask for theirs.  Nothing is decided here: hashes only say which bytes have to be compared;
+3. the bytes asked for meet by region of the earlier document, or by anchor and side.  Tasks split them into shards,
+   build the shards' transforms and merge them by iterative interleave refinement; the intervals whose suffixes share
+   ``length`` bytes are the repeats, and each byte that is removed comes from such an interval;
 4. the places found go back to their documents, which are cut in one pass.
 """
 
@@ -23,14 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .bwt import repeated
-from .common import others, shared_dir, tables
+from .common import cut, others, shared_dir, slices, tables
 
 KMER = 16
 _MULTIPLY = 0x9E3779B97F4A7C15
@@ -118,8 +118,17 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
 
 
-#: kind 0: an anchor; 1: bytes to remove, packed as first << 32 | stop; 2: bytes to compare.
-_ROW = "kind int, key long, context long, doc long, packed long"
+#: Bytes of an earlier document's text that one group of copies is compared with.
+REGION = 1 << 14
+#: kind 0: an anchor; 1: a context that seems to be that of ``owner``, ``delta`` bytes before.
+_ROW = "kind int, key long, context long, doc long, packed long, owner long, delta long"
+#: kind 1: such a context, a to b; 2: bytes a to b to compare under ``key``.
+_MET = "kind int, key long, doc long, a long, b long, owner long, delta long"
+_ASK = "doc long, key long, a long, b long"
+
+
+def _frame(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[n.split()[0] for n in names.split(", ")])
 
 
 def _scan(length: int, bits: int = 0):
@@ -160,15 +169,14 @@ def _one_piece(ids: np.ndarray, texts: list[bytes], length: int, bits: int = 0,
     least = doc[start][group] if len(key) else doc
     gone = doc >> bits != least >> bits
     packed = np.where(gone, _spans(first, last + length), at << 32 | (at - first) << 26 | (at - last) << 20 | found["after"][order] << 10 | found["ahead"][order])
-    # what is settled here only passes through the exchange, so it is spread by document
-    yield pa.RecordBatch.from_arrays([pa.array(gone.astype(np.int32)), pa.array(np.where(gone, doc, key)), pa.array(np.where(gone, 0, context)), pa.array(doc), pa.array(packed)], names=["kind", "key", "context", "doc", "packed"])
+    delta = first - first[start][group] if len(key) else first
+    # what is known here only passes through the exchange, so it is spread by document
+    yield _frame(_ROW, gone.astype(np.int32), np.where(gone, doc, key), np.where(gone, 0, context), doc, packed, np.where(gone, least, 0), np.where(gone, delta, 0))
 
 
 def _settle(length: int, shift: int):
-    """Rows in order of (kind, key, context, doc): equal contexts are settled, different ones ask for their bytes."""
-
-    def out(kind, key, context, doc, packed):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), pa.array(key), pa.array(context), pa.array(doc), pa.array(packed)], names=["kind", "key", "context", "doc", "packed"])
+    """Rows in order of (kind, key, context, doc): which bytes have to be compared."""
+    half = (length - KMER) // 2
 
     def whole(key, context, doc, packed):
         owner = doc >> shift
@@ -178,12 +186,12 @@ def _settle(length: int, shift: int):
         starts = np.flatnonzero(new_key)
         several = (np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts))[anchor]
         at, low, high = packed >> 32, packed >> 26 & 63, packed >> 20 & 63
-        gone = owner != owner[new_context][group]
-        if gone.any():
-            yield out(1, key[gone], context[gone], doc[gone], _spans(at - low, at - high + length)[gone])
-        # representatives of the contexts of anchors with several contexts, by side
-        mixed = several & ~gone & (np.bincount(anchor, new_context)[anchor] > 1)
-        half = (length - KMER) // 2
+        gone = np.flatnonzero(owner != owner[new_context][group])
+        if len(gone):
+            first = at - low
+            yield _frame(_MET, np.full(len(gone), 1, np.int32), doc[gone], doc[gone], first[gone], (at - high + length)[gone], doc[new_context][group][gone], (first - first[new_context][group])[gone])
+        # one row of each context of anchors with several contexts, by side
+        mixed = several & (owner == owner[new_context][group]) & (np.bincount(anchor, new_context)[anchor] > 1)
         for side, has, bits in ((0, high < half, packed >> 10 & 1023), (1, low >= half, packed & 1023)):
             k = np.flatnonzero(mixed & has)
             if not len(k):
@@ -196,15 +204,20 @@ def _settle(length: int, shift: int):
             differ = (np.minimum.reduceat(owner[k], at0) != np.maximum.reduceat(owner[k], at0))[cluster]
             k = k[differ]
             if len(k):
-                yield out(2, key[k], np.full(len(k), side, np.int64), doc[k], packed[k])
+                # strings with the anchor in their first half share what follows it, the others what precedes it
+                a = (at - np.minimum(low, half - 1) if side == 0 else at - low)[k]
+                b = (at - high if side == 0 else at - np.maximum(high, half))[k] + length
+                meet = _mix(key[k].view(np.uint64) + ((bits[k] << 1 | side) + 1).astype(np.uint64) * np.uint64(_MULTIPLY)).view(np.int64)
+                yield _frame(_MET, np.full(len(k), 2, np.int32), meet, doc[k], a, b, np.zeros(len(k), np.int64), np.zeros(len(k), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
-            kind, *rest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "context", "doc", "packed"))
-            passing = np.flatnonzero(kind == 1)
-            if len(passing):
-                yield out(1, *(x[passing] for x in rest))
+            kind, *rest, owner, delta = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "context", "doc", "packed", "owner", "delta"))
+            passing = kind == 1
+            if passing.any():
+                doc, packed = rest[2][passing], rest[3][passing]
+                yield _frame(_MET, kind[passing], doc, doc, packed >> 32, packed & 0xFFFFFFFF, owner[passing], delta[passing])
             rest = [x[kind == 0] for x in rest]
             if not len(rest[0]):
                 continue
@@ -221,30 +234,71 @@ def _settle(length: int, shift: int):
     return run
 
 
-def _fetch(length: int):
-    """Asked-for parts of contexts, with a key of anchor, side and the bytes next to the anchor on that side."""
-    half = (length - KMER) // 2
+def _regions(length: int, region: int = REGION):
+    """Rows in order of (doc, kind, owner, delta, a): contexts of one owner and shift that overlap or touch as one region,
+    cut where the owner's text is cut, with the owner's side of it; what is asked for by key passes through."""
+
+    def asked(doc, owner, delta, a, b) -> pa.RecordBatch:
+        first, last = (a - delta) // region, np.maximum(a - delta, b - delta - length) // region
+        n = last - first + 1
+        i = np.repeat(np.arange(len(doc)), n)
+        part = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        doc, owner, delta = doc[i], owner[i], delta[i]
+        x, y = np.maximum(a[i] - delta, part * region), np.minimum(b[i] - delta, (part + 1) * region + length - 1)
+        key = _mix(_mix(owner.view(np.uint64)) + part.astype(np.uint64) * np.uint64(_MULTIPLY)).view(np.int64)
+        # the owner's side in steps of 256 bytes, so that many copies ask for the same
+        own = np.unique(np.stack((owner, key, x & ~255, np.minimum(y + 255 & ~255, (part + 1) * region + length - 1))), axis=1)
+        return _frame(_ASK, np.concatenate((doc, own[0])), np.concatenate((key, own[1])), np.concatenate((x + delta, own[2])), np.concatenate((y + delta, own[3])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last region, which may go on in the next batch
         for batch in batches:
-            keys, strings, docs, firsts = [], [], [], []
-            columns = (batch.column(c).to_pylist() for c in ("doc", "asks"))
-            for text, doc, asks in zip(_texts(batch), *columns, strict=True):
-                for ask in asks:
-                    at, low, high = ask["packed"] >> 32, ask["packed"] >> 26 & 63, ask["packed"] >> 20 & 63
-                    # strings with the anchor in their first half share what follows it, the others what precedes it
-                    if ask["side"] == 0:
-                        a, b, near = at - min(low, half - 1), at - high, text[at + KMER : at + length - half + 1]
-                    else:
-                        a, b, near = at - low, at - max(high, half), text[at - half : at]
-                    keys.append(xxhash.xxh64_intdigest(near, ask["side"] * 2 + 1) ^ (ask["key"] & 0xFFFFFFFFFFFFFFFF))
-                    strings.append(text[a : b + length])
-                    docs.append(doc)
-                    firsts.append(a)
-                    if len(keys) >= 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(strings, pa.binary()), pa.array(docs, pa.int64()), pa.array(firsts, pa.int64())], names=["key", "part", "doc", "first"])
-                        keys, strings, docs, firsts = [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(strings, pa.binary()), pa.array(docs, pa.int64()), pa.array(firsts, pa.int64())], names=["key", "part", "doc", "first"])
+            kind, *more = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "doc", "a", "b", "owner", "delta"))
+            if (direct := kind == 2).any():
+                key, doc, a, b = (x[direct] for x in more[:4])
+                yield _frame(_ASK, doc, key, a, b)
+            _, doc, a, b, owner, delta = (x[~direct] for x in more)
+            if held is not None:
+                doc, owner, delta, a, b = (np.concatenate((h, x)) for h, x in zip(held, (doc, owner, delta, a, b), strict=True))
+            if not len(doc):
+                continue
+            new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1]) | (delta[1:] != delta[:-1]) | (a[1:] > b[:-1])))
+            begin = np.flatnonzero(new)
+            doc, owner, delta, a, b = doc[begin], owner[begin], delta[begin], a[begin], np.maximum.reduceat(b, begin)
+            held = [x[-1:] for x in (doc, owner, delta, a, b)]
+            if len(doc) > 1:
+                yield asked(doc[:-1], owner[:-1], delta[:-1], a[:-1], b[:-1])
+        if held is not None:
+            yield asked(*held)
+
+    return run
+
+
+def _fetch(length: int, limit: int = 1 << 23):
+    """The bytes asked for, about ``limit`` of them at a time, as slices of the column's buffer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = batch.column("text").cast(pa.large_binary())
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2], np.uint8)
+            asks = batch.column("asks")
+            of = np.repeat(np.arange(len(texts)), pc.list_value_length(asks).to_numpy(zero_copy_only=False))
+            flat = asks.flatten()
+            key, a, b = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("key", "a", "b"))
+            b = np.minimum(b, (offsets[1:] - offsets[:-1])[of])
+            good = b - a >= length
+            key, a, size, of = key[good], a[good], (b - a)[good], of[good]
+            doc = batch.column("doc").to_numpy(zero_copy_only=False)[of]
+            upto, i = np.cumsum(size), 0
+            while i < len(key):
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + limit, "right")))
+                n = size[i:j]
+                ends = np.concatenate(([0], np.cumsum(n)))
+                got = data[np.repeat(offsets[of[i:j]] + a[i:j] - ends[:-1], n) + np.arange(ends[-1])]
+                parts = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(got)])
+                yield _frame("key, part, doc, first", key[i:j], parts, doc[i:j], a[i:j])
+                i = j
 
     return run
 
@@ -253,6 +307,15 @@ def _compare(length: int, shift: int, chunk: int = 1 << 20):
     """Merge the transforms of the parts that meet, whole keys at a time, about ``chunk`` bytes together.  A key that
     goes on over batches and fills more than a chunk is merged piece by piece against what :class:`_Firsts` carries."""
 
+    def told(doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Strings that follow each other byte by byte as one span."""
+        if len(doc):
+            order = np.lexsort((start, doc))
+            doc, start = doc[order], start[order]
+            new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)))
+            last = np.concatenate((new[1:], [True]))
+            yield _frame("doc, packed", doc[new], _spans(start[new], start[last] + length))
+
     def merged(rows: list) -> Iterator[pa.RecordBatch]:
         key = np.concatenate([r[0] for r in rows])
         doc, first = (np.concatenate([r[i] for r in rows]) for i in (2, 3))
@@ -266,12 +329,7 @@ def _compare(length: int, shift: int, chunk: int = 1 << 20):
             return
         which, offset = repeated([strings[i] for i in keep], owner[keep], length)
         which = keep[which]
-        start = first[which] + offset
-        yield pa.RecordBatch.from_arrays([pa.array(doc[which]), pa.array(_spans(start, start + length))], names=["doc", "packed"])
-
-    def told(found: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if len(found[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(_spans(found[1], found[1] + length))], names=["doc", "packed"])
+        yield from told(doc[which], first[which] + offset)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -282,7 +340,7 @@ def _compare(length: int, shift: int, chunk: int = 1 << 20):
             i = 0
             if going is not None and len(key):
                 i = int(np.searchsorted(key != hot, True)) if key[-1] != hot else len(key)
-                yield from told(going.add(part[:i], doc[:i], first[:i]))
+                yield from told(*going.add(part[:i], doc[:i], first[:i]))
                 if i < len(key):
                     going = None
             while i < len(key):
@@ -305,7 +363,7 @@ def _compare(length: int, shift: int, chunk: int = 1 << 20):
                     held, size = [tail], sum(map(len, tail[1])) + len(tail[1])
                     if size >= chunk:
                         hot, going = tail[0][0], _Firsts(length, shift, chunk)
-                        yield from told(going.add(*tail[1:]))
+                        yield from told(*going.add(*tail[1:]))
                         held, size = [], 0
                 i = j
         if held and sum(len(r[0]) for r in held):
@@ -385,7 +443,7 @@ def _before_last_key(rows: list) -> tuple[list, tuple]:
 
 def _strip(schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, limit=1 << 22):
             kept, sizes, removed, runs = [], [], [], []
             for text, spans in zip(_texts(batch), batch.column("spans"), strict=True):
                 at, out, lost, n = 0, [], 0, 0
@@ -406,6 +464,23 @@ def _strip(schema: T.StructType):
     return run
 
 
+def _numbered(base: DataFrame) -> tuple[DataFrame, int]:
+    """``base`` with ``doc``, a number for each row in the order of doc_ids, null last; rows of one doc_id differ in the
+    lowest bits only.  Returns how many bits these are."""
+    ids = base.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("distinct"), F.min("doc_id").alias("bottom"), F.max("doc_id").alias("top")).first()
+    if ids.n == ids.distinct:
+        return base.withColumn("doc", F.col("doc_id").cast("long")), 0
+    # rows of one id are numbered in 64 parts, so that an id that many rows share isn't one task
+    part = F.pmod(F.xxhash64("text"), F.lit(64))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("text"))
+    base = base.withColumn("part", part).withColumn("nth", nth.cast("long") * 64 + F.col("part"))
+    bits = int(base.agg(F.max("nth")).first()[0]).bit_length()
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((ids.top or 0) + 1))
+    if max(abs(ids.bottom or 0), abs(ids.top or 0) + 1).bit_length() + bits > 62:
+        raise ValueError("doc_ids and the number of rows that share one take over 62 bits together: renumber the documents")
+    return base.withColumn("doc", F.shiftleft(key, bits) + F.col("nth")).drop("part", "nth"), bits
+
+
 def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     """Remove each byte under a ``length``-byte string that also starts in a document with a smaller doc_id.
 
@@ -416,32 +491,24 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     and each row keeps its own result.  A null text is empty and a null doc_id larger than all others.  Texts of under
     ``length`` bytes stay.  An empty table gives no rows.  Texts over 4 GB aren't supported (places take 32 bits).
 
-    What is compared grows with what is repeated, not with the corpus; see the module's text for the plan.
+    What is compared grows with what is repeated, not with the corpus; see the module's text for the plan.  Comparisons
+    run when this is called: what has to be compared is written to the shared folder, and deleted when the places found
+    are checkpointed.  A worker holds about 100 bytes for each byte of 1 MB of texts or parts, however many copies meet.
     """
     spark = docs.sparkSession
-    base = docs.select("doc_id", "text", others(docs, "doc_id", "text").alias("rest"))
-    ids = base.agg(F.count("*").alias("n"), F.count("doc_id").alias("some"), F.max("doc_id").alias("top"), F.count_distinct("doc_id").alias("distinct")).first()
-    if ids.n == ids.distinct:
-        shift, base = 0, base.withColumn("doc", F.col("doc_id").cast("long"))
-    else:
-        # repeated or missing ids: 16 more bits tell the rows of one doc_id apart
-        shift = 16
-        key = F.coalesce(F.col("doc_id"), F.lit((ids.top or 0) + 1))
-        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
-        base = base.withColumn("doc", F.shiftleft(key.cast("long"), shift) + nth)
+    base, shift = _numbered(docs.select("doc_id", "text", others(docs, "doc_id", "text").alias("rest")))
     rows = base.select("doc", "text").where(F.octet_length("text") >= length).mapInArrow(_scan(length, shift), _ROW)
-    # anchors meet by key; settled rows have kind 1 and come along
-    met = rows.repartition("key").sortWithinPartitions("kind", "key", "context", "doc")
+    met = rows.repartition("key").sortWithinPartitions("kind", "key", "context", "doc").mapInArrow(_settle(length, shift), _MET)
+    asks = met.repartition("doc").sortWithinPartitions("doc", "kind", "owner", "delta", "a").mapInArrow(_regions(length), _ASK)
     place = f"{shared_dir(spark).rstrip('/')}/suffix-{uuid.uuid4().hex}"
-    met.mapInArrow(_settle(length, shift), _ROW).write.partitionBy("kind").parquet(place)
-    settled = spark.read.schema(T._parse_datatype_string("key long, context long, doc long, packed long, kind int")).parquet(place)
-    asks = settled.where("kind = 2").groupBy("doc").agg(F.collect_list(F.struct("key", F.col("context").alias("side"), "packed")).alias("asks"))
-    whole = base.select("doc", "text")
-    parts = whole.join(asks, "doc").mapInArrow(_fetch(length), "key long, part binary, doc long, first long")
+    asks.write.parquet(place)
+    asks = spark.read.schema(_ASK).parquet(place).groupBy("doc").agg(F.collect_set(F.struct("key", "a", "b")).alias("asks"))
+    parts = base.select("doc", "text").join(asks, "doc").mapInArrow(_fetch(length), "key long, part binary, doc long, first long")
     # a key's parts arrive together, as many keys to a merge as fit a chunk
-    compared = parts.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_compare(length, shift), "doc long, packed long")
-    found = settled.where("kind = 1").select("doc", "packed").union(compared)
-    spans = found.groupBy("doc").agg(F.collect_list("packed").alias("spans"))
+    found = parts.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_compare(length, shift), "doc long, packed long")
+    spans = cut(found.groupBy("doc").agg(F.collect_list("packed").alias("spans")))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(place)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     both = base.join(spans, "doc", "left").select("doc_id", "text", "spans", "rest")
     schema = T.StructType([base.schema["doc_id"], *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").fields, base.schema["rest"]])
     return both.mapInArrow(_strip(schema), schema)

@@ -375,13 +375,13 @@ def test_suffix_stages_in_small_pieces(monkeypatch):
     batches = lambda frame, n: iter(pa.Table.from_pandas(frame, preserve_index=False).to_batches(max_chunksize=n))
     frame = lambda parts: pa.Table.from_batches(list(parts)).to_pandas()
     found = frame(suffix_dedup._scan(50)(iter([pa.RecordBatch.from_arrays([pa.array(list(t)), pa.array(list(t.values()))], names=["doc", "text"])])))
-    settled = frame(suffix_dedup._settle(50, 0)(batches(found.sort_values(["kind", "key", "context", "doc"]), 37)))
-    asks = settled[settled.kind == 2].groupby("doc")
-    told = pa.RecordBatch.from_arrays([pa.array(list(asks.groups)), pa.array([t[d] for d in asks.groups]), pa.array([[{"key": k, "side": c, "packed": p} for k, c, p in zip(g.key, g.context, g.packed, strict=True)] for _, g in asks])], names=["doc", "text", "asks"])
-    parts = frame(suffix_dedup._fetch(50)(iter([told])))
+    met = frame(suffix_dedup._settle(50, 0)(batches(found.sort_values(["kind", "key", "context", "doc"]), 37)))
+    asks = frame(suffix_dedup._regions(50, region=512)(batches(met.sort_values(["doc", "kind", "owner", "delta", "a"]), 23))).groupby("doc")
+    told = pa.RecordBatch.from_arrays([pa.array(list(asks.groups)), pa.array([t[d] for d in asks.groups]), pa.array([g[["key", "a", "b"]].to_dict("records") for _, g in asks])], names=["doc", "text", "asks"])
+    parts = frame(suffix_dedup._fetch(50, limit=3_000)(iter([told])))
     compared = frame(suffix_dedup._compare(50, 0, chunk=5_000)(batches(parts.sort_values(["key", "doc"]), 61)))
     gone = {d: bytearray(len(x)) for d, x in t.items()}
-    for d, p in pd.concat([settled[settled.kind == 1][["doc", "packed"]], compared]).itertuples(index=False):
+    for d, p in compared.itertuples(index=False):  # all that is removed comes from merged intervals
         gone[d][p >> 32 : p & 0xFFFFFFFF] = b"\1" * ((p & 0xFFFFFFFF) - (p >> 32))
     want = brute_removed([(d, x.encode()) for d, x in t.items()])
     assert {d: sum(g) for d, g in gone.items()} == {d: want[d][1] for d in t}
@@ -403,7 +403,7 @@ def test_suffix_compares_a_hot_key_over_batches(shift):
             if least.setdefault((k, part[i : i + 50]), doc >> shift) < doc >> shift:
                 want.add((doc, first + i))
     for rows_a_batch, chunk in ((100, 5_000), (90, 9_000), (400, 1 << 20)):
-        got = [(d, p >> 32) for b in suffix_dedup._compare(50, shift, chunk=chunk)(iter(table.to_batches(rows_a_batch))) for d, p in zip(b["doc"].to_pylist(), b["packed"].to_pylist(), strict=True)]
+        got = [(d, i) for b in suffix_dedup._compare(50, shift, chunk=chunk)(iter(table.to_batches(rows_a_batch))) for d, p in zip(b["doc"].to_pylist(), b["packed"].to_pylist(), strict=True) for i in range(p >> 32, (p & 0xFFFFFFFF) - 49)]
         assert set(got) == want and len(want) > 1_000
 
 
