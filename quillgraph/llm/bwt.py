@@ -12,10 +12,11 @@ import numpy as np
 
 
 class Shard:
-    """The transform of some strings: suffixes in order, each with its place and the symbol before it.  Symbol 0 ends
-    a string; ends are ordered as the strings are."""
+    """The transform of some strings: suffixes in the order of their first ``depth`` symbols at least (a Burrows-Wheeler
+    transform of limited depth), each with its place and the symbol before it.  Symbol 0 ends a string; ends are ordered
+    as the strings are."""
 
-    def __init__(self, text: np.ndarray, ends: np.ndarray):
+    def __init__(self, text: np.ndarray, ends: np.ndarray, depth: int):
         """``text``: symbols, bytes as 1 to 256 and 0 at each end; ``ends``: the places of the 0s, in order."""
         n = len(text)
         # seven symbols to a key; what follows a string's end counts as 0, and suffixes that end within the key are
@@ -27,33 +28,31 @@ class Shard:
         for i in range(FIRST):
             key <<= 9
             key |= np.where(left >= i, padded[i : i + n], 0)
-        rank, width = _ranks(key, left < FIRST), FIRST
-        while rank.max() < n - 1:
+        self.places, rank, width = *_ranks(key, left < FIRST), FIRST
+        while width < depth and rank[self.places[-1]] < n - 1:
             # three ranks of at most 21 bits to a key: 7, 21, 63, 189 symbols
             key = rank << 42
             key[:-width] |= (rank[width:] + 1) << 21
             if 2 * width < n:
                 key[: -2 * width] |= rank[2 * width :] + 1
-            rank = _ranks(key)
+            self.places, rank = _ranks(key)
             width *= 3
-        self.places = np.empty(n, np.int64)
-        self.places[rank] = np.arange(n)
         starts = np.concatenate(([0], ends[:-1] + 1))
         before = np.concatenate((text[-1:], text[:-1]))
         before[starts] = 0
         self.before = before[self.places]
 
 
-def _ranks(keys: np.ndarray, apart: np.ndarray | None = None) -> np.ndarray:
-    """The ranks of keys; those that are ``apart`` share none."""
-    order = np.argsort(keys, kind="stable")
+def _ranks(keys: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys, and their ranks; those that are ``apart`` share none."""
+    order = np.argsort(keys, kind=None if apart is None else "stable")
     ordered = keys[order]
     new = ordered[1:] != ordered[:-1]
     if apart is not None:
         new |= apart[order][1:]
     rank = np.empty(len(keys), np.int64)
     rank[order] = np.concatenate(([0], np.cumsum(new)))
-    return rank
+    return order, rank
 
 
 #: Symbols of 9 bits in a first key.
@@ -99,10 +98,33 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated(strings: list[bytes], owners: np.ndarray, length: int, shards: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(string, offset) of every ``length`` bytes that also lie in a string of a smaller owner."""
+    """(string, offset) of every ``length`` bytes that also lie in a string of a smaller owner.
+
+    Equal strings have equal suffixes: they are in the transforms once, and each has its own owner when the intervals
+    are read."""
+    known: dict[bytes, int] = {}
+    same = np.fromiter((known.setdefault(s, len(known)) for s in strings), np.int64, len(strings))
+    firsts = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(firsts, same, owners)
+    of, offset, least = _least(list(known), firsts, length, shards)
+    if not len(of):
+        return of, offset
+    # rows by string, then once for each string that is equal
+    order = np.argsort(of, kind="stable")
+    offset, least = offset[order], least[order]
+    n = np.bincount(of, minlength=len(known))
+    begin, count = (np.cumsum(n) - n)[same], n[same]
+    which = np.repeat(np.arange(len(strings)), count)
+    at = np.arange(len(which)) + np.repeat(begin - (np.cumsum(count) - count), count)
+    hit = owners[which] > least[at]
+    return which[hit], offset[at[hit]]
+
+
+def _least(strings: list[bytes], owners: np.ndarray, length: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, offset, smallest owner of its interval) of every ``length`` bytes of different strings."""
+    none = np.zeros(0, np.int64)
     size = max(1, -(-sum(map(len, strings)) // shards))
-    parts, starts, base, i = [], [], 0, 0
-    places = []
+    parts, starts, places, base, i = [], [], [], 0, 0
     while i < len(strings):
         first, bytes_in = i, 0
         while i < len(strings) and (i == first or bytes_in + len(strings[i]) + 1 <= min(size, MOST)):
@@ -110,22 +132,17 @@ def repeated(strings: list[bytes], owners: np.ndarray, length: int, shards: int
             i += 1
         if bytes_in > MOST:
             raise ValueError(f"a string of over {MOST} bytes: cut it into pieces that overlap")
-        lengths = np.array([len(s) for s in strings[first:i]])
-        ends = np.cumsum(lengths + 1) - 1
+        ends = np.cumsum(np.array([len(s) for s in strings[first:i]]) + 1) - 1
         text = np.frombuffer(b"\0".join([*strings[first:i], b""]), np.uint8).astype(np.int16) + 1
         text[ends] = 0
-        parts.append(Shard(text, ends))
+        parts.append(Shard(text, ends, length))
         places.append(parts[-1].places + base)
         starts.append(np.concatenate(([0], ends[:-1] + 1)) + base)
         base += len(text)
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    row, interval = merge(parts, length)
+    row, interval = merge(parts, length) if parts else (none, none)
     if not len(row):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none, none
     place, starts = np.concatenate(places)[row], np.concatenate(starts)
-    which = np.searchsorted(starts, place, "right") - 1
-    own = owners[which]
-    least = np.minimum.reduceat(own, np.flatnonzero(np.concatenate(([True], interval[1:] != interval[:-1]))))
-    hit = own > least[interval]
-    return which[hit], (place - starts[which])[hit]
+    of = np.searchsorted(starts, place, "right") - 1
+    least = np.minimum.reduceat(owners[of], np.flatnonzero(np.concatenate(([True], interval[1:] != interval[:-1]))))
+    return of, place - starts[of], least[interval]

@@ -246,8 +246,9 @@ def _regions(length: int, region: int = REGION):
         doc, owner, delta = doc[i], owner[i], delta[i]
         x, y = np.maximum(a[i] - delta, part * region), np.minimum(b[i] - delta, (part + 1) * region + length - 1)
         key = _mix(_mix(owner.view(np.uint64)) + part.astype(np.uint64) * np.uint64(_MULTIPLY)).view(np.int64)
-        # the owner's side in steps of 256 bytes, so that many copies ask for the same
-        own = np.unique(np.stack((owner, key, x & ~255, np.minimum(y + 255 & ~255, (part + 1) * region + length - 1))), axis=1)
+        # the owner's side of a long region in steps of 256 bytes, so that copies that differ a little ask for the same
+        far = y - x > 2_048
+        own = np.unique(np.stack((owner, key, np.where(far, x & ~255, x), np.where(far, np.minimum(y + 255 & ~255, (part + 1) * region + length - 1), y))), axis=1)
         return _frame(_ASK, np.concatenate((doc, own[0])), np.concatenate((key, own[1])), np.concatenate((x + delta, own[2])), np.concatenate((y + delta, own[3])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
