@@ -176,6 +176,32 @@ def test_imatch_fingerprint_by_hand(spark):
     assert held == set(hashes)
 
 
+def test_imatch_by_brute_force(spark, duck):
+    """Fingerprints from their definition: band terms, sorted, drawn into each lexicon by a hash, hashed in order."""
+    import math
+    from collections import Counter
+
+    import regex
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    le = lambda v, n: v.to_bytes(n, "little", signed=True)
+    t = texts(duck)
+    terms = {d: {signed(xxhash.xxh64_intdigest(w, 42)) for w in regex.split(r"[^\p{L}\p{N}]+", x.lower()) if w} for d, x in t.items()}
+    df, n = Counter(h for s in terms.values() for h in s), len(t)
+    band = {h for h, k in df.items() if n * math.exp(-5.0) <= k <= n * math.exp(-2.0)}
+    for r in registry.QUERIES["op3_imatch"](spark, DATA).collect():
+        own, out = sorted(terms[r.doc_id] & band), []
+        for i, most in enumerate(imatch.LEXICONS):
+            seed, state, some = xxhash.xxh64_intdigest(le(i // 8, 4), 42), 42, False
+            for h in own:
+                g = xxhash.xxh64_intdigest(le(h, 8), seed)
+                if (g >> 8 * (i % 8)) & 255 < most:
+                    state, some = xxhash.xxh64_intdigest((g).to_bytes(8, "little"), state), True
+            out.append(f"{state & 0xFFFFFFFF if some else 0:08x}")
+        assert r.fingerprint == "".join(out)
+
+
 def test_imatch_odd(spark):
     rows = imatch.edit_study(odd(spark)).collect()
     assert len(rows) == len(ODD)
@@ -421,6 +447,13 @@ def test_line_dedup_odd(spark):
     assert sum(map(len, got.values())) == len(rows) and line_dedup.line_dedup(odd(spark, [])).count() == 0
 
 
+def test_line_dedup_counts_documents_not_rows(spark, duck):
+    line = "a line of over twenty characters"
+    rows = [(1, line), (2, line), (2, line + "\nmore"), (3, f"{line}s"), (4, f"{line}s"), (5, f"{line}s"), (5, f"{line}s\n{line}s")]
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.line_dedup(odd(spark, rows)).collect())
+    assert got == [(1, 1, 0, line), (2, 1, 0, line), (2, 2, 0, line + "\nmore"), (3, 1, 1, ""), (4, 1, 1, ""), (5, 1, 0, f"{line}s"), (5, 2, 0, f"{line}s\n{line}s")]
+
+
 # 9
 
 
@@ -509,6 +542,68 @@ def test_pipeline_stages(spark):
     assert set(got.doc_id) == {r.doc_id for r in docs.collect()} and (got.taken == got.copies * got["size"]).all()
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_stages_on_odd_and_empty_tables(spark, k):
+    """Nulls, empty texts, repeated rows and ids, columns whose names clash: each stage keeps the columns and clean rows."""
+    import corpus_pipeline as P
+
+    name, stage = P.STAGES[k]
+    got = stage(spark, odd(spark), DATA)
+    if k < 4:
+        assert got.columns == odd(spark).columns
+    rows = got.collect()
+    if name == "simhash near-dedup":
+        assert len(rows) < len(ODD) and {r.text for r in rows if r.text and r.text.strip()} == {t for _, t in ODD if t and t.strip()}
+    else:
+        assert len(rows) == len(ODD) and all(r.rest == "r" and r.bucket == "b" for r in rows)
+    assert stage(spark, odd(spark, []), DATA).count() == 0
+
+
+def test_pipeline_ends_with_the_mixed_texts(spark):
+    import corpus_pipeline as P
+
+    docs = odd(spark, [*ODD, (10, "same text here")])
+    got = P.mix_sources(spark, docs, DATA).collect()
+    assert sorted(str((r.doc_id, r.text, r.source)) for r in got) == sorted(str((r.doc_id, r.text, r.source)) for r in docs.collect())
+    assert all(r.taken == r.copies * r.mix_size and r.size == "z" for r in got)
+
+
+# texts of several MB
+
+
+def test_long_texts():
+    """One text of about 5 MB in each operator that reads texts in Python."""
+    import public_tokenizers
+    import sentencepiece
+    import xxhash
+
+    r = random.Random(8)
+    some = [f"word{i}" for i in range(5000)]
+    text = " ".join(r.choice(some) for _ in range(600_000)) + " Mail a.b@mail7.example.com, an 1d10t. " + "x" * 300_000
+    assert len(text) > 5_000_000
+    new, told = pii.replace(text, pii.Surrogates(b"k"))
+    assert [k for k, _, _ in told] == ["email"] and len(new) == len(text)
+    windows = decontaminate.Windows([(1, " ".join(text.split()[300_000:300_010]).encode())], 10)
+    ids = np.array([windows.vocabulary.get(w, 0) for w in decontaminate.words(text.encode())], dtype=np.int64)
+    assert [(p, n) for p, n, _ in windows.hits(ids)] == [(300_000, 10)]
+    w = text.lower().split()
+    h = [xxhash.xxh64_intdigest(" ".join(x), 42) for x in zip(w, w[1:], w[2:])]
+    counts = np.unpackbits(np.array(h, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    assert simhash.fingerprint(text.encode()) == int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    part = text[:1_000_000] + text[-310_000:-290_000]
+    assert token_counts.Lengths(path, {}).count(part) == len(sentencepiece.SentencePieceProcessor(model_file=path).encode(part))
+    assert "an idiot." in model_of(" an idiot mail " * 50).restore(text)
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    r = random.Random(9)
+    block = "".join(r.choice("abcdefghijklmnop ") for _ in range(2_500_000))
+    docs = spark.createDataFrame([(1, block), (2, "own start " + block[700_000:] + " own end"), (3, block[:30])], "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in suffix_dedup.suffix_dedup(docs).drop("kept").collect()}
+    assert got == {1: (2_500_000, 0, 0), 2: (1_800_018, 1_800_000, 1), 3: (30, 0, 0)}
+
+
 def test_pipeline_keeps_one_of_a_group(spark):
     import corpus_pipeline as P
 
