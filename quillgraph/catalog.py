@@ -700,7 +700,16 @@ def token_overlap(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.arrays_overlap(a, F.array(F.lit("x"))).alias("shares"), F.size(F.array_intersect(a, b)).cast("bigint").alias("both_"), F.size(F.array_union(a, b)).cast("bigint").alias("either"))
 
 
+@query(f"""{SQL_CHUNKS} SELECT document_id, CAST(chunk_id AS BIGINT) AS chunk_id, CASE WHEN document_id % 3 <> 0 THEN '> ' || text END AS analysis_text FROM c""")
+def resolved_texts(spark, sf_dir):
+    """TXT-10, JOIN-14: chunks take their resolved texts where both sides have equally many; document_id % 3 = 0 has one more."""
+    chunks = graph.cut(chunking.sentence_chunks(normal_docs(spark, sf_dir)))
+    more = chunks.where("chunk_id = 0 AND document_id % 3 = 0").withColumn("chunk_id", F.lit(-1))
+    resolved = chunks.union(more).withColumn("text", F.concat(F.lit("> "), "text"))
+    return counted(windows.with_resolved_texts(chunks, resolved).select("document_id", "chunk_id", "analysis_text"), "chunk_id")
+
+
 @query("SELECT document_id, CAST(0 AS BIGINT) AS clusters, FALSE AS changed FROM (SELECT doc_id AS document_id FROM documents)")
 def coreference_noop(spark, sf_dir):
-    """TXT-07, TXT-10, AGG-18, JOIN-14."""
+    """TXT-07: without a resolver, texts stay and no cluster is told."""
     return counted(coreference.coreference_stats(coreference.no_coreference(docs(spark, sf_dir).na.fill("", ["text"]))), "clusters")
