@@ -297,6 +297,59 @@ def test_simhash_query(spark, duck):
         assert (r.fingerprint, r.component_id) == (f"{fps[r.doc_id]:016x}", want[r.doc_id])
 
 
+def edited(rng, words, changes):
+    at = set(rng.sample(range(len(words)), changes))
+    return " ".join(f"new{i}" if i in at else w for i, w in enumerate(words))
+
+
+def shingle_set(text, size=5):
+    words = text.lower().split()
+    return {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def test_similar_finds_what_brute_force_finds(spark):
+    """Pairs well above 0.8 are linked, pairs well below are not; 64-bit fingerprints miss most of them."""
+    rng = random.Random(5)
+    rows, alike, unlike = [], [], []
+    for n, changes in [(300, 1), (300, 2), (300, 3), (800, 5), (800, 9), (120, 1)] * 8 + [(300, 24), (800, 64)] * 8:
+        words = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        a, b = " ".join(words), edited(rng, words, changes)
+        x, y = shingle_set(a), shingle_set(b)
+        likeness = len(x & y) / len(x | y)
+        (alike if likeness > 0.88 else unlike).append((len(rows), len(rows) + 1))
+        assert likeness > 0.88 or likeness < 0.65
+        rows += [(len(rows), a), (len(rows) + 1, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    of = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 3, 5, 0.8).collect()}
+    assert len(of) == len(rows)
+    assert all(of[a] == of[b] for a, b in alike) and not any(of[a] == of[b] for a, b in unlike)
+    assert len(set(of.values())) == len(rows) - len(alike)
+    alone = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 3, 5).collect()}
+    assert sum(alone[a] == alone[b] for a, b in alike) < len(alike) * 0.7
+
+
+def test_similar_in_a_large_group_and_on_odd_rows(spark):
+    """A thousand near copies of one text are one class although no group is expanded into its pairs."""
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    docs = spark.createDataFrame([(i, edited(rng, words, 1)) for i in range(1_000)], "doc_id long, text string")
+    assert {r.component_id for r in simhash.near_duplicates(docs, 3, 5, 0.8).collect()} == {0}
+    rows = simhash.near_duplicates(odd(spark), 3, 5, 0.8).collect()
+    assert len(rows) == len(ODD) and len({r.component_id for r in rows if r.doc_id in (1, 2, 3)}) == 1
+    assert {r.component_id for r in rows if r.doc_id in (7, 8, 10)} == {7}
+    assert simhash.near_duplicates(odd(spark, []), 3, 5, 0.8).count() == 0
+
+
+def test_wide_fingerprints_estimate_angles():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 64, 4_000, dtype=np.uint64)
+    for share in (0.0, 0.5, 0.9, 1.0):
+        b = np.concatenate([a[: int(share * 4_000)], rng.integers(0, 1 << 64, 4_000 - int(share * 4_000), dtype=np.uint64)])
+        x, y = simhash.wide_fingerprints([a, b])
+        assert abs(np.cos(np.pi * np.bitwise_count((x ^ y).view(np.uint64)).sum() / simhash.WIDE) - share) < 0.12
+    assert (simhash.wide_fingerprints([np.zeros(0, np.uint64)]) == 0).all()
+
+
 def test_fingerprint_by_hand():
     import xxhash
 
