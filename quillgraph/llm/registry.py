@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, entropy_mix, imatch, line_dedup, pii, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from . import decontaminate, entropy_mix, imatch, line_dedup, pii, runs, simhash, spellings, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
@@ -15,5 +15,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_toxicity_deobfuscation": toxicity.op10_toxicity_deobfuscation,
+    "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_spelling_variants": spellings.op13_spelling_variants,
 }
 ORACLES = {"op2_decontaminate": decontaminate.OP2_SQL, "op8_line_dedup": line_dedup.OP8_SQL, "op9_url_filter": url_filter.OP9_SQL}
