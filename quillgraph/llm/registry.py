@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, entropy_mix, imatch, line_dedup, pii, runs, simhash, spellings, suffix_dedup, token_counts, toxicity, url_filter
+from . import decontaminate, entropy_mix, imatch, line_dedup, maxent_lm, pii, runs, simhash, spellings, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_toxicity_deobfuscation": toxicity.op10_toxicity_deobfuscation,
+    "op11_maxent_lm": maxent_lm.op11_maxent_lm,
     "op12_periodic_runs": runs.op12_periodic_runs,
     "op13_spelling_variants": spellings.op13_spelling_variants,
 }
