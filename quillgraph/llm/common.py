@@ -22,12 +22,16 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares, from ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder that every executor shares, from ``spark.checkpoint.dir``.  Where it is unset, a local session (as in
+    tests) gets a temporary one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
         current = spark.sparkContext.getCheckpointDir()
     return current

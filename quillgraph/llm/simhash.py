@@ -19,6 +19,8 @@ SHINGLE, SEED = 3, 42
 FAN = 16
 #: Codes of a set of shingles, shingles in a code, and bits of the fingerprint that candidates are measured by.
 CODES, SAMPLE, WIDE = 10, 4, 1_024
+#: Four standard errors of the wide fingerprint's estimate: what it puts further below a threshold is under it.
+MARGIN = 0.12
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -146,11 +148,12 @@ class Union:
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE, sketched: bool = False) -> DataFrame:
     """``docs(doc_id, text, ...)`` with the text replaced by ``fp`` (a long with the bits of the fingerprint) and, where
-    asked, ``sketch``: the number of distinct shingles, their sampled codes and their wide fingerprint."""
+    asked, ``sketch``: the number of distinct shingles, their sampled codes and their wide fingerprint; ``sign`` is a hash of the
+    set of shingles."""
     schema = T.StructType([*docs.drop("text").schema.fields, T.StructField("fp", T.LongType())])
     if sketched:
         longs = T.ArrayType(T.LongType(), False)
-        schema = T.StructType([*schema.fields, T.StructField("terms", T.LongType()), T.StructField("codes", longs), T.StructField("wide", longs)])
+        schema = T.StructType([*schema.fields, T.StructField("sign", T.LongType()), T.StructField("terms", T.LongType()), T.StructField("codes", longs), T.StructField("wide", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in slices(batches):
@@ -167,6 +170,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, sketched: bool = False) -
                         codes.append(fingerprint(text or b"", size))
                 kept.append(pa.array(np.array(codes, dtype=np.uint64).view(np.int64)))
                 if sketched:
+                    kept.append(pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], dtype=np.uint64).view(np.int64)))
                     kept.append(pa.array([len(h) for h in sets], pa.int64()))
                     for rows in (np.stack([sampled_codes(h) for h in sets]), wide_fingerprints(sets)):
                         kept.append(pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel())))
@@ -176,25 +180,53 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, sketched: bool = False) -
     return made.withColumn("sketch", F.struct("terms", "codes", "wide")).drop("terms", "codes", "wide") if sketched else made
 
 
-def similar(sketches: DataFrame, least: float) -> DataFrame:
-    """Edges ``(a, b)`` between codes ``sketches(fp, sketch)`` whose shingle sets have a Jaccard similarity of about
-    ``least`` or more.
+def candidates(nodes: DataFrame, limit: int, least: float) -> DataFrame:
+    """Pairs ``(a, b, about)`` of ``nodes(sign, fp, sketch)`` whose sets of shingles may have a Jaccard similarity of
+    ``least`` or more, with its estimate.
 
-    Candidates share a sampled code: each member of a code's group meets two members that the code picks, so a group of
-    any size costs two rows a member, and the next codes pick others.  Their similarity is read from the bits in which
-    the wide fingerprints differ and the sizes of the sets (standard error 0.03 at 0.8).  Texts don't move.
+    Pairs come from the Gray-order index (fingerprints within ``limit`` bits) and from shared sampled codes: each member
+    of a code's group meets two members that the code picks, so a group of any size costs two rows a member, and the next
+    codes pick others.  The bits in which the wide fingerprints differ and the sizes of the sets tell their similarity
+    with a standard error of 0.03 at 0.8; what is ``MARGIN`` below goes.
     """
-    each = sketches.where("sketch.terms > 0").select("fp", F.explode("sketch.codes").alias("code"))
-    lot = F.col("fp").bitwiseXOR(F.col("code"))
+    full = nodes.where("sketch.terms > 0").select("sign", "fp", "sketch")
+    heads = cut(full.groupBy("fp").agg(F.min("sign").alias("head")))
+    same = full.join(heads, "fp").where("sign <> head").select(F.col("sign").alias("a"), F.col("head").alias("b"))
+    near = links(heads.select("fp"), limit)
+    for c in ("a", "b"):
+        near = near.join(heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head")), c)
+    each = full.select("sign", F.explode("sketch.codes").alias("code"))
+    lot = F.col("sign").bitwiseXOR(F.col("code"))
     picks = each.groupBy("code").agg(F.min(lot).alias("one"), F.max(lot).alias("two")).where("one <> two")
     picks = cut(picks.select("code", *[F.col(c).bitwiseXOR(F.col("code")).alias(c) for c in ("one", "two")]))
-    met = each.join(picks, "code").select("fp", F.explode(F.array("one", "two")).alias("other")).where("fp <> other")
-    met = met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+    met = each.join(picks, "code").select(F.col("sign").alias("a"), F.explode(F.array("one", "two")).alias("b"))
+    pairs = met.union(same).union(near.select("a_head", "b_head")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for c in ("a", "b"):
-        met = met.join(sketches.select(F.col("fp").alias(c), F.col("sketch").alias(f"{c}_")), c)
+        pairs = pairs.join(full.select(F.col("sign").alias(c), F.struct("sketch.terms", "sketch.wide").alias(f"{c}_")), c)
     differ = sum(F.bit_count(F.col("a_.wide")[i].bitwiseXOR(F.col("b_.wide")[i])) for i in range(WIDE // 64))
     common = F.cos(differ * (math.pi / WIDE)) * F.sqrt(F.col("a_.terms") * F.col("b_.terms"))
-    return met.where(common >= least * (F.col("a_.terms") + F.col("b_.terms") - common)).select("a", "b")
+    about = common / (F.col("a_.terms") + F.col("b_.terms") - common)
+    return pairs.select("a", "b", about.alias("about")).where(F.col("about") >= least - MARGIN)
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """The ``pairs(a, b)`` of ``nodes(sign, least, mark)`` with a Jaccard similarity of ``least`` or more, counted from
+    the shingles of one text of each.  ``docs(doc_id, text, mark)``."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sign")).distinct().join(nodes, "sign").select("sign", "least", F.col("mark").alias("of"))
+    # a text that many rows have is spread by the ids, of which one is wanted
+    texts = docs.join(wanted, (F.col("mark") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("sign", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(np.concatenate(list(shingles(t, size)))).astype(np.uint64).view(np.int64) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)])
+            yield pa.RecordBatch.from_arrays([batch.column("sign"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["sign", "terms"])
+
+    sets = cut(texts.mapInArrow(run, "sign long, terms array<long>").dropDuplicates(["sign"]))
+    for c in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("sign").alias(c), F.col("terms").alias(f"{c}_terms")), c)
+    common = F.size(F.array_intersect("a_terms", "b_terms"))
+    return pairs.where(common >= least * (F.size("a_terms") + F.size("b_terms") - common)).select("a", "b")
 
 
 def links(codes: DataFrame, limit: int = 2, block: int = 8_192, many: int = 8_192, least_blocks: int = 64, group: int = 64) -> DataFrame:
@@ -314,10 +346,9 @@ def _planted(held: list[np.ndarray]) -> tuple[GrayIndex, Union, np.ndarray]:
     return GrayIndex(codes), Union(len(codes)), codes
 
 
-def near_duplicates(docs: DataFrame, limit: int = 2, size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, limit: int = 2, size: int = SHINGLE) -> DataFrame:
     """The class of near-duplicates of each document: fingerprints of ``size``-word shingles within ``limit`` bits are
-    linked and, if ``similarity`` is given, texts whose sets of shingles have about that Jaccard similarity or more
-    (``similar``), which 64 bits alone can't tell.
+    linked.
 
     Returns ``doc_id, fp, component_id`` (the smallest doc_id that links reach, the document's own included),
     ``rest`` (all other columns but the text) and ``root`` (a fingerprint that names the class, ids or not).
@@ -327,22 +358,53 @@ def near_duplicates(docs: DataFrame, limit: int = 2, size: int = SHINGLE, simila
     unless a class has no other.  An empty table gives no rows.
 
     Documents are first reduced to distinct fingerprints (partial sums: a group of copies is one row a task).  Of a very
-    long text a worker holds the words (about 60 bytes each) and 65,536 shingles at a time; for ``similarity`` also 8
-    bytes a shingle, and each document writes 212 bytes of sketch.
+    long text a worker holds the words (about 60 bytes each) and 65,536 shingles at a time.
     """
-    marked = cut(fingerprints(docs.select("doc_id", "text", others(docs, "doc_id", "text").alias("rest")), size, similarity is not None))
-    least = F.min("doc_id").alias("least")
-    codes = cut(marked.groupBy("fp").agg(*([least] if similarity is None else [least, F.min("sketch").alias("sketch")])))
-    edges = links(codes.select("fp"), limit)
-    if similarity is not None:
-        edges = edges.union(similar(codes, similarity))
-    roots = connected_components(edges)
-    placed = codes.join(roots, codes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    marked = cut(fingerprints(docs.select("doc_id", "text", others(docs, "doc_id", "text").alias("rest")), size))
+    codes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return _classes(marked, codes, "fp", connected_components(links(codes.select("fp"), limit))).select("doc_id", "fp", "component_id", "rest", "root")
+
+
+def similar_documents(docs: DataFrame, limit: int = 3, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The class of near-duplicates of each document: texts are linked whose sets of ``size``-word shingles have a Jaccard
+    similarity of ``similarity`` or more.
+
+    Candidates come from the index of fingerprints within ``limit`` bits and, since 64 bits can't tell such a similarity,
+    from sampled codes (``candidates``).  **Every link is counted from the shingles themselves**; candidates that can't
+    tie two classes any more are not: first each text's best candidate is counted, then those between different classes.
+
+    Returns ``doc_id, fp, component_id, rest, root`` as ``near_duplicates`` does; ``root`` is a hash of a set of shingles.
+    Rows are documents; texts with the same set of shingles are one class, so repeated rows and all texts without words.
+    Null doc_ids and empty tables are as there.  A worker also holds 8 bytes a shingle of a text; each document writes
+    about 220 bytes, and texts that have candidates are read once more.
+    """
+    mark = F.xxhash64("text").alias("mark")
+    marked = cut(fingerprints(docs.select("doc_id", "text", mark, others(docs, "doc_id", "text").alias("rest")), size, True))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    nodes = marked.groupBy("sign").agg(first, F.min("fp").alias("fp"), F.min("sketch").alias("sketch"))
+    nodes = cut(nodes.select("sign", "fp", "sketch", F.col("first.doc_id").alias("least"), F.col("first.mark").alias("mark")))
+    pairs = cut(candidates(nodes, limit, similarity))
+    texts = docs.select("doc_id", "text", mark)
+    both = pairs.union(pairs.select("b", "a", "about"))
+    best = both.groupBy("a").agg(F.max(F.struct("about", "b")).alias("best")).select(F.least("a", "best.b").alias("x"), F.greatest("a", "best.b").alias("y")).distinct()
+    roots = connected_components(similar(best.select(F.col("x").alias("a"), F.col("y").alias("b")), nodes, texts, size, similarity))
+    apart = pairs.select("a", "b")
+    for c in ("a", "b"):
+        apart = apart.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    apart = cut(apart.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+    edges = similar(apart, nodes, texts, size, similarity).union(roots.select("node", "root"))
+    return _classes(marked, nodes, "sign", connected_components(edges)).select("doc_id", "fp", "component_id", "rest", "root")
+
+
+def _classes(marked: DataFrame, codes: DataFrame, by: str, roots: DataFrame) -> DataFrame:
+    """``marked`` with ``component_id`` and ``root``: ``codes(<by>, least)`` are tied by ``roots(node, root)``."""
+    codes = codes.select(F.col(by).alias("code"), "least")
+    placed = codes.join(roots, codes.code == roots.node, "left").select("code", "least", F.coalesce("root", "code").alias("root"))
     # only classes of several codes need their least document from elsewhere
-    tied = placed.where("root <> fp").groupBy("root").agg(F.min("least").alias("other"))
-    tied = tied.join(codes.select(F.col("fp").alias("root"), F.col("least").alias("mine")), "root").select("root", F.least("other", "mine").alias("first"))
-    classes = cut(placed.join(tied, "root", "left").select(F.col("fp").alias("code"), F.coalesce("first", "least").alias("component_id"), "root"))
-    return marked.join(classes, marked.fp == classes.code).select("doc_id", "fp", "component_id", "rest", "root")
+    tied = placed.where("root <> code").groupBy("root").agg(F.min("least").alias("other"))
+    tied = tied.join(codes.select(F.col("code").alias("root"), F.col("least").alias("mine")), "root").select("root", F.least("other", "mine").alias("first"))
+    classes = cut(placed.join(tied, "root", "left").select("code", F.coalesce("first", "least").alias("component_id"), "root"))
+    return marked.join(classes, marked[by] == classes.code)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -320,7 +320,7 @@ def test_similar_finds_what_brute_force_finds(spark):
         assert likeness > 0.88 or likeness < 0.65
         rows += [(len(rows), a), (len(rows) + 1, b)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    of = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 3, 5, 0.8).collect()}
+    of = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, 3, 5, 0.8).collect()}
     assert len(of) == len(rows)
     assert all(of[a] == of[b] for a, b in alike) and not any(of[a] == of[b] for a, b in unlike)
     assert len(set(of.values())) == len(rows) - len(alike)
@@ -333,11 +333,11 @@ def test_similar_in_a_large_group_and_on_odd_rows(spark):
     rng = random.Random(6)
     words = [f"w{rng.randrange(3000)}" for _ in range(200)]
     docs = spark.createDataFrame([(i, edited(rng, words, 1)) for i in range(1_000)], "doc_id long, text string")
-    assert {r.component_id for r in simhash.near_duplicates(docs, 3, 5, 0.8).collect()} == {0}
-    rows = simhash.near_duplicates(odd(spark), 3, 5, 0.8).collect()
+    assert {r.component_id for r in simhash.similar_documents(docs, 3, 5, 0.8).collect()} == {0}
+    rows = simhash.similar_documents(odd(spark), 3, 5, 0.8).collect()
     assert len(rows) == len(ODD) and len({r.component_id for r in rows if r.doc_id in (1, 2, 3)}) == 1
     assert {r.component_id for r in rows if r.doc_id in (7, 8, 10)} == {7}
-    assert simhash.near_duplicates(odd(spark, []), 3, 5, 0.8).count() == 0
+    assert simhash.similar_documents(odd(spark, []), 3, 5, 0.8).count() == 0
 
 
 def test_wide_fingerprints_estimate_angles():
