@@ -38,7 +38,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normal_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("document_id", X.normalize(F.col("text")).alias("text"))
+    return X.normalized(docs(spark, sf_dir))
 
 
 def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -537,35 +537,69 @@ def store_replace(spark, sf_dir):
     return store.without_documents(nodes, gone).union(nodes.where("document_id = 1").select("document_id", F.concat("id", F.lit("!"))))
 
 
-@query()
+SQL_JSON_PART = "SELECT document_id, '{0}' AS kind, (place // 100)::BIGINT AS part, count(*) AS rows, '[' || string_agg(json, ',' ORDER BY place) || ']' AS data FROM (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY id) - 1 AS place, to_json({1})::VARCHAR AS json FROM {2}) GROUP BY ALL"
+SQL_NODE_FIELDS = "{id: id, document_id: document_id, name: name, label: label}"
+SQL_EDGE_FIELDS = "{id: id, source: source, target: target, document_id: document_id, source_name: source_name, source_label: source_label, target_name: target_name, target_label: target_label, type: type}"
+
+
+@query(f"{SQL_GRAPH} {SQL_JSON_PART.format('nodes', SQL_NODE_FIELDS, 'n')} UNION ALL {SQL_JSON_PART.format('edges', SQL_EDGE_FIELDS, 'e')}")
 def graph_json(spark, sf_dir):
-    """SNK-01."""
-    return store.graph_json(*_graph(spark, sf_dir)).select("document_id", F.length("graph_data").cast("bigint").alias("size"))
+    """SNK-01: all graphs as JSON, a hundred nodes or edges a part."""
+    return store.graph_json_parts(*_graph(spark, sf_dir), rows=100)
 
 
 # Questions
 
-QUESTIONS = ("How are A and B related?", "how is a tied", "Who is most influential?", "What is central here", "most central of all", "Tell me about A", "What can you tell me about A", "Who is A?", "What is A", "List all", " who is influential")
-SQL_QUESTIONS = "qs AS (SELECT q, lower(trim(q)) AS l, m FROM (VALUES " + ", ".join(f"('{q}')" for q in QUESTIONS) + ") t(q), range(3) r(m))"
+#: How turns are asked, by the number of the turn; names of a conversation are its assistant's words of at least four
+#: letters and pairs of such words that are beside each other.
+ASKED = ("", "Who is ", "Tell me about ", "How are ", "Who is most influential: ", "What is central? ", "what can you tell me about ")
+SQL_ASKED = "qs AS (SELECT conv_id AS document_id, turn AS question_id, " + "CASE turn % 7 " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(ASKED)) + " END || text || CASE WHEN turn % 7 = 3 THEN ' related' ELSE '' END AS question FROM conversations)"
+SQL_TOLD = r"""w AS (SELECT conv_id AS document_id, regexp_extract_all(text, '[\p{L}]+') AS w FROM conversations WHERE role = 'assistant'),
+ns AS (SELECT DISTINCT document_id, unnest(list_concat(list_filter(w, lambda x: length(x) >= 4), list_filter(list_transform(range(1, len(w)), lambda i: CASE WHEN length(w[i]) >= 4 AND length(w[i + 1]) >= 4 THEN w[i] || ' ' || w[i + 1] END), lambda x: x IS NOT NULL))) AS name FROM w)"""
+SQL_MATCHED = r"""l AS (SELECT *, lower(question) AS low FROM qs), pairs AS (SELECT l.*, name, lower(name) AS known FROM l JOIN ns USING (document_id) WHERE contains(low, lower(name))),
+spans AS (SELECT document_id, question_id, name, known, low, unnest(list_filter(range(0, length(low)), lambda i: substr(low, i + 1, length(known)) = known)) AS s FROM pairs),
+free AS (SELECT document_id, question_id, {'minus': -length(known), 's': s, 'name': name, 'e': s + length(known)} AS x FROM spans WHERE NOT regexp_matches(CASE WHEN s > 0 THEN substr(low, s, 1) ELSE '' END, '[\p{L}\p{N}_]') AND NOT regexp_matches(substr(low, s + length(known) + 1, 1), '[\p{L}\p{N}_]')),
+held AS (SELECT document_id, question_id, list_reduce(list_transform(list_sort(list(DISTINCT x)), lambda y: [y]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda z: z.s < y[1].e AND y[1].s < z.e)) > 0 THEN acc ELSE list_concat(acc, y) END) AS h FROM free GROUP BY ALL),
+m AS (SELECT qs.document_id, qs.question_id, question, lower(trim(question)) AS l, coalesce(list_transform(h, lambda y: y.name), []) AS names FROM qs LEFT JOIN held USING (document_id, question_id))"""
+SQL_INTENT = """CASE WHEN (l LIKE 'how are %' OR l LIKE 'how is %') AND l LIKE '% related%' AND len(names) >= 2 THEN 'relationship_path' WHEN l LIKE '%most influential%' OR l LIKE '%who is influential%' THEN 'ranking_influence'
+WHEN l LIKE '%who is central%' OR l LIKE '%what is central%' OR l LIKE '%most central%' THEN 'ranking_centrality' WHEN (l LIKE 'tell me about %' OR l LIKE 'what can you tell me about %') AND len(names) > 0 THEN 'lookup_summary' WHEN (l LIKE 'who is %' OR l LIKE 'what is %') AND len(names) > 0 THEN 'lookup_basic' ELSE 'generic_fallback' END"""
+
+
+def _asked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Questions and names of all conversations."""
+    t = read(spark, sf_dir, "conversations").withColumnsRenamed({"conv_id": "document_id", "turn": "question_id"})
+    how = F.get(F.array(*map(F.lit, ASKED)), (F.col("question_id") % 7).cast("int"))
+    asked = t.select("document_id", "question_id", F.concat(how, "text", F.when(F.col("question_id") % 7 == 3, " related").otherwise("")).alias("question"))
+    w = t.where("role = 'assistant'").select("document_id", F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)).alias("w"))
+    long = lambda x: F.char_length(x) >= 4
+    after = F.transform("w", lambda x, i: F.when(long(x) & long(F.get("w", i + 1)), F.concat(x, F.lit(" "), F.get("w", i + 1))))
+    return asked, w.select("document_id", F.explode(F.concat(F.filter("w", long), F.array_compact(after))).alias("name"))
+
+
+@query(f"WITH {SQL_ASKED}, {SQL_TOLD}, {SQL_MATCHED} SELECT document_id, question_id, array_to_string(names, '|') AS matched FROM m")
+def question_spans(spark, sf_dir):
+    """SCL-23, QA-02: all turns of all conversations against all names of each."""
+    return questions.matched_names(*_asked(spark, sf_dir)).select("document_id", "question_id", F.array_join("matched", "|").alias("matched"))
 
 
-@query(f"""WITH {SQL_QUESTIONS} SELECT q AS question, m AS matched, CASE WHEN (l LIKE 'how are %' OR l LIKE 'how is %') AND l LIKE '% related%' AND m >= 2 THEN 'relationship_path' WHEN l LIKE '%most influential%' OR l LIKE '%who is influential%' THEN 'ranking_influence'
-WHEN l LIKE '%who is central%' OR l LIKE '%what is central%' OR l LIKE '%most central%' THEN 'ranking_centrality' WHEN (l LIKE 'tell me about %' OR l LIKE 'what can you tell me about %') AND m > 0 THEN 'lookup_summary' WHEN (l LIKE 'who is %' OR l LIKE 'what is %') AND m > 0 THEN 'lookup_basic' ELSE 'generic_fallback' END AS intent FROM qs""")
+@query(f"WITH {SQL_ASKED}, {SQL_TOLD}, {SQL_MATCHED}, i AS (SELECT *, {SQL_INTENT} AS intent FROM m) SELECT document_id, question_id, intent, array_to_string(CASE intent WHEN 'relationship_path' THEN names[1:2] WHEN 'lookup_summary' THEN names[1:1] WHEN 'lookup_basic' THEN names[1:1] WHEN 'generic_fallback' THEN names ELSE [] END, '|') AS matched FROM i")
 def intent_classify(spark, sf_dir):
-    """QA-01, SCL-24."""
-    rows = spark.createDataFrame([(q, m) for q in QUESTIONS for m in range(3)], "question string, matched long")
-    return rows.select("question", "matched", questions.intent(F.col("question"), F.col("matched")).alias("intent"))
+    """QA-01, QA-02, SCL-24: what is asked in every turn, and of whom."""
+    return questions.analyses(*_asked(spark, sf_dir)).select("document_id", "question_id", "intent", F.array_join("matched", "|").alias("matched"))
 
 
-GUARDED = ("MATCH (n) WHERE n.document_id = 1 RETURN n", "match (n) return n", "MATCH (n) SET n.x = 1 RETURN n.document_id", "CREATE (n)", "RETURN 1 // document_id", "CALL x() YIELD document_id", "DROP INDEX", "SUNSET ")
+#: Query texts about the words of each turn, by the number of the turn.
+GUARDED = ("MATCH (n) WHERE n.document_id = 1 AND n.name = '{}' RETURN n", "match (n) return '{}'", "MATCH (n) SET n.x = '{}' RETURN n.document_id", "CREATE (n {})", "RETURN '{}' // document_id", "CALL x('{}') YIELD document_id", "DROP INDEX {}", "SUNSET {}")
 SQL_FORBIDDEN = "CASE " + " ".join(f"WHEN contains(u, '{w}') THEN 'contains {w.strip()}'" for w in questions.FORBIDDEN)
+SQL_GUARDED = "g AS (SELECT conv_id, turn, upper(replace(CASE (conv_id + turn) % 8 " + " ".join(f"WHEN {i} THEN $${g}$$" for i, g in enumerate(GUARDED)) + " END, '{}', text)) AS u FROM conversations)"
 
 
-@query("WITH g AS (SELECT q, upper(q) AS u FROM (VALUES " + ", ".join(f"('{q}')" for q in GUARDED) + f") t(q)) SELECT q AS query, coalesce({SQL_FORBIDDEN} WHEN NOT ({' OR '.join(f'starts_with(u, $${s}$$)' for s in questions.READ_ONLY_STARTS)}) THEN 'not read-only' WHEN NOT contains(u, 'DOCUMENT_ID') THEN 'not scoped to a document' END, 'allowed') AS verdict FROM g")
+@query(f"WITH {SQL_GUARDED} SELECT conv_id, turn, coalesce({SQL_FORBIDDEN} WHEN NOT ({' OR '.join(f'starts_with(u, $${s}$$)' for s in questions.READ_ONLY_STARTS)}) THEN 'not read-only' WHEN NOT contains(u, 'DOCUMENT_ID') THEN 'not scoped to a document' END, 'allowed') AS verdict FROM g")
 def guard_legacy(spark, sf_dir):
     """QA-05."""
-    rows = spark.createDataFrame([(q,) for q in GUARDED], "query string")
-    return rows.select("query", F.coalesce(questions.textual_guard(F.col("query")), F.lit("allowed")).alias("verdict"))
+    how = F.get(F.array(*map(F.lit, GUARDED)), ((F.col("conv_id") + F.col("turn")) % 8).cast("int"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.replace(how, F.lit("{}"), F.col("text")).alias("query"))
+    return rows.select("conv_id", "turn", F.coalesce(questions.textual_guard(F.col("query")), F.lit("allowed")).alias("verdict"))
 
 
 @query("SELECT n_regionkey AS document_id, string_agg(n_name, ', ' ORDER BY n_nationkey) AS answer FROM nation GROUP BY n_regionkey")
@@ -575,14 +609,6 @@ def answer_shortcut(spark, sf_dir):
     return questions.shortcut(n.withColumnRenamed("n_regionkey", "document_id"), "n_name", "n_nationkey")
 
 
-@query()
-def question_spans(spark, sf_dir):
-    """SCL-23, QA-02 over a few questions."""
-    names = sorted(r.name for r in questions.entity_names(narrative.nodes(spark, sf_dir)).where("name LIKE 'Nation%'").select("name").distinct().collect())
-    rows = [(q, "|".join(questions.match_spans(q, names))) for q in ("Who is Nationa?", "How is nationb related to Nationba?", "Nationbax", "none")]
-    return spark.createDataFrame(rows, "question string, matched string")
-
-
 @query()
 def coref_replace(spark, sf_dir):
     """TXT-09, SCL-14, SCL-15."""

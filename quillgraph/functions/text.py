@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,12 +51,20 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFKC", t) if t is not None else None)
 
 
+def may_change(c: Column) -> Column:
+    """Whether NFKC may change a text.  ASCII texts are known by their lengths; in others only characters beyond ASCII
+    meet the long list of ranges."""
+    return (F.octet_length(c) != F.char_length(c)) & c.rlike(f"(?=[^\\x00-\\x9F]){UNSTABLE}")
+
+
 def normalize(c: Column, nfkc: bool = True) -> Column:
     """NFKC; one line-end style; runs of blanks to one; single line breaks to blanks; at most one empty line; strip.
-    Blanks go first, so a blank beside a line break leaves two, and a line of blanks is no empty line."""
+    Blanks go first, so a blank beside a line break leaves two, and a line of blanks is no empty line.
+
+    As a Column it sends every row past Python if ``nfkc``; :func:`normalized` doesn't."""
     text = F.coalesce(c, F.lit(""))
     if nfkc:
-        text = F.coalesce(_nfkc(F.when(text.rlike(UNSTABLE), text)), text)
+        text = F.coalesce(_nfkc(F.when(may_change(text), text)), text)
     text = F.replace(text, F.lit("\r\n"), F.lit("\n"))
     # texts without what a pattern looks for don't meet it
     has = lambda part: F.contains(text, F.lit(part))
@@ -65,6 +73,33 @@ def normalize(c: Column, nfkc: bool = True) -> Column:
     return strip(F.when(F.contains(text, F.lit("\n")), broken).otherwise(text))
 
 
+def normalized(docs: DataFrame, column: str = "text", nfkc: bool = True) -> DataFrame:
+    """``docs`` with the column normalised.  Rows that NFKC may change are a branch of their own, so no others are near
+    Python; the price is a second scan of the column, which costs less than a worker for every row."""
+    if not nfkc:
+        return docs.withColumn(column, normalize(F.col(column), False))
+    odd = may_change(F.coalesce(column, F.lit("")))
+    plain = docs.where(~odd).withColumn(column, normalize(F.col(column), False))
+    changed = docs.where(odd).withColumn(column, _nfkc(column)).withColumn(column, normalize(F.col(column), False))
+    return plain.unionByName(changed)
+
+
+#: Lengths that are summed in one go: within a block the work grows with its square, so an array's with its length.
+SUM_BLOCK = 256
+
+
+def prefix_sums(df: DataFrame, lengths: Column, name: str) -> DataFrame:
+    """``df`` with an array of 0 and the sums of the first 1, 2, ... lengths: sums within blocks, then on top of them the
+    sums of the blocks before.  Each step is a projection of its own, so that none is computed twice."""
+    running = lambda values: F.aggregate(values, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    last = F.greatest(F.size("_lengths") - 1, F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(last / SUM_BLOCK).cast("int")), lambda b: F.slice("_lengths", b * SUM_BLOCK + 1, SUM_BLOCK))
+    df = df.withColumn("_lengths", lengths).withColumn("_within", F.transform(blocks, running))
+    df = df.withColumn("_before", running(F.transform("_within", lambda x: F.element_at(x, -1))))
+    shifted = F.flatten(F.transform("_within", lambda x, i: F.transform(F.slice(x, 1, F.size(x) - 1), lambda v: v + F.get("_before", i))))
+    return df.withColumn(name, F.concat(shifted, F.array(F.element_at("_before", -1)))).drop("_lengths", "_within", "_before")
+
+
 def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, rf"(?<=[.!?]){WS}+"), strip), lambda s: s != "")
 

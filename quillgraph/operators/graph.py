@@ -71,13 +71,21 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write rows to the shared checkpoint folder and go on from there: what is used several times is computed once,
-    and a lost executor costs no recomputation.  Without a folder (tests) a temporary one is set."""
+    and a lost executor costs no recomputation.  Without a folder, a local session (as in tests) gets a temporary one; on a
+    cluster, whose executors couldn't see that, it is an error."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
     return df.checkpoint()
 
 
+def is_local(master: str) -> bool:
+    """Whether the executors are threads of the driver."""
+    return master == "local" or master.startswith("local[")
+
+
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``(document_id, id, component)``: the smallest node id of each connected component.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, ParseException, PySparkException
@@ -48,17 +49,49 @@ def entity_names(nodes: DataFrame) -> DataFrame:
     return rows.where("name <> ''").distinct()
 
 
-def match_spans(question: str, names: list[str]) -> list[str]:
-    """Names in a question as whole words, longer ones first, without overlaps; equal lengths go by place, then name."""
-    low, spans = question.lower(), []
-    for name in names:
-        spans += [(-len(name), m.start(), name, m.end()) for m in re.finditer(rf"(?<!\w){re.escape(name.lower())}(?!\w)", low)]
-    chosen, taken = [], []
-    for _, a, name, b in sorted(spans):
-        if all(b <= x or a >= y for x, y in taken):
-            chosen.append(name)
-            taken.append((a, b))
-    return chosen
+#: A letter, digit or underscore: names end where none of these goes on.
+LETTER = r"[\p{L}\p{N}_]"
+
+
+def _words_at(df: DataFrame, text: str) -> DataFrame:
+    """``df`` once for each word of the text column, as ``anchor``, with its place ``at`` (from 0).  Other characters count
+    as empty words of one place each, as a name may have no letter at all."""
+    pieces = X.prefix_sums(df.withColumn("_pieces", F.regexp_extract_all(F.col(text), F.lit(f"{LETTER}+|[^{LETTER[1:-1]}]"), F.lit(0))), F.transform("_pieces", F.char_length), "_at")
+    word = lambda p, i: F.struct(F.when(p.rlike(LETTER), p).otherwise("").alias("anchor"), F.get("_at", i).alias("at"))
+    return pieces.select(*df.columns, F.inline(F.transform("_pieces", word)))
+
+
+def matched_names(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """``questions(document_id, question_id, question)`` with ``matched``, the names of the same document that each has as
+    whole words, whatever their case.
+
+    All questions meet all ``names(document_id, name)`` in one equi-join: a name can only stand where its first word does.
+    What is found is an interval; per question the longest intervals are taken first (ties: by place, then name) if they
+    don't overlap one that is taken, in one fold over the sorted array.  A question without names has an empty array."""
+    asked = questions.select("document_id", "question_id", "question", F.lower("question").alias("low"))
+    n = names.select("document_id", "name", F.lower("name").alias("known")).where("known <> ''").distinct()
+    n = n.withColumn("anchor", F.regexp_extract("known", f"{LETTER}+", 0))
+    n = n.withColumn("skip", F.when(F.col("anchor") == "", 0).otherwise(F.instr("known", F.col("anchor")) - 1))
+    words = _words_at(asked.select("document_id", "question_id", "low"), "low")
+    met = words.join(n, ["document_id", "anchor"]).withColumn("start", F.col("at") - F.col("skip")).withColumn("end", F.col("start") + F.char_length("known")).where("start >= 0")
+    stands = F.substring("low", F.col("start") + 1, F.char_length("known")) == F.col("known")
+    beside = lambda place: F.substring("low", place, F.lit(1)).rlike(LETTER)
+    free = ~((F.col("start") > 0) & beside(F.col("start"))) & ~beside(F.col("end") + 1)
+    spans = met.where(stands & free).groupBy("document_id", "question_id").agg(F.array_sort(F.collect_set(F.struct((F.col("start") - F.col("end")).alias("minus"), "start", "name", "end"))).alias("spans"))
+    none = F.expr("cast(array() as array<struct<minus: int, start: int, name: string, end: int>>)")
+    taken = F.aggregate("spans", none, lambda held, x: F.when(F.exists(held, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), held).otherwise(F.concat(held, F.array(x))))
+    found = spans.select("document_id", "question_id", F.transform(taken, lambda x: x["name"]).alias("matched"))
+    rows = questions.join(found, ["document_id", "question_id"], "left")
+    return rows.withColumn("matched", F.coalesce("matched", F.expr("cast(array() as array<string>)")))
+
+
+def analyses(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """``questions`` with ``intent`` and the ``matched`` names that its plan takes: two for a path, one for a lookup, none
+    for a ranking, all for the fallback."""
+    rows = matched_names(questions, names)
+    rows = rows.withColumn("intent", intent(F.col("question"), F.size("matched")))
+    most = F.when(F.col("intent") == FALLBACK, F.size("matched")).when(F.col("intent") == PATH, 2).when(F.col("intent").isin(SUMMARY, BASIC), 1).otherwise(0)
+    return rows.withColumn("matched", F.slice("matched", F.lit(1), most))
 
 
 @dataclass
@@ -72,27 +105,13 @@ class Analysis:
 
 
 def analyze(question: str, nodes: DataFrame) -> Analysis:
-    """Only names that occur in the question come to the driver."""
-    low = question.strip().lower()
-    names = entity_names(nodes).where(F.contains(F.lit(low), F.lower("name"))).select("name").distinct()
-    found = match_spans(question.strip(), sorted(r.name for r in names.collect()))
-    kind = _driver_intent(low, len(found))
-    if kind == FALLBACK:
-        return Analysis(kind, found, "generated_query", True)
-    most = {PATH: 2, SUMMARY: 1, BASIC: 1}.get(kind, 0)
-    return Analysis(kind, found[:most], max_hops=3 if kind == PATH else None, ranking_basis={INFLUENCE: "incoming_plus_outgoing_edges", CENTRALITY: "degree"}.get(kind))
-
-
-def _driver_intent(q: str, matched: int) -> str:
-    if q.startswith(("how are ", "how is ")) and " related" in q and matched >= 2:
-        return PATH
-    if any(p in q for p in ("most influential", "who is influential")):
-        return INFLUENCE
-    if any(p in q for p in ("who is central", "what is central", "most central")):
-        return CENTRALITY
-    if q.startswith(("tell me about ", "what can you tell me about ")) and matched:
-        return SUMMARY
-    return BASIC if q.startswith(("who is ", "what is ")) and matched else FALLBACK
+    """One question as a table of one row; only its own analysis comes to the driver."""
+    names = entity_names(nodes).withColumn("document_id", F.lit(0).cast("long"))
+    asked = nodes.sparkSession.createDataFrame([(0, 0, question.strip())], "document_id long, question_id long, question string")
+    got = analyses(asked, names).select("intent", "matched").first()
+    if got.intent == FALLBACK:
+        return Analysis(got.intent, got.matched, "generated_query", True)
+    return Analysis(got.intent, got.matched, max_hops=3 if got.intent == PATH else None, ranking_basis={INFLUENCE: "incoming_plus_outgoing_edges", CENTRALITY: "degree"}.get(got.intent))
 
 
 def plan(a: Analysis, nodes: DataFrame, edges: DataFrame) -> DataFrame | None:
@@ -139,11 +158,18 @@ def guarded(spark: SparkSession, query: str, views: set[str]) -> DataFrame:
 
     The query is first analysed, as a subquery (so it can be no command), in a session that has nothing but empty
     frames under the views' names: a table, another view, a file or a name that a CTE doesn't hide is then unknown.
-    Every part of the analysed plan must be on the list above."""
+    What sessions share, such as global temporary views, is known by a qualified name or not at all, so each view of the
+    analysed plan must be one of the given, and what it reads its empty frame.  Every part of the plan must be on the list
+    above."""
     apart = spark.newSession()
     apart.conf.set("spark.sql.runSQLOnFiles", "false")
+    marks = {}
     for v in views:
-        apart.createDataFrame([], spark.table(v).schema).createOrReplaceTempView(v)
+        # a column that tells the frame from any other rows
+        marks[v] = f"_{v}_{uuid.uuid4().hex}"
+        frame = apart.createDataFrame([], T.StructType([*spark.table(v).schema.fields, T.StructField(marks[v], T.NullType())]))
+        frame.createOrReplaceTempView(f"{v}{marks[v]}")
+        apart.table(f"{v}{marks[v]}").drop(marks[v]).createOrReplaceTempView(v)
     try:
         apart.sql(f"SELECT * FROM (\n{query}\n) AS q")
         analysed = apart.sql(query)
@@ -153,12 +179,24 @@ def guarded(spark: SparkSession, query: str, views: set[str]) -> DataFrame:
         if e.getCondition() in ("UNRESOLVED_COLUMN.WITH_SUGGESTION", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION"):
             raise  # the model may mend a wrong column
         raise ValueError(f"the query doesn't fit the views: {e.getCondition()}") from e
-    parts = _parts(json.loads(analysed._jdf.queryExecution().analyzed().toJSON()))
-    if odd := parts - PLAN_PARTS:
+    tree = json.loads(analysed._jdf.queryExecution().analyzed().toJSON())
+    if odd := _parts(tree) - PLAN_PARTS:
         raise ValueError(f"the query may not use {sorted(odd)}")
+    if not all(any(m in named for m in marks.values()) for named in _leaves(tree)):
+        raise ValueError("the query may only read the given views")
     return spark.sql(query)
 
 
+def _leaves(plan) -> list[str]:
+    """Of each relation in a plan and its subqueries, its columns."""
+    if isinstance(plan, list):
+        return [x for p in plan for x in _leaves(p)]
+    if not isinstance(plan, dict):
+        return []
+    own = [json.dumps(plan.get("output"))] if plan.get("class", "").rpartition(".")[2] in ("LocalRelation", "LogicalRDD") else []
+    return own + [x for v in plan.values() for x in _leaves(v)]
+
+
 def _parts(plan) -> set[str]:
     """The names of all classes in a plan, its expressions and their subqueries."""
     if isinstance(plan, list):

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..operators.graph import cut
+from .versioned import VersionedTables
 
 
 def last_rows(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
@@ -34,88 +30,12 @@ def stored_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return last_rows(out, ["document_id", "source_name", "source_label", "stored_type", "target_name", "target_label"], "place" if "place" in edges.columns else "ord")
 
 
-_MANIFEST = "version long, table string, schema string, bucket int, folder string"
-
-
-class GraphStore:
-    """Nodes and edges under one folder, dealt by a hash bucket of document_id, so that a document is replaced by
-    rewriting its bucket and not by a partition a document, of which there would be far too many.
-
-    Nothing is overwritten.  A change writes the touched buckets to a new folder and then appends a version to the
-    manifest, one file that says where each bucket of both tables is.  Readers take the last version, so nodes and
-    edges change together, and a failed write leaves what was there.  One writer at a time; :meth:`vacuum` deletes
-    folders that the last version doesn't name."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-
-    def _bucket(self):
-        return F.pmod(F.xxhash64("document_id"), F.lit(self.buckets)).cast("int")
-
-    def _state(self) -> tuple[int, dict[str, tuple[str, dict[int, str]]]]:
-        """The last version, and of each table its schema and the folder of each bucket."""
-        try:
-            log = self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifest")
-        except AnalysisException:  # nothing was written yet
-            return 0, {}
-        top = log.agg(F.max("version")).first()[0] or 0
-        tables: dict[str, tuple[str, dict[int, str]]] = {}
-        for r in log.where(F.col("version") == top).collect():
-            _, folders = tables.setdefault(r.table, (r.schema, {}))
-            if r.folder is not None:
-                folders[r.bucket] = r.folder
-        return top, tables
-
-    def read(self, table: str) -> DataFrame:
-        _, tables = self._state()
-        if table not in tables:
-            raise ValueError(f"the store has no table {table!r}")
-        return self._rows(*tables[table])
-
-    def _rows(self, schema: str, folders: dict[int, str], buckets: set[int] | None = None) -> DataFrame:
-        kind = T.StructType.fromJson(json.loads(schema))
-        paths = [f"{self.path}/{folder}/bucket={b}" for b, folder in sorted(folders.items()) if buckets is None or b in buckets]
-        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
-
-    def replace(self, documents: DataFrame, **tables: DataFrame) -> None:
-        """Put the rows of each table in place of all rows of the ``documents``, also of those that have no row any more."""
-        top, state = self._state()
-        ids = cut(documents.select("document_id").distinct())
-        touched = {r.bucket for r in ids.select(self._bucket().alias("bucket")).distinct().collect()}
-        for table, rows in tables.items():
-            schema, folders = state.get(table, (rows.schema.json(), {}))
-            old = self._rows(schema, folders, touched).join(ids, "document_id", "left_anti")
-            new = rows.unionByName(old.select(rows.columns)).withColumn("bucket", self._bucket())
-            folder = f"{table}/{uuid.uuid4().hex}"
-            new.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
-            held = {r.bucket for r in self.spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.path}/{folder}").select("bucket").distinct().collect()}
-            state[table] = schema, {b: f for b, f in folders.items() if b not in touched} | dict.fromkeys(held, folder)
-        self._publish(top + 1, state)
-
-    def _publish(self, version: int, state: dict) -> None:
-        rows = [(version, table, schema, b, folder) for table, (schema, folders) in state.items() for b, folder in [*folders.items(), (None, None)]]
-        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").json(f"{self.path}/manifest")
-
-    def save(self, documents: DataFrame, nodes: DataFrame, edges: DataFrame) -> None:
-        self.replace(documents, nodes=nodes, edges=edges)
-
-    def delete(self, documents: DataFrame) -> None:
-        _, state = self._state()
-        self.replace(documents, **{table: self._rows(schema, {}) for table, (schema, _) in state.items()})
-
-    def clear(self) -> None:
-        top, state = self._state()
-        self._publish(top + 1, {table: (schema, {}) for table, (schema, _) in state.items()})
-
-    def vacuum(self) -> None:
-        """Delete folders of earlier versions.  No reader of an earlier version may be at work."""
-        _, state = self._state()
-        named = {f for _, folders in state.values() for f in folders.values()}
-        log = self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifest").where("folder IS NOT NULL").select("folder").distinct()
-        for r in log.collect():
-            if r.folder not in named:
-                place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{r.folder}")
-                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+class GraphStore(VersionedTables):
+    """Nodes and edges of all documents, and the documents themselves, as versioned tables: replacing a document's graph
+    writes its new rows and its id, nothing else."""
+
+    def save(self, documents: DataFrame, nodes: DataFrame, edges: DataFrame) -> int:
+        return self.replace(documents, nodes=nodes, edges=edges)
 
 
 def without_documents(table: DataFrame, gone: DataFrame) -> DataFrame:
@@ -129,6 +49,27 @@ def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, "document_id", "full").select("document_id", F.to_json(F.struct("nodes", "edges")).alias("graph_data"))
 
 
+def graph_json_parts(nodes: DataFrame, edges: DataFrame, rows: int = 10_000) -> DataFrame:
+    """The same in parts for large graphs: ``document_id, kind, part, rows, data`` with a JSON array of at most ``rows``
+    nodes or edges each, in order of their ids.  No row holds a whole graph; the parts' numbers are their manifest, and
+    parts of a kind, joined, are that array of the whole."""
+
+    def parts(df: DataFrame, kind: str) -> DataFrame:
+        each = df.select("document_id", "id", F.to_json(F.struct(*df.columns)).alias("json"))
+        place = F.row_number().over(Window.partitionBy("document_id").orderBy("id", "json")) - 1
+        each = each.withColumn("place", place).withColumn("part", F.floor(F.col("place") / rows))
+        told = F.transform(F.array_sort(F.collect_list(F.struct("place", "json"))), lambda x: x["json"])
+        return each.groupBy("document_id", F.lit(kind).alias("kind"), "part").agg(F.count("*").alias("rows"), F.concat(F.lit("["), F.array_join(told, ","), F.lit("]")).alias("data"))
+
+    return parts(nodes, "nodes").unionByName(parts(edges, "edges"))
+
+
+def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str, rows: int = 10_000) -> None:
+    """The parts as JSON lines, laid by ranges of document, kind and part, so that a reader takes a document's parts one
+    after another."""
+    graph_json_parts(nodes, edges, rows).repartitionByRange("document_id", "kind", "part").sortWithinPartitions("document_id", "kind", "part").write.json(path)
+
+
 def append(table: DataFrame, path: str) -> None:
     """Logs, sessions and messages are append-only."""
     table.write.mode("append").parquet(path)

@@ -40,6 +40,20 @@ def test_stage_logs(spark):
     assert got[0] == "START" and got[-1] == "COMPLETE" and "CHUNKING" in got
 
 
+def test_process_logs_equal_a_recount(spark, tmp_path):
+    """Counts per stage and document, and of all rows as they passed; appended as log rows and exported."""
+    d = spark.createDataFrame([(1, TWO), (2, "Ann Lee lives in Oak Town."), (3, "")], "document_id long, text string")
+    g = pipeline.process(d)
+    tables = {"CHUNKING": g.chunks, "ENTITY_EXTRACTION": g.entities, "ENTITY_RESOLUTION": g.entities, "GRAPH_BUILDING": g.nodes}
+    assert {s.name: s.rows for s in g.stages} == {k: t.count() for k, t in tables.items()} and all(s.seconds > 0 for s in g.stages)
+    store.append(pipeline.process_logs(g), str(tmp_path / "logs"))
+    logs = spark.read.parquet(str(tmp_path / "logs"))
+    got = {(r.document_id, r.stage): int(r.message.split()[0]) for r in logs.collect()}
+    assert got == {(i, k): t.where(F.col("document_id") == i).count() for k, t in tables.items() for i in (1, 2, 3)}
+    (text,) = [r.export for r in reads.log_export(logs).collect() if r.document_id == 2]
+    assert [x.split("] ")[1][1:] for x in text.split("\n")] == list(tables)
+
+
 def test_analysis_text_is_searched(spark):
     w = spark.createDataFrame([(1, 0, "Elarin entered Whisperwood. He lives in the village.", 0, 52, "Elarin entered Whisperwood. Elarin lives in the village.", [])], "document_id long, chunk_id int, text string, start_index int, end_index int, analysis_text string, source_chunk_ids array<int>")
     e = spark.createDataFrame([(1, 0, "Person", "Elarin", 0, 0, 0), (1, 1, "Location", "Whisperwood", 0, 0, 0)], "document_id long, ord long, label string, name string, chunk_id int, start_index int, end_index int")
@@ -142,9 +156,49 @@ def test_summary_of_an_isolated_node(spark):
     assert [tuple(x) for x in got.related_entities] == [(None, None, None)]
 
 
-def test_match_spans():
-    assert questions.match_spans("Is Old Major like Major?", ["Major", "Old Major"]) == ["Old Major", "Major"]
-    assert questions.match_spans("majority", ["Major"]) == []
+def by_hand(question, names):
+    """Longest names first, by trying every place."""
+    low, taken, out = question.lower(), set(), []
+    word = lambda i: 0 <= i < len(low) and (low[i].isalnum() or low[i] == "_")
+    spans = [(-len(n), i, n) for n in names for i in range(len(low)) if n and low.startswith(n.lower(), i) and not (i and word(i - 1)) and not word(i + len(n))]
+    for minus, i, n in sorted(spans):
+        if not taken & set(range(i, i - minus)):
+            out.append(n)
+            taken |= set(range(i, i - minus))
+    return out
+
+
+def test_matched_names(spark):
+    cases = {
+        1: (["Major", "Old Major", "old", "or"], ["Is Old Major like Major?", "majority", "", "MAJOR,old major;Old-Major"]),
+        2: (["C++", "++", "a b", "b c", "B", "é", "São Paulo"], ["c++ or ++?", "a b c", "a  b c b", "École é", "in são paulo_ são paulo"]),
+        3: ([], ["nothing"]),
+    }
+    asked = spark.createDataFrame([(d, i, q) for d, (_, qs) in cases.items() for i, q in enumerate(qs)], "document_id long, question_id long, question string")
+    names = spark.createDataFrame([(d, n) for d, (ns, _) in cases.items() for n in ns], "document_id long, name string")
+    got = {(r.document_id, r.question_id): r.matched for r in questions.matched_names(asked, names).collect()}
+    assert got == {(d, i): by_hand(q, ns) for d, (ns, qs) in cases.items() for i, q in enumerate(qs)}
+    assert got[1, 0] == ["Old Major", "Major"] and got[1, 1] == []
+
+
+def test_offsets_grow_with_the_text(spark):
+    """A text of a million sentences has the offsets that its parts' lengths add up to, in time like that of ten of a
+    tenth each."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quillgraph.operators import chunking
+
+    took = {}
+    for n in (100_000, 1_000_000):
+        d = spark.range(1).select(F.col("id").alias("document_id"), F.repeat(F.lit("Ab c. "), F.lit(n)).alias("text"))
+        for _ in range(2):
+            start = time.time()
+            got = chunking.sentence_chunks(d).agg(F.count("*"), F.count_if(F.col("start_index") == F.col("chunk_id") * 5), F.max("end_index")).first()
+            took[n] = time.time() - start
+        assert tuple(got) == (n, n, 5 * n)
+    assert took[1_000_000] < 25 * max(took[100_000], 0.2)
 
 
 def test_engine(spark, built):
@@ -182,10 +236,17 @@ def test_guard(spark, built, query):
     "SELECT (SELECT max(x) FROM secret) AS m FROM kg_nodes",
     "SELECT input_file_name() FROM kg_nodes",
     "SELECT 1) AS a; DROP TABLE kg_nodes --",
+    "SELECT * FROM global_temp.gsecret",
+    "SELECT name, (SELECT max(x) FROM global_temp.gsecret) AS m FROM kg_nodes",
+    "WITH kg AS (SELECT x AS name FROM global_temp.grows) SELECT name FROM kg",
+    "SELECT name FROM kg_nodes WHERE name IN (SELECT x FROM global_temp.grows)",
+    "SELECT name FROM spark_catalog.default.kg_nodes",
 ])
 def test_guard_has_no_way_round(spark, built, query):
     built[1].createOrReplaceTempView("kg_nodes")
     spark.range(3).toDF("x").createOrReplaceTempView("secret")
+    spark.range(3).toDF("x").createOrReplaceGlobalTempView("gsecret")
+    spark.createDataFrame([("a",)], "x string").createOrReplaceGlobalTempView("grows")
     with pytest.raises(ValueError):
         questions.guarded(spark, query, {"kg_nodes"})
 
@@ -208,7 +269,7 @@ def test_answered_entities(spark):
 
 
 def test_store_replaces_documents(spark, tmp_path):
-    s = store.GraphStore(spark, str(tmp_path), buckets=3)
+    s = store.GraphStore(spark, str(tmp_path))
     nodes, edges = property_graph(spark, [("a", "b", "R")])
     more = nodes.withColumn("document_id", F.lit(2).cast("long"))
     s.save(spark.createDataFrame([(1,), (2,)], "document_id long"), nodes.union(more), edges)
@@ -218,9 +279,11 @@ def test_store_replaces_documents(spark, tmp_path):
     s.delete(spark.createDataFrame([(2,)], "document_id long"))
     assert {(r.document_id, r.name) for r in s.read("nodes").collect()} == {(1, "a")}
     # another object reads what this one wrote, tables without rows too, and earlier folders may go
-    t = store.GraphStore(spark, str(tmp_path), buckets=3)
+    t = store.GraphStore(spark, str(tmp_path))
+    t.compact(times=100)
     t.vacuum()
     assert t.read("nodes").count() == 1 and t.read("edges").count() == 0 and t.read("edges").columns == edges.columns
+    assert [e["kind"] for e in t.state()["entries"]] == ["rows"] and len(list(tmp_path.glob("versions/*.json"))) == 1
     t.clear()
     assert s.read("nodes").count() == 0
     with pytest.raises(ValueError):
@@ -228,7 +291,7 @@ def test_store_replaces_documents(spark, tmp_path):
 
 
 def test_store_keeps_what_it_had_if_a_write_fails(spark, tmp_path):
-    s = store.GraphStore(spark, str(tmp_path), buckets=2)
+    s = store.GraphStore(spark, str(tmp_path))
     nodes, edges = property_graph(spark, [("a", "b", "R")])
     one = spark.createDataFrame([(1,)], "document_id long")
     s.save(one, nodes, edges)
@@ -237,6 +300,68 @@ def test_store_keeps_what_it_had_if_a_write_fails(spark, tmp_path):
     assert s.read("nodes").count() == 2 and s.read("edges").count() == 1
 
 
+def test_store_writes_only_the_rows_of_a_change(spark, tmp_path):
+    """One document of ten thousand: its rows and its id are written; a status is written without text or graph."""
+    s = store.GraphStore(spark, str(tmp_path))
+    rows = spark.range(10_000).select(F.col("id").alias("document_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("pending").alias("status"), F.lit(None).cast("int").alias("progress"))
+    s.replace(rows, documents=rows)
+    one = spark.createDataFrame([(7, "new", "pending", None)], rows.schema)
+    s.replace(one, documents=one)
+    s.update("documents", spark.createDataFrame([(7, "processing"), (8, "processing")], "document_id long, status string"))
+    s.update("documents", spark.createDataFrame([(7, "complete", 100)], "document_id long, status string, progress int"))
+    assert [(e["kind"], e["rows"]) for e in s.state()["entries"]] == [("gone", 10_000), ("rows", 10_000), ("gone", 1), ("rows", 1), ("columns", 2), ("columns", 1)]
+    assert all("text" not in [f["name"] for f in e["schema"]["fields"]] for e in s.state()["entries"] if e["kind"] == "columns")
+    want = {7: ("new", "complete", 100), 8: ("text 8", "processing", None), 9: ("text 9", "pending", None)}
+    get = lambda df: {r.document_id: (r.text, r.status, r.progress) for r in df.collect()}
+    assert get(s.read("documents", want)) == want and s.read("documents").count() == 10_000
+    # a newer row hides older changes of its columns; merging keeps all of it
+    s.replace(one, documents=one)
+    want[7] = ("new", "pending", None)
+    assert get(s.read("documents", want)) == want
+    s.compact()
+    assert get(s.read("documents", want)) == want and s.read("documents").count() == 10_000
+    s.compact(times=100_000)
+    assert [e["kind"] for e in s.state()["entries"]] == ["rows"] and get(s.read("documents", want)) == want
+
+
+def test_store_equals_a_dict_after_random_changes(spark, tmp_path):
+    import random
+
+    rng, s, want = random.Random(5), store.GraphStore(spark, str(tmp_path)), {}
+    for step in range(14):
+        ids = rng.sample(range(8), rng.randint(1, 4))
+        some = spark.createDataFrame([(i,) for i in ids], "document_id long")
+        match rng.choice(["replace", "replace", "a", "b", "ab", "delete", "compact"]) if step else "replace":
+            case "replace":
+                s.replace(some, t=spark.createDataFrame([(i, f"a{step}", f"b{step}") for i in ids], "document_id long, a string, b string"))
+                want |= {i: (f"a{step}", f"b{step}") for i in ids}
+            case "delete":
+                s.delete(some)
+                want = {i: x for i, x in want.items() if i not in ids}
+            case "compact":
+                s.compact(rng.choice([1, 100]))
+            case which:
+                s.update("t", spark.createDataFrame([(i, *[f"{c}{step}" for c in which]) for i in ids], "document_id long, " + ", ".join(f"{c} string" for c in which)))
+                want = {i: (f"a{step}" if i in ids and "a" in which else a, f"b{step}" if i in ids and "b" in which else b) for i, (a, b) in want.items()}
+        assert {r.document_id: (r.a, r.b) for r in s.read("t").collect()} == want
+
+
+def test_store_writers_conflict(spark, tmp_path):
+    """Two writers from one version: the second is told so, and what it wrote doesn't count; it may try again."""
+    from quillgraph.sources.versioned import Conflict
+
+    s, t = store.GraphStore(spark, str(tmp_path)), store.GraphStore(spark, str(tmp_path))
+    row = lambda i, x: spark.createDataFrame([(i, x)], "document_id long, x string")
+    s.replace(row(1, "a"), t=row(1, "a"))
+    base = t.state()
+    s.replace(row(1, "b"), t=row(1, "b"))
+    with pytest.raises(Conflict):
+        t.change(row(2, "c"), {"t": row(2, "c")}, base=base)
+    assert [tuple(r) for r in s.read("t").collect()] == [(1, "b")]
+    t.replace(row(2, "c"), t=row(2, "c"))
+    assert sorted(tuple(r) for r in s.read("t").collect()) == [(1, "b"), (2, "c")]
+
+
 def test_sessions_store_messages(spark, built, tmp_path):
     from quillgraph.plans.sessions import Sessions
 
@@ -276,13 +401,26 @@ def test_streaming_equals_batch(spark, tmp_path):
     rows = [(1, TWO, "2024-01-01 00:00:00"), (2, "Ann Lee lives in Oak Town.", "2024-01-01 00:00:01")]
     d = spark.createDataFrame(rows, "document_id long, text string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
     d.write.parquet(str(tmp_path / "in"))
-    s = store.GraphStore(spark, str(tmp_path / "out"), buckets=2)
+    s = store.GraphStore(spark, str(tmp_path / "out"))
     ingest.ingest(ingest.document_stream(spark, str(tmp_path / "in")), s, str(tmp_path / "cp")).awaitTermination(120)
     want = pipeline.process(d.select("document_id", "text"))
     assert {r.id for r in s.read("nodes").collect()} == {r.id for r in want.nodes.collect()}
     assert {r.id for r in s.read("edges").collect()} == {r.id for r in want.edges.collect()}
 
 
+def test_reuploads_end_with_the_newest_text(spark, tmp_path):
+    """A, B, A: the graph of A; a late older upload changes nothing; the documents table has the status and the counts."""
+    text = {"A": "Ann Lee lives in Oak Town.", "B": "Bob Ray works for Acme Corp."}
+    s = store.GraphStore(spark, str(tmp_path / "out"))
+    for which, minute in (("A", 1), ("B", 2), ("A", 3), ("B", 0)):
+        d = spark.createDataFrame([(1, text[which], f"2024-01-01 00:0{minute}:00")], "document_id long, text string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+        d.write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.ingest(ingest.document_stream(spark, str(tmp_path / "in")), s, str(tmp_path / "cp")).awaitTermination(120)
+    assert "Ann Lee" in {r.name for r in s.read("nodes").collect()} and "Bob Ray" not in {r.name for r in s.read("nodes").collect()}
+    (doc,) = s.read("documents").collect()
+    assert (doc.text, doc.status, doc.nodes) == (text["A"], "complete", s.read("nodes").count())
+
+
 def test_log_export_of_a_document_without_logs(spark):
     logs = spark.createDataFrame([(1, "S", "m", "2024-01-02 03:04:05")], "document_id long, stage string, message string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
     got = {r.document_id: r.export for r in reads.log_export(logs, docs(spark, "a", "b")).collect()}

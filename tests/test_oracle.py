@@ -60,6 +60,22 @@ def test_graph_json_holds_the_graph(spark):
         assert sorted(e["id"] for e in g["edges"]) == sorted(x for x, in want_e[r.document_id])
 
 
+def test_graph_json_parts_joined_are_the_whole(spark, tmp_path):
+    import json
+
+    from quillgraph.sources import narrative, store
+
+    nodes, edges = narrative.nodes(spark, DATA), narrative.edges(spark, DATA)
+    store.write_graph_json(nodes, edges, str(tmp_path / "g"), rows=7)
+    got = {}
+    for r in sorted(spark.read.json(str(tmp_path / "g")).collect(), key=lambda r: (r.document_id, r.kind, r.part)):
+        part = json.loads(r.data)
+        assert len(part) == r.rows <= 7
+        got.setdefault(r.document_id, {}).setdefault(r.kind, []).extend(part)
+    want = {r.document_id: {k: v for k, v in json.loads(r.graph_data).items() if v} for r in store.graph_json(nodes, edges).collect()}
+    assert got == want
+
+
 def test_plans_compute_shared_tables_once(spark):
     """Provenance and the whole pipeline read each input a few times, not once for each branch."""
     scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
