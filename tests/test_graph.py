@@ -421,6 +421,29 @@ def test_reuploads_end_with_the_newest_text(spark, tmp_path):
     assert (doc.text, doc.status, doc.nodes) == (text["A"], "complete", s.read("nodes").count())
 
 
+def test_endpoint_repair_equals_all_pairs(spark):
+    """The filters before the ratio lose nothing: every pair of a window is scored by hand."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 9)))
+    rows, said = [], []
+    for w in range(30):
+        names = [" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(8)]
+        rows += [(1, w, i, n, "Concept") for i, n in enumerate(names)]
+        for n in names[:5]:
+            i = rng.randrange(len(n))
+            said += [(1, w, x) for x in (n, n[:i] + n[i + 1 :], "the " + n + "s", " ".join(reversed(n.split())), word())]
+    within = spark.createDataFrame(rows, "document_id long, window_id int, ord long, name string, label string")
+    asked = spark.createDataFrame(sorted(set(said)), "document_id long, window_id int, said string")
+    got = {(r.window_id, r.said): r.name for r in relations.repaired_endpoints(asked, within).collect()}
+    want = {}
+    for _, w, x in set(said):
+        form = S.surface(x)
+        scored = [(2.0 if form == S.surface(n) else S.token_sort_ratio(form, S.surface(n)), -i, n) for _, v, i, n, _ in rows if v == w]
+        if form and max(scored)[0] >= 0.90:
+            want[w, x] = max(scored)[2]
+    assert got == want and len(want) > 300
+
+
 def test_log_export_of_a_document_without_logs(spark):
     logs = spark.createDataFrame([(1, "S", "m", "2024-01-02 03:04:05")], "document_id long, stage string, message string, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
     got = {r.document_id: r.export for r in reads.log_export(logs, docs(spark, "a", "b")).collect()}
