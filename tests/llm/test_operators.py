@@ -328,6 +328,21 @@ def test_similar_finds_what_brute_force_finds(spark):
     assert sum(alone[a] == alone[b] for a, b in alike) < len(alike) * 0.7
 
 
+def test_similar_near_its_threshold(spark):
+    """Pairs of a similarity around 0.8: none below is linked, and of those at or above nine in ten at least."""
+    rng, rows, pairs = random.Random(11), [], []
+    for _ in range(150):
+        words = [f"w{rng.randrange(4000)}" for _ in range(300)]
+        a, b = " ".join(words), edited(rng, words, rng.randint(4, 11))
+        x, y = shingle_set(a), shingle_set(b)
+        pairs.append((len(rows), len(rows) + 1, len(x & y) / len(x | y)))
+        rows += [(len(rows), a), (len(rows) + 1, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    of = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    below, above = [of[a] == of[b] for a, b, s in pairs if s < 0.8], [of[a] == of[b] for a, b, s in pairs if s >= 0.8]
+    assert len(below) > 30 and len(above) > 50 and not any(below) and sum(above) >= 0.95 * len(above)
+
+
 def test_similar_in_a_large_group_and_on_odd_rows(spark):
     """A thousand near copies of one text are one class although no group is expanded into its pairs."""
     rng = random.Random(6)
