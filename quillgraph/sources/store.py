@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..operators.graph import cut
+from ..plans.reads import may_delete
 from .versioned import VersionedTables
 
 
@@ -37,6 +39,16 @@ class GraphStore(VersionedTables):
     def save(self, documents: DataFrame, nodes: DataFrame, edges: DataFrame) -> int:
         return self.replace(documents, nodes=nodes, edges=edges)
 
+    def delete_documents(self, documents: DataFrame) -> DataFrame:
+        """Delete documents with all their rows, but not those that are being processed: their ids are returned.  A status
+        that changes meanwhile makes a later version, so the deletion fails with a ``Conflict`` and can be tried again."""
+        state = self.state()
+        wanted = cut(documents.select("document_id").distinct())
+        status = self.read("documents", state=state).select("document_id", "status").join(wanted, "document_id", "left_semi")
+        busy = cut(status.where(~may_delete(F.col("status"))).select("document_id").distinct())
+        self.delete(wanted.join(busy, "document_id", "left_anti"), state)
+        return busy
+
 
 def without_documents(table: DataFrame, gone: DataFrame) -> DataFrame:
     return table.join(gone.select("document_id"), "document_id", "left_anti")

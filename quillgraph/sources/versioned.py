@@ -119,9 +119,9 @@ class VersionedTables:
         """Change the columns of ``rows`` (beside document_id) in the table; of a document's row the last change counts."""
         return self.change(columns={table: rows})
 
-    def delete(self, documents: DataFrame) -> int:
+    def delete(self, documents: DataFrame, base: dict | None = None) -> int:
         """Hide all rows of the documents, in all tables; no row is written."""
-        state = self.state()
+        state = self.state() if base is None else base
         entry = self._write("gone", "gone", documents.select("document_id").distinct(), state["version"] + 1)
         self._publish({"version": state["version"] + 1, "schemas": state["schemas"], "entries": [*state["entries"], *([entry | {"tables": sorted(state["schemas"])}] if entry["rows"] else [])]})
         return state["version"] + 1

@@ -362,6 +362,58 @@ def test_store_writers_conflict(spark, tmp_path):
     assert sorted(tuple(r) for r in s.read("t").collect()) == [(1, "b"), (2, "c")]
 
 
+def test_documents_in_work_are_not_deleted(spark, tmp_path):
+    s = store.GraphStore(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, "complete"), (2, "pending"), (3, "error"), (4, "complete")], "document_id long, status string")
+    s.replace(rows, documents=rows, nodes=rows.select("document_id", F.lit("n").alias("name")))
+    s.update("documents", spark.createDataFrame([(2, "processing")], "document_id long, status string"))
+    assert [r.document_id for r in s.delete_documents(spark.createDataFrame([(1,), (2,), (3,), (9,)], "document_id long")).collect()] == [2]
+    assert sorted(r.document_id for r in s.read("documents").collect()) == sorted(r.document_id for r in s.read("nodes").collect()) == [2, 4]
+    s.update("documents", spark.createDataFrame([(2, "complete")], "document_id long, status string"))
+    assert s.delete_documents(spark.createDataFrame([(2,)], "document_id long")).count() == 0 and s.read("documents").count() == 1
+
+
+def test_model_server(spark):
+    """The connector against a local server: what is sent, what is taken from the answer, which models there are."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    sent = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def _say(self, body):
+            data = json.dumps(body).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_POST(self):
+            sent.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            self._say({"response": " hello \n"})
+
+        def do_GET(self):
+            self._say({"models": [{"name": "llama3:latest"}]})
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    model = models.OllamaModel("llama3", f"http://127.0.0.1:{server.server_port}", timeout=5)
+    assert model.complete("Hi") == "hello"
+    assert sent == [("/api/generate", {"model": "llama3", "prompt": "Hi", "stream": False, "options": {"temperature": 0.0}})]
+    assert models.available("llama3", model) == (True, "")
+    assert models.available("mistral", model) == (False, "model mistral is not installed")
+    prompts = spark.createDataFrame([(1, "a"), (2, "b")], "document_id long, prompt string")
+    url = model.url
+    assert [r.answer for r in models.answers(prompts, lambda: models.OllamaModel("llama3", url, 5)).collect()] == ["hello", "hello"]
+    server.shutdown()
+    server.server_close()
+    assert models.available("llama3", model)[0] is False
+
+
 def test_sessions_store_messages(spark, built, tmp_path):
     from quillgraph.plans.sessions import Sessions
 
