@@ -392,8 +392,10 @@ def similar_documents(docs: DataFrame, limit: int = 3, size: int = 5, similarity
     for c in ("a", "b"):
         apart = apart.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
     apart = cut(apart.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
-    edges = similar(apart, nodes, texts, size, similarity).union(roots.select("node", "root"))
-    return _classes(marked, nodes, "sign", connected_components(edges)).select("doc_id", "fp", "component_id", "rest", "root")
+    more = cut(similar(apart, nodes, texts, size, similarity))
+    if not more.isEmpty():
+        roots = connected_components(more.union(roots.select("node", "root")))
+    return _classes(marked, nodes, "sign", roots).select("doc_id", "fp", "component_id", "rest", "root")
 
 
 def _classes(marked: DataFrame, codes: DataFrame, by: str, roots: DataFrame) -> DataFrame:
