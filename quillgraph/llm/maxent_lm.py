@@ -5,10 +5,9 @@ the logarithm of the unigram shares plus weights of hashed features: the word be
 trigram) and the word before the last (a skip).  So a word costs 64 logits whatever the vocabulary, and every distribution
 sums to one.  Words beyond the 65,536 slots share 64 slots by their endings, and are told apart by their counts.
 
-The model is trained by distributed gradient updates, a feature in each round: bigrams, then skips, then trigrams, on top
-of what is there.  In a round each task takes AdaGrad steps over its documents from the weights of the round before; the
-changes of each weight are averaged over tasks by how often the task used it.  Each training document is used in one
-round.  Scoring runs in sparse batches of numpy: rows of the weight table are gathered by
+The model is trained by distributed gradient updates: every training document teaches all features, in one of three
+rounds.  In a round each task takes AdaGrad steps over its documents from the weights of the round before; the
+changes of each weight are averaged over tasks by how often the task used it.  Scoring runs in sparse batches of numpy: rows of the weight table are gathered by
 the hashes of the features that are present.
 """
 
@@ -42,13 +41,15 @@ RATE, BATCH = 0.25, 4_096
 NEIGHBOURS = 32
 #: Tokens of a training task in a round; a sum of matrices takes so many at a time.
 TASK_TOKENS, TOGETHER = 4_000_000, 64
+#: Rounds of training, each over its share of the training rows.
+ROUNDS = 3
 #: Rows of a matrix that travel together.
 BLOCK = 4_096
 END = b"\n"
 #: Nodes of the tree, level by level: 1, 16, 256, 4,096.
 _BASE = np.array([0, 1, 17, 273], np.uint32)
 NODES = 4_369
-#: Bigram, skip and trigram features, with the levels that each has, in the order in which rounds train them.
+#: Bigram, skip and trigram features, with the levels that each has.
 FEATURES = ((0, 1, 2, 3), (0, 1), (0, 1, 2))
 _ONES = np.ones(FAN, np.float32)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -119,14 +120,15 @@ class Model:
                 self._logits(nodes[k], [f[k] for f in rows], logits, more[: stop - at])
                 total += logits[each[: stop - at], choices[k]]
                 np.exp(logits, out=logits)
-                total -= np.log(logits @ _ONES)
+                total -= np.log(logits.sum(axis=1))  # unlike a product, the same wherever in the batch a row is
             out[at:stop] = total
         return out / math.log(10)
 
-    def train(self, w: np.ndarray, used: np.ndarray, feature: int) -> None:
-        """AdaGrad steps, one a batch, for the weights of one feature; those before it are in the logits, as they are.
-        ``used`` counts how often each row took part."""
-        n, levels = len(w) - 2, FEATURES[feature]
+    def train(self, w: np.ndarray, used: np.ndarray, feature: int | None = None) -> None:
+        """AdaGrad steps, one a batch, for the weights of all features together, or of one; those before it are in the
+        logits then, as they are.  ``used`` counts how often each row took part."""
+        taught = range(len(FEATURES)) if feature is None else (feature,)
+        n, levels = len(w) - 2, sorted({k for f in taught for k in FEATURES[f]})
         slopes, more, each = np.empty((len(levels), BATCH, FAN), np.float32), np.empty((BATCH, FAN), np.float32), np.arange(BATCH)
         for at in range(0, n, BATCH):
             stop = min(n, at + BATCH)
@@ -135,16 +137,17 @@ class Model:
             part = slopes[:, :m] if m == BATCH else np.empty((len(levels), m, FAN), np.float32)
             for i, k in enumerate(levels):
                 logits = part[i]
-                self._logits(nodes[k], [f[k] for f in rows[: feature + 1]], logits, more[:m])
+                self._logits(nodes[k], [f[k] for f in rows[: taught[-1] + 1]], logits, more[:m])
                 np.exp(logits, out=logits)
                 logits *= (np.float32(1) / (logits @ _ONES))[:, None]
                 logits[each[:m], choices[k]] -= 1
-            own = np.concatenate([rows[feature][k] for k in levels])
+            own = np.concatenate([rows[f][k] for f in taught for k in FEATURES[f]])
+            of = np.concatenate([each[:m] + levels.index(k) * m for f in taught for k in FEATURES[f]])
             order = np.argsort(own.astype(np.uint32))
             own = own[order]
             first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            slope = np.add.reduceat(part.reshape(-1, FAN).take(order, axis=0), first, axis=0)
             own, n_of = own[first], np.diff(first, append=len(own))
+            slope = _sums(part.reshape(-1, FAN), of[order], first, n_of)
             used[own] += n_of
             squares = self.squares[own] + (slope * slope) @ _ONES / FAN
             self.squares[own] = squares
@@ -152,6 +155,22 @@ class Model:
             self.weights[own] -= slope
 
 
+def _sums(rows: np.ndarray, of: np.ndarray, first: np.ndarray, n_of: np.ndarray, short: int = 32) -> np.ndarray:
+    """Sums of ``rows[of]`` over runs that begin at ``first``: the second, third, ... members of all short runs are added
+    at once, as most runs have few; long runs are reduced one by one."""
+    out = rows.take(of[first], axis=0)
+    at, nth = np.flatnonzero((n_of > 1) & (n_of <= short)), 1
+    while len(at):
+        out[at] += rows.take(of[first[at] + nth], axis=0)
+        nth += 1
+        at = at[n_of[at] > nth]
+    if len(long := np.flatnonzero(n_of > short)):
+        ends = np.cumsum(n_of[long])
+        begin = ends - n_of[long]
+        out[long] = np.add.reduceat(rows.take(of[np.repeat(first[long] - begin, n_of[long]) + np.arange(ends[-1])], axis=0), begin, axis=0)
+    return out
+
+
 def arrange(neighbours: np.ndarray, mass: np.ndarray) -> np.ndarray:
     """The numbers in an order in which those with like neighbours are close: halves by the first principal axis of
     their neighbours, eight times, then by frequency."""
@@ -341,28 +360,28 @@ def _neighbours(encoded: DataFrame, mass: np.ndarray) -> np.ndarray:
 
 
 def _trained(encoded: DataFrame, model: Model, tokens: int) -> None:
-    """A round for each feature; each training row is in one of them."""
+    """Each training row teaches all features, in one of the rounds; a round begins with what those before it learned."""
     spark = encoded.sparkSession
     width = FAN + 2
-    n_parts = max(1, min(encoded.rdd.getNumPartitions(), -(-tokens // (len(FEATURES) * TASK_TOKENS))))
-    for k in range(len(FEATURES)):
+    n_parts = max(1, min(encoded.rdd.getNumPartitions(), -(-tokens // (ROUNDS * TASK_TOKENS))))
+    for k in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, k=k) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             start = sent.value
             own = object.__new__(Model)
             own.slot, own.prior, own.weights, own.squares = start.slot, start.prior, start.weights.copy(), start.squares.copy()
             used = np.zeros(ROWS, np.float32)
             for batch in batches:
                 if batch.num_rows:
-                    own.train(_flat(batch)[0], used, k)
+                    own.train(_flat(batch)[0], used)
             if used.any():
                 # how much each weight moved, how often it was used, and what its squares gained
                 moved = np.concatenate(((own.weights - start.weights) * used[:, None], used[:, None], (own.squares - start.squares)[:, None]), axis=1, dtype=np.float32)
                 for b, block in enumerate(moved.reshape(-1, BLOCK, width)):
                     yield _block(b, _task(), block)
 
-        rows = encoded.where(F.pmod(F.xxhash64("rid"), F.lit(len(FEATURES))) == k).select("numbers").coalesce(n_parts)
+        rows = encoded.where(F.pmod(F.xxhash64("rid"), F.lit(ROUNDS)) == k).select("numbers").coalesce(n_parts)
         for b, block in _summed(rows.mapInArrow(run, "block int, part int, data binary"), n_parts, width, "float32").items():
             at = slice(b * BLOCK, (b + 1) * BLOCK)
             model.weights[at] += block[:, :FAN] / np.maximum(block[:, FAN : FAN + 1], 1)

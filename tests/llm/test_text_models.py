@@ -260,3 +260,26 @@ def test_spellings_of_odd_and_empty_tables(spark):
     got = found(spellings.spellings(odd(spark, [*ODD, (11, "Tailored tailored TAILORED ÄPFELCHEN Äpfelchen"), (None, "tailore tailore tailore")]), slips=True))
     assert {"tailored", "tailore", "Äpfelchen"} >= set(got) and got["tailored"][2] >= 2
     assert spellings.spellings(odd(spark, [])).count() == 0
+
+
+def test_lm_every_training_text_teaches_every_feature(spark, monkeypatch):
+    """Over all rounds each token takes part once for each level of each feature: no feature learns from a share of texts."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(0, 300, 40).astype(np.uint16).tobytes()) for i in range(60)]
+    used, summed = [], maxent_lm._summed
+
+    def spied(*given):
+        out = summed(*given)
+        used.append(sum(float(block[:, maxent_lm.FAN].sum()) for block in out.values()))
+        return out
+
+    monkeypatch.setattr(maxent_lm, "_summed", spied)
+    maxent_lm._trained(spark.createDataFrame(rows, "rid long, numbers binary"), small_model(), 60 * 40)
+    assert sum(used) == 60 * 40 * sum(map(len, maxent_lm.FEATURES))
+
+
+def test_lm_sums_of_runs():
+    rng = np.random.default_rng(4)
+    n_of = np.array([1, 2, 40, 3, 33, 1, 32])
+    first, rows, of = np.cumsum(n_of) - n_of, rng.random((50, 16)).astype(np.float32), rng.integers(0, 50, n_of.sum())
+    assert np.allclose(maxent_lm._sums(rows, of, first, n_of), np.add.reduceat(rows[of], first, axis=0), atol=1e-4)
