@@ -21,6 +21,8 @@ FAN = 16
 CODES, SAMPLE, WIDE = 10, 4, 1_024
 #: Four standard errors of the wide fingerprint's estimate: what it puts further below a threshold is under it.
 MARGIN = 0.12
+#: Members from which a shared term counts as frequent, how many such terms are known at most, and passes over the texts.
+HOT, HOT_TERMS, PASSES = 100, 1 << 20, 4
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -229,6 +231,84 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, leas
     return pairs.where(common >= least * (F.size("a_terms") + F.size("b_terms") - common)).select("a", "b")
 
 
+def sharing(docs: DataFrame, size: int, least: float, frequent: np.ndarray) -> DataFrame:
+    """``(term, sign)`` of the shingle sets that share a term of their prefixes, for each such term.
+
+    A set of n shingles has ``least`` of them in common with every set that it is similar to, so the first
+    ``n - ceil(least * n) + 1`` of both, in any one order, have a term in common.  The order is by hash, ``frequent`` terms
+    last: it decides what this costs, not what is found."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = sent.value
+        for batch in slices(batches):
+            seen: dict[int, np.ndarray] = {}
+            for text in batch.column("text").cast(pa.large_binary()).to_pylist():
+                pieces = list(shingles(text or b"", size))
+                if not pieces:
+                    continue
+                terms = np.unique(np.concatenate(pieces)).astype(np.uint64)
+                sign = xxhash.xxh64_intdigest(terms.tobytes())
+                if sign not in seen:
+                    n = len(terms) - math.ceil(least * len(terms) - 1e-9) + 1
+                    if len(last):
+                        rank = np.minimum(np.searchsorted(last, terms), len(last) - 1)
+                        terms = terms[np.argsort(last[rank] == terms, kind="stable")]
+                    seen[sign] = terms[:n].copy()
+            if seen:
+                signs = np.repeat(np.array(list(seen), np.uint64), [len(t) for t in seen.values()])
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (np.concatenate(list(seen.values())), signs)], names=["term", "sign"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, 0), np.int64)  # the first of the last term, which may go on in the next batch; none once it is told
+        told = None
+        for batch in batches:
+            term, sign = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("term", "sign"))
+            rows = np.concatenate((held, np.stack((term, sign))), axis=1)
+            if told is not None:
+                rows = np.concatenate((told[:, None], rows), axis=1)
+            if not rows.shape[1]:
+                continue
+            other = np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)))
+            rows = rows[:, other]
+            new = np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))
+            n = np.bincount(np.cumsum(new) - 1)
+            out = np.repeat(n > 1, n)
+            keep = rows[:, out]
+            if told is not None and len(keep[0]) and (keep[:, 0] == told).all():
+                keep = keep[:, 1:]
+            # of a term with several members the last one stands for it in the next batch
+            told, held = (rows[:, -1].copy(), held[:, :0]) if n[-1] > 1 or told is not None and (rows[0, -1] == told[0]) else (None, rows[:, -1:].copy())
+            if keep.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(keep[0]), pa.array(keep[1])], names=["term", "sign"])
+
+    kind = "term long, sign long"
+    return docs.select("text").mapInArrow(prefixes, kind).repartition("term").sortWithinPartitions("term", "sign").mapInArrow(met, kind)
+
+
+def left_over(docs: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, least: float) -> DataFrame:
+    """All pairs ``(a, b)`` of ``nodes(sign, sketch)`` in different classes of ``roots(node, root)`` that may have a Jaccard
+    similarity of ``least`` or more: none that has is left out.
+
+    Terms that many sets share, in several classes, go to the end of the order, and the prefixes are taken once more,
+    ``PASSES`` times at most; what is frequent even then is paired in full."""
+    frequent = np.zeros(0, np.uint64)
+    for nth in range(PASSES):
+        rows = sharing(docs, size, least, frequent)
+        rows = rows.join(roots.select(F.col("node").alias("sign"), "root"), "sign", "left").select("term", "sign", F.coalesce("root", "sign").alias("root"))
+        rows = cut(rows)
+        several = cut(rows.groupBy("term").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high"))
+        hot = several.where(F.col("n") > HOT).orderBy(F.desc("n"), "term").limit(HOT_TERMS).select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64) if nth < PASSES - 1 else frequent
+        more = np.union1d(frequent, hot)[:HOT_TERMS]
+        if len(more) == len(frequent):
+            break
+        frequent = more
+    rows = rows.join(several.select("term"), "term").join(nodes.select("sign", F.col("sketch.terms").alias("size")), "sign")
+    a, b = (rows.select("term", *[F.col(c).alias(f"{x}_{c}") for c in ("sign", "root", "size")]) for x in ("a", "b"))
+    alike = F.least("a_size", "b_size") >= least * F.greatest("a_size", "b_size") - 1e-6
+    return a.join(b, "term").where((F.col("a_sign") < F.col("b_sign")) & (F.col("a_root") != F.col("b_root")) & alike).select(F.col("a_sign").alias("a"), F.col("b_sign").alias("b")).distinct()
+
+
 def links(codes: DataFrame, limit: int = 2, block: int = 8_192, many: int = 8_192, least_blocks: int = 64, group: int = 64) -> DataFrame:
     """Edges ``(a, b)`` between different codes such that codes within ``limit`` bits, and no others, end in one
     component.  ``codes(fp)`` are distinct.
@@ -372,6 +452,8 @@ def similar_documents(docs: DataFrame, limit: int = 3, size: int = 5, similarity
     Candidates come from the index of fingerprints within ``limit`` bits and, since 64 bits can't tell such a similarity,
     from sampled codes (``candidates``).  **Every link is counted from the shingles themselves**; candidates that can't
     tie two classes any more are not: first each text's best candidate is counted, then those between different classes.
+    At last, since codes are drawn and an estimate may be low, texts of different classes meet by the prefixes of their
+    sets, which leaves no pair out (``left_over``).
 
     Returns ``doc_id, fp, component_id, rest, root`` as ``near_duplicates`` does; ``root`` is a hash of a set of shingles.
     Rows are documents; texts with the same set of shingles are one class, so repeated rows and all texts without words.
@@ -393,6 +475,10 @@ def similar_documents(docs: DataFrame, limit: int = 3, size: int = 5, similarity
         apart = apart.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
     apart = cut(apart.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
     more = cut(similar(apart, nodes, texts, size, similarity))
+    if not more.isEmpty():
+        roots = connected_components(more.union(roots.select("node", "root")))
+    rest = cut(left_over(docs, nodes, roots, size, similarity))
+    more = cut(similar(rest, nodes, texts, size, similarity))
     if not more.isEmpty():
         roots = connected_components(more.union(roots.select("node", "root")))
     return _classes(marked, nodes, "sign", roots).select("doc_id", "fp", "component_id", "rest", "root")

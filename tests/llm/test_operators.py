@@ -690,3 +690,38 @@ def test_pipeline_keeps_documents_without_an_id_of_their_own(spark):
     got = P.drop_near_duplicates(spark, odd(spark, rows), DATA).select("doc_id", "text").collect()
     want = [(None, texts[0]), (None, texts[1]), (9, texts[2]), (7, texts[3]), (7, texts[4]), (6, texts[5]), (None, None)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("hot", [100, 3])
+def test_similar_documents_lose_no_link(spark, monkeypatch, hot):
+    """Classes are those of all pairs by brute force, even if index and codes offer no candidate at all."""
+    import random
+
+    from quillgraph.llm import simhash
+
+    rng, texts = random.Random(5), []
+    for _ in range(25):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(20, 90))]
+        for _ in range(rng.randrange(1, 5)):
+            own = list(words)
+            for _ in range(rng.randrange(0, 4)):
+                own[rng.randrange(len(own))] = f"w{rng.randrange(500)}"
+            texts.append(" ".join(own + ["one", "line", "that", "all", "texts", "have", "here"]))
+    texts += ["", "one word", None, "one line that all texts have here"]
+    sets = [set(zip(*(w[k:] for k in range(min(5, len(w)))))) if w else set() for w in ((t or "").split() for t in texts)]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if x == y or len(x & y) >= 0.8 * len(x | y):
+                    root[i] = min(root[i], root[j])
+    monkeypatch.setattr(simhash, "candidates", lambda nodes, *_: spark.createDataFrame([], "a long, b long, about double"))
+    monkeypatch.setattr(simhash, "HOT", hot)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000 if hot > 3 else 7)  # terms that go on over batches
+    try:
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    assert got == dict(enumerate(root)) and len(set(root)) > 20
