@@ -21,8 +21,9 @@ FAN = 16
 CODES, SAMPLE, WIDE = 10, 4, 1_024
 #: Four standard errors of the wide fingerprint's estimate: what it puts further below a threshold is under it.
 MARGIN = 0.12
-#: Members from which a shared term counts as frequent, how many such terms are known at most, and passes over the texts.
-HOT, HOT_TERMS, PASSES = 100, 1 << 20, 4
+#: Sets from which a shared term counts as frequent, how many such terms are known at most, and the one text in so many
+#: that tells it.
+HOT, HOT_TERMS, ONE_IN = 100, 1 << 20, 32
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -211,102 +212,150 @@ def candidates(nodes: DataFrame, limit: int, least: float) -> DataFrame:
     return pairs.select("a", "b", about.alias("about")).where(F.col("about") >= least - MARGIN)
 
 
+def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(sign, text)``: one text of each of the sets in ``pairs(a, b)``."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sign")).distinct().join(nodes, "sign").select("sign", "least", F.col("mark").alias("of"))
+    # a text that many rows have is spread by the ids, of which one is wanted
+    return docs.join(wanted, (F.col("mark") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("sign", "text")
+
+
+def _set(text: bytes | None, size: int) -> np.ndarray:
+    """The set of a text's shingles as sorted hashes."""
+    pieces = list(shingles(text or b"", size))
+    return np.unique(np.concatenate(pieces)).astype(np.uint64) if pieces else np.zeros(0, np.uint64)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of 64-bit numbers as one column of lists of longs."""
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)))
+
+
 def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
     """The ``pairs(a, b)`` of ``nodes(sign, least, mark)`` with a Jaccard similarity of ``least`` or more, counted from
     the shingles of one text of each.  ``docs(doc_id, text, mark)``."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sign")).distinct().join(nodes, "sign").select("sign", "least", F.col("mark").alias("of"))
-    # a text that many rows have is spread by the ids, of which one is wanted
-    texts = docs.join(wanted, (F.col("mark") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("sign", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [np.unique(np.concatenate(list(shingles(t, size)))).astype(np.uint64).view(np.int64) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)])
-            yield pa.RecordBatch.from_arrays([batch.column("sign"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["sign", "terms"])
+            sets = [_set(t, size) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("sign"), _lists(sets)], names=["sign", "terms"])
 
-    sets = cut(texts.mapInArrow(run, "sign long, terms array<long>").dropDuplicates(["sign"]))
+    sets = cut(_texts_of(pairs, nodes, docs).mapInArrow(run, "sign long, terms array<long>").dropDuplicates(["sign"]))
     for c in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("sign").alias(c), F.col("terms").alias(f"{c}_terms")), c)
     common = F.size(F.array_intersect("a_terms", "b_terms"))
     return pairs.where(common >= least * (F.size("a_terms") + F.size("b_terms") - common)).select("a", "b")
 
 
-def sharing(docs: DataFrame, size: int, least: float, frequent: np.ndarray) -> DataFrame:
-    """``(term, sign)`` of the shingle sets that share a term of their prefixes, for each such term.
+def bitmap(terms: np.ndarray) -> np.ndarray:
+    """The low bits of a set's hashes as a bit map of twice to four times as many bits as hashes, 1,024 at least."""
+    width = max(1_024, 1 << (2 * len(terms) - 1).bit_length() if len(terms) else 0)
+    bits = np.zeros(width, bool)
+    bits[(terms & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """The ``pairs(a, b)`` without such as bit maps of the sets tell to be under ``least``, so that few whole sets have to
+    meet.  A bit that only one of two sets has stands for a shingle, at least, that the other hasn't: none that has
+    ``least`` goes.  Arguments as of ``similar``; the sizes of two sets are at most a quarter apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [_set(t, size) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("sign"), pa.array([len(x) for x in sets], pa.int32()), _lists([bitmap(x) for x in sets])], names=["sign", "size", "bits"])
+
+    maps = cut(_texts_of(pairs, nodes, docs).mapInArrow(run, "sign long, size int, bits array<long>").dropDuplicates(["sign"]))
+    for c in ("a", "b"):
+        pairs = pairs.join(maps.select(F.col("sign").alias(c), F.col("size").alias(f"{c}_size"), F.col("bits").alias(f"{c}_bits")), c)
+    # of two widths the larger is twice the smaller, and its halves are laid upon each other
+    n = F.least(F.size("a_bits"), F.size("b_bits"))
+    one, two = (F.when(F.size(c) == n, F.col(c)).otherwise(F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, n + 1, n), lambda x, y: x.bitwiseOR(y))) for c in ("a_bits", "b_bits"))
+    pairs = pairs.select("a", "b", "a_size", "b_size", one.alias("one"), two.alias("two"))
+    only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, k: s + k)
+    common = F.least(F.col("a_size") - only("one", "two"), F.col("b_size") - only("two", "one"))
+    return pairs.where(common >= least * (F.col("a_size") + F.col("b_size") - common) - 1e-6).select("a", "b")
+
+
+def frequent_terms(docs: DataFrame, size: int) -> np.ndarray:
+    """Shingles that about ``HOT`` texts or more have, as one text in ``ONE_IN`` tells; the most frequent if there are too
+    many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [_set(t, size) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["term"])
+
+    drawn = docs.where(F.pmod(F.xxhash64("text"), F.lit(ONE_IN)) == 0).select("text")
+    counts = drawn.mapInArrow(run, "term long").groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, HOT // ONE_IN))
+    return np.sort(counts.orderBy(F.desc("n"), "term").limit(HOT_TERMS).select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64))
+
+
+def left_over(docs: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, least: float) -> DataFrame:
+    """All pairs ``(a, b)`` of ``nodes(sign, least, mark)`` in different classes of ``roots(node, root)`` that may have a
+    Jaccard similarity of ``least`` or more: none that has is left out.  ``docs(doc_id, text, mark)``.
 
     A set of n shingles has ``least`` of them in common with every set that it is similar to, so the first
-    ``n - ceil(least * n) + 1`` of both, in any one order, have a term in common.  The order is by hash, ``frequent`` terms
-    last: it decides what this costs, not what is found."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
+    ``n - ceil(least * n) + 1`` of both, in any one order, have a term in common, and behind the first such term both have
+    enough terms left.  The order is by hash, ``frequent_terms`` last: it decides what this costs, not what is found."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_terms(docs, size))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = sent.value
         for batch in slices(batches):
-            seen: dict[int, np.ndarray] = {}
+            seen: dict[int, tuple[int, np.ndarray]] = {}
             for text in batch.column("text").cast(pa.large_binary()).to_pylist():
-                pieces = list(shingles(text or b"", size))
-                if not pieces:
-                    continue
-                terms = np.unique(np.concatenate(pieces)).astype(np.uint64)
+                terms = _set(text, size)
                 sign = xxhash.xxh64_intdigest(terms.tobytes())
-                if sign not in seen:
-                    n = len(terms) - math.ceil(least * len(terms) - 1e-9) + 1
-                    if len(last):
-                        rank = np.minimum(np.searchsorted(last, terms), len(last) - 1)
-                        terms = terms[np.argsort(last[rank] == terms, kind="stable")]
-                    seen[sign] = terms[:n].copy()
+                if not len(terms) or sign in seen:
+                    continue
+                total = len(terms)
+                if len(last):
+                    rank = np.minimum(np.searchsorted(last, terms), len(last) - 1)
+                    terms = terms[np.argsort(last[rank] == terms, kind="stable")]
+                seen[sign] = total, terms[: total - math.ceil(least * total - 1e-9) + 1].copy()
             if seen:
-                signs = np.repeat(np.array(list(seen), np.uint64), [len(t) for t in seen.values()])
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (np.concatenate(list(seen.values())), signs)], names=["term", "sign"])
+                signs = pa.array(np.array(list(seen), np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([signs, pa.array([n for n, _ in seen.values()], pa.int32()), _lists([t for _, t in seen.values()])], names=["sign", "size", "terms"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, 0), np.int64)  # the first of the last term, which may go on in the next batch; none once it is told
-        told = None
+        held: list[np.ndarray] = []  # rows of the last term, which may go on in the next batch
         for batch in batches:
-            term, sign = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("term", "sign"))
-            rows = np.concatenate((held, np.stack((term, sign))), axis=1)
-            if told is not None:
-                rows = np.concatenate((told[:, None], rows), axis=1)
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
             if not rows.shape[1]:
                 continue
-            other = np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)))
-            rows = rows[:, other]
-            new = np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))
-            n = np.bincount(np.cumsum(new) - 1)
-            out = np.repeat(n > 1, n)
-            keep = rows[:, out]
-            if told is not None and len(keep[0]) and (keep[:, 0] == told).all():
-                keep = keep[:, 1:]
-            # of a term with several members the last one stands for it in the next batch
-            told, held = (rows[:, -1].copy(), held[:, :0]) if n[-1] > 1 or told is not None and (rows[0, -1] == told[0]) else (None, rows[:, -1:].copy())
-            if keep.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(keep[0]), pa.array(keep[1])], names=["term", "sign"])
-
-    kind = "term long, sign long"
-    return docs.select("text").mapInArrow(prefixes, kind).repartition("term").sortWithinPartitions("term", "sign").mapInArrow(met, kind)
-
-
-def left_over(docs: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, least: float) -> DataFrame:
-    """All pairs ``(a, b)`` of ``nodes(sign, sketch)`` in different classes of ``roots(node, root)`` that may have a Jaccard
-    similarity of ``least`` or more: none that has is left out.
-
-    Terms that many sets share, in several classes, go to the end of the order, and the prefixes are taken once more,
-    ``PASSES`` times at most; what is frequent even then is paired in full."""
-    frequent = np.zeros(0, np.uint64)
-    for nth in range(PASSES):
-        rows = sharing(docs, size, least, frequent)
-        rows = rows.join(roots.select(F.col("node").alias("sign"), "root"), "sign", "left").select("term", "sign", F.coalesce("root", "sign").alias("root"))
-        rows = cut(rows)
-        several = cut(rows.groupBy("term").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high"))
-        hot = several.where(F.col("n") > HOT).orderBy(F.desc("n"), "term").limit(HOT_TERMS).select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64) if nth < PASSES - 1 else frequent
-        more = np.union1d(frequent, hot)[:HOT_TERMS]
-        if len(more) == len(frequent):
-            break
-        frequent = more
-    rows = rows.join(several.select("term"), "term").join(nodes.select("sign", F.col("sketch.terms").alias("size")), "sign")
-    a, b = (rows.select("term", *[F.col(c).alias(f"{x}_{c}") for c in ("sign", "root", "size")]) for x in ("a", "b"))
-    alike = F.least("a_size", "b_size") >= least * F.greatest("a_size", "b_size") - 1e-6
-    return a.join(b, "term").where((F.col("a_sign") < F.col("b_sign")) & (F.col("a_root") != F.col("b_root")) & alike).select(F.col("a_sign").alias("a"), F.col("b_sign").alias("b")).distinct()
+            if held and held[0][0, 0] != rows[0, 0]:
+                yield from paired(np.concatenate(held, axis=1))
+                held = []
+            begin = int(np.searchsorted(rows[0], rows[0, -1]))
+            if begin:
+                yield from paired(np.concatenate([*held, rows[:, :begin]], axis=1))
+                held = []
+            held.append(rows[:, begin:])
+        if held:
+            yield from paired(np.concatenate(held, axis=1))
+
+    def paired(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        term, root, sign, total, place = rows[:, np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)))]
+        at, step = np.arange(len(term)), 0
+        while len(at):  # each row meets the next row of its term, then the one after that, and so on
+            step += 1
+            at = at[at + step < len(term)]
+            at = at[term[at] == term[at + step]]
+            x, y = at, at + step
+            common = np.minimum(total[x] - place[x], total[y] - place[y])
+            keep = (root[x] != root[y]) & (common >= least / (1 + least) * (total[x] + total[y]) - 1e-6)
+            keep &= np.minimum(total[x], total[y]) >= least * np.maximum(total[x], total[y]) - 1e-6
+            if keep.any():
+                a, b = sign[x[keep]], sign[y[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    sets = docs.select("text").mapInArrow(prefixes, "sign long, size int, terms array<long>")
+    sets = sets.join(roots.select(F.col("node").alias("sign"), "root"), "sign", "left")
+    rows = sets.select("sign", "size", F.coalesce("root", "sign").alias("root"), F.posexplode("terms").alias("place", "term")).select("term", "root", "sign", "size", "place")
+    pairs = rows.repartition("term").sortWithinPartitions("term", "root", "sign").mapInArrow(met, "a long, b long")
+    return possible(cut(pairs.distinct()), nodes, docs, size, least)
 
 
 def links(codes: DataFrame, limit: int = 2, block: int = 8_192, many: int = 8_192, least_blocks: int = 64, group: int = 64) -> DataFrame:
@@ -477,7 +526,7 @@ def similar_documents(docs: DataFrame, limit: int = 3, size: int = 5, similarity
     more = cut(similar(apart, nodes, texts, size, similarity))
     if not more.isEmpty():
         roots = connected_components(more.union(roots.select("node", "root")))
-    rest = cut(left_over(docs, nodes, roots, size, similarity))
+    rest = cut(left_over(texts, nodes, roots, size, similarity))
     more = cut(similar(rest, nodes, texts, size, similarity))
     if not more.isEmpty():
         roots = connected_components(more.union(roots.select("node", "root")))

@@ -725,3 +725,50 @@ def test_similar_documents_lose_no_link(spark, monkeypatch, hot):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     assert got == dict(enumerate(root)) and len(set(root)) > 20
+
+
+@pytest.mark.parametrize("n", [100, 2_500])
+def test_bit_maps_keep_what_is_similar_and_drop_most_else(spark, n):
+    """Sets around a width's end, so that maps of two widths meet, and much longer than 1,024 bits."""
+    import random
+
+    from quillgraph.llm import simhash
+
+    rng, texts = random.Random(n), []
+    for _ in range(4):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for part in (0, 30, 60, 300, 900):  # thousandths of the words that are others at the end, and some more
+            own = words[: n - n * part // 1000] + [f"x{rng.randrange(10**6)}" for _ in range(n * part // 1000 + n * rng.randrange(0, 60) // 1000)]
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, mark long")
+    nodes = docs.select(docs.doc_id.alias("sign"), docs.doc_id.alias("least"), "mark")
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j]))]
+    got = {tuple(r) for r in simhash.possible(spark.createDataFrame(alike, "a long, b long"), nodes, docs, 5, 0.8).collect()}
+    share = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in alike}
+    assert {p for p in alike if share[p] >= 0.8} <= got
+    assert not {p for p in got if share[p] < 0.6} and len(got) < len(alike) / 4
+
+
+def test_left_over_pairs_few_of_a_crowd_just_under_the_threshold(spark):
+    """Near copies of one text with a similarity of about 0.7 to it and 0.5 to each other: shared terms come last and bit
+    maps tell the rest, so that not all pairs are counted."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillgraph.llm import simhash
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(400):
+        own = list(base)
+        for k in (rng.randrange(5, 25), rng.randrange(30, 55)):
+            own[k] = f"x{i}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("mark", F.xxhash64("text"))
+    made = simhash.fingerprints(docs, 5, True)
+    nodes = made.select("sign", "sketch", F.col("doc_id").alias("least"), "mark")
+    roots = spark.createDataFrame([], "node long, root long")
+    assert simhash.left_over(docs, nodes, roots, 5, 0.8).count() < 400 * 399 / 2 / 20
