@@ -517,3 +517,23 @@ def test_failed_model_call_stays_in_its_row(spark):
 
     got = models.answers(spark.createDataFrame([(1, "good"), (2, "bad")], "document_id long, prompt string"), load).orderBy("document_id").collect()
     assert [(r.answer, r.error) for r in got] == [("ok", None), (None, "no")]
+
+
+def test_lone_entities_are_not_compared(monkeypatch):
+    """Entities that share no last word with others are their own clusters, without a look at their names."""
+    import pyarrow as pa
+
+    from quillgraph.operators import resolution
+
+    asked, real = [], resolution.cluster
+    monkeypatch.setattr(resolution, "cluster", lambda names, *more: asked.append(names) or real(names, *more))
+    rows = [[(7, 3, "Oak Town")], [(1, 1, "Ann Lee"), (4, 1, "Bo Lee"), (9, 1, "ann lee")], [], [(2, 1, "Cy Orr")]]
+    one = lambda at, first, name: {"_ord": at, "first": first, "e": {"label": "Person", "name": name, "chunk_id": 0}}
+    kind = pa.list_(pa.struct({"_ord": pa.int64(), "first": pa.int64(), "e": pa.struct({"label": pa.string(), "name": pa.string(), "chunk_id": pa.int32()})}))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 2, 2]), pa.array([[one(*r) for r in group] for group in rows], kind)], names=["document_id", "rows"])
+    for cut in (batch, batch.slice(1)):
+        asked.clear()
+        (got,) = resolution.clustered(iter([cut]), True)
+        assert asked == [["Ann Lee", "Bo Lee", "ann lee"]]
+        whole = [[[3], [7], [0]], [[1, 1, 1], [1, 4, 1], [0, 0, 1]], [[], [], []], [[1], [2], [0]]]
+        assert [list(r.values())[2:] for r in got.to_pylist()] == whole[4 - cut.num_rows :]
