@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from quillgraph.llm.common import cut  # noqa: E402
+from quillgraph.llm.common import cut, sifted  # noqa: E402
 from quillgraph.llm.decontaminate import decontaminate  # noqa: E402
 from quillgraph.llm.entropy_mix import entropy_mix  # noqa: E402
 from quillgraph.llm.line_dedup import line_dedup  # noqa: E402
@@ -49,11 +49,17 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group one row stays, with the smallest doc_id that there is.  Rows without an id and different texts
-    of one doc_id are documents of their own: they go only if their group has another."""
+    of one doc_id are documents of their own: they go only if their group has another.
+
+    What goes is looked up among the texts; all others stay where they are, as they are not in the sieve of what goes."""
     sign = F.xxhash64("text")
-    classes = similar_documents(docs.select("doc_id", "text", sign.alias("sign")), BITS, SHINGLE, SIMILARITY)
-    heads = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", F.col("component_id").alias("kept_id")).agg(F.min("rest.sign").alias("kept_sign"))
-    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (sign == F.col("kept_sign")), "left_semi")
+    classes = similar_documents(docs.select("doc_id", "text", sign.alias("sign")), BITS, SHINGLE, SIMILARITY).select("root", "doc_id", "component_id", F.col("rest.sign").alias("sign"))
+    heads = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("sign").alias("kept_sign"))
+    head = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("sign") == F.col("kept_sign"))
+    gone = cut(classes.join(heads, "root").where(~head).select(F.col("doc_id").alias("gone_id"), F.col("sign").alias("gone_sign")).distinct())
+    told = sifted(docs, F.xxhash64(sign, "doc_id"), gone, F.xxhash64("gone_sign", "gone_id"))
+    lost = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (sign == F.col("gone_sign"))
+    kept = told.where("not hit").union(told.where("hit").join(gone, lost, "left_anti")).drop("hit")
     ids = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     return kept if ids.n == ids.d else kept.withColumn("_sign", sign).dropDuplicates(["doc_id", "_sign"]).drop("_sign")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, others, slices, tables
+from .common import cut, others, sifted, slices, tables
 from .components import connected_components
 
 SHINGLE, SEED = 3, 42
@@ -212,11 +212,22 @@ def candidates(nodes: DataFrame, limit: int, least: float) -> DataFrame:
     return pairs.select("a", "b", about.alias("about")).where(F.col("about") >= least - MARGIN)
 
 
-def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(sign, text)``: one text of each of the sets in ``pairs(a, b)``."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sign")).distinct().join(nodes, "sign").select("sign", "least", F.col("mark").alias("of"))
+def _sets_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, made: Callable[[list[np.ndarray]], list[pa.Array]], kind: str) -> DataFrame:
+    """``sign`` and what ``made`` gives, of type ``kind``, for each of the sets in ``pairs(a, b)``, from one text of each.
+    Only what is made of the texts is shuffled, and only of such as may be wanted."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("sign")).distinct().join(nodes, "sign").select("sign", "least", F.col("mark").alias("of")))
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["mark"], *T.StructType.fromDDL(kind).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [_set(t, size) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *made(sets)], names=schema.names)
+
+    told = sifted(docs, F.xxhash64("mark", "doc_id"), wanted, F.xxhash64("of", "least"))
+    sets = told.where("hit").select("doc_id", "mark", "text").mapInArrow(run, schema)
     # a text that many rows have is spread by the ids, of which one is wanted
-    return docs.join(wanted, (F.col("mark") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("sign", "text")
+    found = sets.join(wanted, (F.col("mark") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    return cut(found.select("sign", *schema.names[2:]).dropDuplicates(["sign"]))
 
 
 def _set(text: bytes | None, size: int) -> np.ndarray:
@@ -234,13 +245,7 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
     """The ``pairs(a, b)`` of ``nodes(sign, least, mark)`` with a Jaccard similarity of ``least`` or more, counted from
     the shingles of one text of each.  ``docs(doc_id, text, mark)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [_set(t, size) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("sign"), _lists(sets)], names=["sign", "terms"])
-
-    sets = cut(_texts_of(pairs, nodes, docs).mapInArrow(run, "sign long, terms array<long>").dropDuplicates(["sign"]))
+    sets = _sets_of(pairs, nodes, docs, size, lambda sets: [_lists(sets)], "terms array<long>")
     for c in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("sign").alias(c), F.col("terms").alias(f"{c}_terms")), c)
     common = F.size(F.array_intersect("a_terms", "b_terms"))
@@ -259,13 +264,7 @@ def possible(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, lea
     """The ``pairs(a, b)`` without such as bit maps of the sets tell to be under ``least``, so that few whole sets have to
     meet.  A bit that only one of two sets has stands for a shingle, at least, that the other hasn't: none that has
     ``least`` goes.  Arguments as of ``similar``; the sizes of two sets are at most a quarter apart."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [_set(t, size) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("sign"), pa.array([len(x) for x in sets], pa.int32()), _lists([bitmap(x) for x in sets])], names=["sign", "size", "bits"])
-
-    maps = cut(_texts_of(pairs, nodes, docs).mapInArrow(run, "sign long, size int, bits array<long>").dropDuplicates(["sign"]))
+    maps = _sets_of(pairs, nodes, docs, size, lambda sets: [pa.array([len(x) for x in sets], pa.int32()), _lists([bitmap(x) for x in sets])], "size int, bits array<long>")
     for c in ("a", "b"):
         pairs = pairs.join(maps.select(F.col("sign").alias(c), F.col("size").alias(f"{c}_size"), F.col("bits").alias(f"{c}_bits")), c)
     # of two widths the larger is twice the smaller, and its halves are laid upon each other

@@ -772,3 +772,48 @@ def test_left_over_pairs_few_of_a_crowd_just_under_the_threshold(spark):
     nodes = made.select("sign", "sketch", F.col("doc_id").alias("least"), "mark")
     roots = spark.createDataFrame([], "node long, root long")
     assert simhash.left_over(docs, nodes, roots, 5, 0.8).count() < 400 * 399 / 2 / 20
+
+
+def shuffled(spark) -> int:
+    """Bytes that all stages of the session have written to shuffles."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), jvm.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_near_dedup_leaves_texts_without_partners_where_they_are(spark):
+    """Long texts of which few have a near copy: what joins shuffle is far less than the texts."""
+    import random
+
+    import corpus_pipeline as P
+
+    rng = random.Random(8)
+    word = lambda: f"{rng.getrandbits(160):040x}"
+    texts = [" ".join(word() for _ in range(900)) for _ in range(60)]
+    texts += [f"{texts[7]} {word()}", texts[8]]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled(spark)
+        got = P.drop_near_duplicates(spark, docs, DATA).collect()
+        sent = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(map(tuple, got)) == [(i, t, "en") for i, t in enumerate(texts[:60])]
+    assert sent < sum(map(len, texts)) / 2
+
+
+def test_sieve_misses_no_key(spark):
+    """Null ids and equal hashes included; of many keys it has at most its words, and few keys hit little else."""
+    from pyspark.sql import functions as F
+
+    from quillgraph.llm import common
+
+    ids = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id")).alias("id"), F.lit("text").alias("text"))
+    some = ids.where("id is null or id % 100 = 3").select(F.col("id").alias("of"))
+    told = common.sifted(ids, F.xxhash64("id"), some, F.xxhash64("of"))
+    assert told.columns == ["id", "text", "hit"] and told.count() == 20_000
+    assert told.where("hit").select("id").exceptAll(some).count() < 20
+    assert some.exceptAll(told.where("hit").select("id")).isEmpty()
+    assert common.sifted(ids, F.xxhash64("id"), some.where("false"), F.xxhash64("of")).where("hit").isEmpty()
