@@ -53,36 +53,64 @@ def entity_names(nodes: DataFrame) -> DataFrame:
 LETTER = r"[\p{L}\p{N}_]"
 
 
-def _words_at(df: DataFrame, text: str) -> DataFrame:
-    """``df`` once for each word of the text column, as ``anchor``, with its place ``at`` (from 0).  Other characters count
-    as empty words of one place each, as a name may have no letter at all."""
+def _words_of(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``words``: each word of the text column, as ``anchor``, with its place (from 0) in ``at``.  All other
+    characters are one empty word with a place for each, as a name may have no letter at all."""
     pieces = X.prefix_sums(df.withColumn("_pieces", F.regexp_extract_all(F.col(text), F.lit(f"{LETTER}+|[^{LETTER[1:-1]}]"), F.lit(0))), F.transform("_pieces", F.char_length), "_at")
-    word = lambda p, i: F.struct(F.when(p.rlike(LETTER), p).otherwise("").alias("anchor"), F.get("_at", i).alias("at"))
-    return pieces.select(*df.columns, F.inline(F.transform("_pieces", word)))
+    pieces = pieces.withColumn("_each", F.transform("_pieces", lambda p, i: F.struct(p.alias("anchor"), F.array(F.get("_at", i)).alias("at"), p.rlike(LETTER).alias("_is"))))
+    none = F.struct(F.lit("").alias("anchor"), F.flatten(F.transform(F.filter("_each", lambda x: ~x["_is"]), lambda x: x["at"])).alias("at"))
+    words = F.transform(F.filter("_each", lambda x: x["_is"]), lambda x: F.struct(x["anchor"].alias("anchor"), x["at"].alias("at")))
+    return pieces.select(*df.columns, F.concat(F.array(none), words).alias("words"))
 
 
 def matched_names(questions: DataFrame, names: DataFrame) -> DataFrame:
     """``questions(document_id, question_id, question)`` with ``matched``, the names of the same document that each has as
     whole words, whatever their case.
 
-    All questions meet all ``names(document_id, name)`` in one equi-join: a name can only stand where its first word does.
-    What is found is an interval; per question the longest intervals are taken first (ties: by place, then name) if they
-    don't overlap one that is taken, in one fold over the sorted array.  A question without names has an empty array."""
-    asked = questions.select("document_id", "question_id", "question", F.lower("question").alias("low"))
-    n = names.select("document_id", "name", F.lower("name").alias("known")).where("known <> ''").distinct()
-    n = n.withColumn("anchor", F.regexp_extract("known", f"{LETTER}+", 0))
-    n = n.withColumn("skip", F.when(F.col("anchor") == "", 0).otherwise(F.instr("known", F.col("anchor")) - 1))
-    words = _words_at(asked.select("document_id", "question_id", "low"), "low")
-    met = words.join(n, ["document_id", "anchor"]).withColumn("start", F.col("at") - F.col("skip")).withColumn("end", F.col("start") + F.char_length("known")).where("start >= 0")
-    stands = F.substring("low", F.col("start") + 1, F.char_length("known")) == F.col("known")
-    beside = lambda place: F.substring("low", place, F.lit(1)).rlike(LETTER)
-    free = ~((F.col("start") > 0) & beside(F.col("start"))) & ~beside(F.col("end") + 1)
-    spans = met.where(stands & free).groupBy("document_id", "question_id").agg(F.array_sort(F.collect_set(F.struct((F.col("start") - F.col("end")).alias("minus"), "start", "name", "end"))).alias("spans"))
+    Questions and ``names(document_id, name)`` are dealt once, by document; words are made after that, so no more than the
+    texts and names is shuffled.  All words of a document meet its names by their first word: a name can only stand where
+    that does.  Texts are not carried along with words, but meet the names' places at last.  What is found is an interval;
+    per question the longest intervals are taken first (ties: by place, then name) if they don't overlap one that is taken,
+    in one fold over the sorted array.  A question without names has an empty array."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in questions.columns])
+    asked = questions.select("document_id", "question_id", whole.alias("row"), F.lit(None).cast("string").alias("name"))
+    told = names.where("document_id is not null and name <> ''").select("document_id", F.lit(None).cast(questions.schema["question_id"].dataType).alias("question_id"), F.lit(None).cast(asked.schema["row"].dataType).alias("row"), "name")
+    dealt = asked.union(told).repartition("document_id")
+    # names and words by their anchors; a question itself has none
+    dealt = _words_of(dealt.withColumn("low", F.lower(F.coalesce("row.question", F.lit("")))), "low")
+    dealt = dealt.withColumn("known", F.lower("name")).withColumn("first", F.regexp_extract("known", f"{LETTER}+", 0))
+    skip = F.when(F.col("first") == "", 0).otherwise(F.instr("known", F.col("first")) - 1)
+    one = lambda anchor, at, row, name: F.struct(anchor.alias("anchor"), at.alias("at"), row.alias("row"), name.alias("known_as"))
+    no_text, no_places, no_row = F.lit(None).cast("string"), F.lit(None).cast("array<int>"), F.lit(None).cast(asked.schema["row"].dataType)
+    known_as = F.struct("name", "known", skip.alias("skip"))
+    no_name = F.lit(None).cast("struct<name: string, known: string, skip: int>")
+    met = F.when(F.col("name").isNotNull(), F.array(one(F.col("first"), no_places, no_row, known_as))).otherwise(
+        F.concat(F.array(one(no_text, no_places, F.col("row"), no_name)), F.transform("words", lambda w: one(w["anchor"], w["at"], no_row, no_name)))
+    )
+    rows = dealt.select("document_id", "question_id", F.inline(met))
+    place = F.when(F.col("known_as").isNull(), F.struct("question_id", "at", "row"))
+    groups = rows.groupBy("document_id", "anchor", F.when(F.col("anchor").isNull(), F.col("question_id")).alias("own")).agg(F.collect_list(place).alias("places"), F.collect_set("known_as").alias("names"))
+    places = groups.where("anchor is null or size(names) > 0").select("document_id", "names", F.inline("places"))
+    pairs = places.select("document_id", "question_id", "at", "row", F.explode_outer("names").alias("n"))
+    found = F.when(F.col("n").isNotNull(), F.struct("n.name", "n.known", "n.skip", "at"))
+    each = pairs.groupBy("document_id", "question_id").agg(F.collect_list("row").alias("rows"), F.collect_list(F.lower("row.question")).alias("lows"), F.collect_list(found).alias("found"))
+    beside = lambda low, place: F.substring(low, place, F.lit(1)).rlike(LETTER)
+
+    def stands(low: Column, x: Column) -> Column:
+        start, end = x["start"], x["end"]
+        return (start >= 0) & (F.substring(low, start + 1, end - start) == x["known"]) & ~((start > 0) & beside(low, start)) & ~beside(low, end + 1)
+
+    span = lambda c, at: F.struct((at - c["skip"]).alias("start"), c["name"].alias("name"), (at - c["skip"] + F.char_length(c["known"])).alias("end"), c["known"].alias("known"))
+    each = each.withColumn("spans", F.flatten(F.transform("found", lambda c: F.transform(c["at"], lambda at: span(c, at)))))
+    each = each.withColumn("spans", F.filter("spans", lambda x: F.exists("lows", lambda low: stands(low, x))))
+    each = each.withColumn("spans", F.array_sort(F.array_distinct(F.transform("spans", lambda x: F.struct((x["start"] - x["end"]).alias("minus"), x["start"].alias("start"), x["name"].alias("name"), x["end"].alias("end"))))))
     none = F.expr("cast(array() as array<struct<minus: int, start: int, name: string, end: int>>)")
     taken = F.aggregate("spans", none, lambda held, x: F.when(F.exists(held, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), held).otherwise(F.concat(held, F.array(x))))
-    found = spans.select("document_id", "question_id", F.transform(taken, lambda x: x["name"]).alias("matched"))
-    rows = questions.join(found, ["document_id", "question_id"], "left")
-    return rows.withColumn("matched", F.coalesce("matched", F.expr("cast(array() as array<string>)")))
+    known = F.col("document_id").isNotNull() & F.col("question_id").isNotNull()
+    matched = F.when(known, F.transform(taken, lambda x: x["name"])).otherwise(F.expr("cast(array() as array<string>)"))
+    first = ["document_id", "question_id"]
+    each = each.select(matched.alias("matched"), F.explode("rows").alias("row"))
+    return each.select(*[F.col("row").getField(c).alias(c) for c in [*first, *[c for c in questions.columns if c not in first]]], "matched")
 
 
 def analyses(questions: DataFrame, names: DataFrame) -> DataFrame:

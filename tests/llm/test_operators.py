@@ -774,18 +774,12 @@ def test_left_over_pairs_few_of_a_crowd_just_under_the_threshold(spark):
     assert simhash.left_over(docs, nodes, roots, 5, 0.8).count() < 400 * 399 / 2 / 20
 
 
-def shuffled(spark) -> int:
-    """Bytes that all stages of the session have written to shuffles."""
-    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
-    stages = store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), jvm.jvm.java.util.ArrayList())
-    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
-
-
 def test_near_dedup_leaves_texts_without_partners_where_they_are(spark):
     """Long texts of which few have a near copy: what joins shuffle is far less than the texts."""
     import random
 
     import corpus_pipeline as P
+    from tests.conftest import shuffled
 
     rng = random.Random(8)
     word = lambda: f"{rng.getrandbits(160):040x}"

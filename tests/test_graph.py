@@ -181,6 +181,31 @@ def test_matched_names(spark):
     assert got[1, 0] == ["Old Major", "Major"] and got[1, 1] == []
 
 
+def test_matched_names_shuffle_no_text_for_each_word(spark):
+    """Questions and names are dealt once; repeated rows, ids that are null and further columns are kept."""
+    import random
+
+    from tests.conftest import shuffled
+
+    rng = random.Random(4)
+    word = lambda: f"{rng.getrandbits(64):016x}"
+    rows = [(d, i, " ".join(word() for _ in range(200)), "more") for d in range(20) for i in range(3)]
+    names = [(d, w) for d, i, q, _ in rows if i == 1 for w in q.split()[::9]] + [(None, rows[0][2].split()[0])]
+    rows += [rows[4], (None, 1, rows[0][2], "x"), (1, None, rows[4][2], "y"), (2, 9, None, "z")]
+    asked = spark.createDataFrame(rows, "document_id long, question_id long, question string, other string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled(spark)
+        got = questions.matched_names(asked, spark.createDataFrame(names, "document_id long, name string")).collect()
+        sent = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = [(d, i, q, o, [w for w in q.split() if (d, w) in set(names)] if i == 1 and d is not None else []) for d, i, q, o in rows if q] + [(2, 9, None, "z", [])]
+    assert sorted(map(str, ((r.document_id, r.question_id, r.question, r.other, list(r.matched)) for r in got))) == sorted(map(str, want))
+    assert sent < 1.5 * sum(len(q or "") for _, _, q, _ in rows)
+
+
 def test_offsets_grow_with_the_text(spark):
     """A text of a million sentences has the offsets that its parts' lengths add up to, in time like that of ten of a
     tenth each."""
