@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of documents.
 Null texts, empty tables, repeated rows and extra columns are as the operators define them.  A stage that changes a
-text sets ``n_chars`` (where there is such a column) to its new length.
+text sets ``n_chars`` (where there is such a column) to its new length.  Stages that run Python set the session's size of
+Arrow batches, if it has none.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql.window import Window
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from quillgraph.llm.common import cut, sifted  # noqa: E402
+from quillgraph.llm.common import cut, sifted, small_batches  # noqa: E402
 from quillgraph.llm.decontaminate import decontaminate  # noqa: E402
 from quillgraph.llm.entropy_mix import entropy_mix  # noqa: E402
 from quillgraph.llm.line_dedup import line_dedup  # noqa: E402
@@ -38,6 +39,7 @@ def _documents(changed: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     kept = scored.where("predicted = 0")
     return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns])
@@ -52,6 +54,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     of one doc_id are documents of their own: they go only if their group has another.
 
     What goes is looked up among the texts; all others stay where they are, as they are not in the sieve of what goes."""
+    small_batches(spark)
     sign = F.xxhash64("text")
     classes = similar_documents(docs.select("doc_id", "text", sign.alias("sign")), BITS, SHINGLE, SIMILARITY).select("root", "doc_id", "component_id", F.col("rest.sign").alias("sign"))
     heads = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("sign").alias("kept_sign"))
@@ -65,6 +68,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _documents(found.where(F.col("n_hit") < F.greatest(F.lit(1.0), MOST_HIT * F.col("n_words"))), docs)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, others, tables
+from .common import cut, local_rows, others, tables
 
 #: Under this many sources their solved parameters (five numbers each) are broadcast; above it, Spark joins them.
 BROADCAST_SOURCES = 20_000
@@ -116,7 +116,7 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     def solved(**more) -> DataFrame:
         rows = [(s, float(mean[s]), float(d.lam), d.fixed, *(float(m[s]) for m in more.values())) for s, d in duals.items()]
         names = "".join(f", {k} double" for k in more)
-        return hint(spark.createDataFrame(rows, f"src string, mean double, lam double, fixed double{names}"))
+        return hint(local_rows(spark, rows, f"src string, mean double, lam double, fixed double{names}"))
 
     def rated(df: DataFrame, **more) -> DataFrame:
         joined = df.join(solved(**more), F.col("source").eqNullSafe(F.col("src")))
@@ -150,7 +150,7 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
         u = min(offsets, key=lambda u, got=r.got, due=due: (abs(got[offsets.index(u)] - due), u))
         owed[r.source] = due - r.got[offsets.index(u)]
         starts.append((r.source, r.band, u))
-    chosen = hint(spark.createDataFrame(starts, "src string, b2 int, start double"))
+    chosen = hint(local_rows(spark, starts, "src string, b2 int, start double"))
     runs = runs.join(chosen, F.col("source").eqNullSafe(F.col("src")) & (F.col("band") == F.col("b2"))).drop("src", "b2")
 
     # what is still owed goes to single documents: the first ones of the smallest runs of each band, largest that fit
@@ -162,7 +162,7 @@ def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     for r in spare:
         offers.setdefault(r.source, []).append((r.size, r.part, r.spare))
     fixes = [(s, *fix) for s, own in offers.items() for fix in settle(owed.get(s, 0.0), own)]
-    fixed = hint(spark.createDataFrame(fixes, "src string, z3 long, p3 long, fix int"))
+    fixed = hint(local_rows(spark, fixes, "src string, z3 long, p3 long, fix int"))
     runs = runs.join(fixed, F.col("source").eqNullSafe(F.col("src")) & (F.col("size") == F.col("z3")) & (F.col("part") == F.col("p3")), "left")
 
     facts = {"source_size": {r.source: r.words for r in stats}, "target": want}

@@ -237,7 +237,7 @@ def _restored(labelled: DataFrame, model) -> DataFrame:
     """``labelled(text, toxic)`` with the texts restored, each row with its words and stems."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1 << 20):
             yield pa.RecordBatch.from_arrays([pa.array(model.value.restore_all(batch.column("text").to_pylist()), pa.string()), batch.column("toxic").cast(pa.int32())], names=["text", "toxic"])
 
     return labelled.mapInArrow(run, "text string, toxic int")
@@ -307,7 +307,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, restore
     doc_id is not held out.  An empty table gives no rows; no labels, or labels of one class, give score 0.
 
     The language model (a fixed-size array) and the marks are broadcast; documents aren't shuffled, and texts pass
-    through each worker once, in slices of about 2 MB.  Of a longer text a worker holds that one text and what it makes
+    through each worker once, in slices of about 1 MB.  Of a longer text a worker holds that one text and what it makes
     of it (about 100 bytes a word).
     """
     spark = docs.sparkSession
@@ -317,7 +317,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, restore
     schema = T.StructType([base.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("restored", T.StringType()), base.schema["text"], base.schema["rest"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1 << 20):
             plain = model.value.restore_all(batch.column("text").to_pylist())
             scores = list(map(shared.value.score, plain))
             texts = plain if restored else [None] * len(plain)

@@ -584,6 +584,21 @@ def test_toxicity(spark):
     assert toxicity.toxicity(odd(spark, []), labels).count() == 0
 
 
+def test_entropy_mix_makes_its_frames_without_python_workers(spark, monkeypatch):
+    """What the driver solves is part of the plan, as Arrow; nulls and empty frames too."""
+    import pyarrow as pa
+
+    from quillgraph.llm.common import local_rows
+
+    made, make = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: made.append(data) or make(self, data, *a, **b))
+    want = entropy_mix.entropy_mix(spark.read.parquet(f"{DATA}/documents.parquet")).count()
+    assert want and made and all(isinstance(x, pa.Table) for x in made)
+    for rows in ([(None, 1, 2.5), ("s", None, None)], []):
+        got = local_rows(spark, rows, "src string, n long, x double")
+        assert "ExistingRDD" not in got._jdf.queryExecution().toString() and [tuple(r) for r in got.collect()] == rows
+
+
 # the pipeline
 
 
@@ -636,6 +651,30 @@ def test_pipeline_ends_with_the_mixed_texts(spark):
     assert all(r.taken == r.copies * r.mix_size and r.size == "z" for r in got)
 
 
+@pytest.mark.parametrize("k", [0, 2, 3])
+def test_pipeline_hands_python_small_batches(spark, k):
+    """After a stage, a partition of 16 MB of texts doesn't reach Python as one batch; a size that the session sets stays."""
+    import pyarrow as pa
+
+    import corpus_pipeline as P
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    docs, conf = odd(spark, [(1, "a word"), (2, "some words more")]), "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(conf)
+    try:
+        P.STAGES[k][1](spark, docs, DATA).collect()
+        got = spark.range(0, 4_000, 1, 1).select(F.repeat(F.lit("word "), 800).alias("text")).mapInArrow(sizes, "n long").collect()
+        assert sum(r.n for r in got) >= 16_000_000 and max(r.n for r in got) < 3 << 20
+        spark.conf.set(conf, 12_345)
+        P.STAGES[k][1](spark, docs, DATA).collect()
+        assert spark.conf.get(conf).rstrip("b") == "12345"
+    finally:
+        spark.conf.unset(conf)
+
+
 # texts of several MB
 
 
