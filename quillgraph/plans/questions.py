@@ -5,8 +5,12 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,67 +53,110 @@ def entity_names(nodes: DataFrame) -> DataFrame:
     return rows.where("name <> ''").distinct()
 
 
-#: A letter, digit or underscore: names end where none of these goes on.
-LETTER = r"[\p{L}\p{N}_]"
+#: Letters, digits and underscores: a name ends where none of these goes on.
+WORD = re.compile(r"\w+")
+
+
+@lru_cache(1 << 16)
+def _first_word(low: str) -> tuple[str, int]:
+    """A name's first word and its place; an empty word if it has no letter."""
+    word = WORD.search(low)
+    return (word[0], word.start()) if word else ("", 0)
+
+
+class _Known:
+    """The names of one document by their lower case, and for each first word its places in them with their lengths: a word
+    of a question looks up one piece of the text for each of these, however many names begin with it."""
+
+    def __init__(self) -> None:
+        self.names: dict[str, set[str]] = {}
+        self.by_word: dict[str, set[tuple[int, int]]] = {}
+
+    def add(self, name: str, low: str) -> None:
+        if low in self.names:
+            self.names[low].add(name)
+            return
+        self.names[low] = {name}
+        first, skip = _first_word(low)
+        self.by_word.setdefault(first, set()).add((skip, len(low)))
+
+    def spans(self, low: str) -> set[tuple[int, int, str]]:
+        """(-length, start, name) of each place where a name stands as whole words in a text in lower case."""
+        out, names, by_word = set(), self.names, self.by_word
+        places = [(m.start(), by_word[m[0]]) for m in WORD.finditer(low) if m[0] in by_word] if names else []
+        if "" in by_word:  # names without any letter stand at the other characters
+            places += [(i, by_word[""]) for i, c in enumerate(low) if not WORD.match(c)]
+        for at, shapes in places:
+            for skip, n in shapes:
+                start = at - skip
+                found = names.get(low[start : start + n]) if start >= 0 else None
+                if found and not (start and WORD.match(low, start - 1)) and not WORD.match(low, start + n):
+                    for name in found:
+                        out.add((-n, start, name))
+        return out
+
+
+def _longest(spans: set[tuple[int, int, str]]) -> list[str]:
+    """The names of the longest spans, ties by place, then name, that don't overlap one taken before.  That is no shorter,
+    so it holds the first or last character of a span that it overlaps."""
+    out, taken = [], set()
+    for minus, start, name in sorted(spans):
+        end = start - minus
+        if start not in taken and end - 1 not in taken:
+            out.append(name)
+            taken.update(range(start, end))
+    return out
 
 
-def _words_of(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``words``: each word of the text column, as ``anchor``, with its place (from 0) in ``at``.  All other
-    characters are one empty word with a place for each, as a name may have no letter at all."""
-    pieces = X.prefix_sums(df.withColumn("_pieces", F.regexp_extract_all(F.col(text), F.lit(f"{LETTER}+|[^{LETTER[1:-1]}]"), F.lit(0))), F.transform("_pieces", F.char_length), "_at")
-    pieces = pieces.withColumn("_each", F.transform("_pieces", lambda p, i: F.struct(p.alias("anchor"), F.array(F.get("_at", i)).alias("at"), p.rlike(LETTER).alias("_is"))))
-    none = F.struct(F.lit("").alias("anchor"), F.flatten(F.transform(F.filter("_each", lambda x: ~x["_is"]), lambda x: x["at"])).alias("at"))
-    words = F.transform(F.filter("_each", lambda x: x["_is"]), lambda x: F.struct(x["anchor"].alias("anchor"), x["at"].alias("at")))
-    return pieces.select(*df.columns, F.concat(F.array(none), words).alias("words"))
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``document_id, question_id, name, low, row`` with each document's names before its questions, and rows of one question
+    together, to the questions' ``row`` and ``matched``.  One document's names are held at a time."""
+    document, known, question, spans, waiting, held = None, _Known(), None, set(), 0, []
+    make = lambda rows, found: pa.RecordBatch.from_arrays([rows, pa.array(found, pa.list_(pa.string()))], names=["row", "matched"])
+    for batch in batches:
+        column, found = batch.column, []
+        asked = np.flatnonzero(column("name").is_null().to_numpy(zero_copy_only=False))
+        ids = iter(column("question_id").take(pa.array(asked)).to_pylist())
+        # as numpy gives strings and whole numbers in a fifteenth of the time
+        plain = lambda c: c.to_pylist() if c.null_count else c.to_numpy(zero_copy_only=False).tolist()
+        for d, name, low in zip(plain(column("document_id")), column("name").to_numpy(zero_copy_only=False), plain(column("low")), strict=True):
+            if d != document:
+                document, known = d, _Known()
+            if name is not None:
+                known.add(name, low)
+                continue
+            q = next(ids)
+            if (d, q) != question:
+                found += [_longest(spans)] * waiting
+                question, spans, waiting = (d, q), set(), 0
+            waiting += 1
+            if d is not None and q is not None:
+                spans |= known.spans(low)
+        held.append(batch.column("row").take(pa.array(asked)))
+        if found:
+            rows = pa.concat_arrays(held)
+            yield make(rows.slice(0, len(found)), found)
+            held = [rows.slice(len(found))]
+    if waiting:
+        yield make(pa.concat_arrays(held), [_longest(spans)] * waiting)
 
 
 def matched_names(questions: DataFrame, names: DataFrame) -> DataFrame:
     """``questions(document_id, question_id, question)`` with ``matched``, the names of the same document that each has as
     whole words, whatever their case.
 
-    Questions and ``names(document_id, name)`` are dealt once, by document; words are made after that, so no more than the
-    texts and names is shuffled.  All words of a document meet its names by their first word: a name can only stand where
-    that does.  Texts are not carried along with words, but meet the names' places at last.  What is found is an interval;
-    per question the longest intervals are taken first (ties: by place, then name) if they don't overlap one that is taken,
-    in one fold over the sorted array.  A question without names has an empty array."""
+    Questions and ``names(document_id, name)`` are dealt once, by document, and sorted there, so no more than the texts and
+    names is shuffled.  Python takes them as they come, in time that grows with the texts: a name can only stand where its
+    first word does, and what is found is an interval.  Per question the longest are taken first (ties: by place, then name)
+    if they don't overlap one that is taken; built-ins took the square of a text's words for that.  A question without names
+    has an empty array."""
     whole = F.struct(*[F.col(f"`{c}`") for c in questions.columns])
     asked = questions.select("document_id", "question_id", whole.alias("row"), F.lit(None).cast("string").alias("name"))
     told = names.where("document_id is not null and name <> ''").select("document_id", F.lit(None).cast(questions.schema["question_id"].dataType).alias("question_id"), F.lit(None).cast(asked.schema["row"].dataType).alias("row"), "name")
-    dealt = asked.union(told).repartition("document_id")
-    # names and words by their anchors; a question itself has none
-    dealt = _words_of(dealt.withColumn("low", F.lower(F.coalesce("row.question", F.lit("")))), "low")
-    dealt = dealt.withColumn("known", F.lower("name")).withColumn("first", F.regexp_extract("known", f"{LETTER}+", 0))
-    skip = F.when(F.col("first") == "", 0).otherwise(F.instr("known", F.col("first")) - 1)
-    one = lambda anchor, at, row, name: F.struct(anchor.alias("anchor"), at.alias("at"), row.alias("row"), name.alias("known_as"))
-    no_text, no_places, no_row = F.lit(None).cast("string"), F.lit(None).cast("array<int>"), F.lit(None).cast(asked.schema["row"].dataType)
-    known_as = F.struct("name", "known", skip.alias("skip"))
-    no_name = F.lit(None).cast("struct<name: string, known: string, skip: int>")
-    met = F.when(F.col("name").isNotNull(), F.array(one(F.col("first"), no_places, no_row, known_as))).otherwise(
-        F.concat(F.array(one(no_text, no_places, F.col("row"), no_name)), F.transform("words", lambda w: one(w["anchor"], w["at"], no_row, no_name)))
-    )
-    rows = dealt.select("document_id", "question_id", F.inline(met))
-    place = F.when(F.col("known_as").isNull(), F.struct("question_id", "at", "row"))
-    groups = rows.groupBy("document_id", "anchor", F.when(F.col("anchor").isNull(), F.col("question_id")).alias("own")).agg(F.collect_list(place).alias("places"), F.collect_set("known_as").alias("names"))
-    places = groups.where("anchor is null or size(names) > 0").select("document_id", "names", F.inline("places"))
-    pairs = places.select("document_id", "question_id", "at", "row", F.explode_outer("names").alias("n"))
-    found = F.when(F.col("n").isNotNull(), F.struct("n.name", "n.known", "n.skip", "at"))
-    each = pairs.groupBy("document_id", "question_id").agg(F.collect_list("row").alias("rows"), F.collect_list(F.lower("row.question")).alias("lows"), F.collect_list(found).alias("found"))
-    beside = lambda low, place: F.substring(low, place, F.lit(1)).rlike(LETTER)
-
-    def stands(low: Column, x: Column) -> Column:
-        start, end = x["start"], x["end"]
-        return (start >= 0) & (F.substring(low, start + 1, end - start) == x["known"]) & ~((start > 0) & beside(low, start)) & ~beside(low, end + 1)
-
-    span = lambda c, at: F.struct((at - c["skip"]).alias("start"), c["name"].alias("name"), (at - c["skip"] + F.char_length(c["known"])).alias("end"), c["known"].alias("known"))
-    each = each.withColumn("spans", F.flatten(F.transform("found", lambda c: F.transform(c["at"], lambda at: span(c, at)))))
-    each = each.withColumn("spans", F.filter("spans", lambda x: F.exists("lows", lambda low: stands(low, x))))
-    each = each.withColumn("spans", F.array_sort(F.array_distinct(F.transform("spans", lambda x: F.struct((x["start"] - x["end"]).alias("minus"), x["start"].alias("start"), x["name"].alias("name"), x["end"].alias("end"))))))
-    none = F.expr("cast(array() as array<struct<minus: int, start: int, name: string, end: int>>)")
-    taken = F.aggregate("spans", none, lambda held, x: F.when(F.exists(held, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), held).otherwise(F.concat(held, F.array(x))))
-    known = F.col("document_id").isNotNull() & F.col("question_id").isNotNull()
-    matched = F.when(known, F.transform(taken, lambda x: x["name"])).otherwise(F.expr("cast(array() as array<string>)"))
+    dealt = asked.union(told).repartition("document_id").sortWithinPartitions("document_id", F.col("name").isNull(), "question_id")
+    dealt = dealt.select("document_id", "question_id", "name", F.lower(F.coalesce("name", "row.question", F.lit(""))).alias("low"), "row")
+    each = dealt.mapInArrow(_found, T.StructType([dealt.schema["row"], T.StructField("matched", T.ArrayType(T.StringType()))]))
     first = ["document_id", "question_id"]
-    each = each.select(matched.alias("matched"), F.explode("rows").alias("row"))
     return each.select(*[F.col("row").getField(c).alias(c) for c in [*first, *[c for c in questions.columns if c not in first]]], "matched")
 
 

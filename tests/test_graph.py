@@ -206,6 +206,41 @@ def test_matched_names_shuffle_no_text_for_each_word(spark):
     assert sent < 1.5 * sum(len(q or "") for _, _, q, _ in rows)
 
 
+def test_matched_names_grow_with_the_question(spark):
+    """A question of 6,000 words, each a name, takes no more than a few times what one of 600 takes."""
+    import time
+
+    took = {}
+    for n in (600, 6_000):
+        words = [f"w{i}x" for i in range(n)]
+        asked = spark.createDataFrame([(1, 1, " ".join(words))], "document_id long, question_id long, question string")
+        names = spark.createDataFrame([(1, w) for w in words], "document_id long, name string")
+        for _ in range(2):
+            start = time.time()
+            got = questions.matched_names(asked, names).first().matched
+            took[n] = time.time() - start
+        assert got == sorted(words, key=lambda w: (-len(w), int(w[1:-1])))
+    assert took[6_000] < 5 * max(took[600], 1)
+
+
+def test_matched_names_across_batches(spark):
+    """Rows of one question, and a document's names, may come in several batches; the places in all texts of one
+    question count for each of its rows, as in the SQL."""
+    rows = [(1, 1, "Ann met Bob"), (1, 1, "Bob met Old Tom"), (1, 1, "nobody"), (1, 2, "Ann"), (2, 1, "Ann"), (2, None, "Eve"), (None, 1, "Eve"), (2, 2, None)]
+    asked = spark.createDataFrame(rows, "document_id long, question_id long, question string")
+    names = spark.createDataFrame([(1, "Ann"), (1, "Bob"), (1, "ann"), (1, "Old Tom"), (1, "Tom"), (2, "Eve")], "document_id long, name string")
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    try:
+        for size in ("1", "2", "100"):
+            spark.conf.set(conf, size)
+            got = sorted(((r.document_id, r.question_id, r.question, list(r.matched)) for r in questions.matched_names(asked, names).collect()), key=str)
+            want = {(1, 1): ["Old Tom", "Ann"], (1, 2): ["Ann"]}  # both Bobs overlap what stands there in the other text
+            assert got == sorted(((d, q, t, want.get((d, q), [])) for d, q, t in rows), key=str)
+    finally:
+        spark.conf.set(conf, before)
+
+
 def test_offsets_grow_with_the_text(spark):
     """A text of a million sentences has the offsets that its parts' lengths add up to, in time like that of ten of a
     tenth each."""
