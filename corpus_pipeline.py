@@ -17,12 +17,13 @@ from pyspark.sql.window import Window
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from quillgraph.llm.common import cut, sifted, small_batches  # noqa: E402
+from quillgraph.llm.common import cut, sifted  # noqa: E402
 from quillgraph.llm.decontaminate import decontaminate  # noqa: E402
 from quillgraph.llm.entropy_mix import entropy_mix  # noqa: E402
 from quillgraph.llm.line_dedup import line_dedup  # noqa: E402
 from quillgraph.llm.simhash import similar_documents  # noqa: E402
 from quillgraph.llm.toxicity import toxicity  # noqa: E402
+from quillgraph.session import small_batches  # noqa: E402
 
 #: Near-duplicates have sets of 5-word shingles with this Jaccard similarity or more; fingerprints within 3 bits are candidates.
 SHINGLE, BITS, SIMILARITY = 5, 3, 0.8

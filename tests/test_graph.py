@@ -241,6 +241,29 @@ def test_matched_names_across_batches(spark):
         spark.conf.set(conf, before)
 
 
+def test_entities_alone_meet_no_others(spark):
+    """An entity alone in its cluster has the form that the aggregates give, and isn't shuffled for it."""
+    from tests.conftest import shuffled
+
+    odd = [(1, 0, "Person", "Ann Lee", 0), (1, 0, "Person", "Lee", 1), (1, 1, "Concept", "The Boxes", 2), (1, 2, "Thing", " ABC Cities ", 3), (1, 3, "Organization", "Oak Labs", 4), (1, 4, "Person", "The Boxes", 5), (1, 5, "Location", "...", 6), (2, 0, "Concept", "Box", 0), (2, 0, "Location", "Boxes", 1)]
+    members = spark.createDataFrame(odd, "document_id long, cluster int, label string, name string, member int")
+    sizes = members.groupBy("document_id", "cluster").agg({"*": "count"}).toDF("document_id", "cluster", "size")
+    rows = lambda df: sorted((r.document_id, r.cluster, r.canonical_name, r.canonical_label, list(r.label_counts.items()), r.aliases) for r in df.collect())
+    assert rows(resolution.canonical_forms(members.join(sizes, ["document_id", "cluster"]))) == rows(resolution.canonical_forms(members))
+
+    n = 4_000
+    found = spark.createDataFrame([(i % 10, i, "Concept", f"Word{i}x", i, 0, 9) for i in range(n)], "document_id long, ord long, label string, name string, chunk_id int, start_index int, end_index int")
+    clusters = resolution.entity_clusters(found)
+    before = shuffled(spark)
+    clusters.write.format("noop").mode("overwrite").save()
+    once = shuffled(spark) - before
+    members = resolution.cut(resolution.sized_clusters(found))
+    before = shuffled(spark)
+    forms = resolution.canonical_forms(members)
+    assert forms.count() == n
+    assert shuffled(spark) - before < once / 4
+
+
 def test_offsets_grow_with_the_text(spark):
     """A text of a million sentences has the offsets that its parts' lengths add up to, in time like that of ten of a
     tenth each."""
