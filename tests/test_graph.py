@@ -241,6 +241,28 @@ def test_matched_names_across_batches(spark):
         spark.conf.set(conf, before)
 
 
+def test_texts_are_made_once(spark):
+    """No step puts a text's making into a lambda or a list of phrases, where it would run for each of their elements."""
+    from quillgraph.functions import text as X
+    from quillgraph.operators import chunking
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    docs = spark.createDataFrame([(1, "Ann lives in  Oak Town. Bob met Ann.")], "document_id long, text string").repartition(1)
+    normal = X.normalized(docs)
+    for chunks in (chunking.sentence_chunks(normal, ahead=True), chunking.sentence_chunks(normal), chunking.paragraph_chunks(normal)):
+        assert plan(chunks).count(" AS text#") >= 2
+    w = windows.adjacent_windows(chunking.sentence_chunks(normal, ahead=True))
+    e = entities.heuristic_entities(chunking.sentence_chunks(normal))
+    seen, cut = [], relations.cut
+    try:
+        relations.cut = lambda df: seen.append(plan(df)) or cut(df)
+        got = {(r.source, r.target, r.type) for r in relations.heuristic_relations(w, e).collect()}
+    finally:
+        relations.cut = cut
+    assert {("Ann", "Oak Town", "LIVES_IN"), ("Bob", "Ann", "MET")} <= got
+    assert len(seen) == 1 and "Contains(lower" not in seen[0]
+
+
 def test_entities_alone_meet_no_others(spark):
     """An entity alone in its cluster has the form that the aggregates give, and isn't shuffled for it."""
     from tests.conftest import shuffled
